@@ -22,8 +22,12 @@ MODULES = {
 }
 
 
+def _query(module: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: import_module(f"stratabox.llm.{module}").query(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"stratabox.llm.{module}").query for name, module in MODULES.items()}
+    return {name: _query(module) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
