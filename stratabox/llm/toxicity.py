@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 # Which letters leetspeak writes with a character.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 # Channel costs in nats.
-SWAP, DROP_MARK, DROP_OTHER, REPEAT, KEEP_MARK, GAP, SPACE = 1.2, 1.0, 7.0, 0.4, 5.0, 0.3, 3.0
+SWAP, DROP_MARK, DROP_OTHER, REPEAT, DOUBLE, KEEP_MARK, GAP, SPACE = 1.2, 1.0, 14.0, 0.4, 2.5, 5.0, 0.3, 3.0
 
 LETTERS = 60  # classes of characters: 0 boundary, 1-26 a-z, 27-58 Latin-1 letters, 59 other letters
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
@@ -110,7 +110,7 @@ class Decoder:
         p3 = (c3 + 5 * p2[None]) / (c3.sum(2, keepdims=True) + 5)
         self.costs = (-np.log(p3)).tolist()
 
-    def arcs(self, token: str) -> list[list[tuple[int, str, float]]]:
+    def arcs(self, token: str, double: float = DOUBLE) -> list[list[tuple[int, str, float]]]:
         """For each position: (next position, output, channel cost)."""
         out, n, i = [[] for _ in token], len(token), 0
         while i < n:
@@ -130,19 +130,19 @@ class Decoder:
                 for x in LEET.get(c, ""):
                     own.append((k + 1, x, SWAP))
                 if k > i:
-                    own.append((j, "", REPEAT if letter or c in LEET else DROP_MARK))
+                    own.append((j, "", DROP_MARK if not letter and c not in LEET else REPEAT if j - i > 2 else double))
                 if not letter:
                     own.append((k + 1, "", DROP_OTHER if c.isalnum() else DROP_MARK))
-                    own.append((k + 1, " ", KEEP_MARK))
+                    own.append((k + 1, " ", DROP_OTHER if c.isalnum() else KEEP_MARK))
             i = j
         return out
 
-    def decode(self, token: str) -> str:
-        """The likeliest reading, words parted by single spaces."""
+    def decode(self, token: str, double: float = DOUBLE) -> str:
+        """The likeliest reading, words parted by single spaces. double: the cost of reading a doubled letter as one."""
         costs, n = self.costs, len(token)
         best: list[dict] = [{} for _ in range(n + 1)]
         best[0] = {(0, 0): (0.0, None, "")}
-        for i, arcs in enumerate(self.arcs(token)):
+        for i, arcs in enumerate(self.arcs(token, double)):
             for (a, b), (cost, _, _) in best[i].items():
                 row = costs[a][b]
                 for j, text, channel in arcs:
@@ -179,14 +179,17 @@ class Decoder:
                 return []
             if PLAIN.fullmatch(core) and not REPEATED.search(core) and token[0] not in "@$(":
                 return [core]
-            read = self.decode(core).split() if core else []
-            if token[0] in "@$(":
+            whole = token if token[0] in "@$(|+" else core or token
+            read = self.decode(whole).split()
+            if REPEATED.search(whole):
+                read += self.decode(whole, DROP_OTHER).split()
+            if core and whole != core:
+                read += self.decode(core).split()
+            if core != token and not PLAIN.fullmatch(core):
                 read += self.decode(token).split()
             if PLAIN.fullmatch(core):
                 read.append(core)
-            elif core != token:
-                read += [w for w in self.decode(token).split() if w not in read]
-            return read
+            return list(dict.fromkeys(read))
         return self.decode(token.replace("\t", " ")).split()
 
 
