@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -47,28 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; drop() removes those that are no longer read."""
+    """Tables written to the shared folder to cut lineage; drop() removes those that are no longer read.
+
+    What is read back does not depend on the executors that wrote it, and the shuffle files behind it can go.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        path = f"{self.root}/{len(self.paths) + 1}"
+        df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._scratch_path = path
+        self.paths[id(kept)] = path
+        del df
+        release(self.spark)
         return kept
 
-    def drop(self, df: DataFrame) -> None:
+    def drop(self, *kept: DataFrame) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for df in kept:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fill(parts: int, rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.repartition(parts, *keys)
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles and broadcasts that nothing refers to any more, and delete their files."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:

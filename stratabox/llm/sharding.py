@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-LIMIT = 4_000_000  # bytes of text in a shard
+LIMIT = 1_000_000  # bytes of text in a shard
 STEP = 16  # prefix bits that one pass adds
 BITS = 64  # of the hash
 
