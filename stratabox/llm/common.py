@@ -129,3 +129,20 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+_OWN: dict[str, tuple[str, object]] = {}
+
+
+def per_worker(name: str, token: str, make):
+    """make(), once for each Python worker and token (one drawn by the driver for each model); what an earlier token left
+    under the name goes."""
+    known, made = _OWN.get(name, (None, None))
+    if known != token:
+        made = make()
+        _OWN[name] = (token, made)
+    return made
+
+
+def new_token() -> str:
+    return uuid.uuid4().hex

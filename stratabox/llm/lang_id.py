@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_token, per_worker, table
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 50_000
@@ -167,7 +167,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Field | None:
 
 
 class Predictor:
-    def __init__(self, field: Field, limit: int = 400_000):
+    def __init__(self, field: Field, limit: int = 600_000):
         self.field, self.limit = field, limit
         self.clear()
 
@@ -253,8 +253,10 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
     field = spark.sparkContext.broadcast(fit(sample(own.filter(~F.col("held_out")))))
 
+    token = new_token()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(field.value) if field.value else None
+        predictor = per_worker("language", token, lambda: Predictor(field.value)) if field.value else None
         for batch in batches:
             texts = batch.column(2).to_pylist()
             langs, scores = predictor.predict(texts) if predictor else (["und"] * len(texts), [0.0] * len(texts))
