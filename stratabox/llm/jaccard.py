@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, Scratch, WordHashes, as_long, parts, table, windows
+from .common import LOWER, WORD, Scratch, WordHashes, as_long, parts, per_worker, table, windows
 from .graph import components
 
 SHINGLE = 5
@@ -97,7 +97,7 @@ def survey(hot: np.ndarray):
     """Per row: its set's size, digest, prefix (n_index of it for the smaller of a pair) and point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = per_worker("words", "", WordHashes)
         for batch in batches:
             sizes, prints, keys, index, points = [], [], [], [], []
             for text in batch.column(1):
@@ -127,7 +127,7 @@ def frequent(own: DataFrame, sample_docs: int) -> np.ndarray:
     """Shingles that several documents of a bounded sample have; they steer the order only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = per_worker("words", "", WordHashes)
         for batch in batches:
             found = np.concatenate([np.empty(0, np.uint64), *(shingles(x.as_py(), hashes) for x in batch.column(0))])
             values, counts = np.unique(found, return_counts=True)
@@ -182,7 +182,7 @@ def verify(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """groups: head, chunk, node. Links (a, b) within each (head, chunk), by trees over the texts' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found = WordHashes(), []
+        hashes, found = per_worker("words", "", WordHashes), []
         for rows in sorted_groups(batches, 2):
             found += unite([r[2] for r in rows], [shingles(r[3], hashes) for r in rows])
             if len(found) > 10_000:

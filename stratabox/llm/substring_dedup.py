@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, WordHashes, as_long, mixed, table, windows
+from .common import WORD, Scratch, WordHashes, as_long, mixed, per_worker, table, windows
 
 WINDOW = 50
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -49,7 +49,7 @@ def survey(window: int):
     """Per row: what a document is known by, and the half windows that stand for its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = per_worker("words", "", WordHashes)
         half = window // 2
         for batch in batches:
             n_words, prints, sha, anchors = [], [], [], []
@@ -77,7 +77,7 @@ def extend(window: int):
     """Per candidate document: its full windows (hash, check, position) over half windows that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = per_worker("words", "", WordHashes)
         half = window // 2
         for batch in batches:
             for piece in range(0, batch.num_rows, 500):

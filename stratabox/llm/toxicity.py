@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, WordHashes, as_long, mixed, table, windows
+from .common import WORD, Scratch, WordHashes, as_long, mixed, new_token, per_worker, table, windows
 
 SAMPLE_ROWS = 30_000
 FEATURES = 5_000
@@ -225,7 +225,7 @@ class Restorer:
 class Scorer:
     """Texts to scores. Tokens without a telling word are kept as None."""
 
-    def __init__(self, decoder: Decoder, weights: dict[str, float], bias: float, limit: int = 300_000):
+    def __init__(self, decoder: Decoder, weights: dict[str, float], bias: float, limit: int = 600_000):
         self.decoder, self.weights, self.bias, self.limit, self.known = decoder, weights, bias, limit, {}
 
     def look_up(self, token: str):
@@ -287,8 +287,10 @@ def train(own: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, 1.1 * sample_rows / max(n, 1)) * 1_000_000)
     chosen = drawn.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
+    token = new_token()
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, hashes = Restorer(decoder.value), WordHashes()
+        restorer, hashes = per_worker("toxicity", token, lambda: (Restorer(decoder.value), WordHashes()))
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             words, keys = [restorer.words(x) for x in texts], [min_hashes(x, hashes) for x in texts]
@@ -334,8 +336,10 @@ def score_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(own, labels.select("doc_id", "toxic"), sample_rows))
 
+    token = new_token()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value)
+        scorer = per_worker("toxicity", token, lambda: Scorer(*model.value))
         for batch in batches:
             scores = [scorer.score(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -349,8 +353,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(own, labels.select("doc_id", "toxic")))
     at = docs.columns.index("text")
 
+    token = new_token()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value)
+        scorer = per_worker("toxicity", token, lambda: Scorer(*model.value))
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(x.as_py()) < 0.5 for x in batch.column(at)], pa.bool_()))
 
