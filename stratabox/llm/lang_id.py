@@ -16,7 +16,6 @@ ties go to the language that comes first in the alphabet; an empty table gives a
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,28 +24,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_token, per_worker, table
+from .common import mixed, new_token, per_worker, table
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 50_000
 BITS = 16  # of a feature's slot
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-BATCH_WORDS = 400_000  # words whose chains are run together
+BATCH_CHARS = 2_500_000  # of the texts whose chains are run together
 STEPS, RATE, DECAY = 60, 0.08, 1e-4  # of the fit
 LEXICON = 1  # a word is in a lexicon from so many occurrences per language in the sample, if over half are in it
 
 
-def slots(word: str, lexicon: dict[str, int]) -> list[int]:
-    """The feature slots of a word of letters."""
-    n, crc = len(word), zlib.crc32
-    found = {f"^{word[:k]}" for k in range(1, min(n, 4) + 1)} | {f"{word[-k:]}$" for k in range(1, min(n, 4) + 1)}
-    found.update(word[i : i + 2] for i in range(n - 1))
-    found.update(word[i : i + 3] for i in range(n - 2))
-    found.add(f"^{word}$" if n < 4 else "=long")
-    known = lexicon.get(word)
-    found.add("?" if known is None else f"#{known}")
-    return [crc(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in found]
+def slots(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The feature slots of words of letters, all at once: slots, and the word that each belongs to.
+
+    Affixes are runs of up to four letters with the edge, n-grams are runs of two and three; both are rolled hashes over the words' code
+    points, laid end to end between edge marks. One more slot tells which lexicon has the word.
+    """
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), lengths)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    at = np.arange(len(codes))
+    begins = ends - lengths[owner]
+    flat, owners, rolled = [], [], codes
+    for n in range(2, 6):
+        rolled = rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        own, last = at[: len(rolled)], at[: len(rolled)] + n
+        real = last <= ends[: len(rolled)]
+        if n > 3:  # longer runs only as affixes
+            real &= (own == begins[: len(rolled)]) | (last == ends[: len(rolled)])
+        got = mixed(rolled[real] + np.uint64(n))
+        flat.append((got & np.uint64((1 << BITS) - 1)).astype(np.int64))
+        owners.append(owner[: len(rolled)][real])
+    known = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    flat.append((mixed((known + 2).astype(np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.int64))
+    owners.append(np.arange(len(words)))
+    return np.concatenate(flat), np.concatenate(owners)
 
 
 def packed(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,8 +113,9 @@ class Field:
     def __init__(self, langs: list[str], weights: np.ndarray, moves: np.ndarray, lexicon: dict[str, int]):
         self.langs, self.weights, self.moves, self.lexicon = langs, weights, moves, lexicon
 
-    def scores(self, word: str) -> np.ndarray:
-        return self.weights[slots(word, self.lexicon)].sum(0)
+    def scores(self, words: list[str]) -> np.ndarray:
+        flat, owner = slots(words, self.lexicon)
+        return np.stack([np.bincount(owner, self.weights[flat, k], len(words)) for k in range(len(self.langs))], 1)
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Field | None:
@@ -118,10 +136,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Field | None:
     vocabulary = {w: k for k, w in enumerate(by_word)}
     lexicon = {w: (best[0][0]) for w, c in by_word.items() if (best := c.most_common(1))[0][1] > 2 * LEXICON and 2 * best[0][1] > sum(c.values())}
     # a word met once tells nothing as a lexicon word of its own document: it counts as unknown while fitting
-    lists = [slots(w, lexicon) for w in vocabulary]
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-    flat = np.fromiter((s for x in lists for s in x), np.int64, int(offsets[-1]))
-    owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    flat, owner = slots(list(vocabulary), lexicon)
     # spliced sequences: pieces of 8 to 80 words, one to four of them to a sequence
     pieces = []
     for words, lang in docs:
@@ -167,7 +182,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Field | None:
 
 
 class Predictor:
-    def __init__(self, field: Field, limit: int = 600_000):
+    def __init__(self, field: Field, limit: int = 500_000):
         self.field, self.limit = field, limit
         self.clear()
 
@@ -176,25 +191,29 @@ class Predictor:
         self.by_form: dict[str, int] = {"": 0}
         self.table = np.ones((1024, len(self.field.langs)), np.float32)
 
-    def row(self, word: str) -> int:
-        form = NOT_LETTERS.sub("", word.lower())
-        k = self.by_form.get(form)
-        if k is None:
-            k = self.by_form[form] = len(self.by_form)
-            if k >= len(self.table):
+    def learn(self, words: set[str]) -> None:
+        """Give each new word a row of the table; words alike but for marks and case share one."""
+        forms = [NOT_LETTERS.sub("", w.lower()) for w in words]
+        new = list({f for f in forms if f not in self.by_form})
+        if new:
+            first = len(self.by_form)
+            self.by_form.update(zip(new, range(first, first + len(new)), strict=True))
+            while first + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.ones_like(self.table)])
-            scores = self.field.scores(form)
-            self.table[k] = np.exp(np.clip(scores - scores.max(), -30, 0))
-        self.rows[word] = k
-        return k
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.split()
-        rows = self.rows
-        try:
-            return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            return np.fromiter((k if (k := rows.get(w)) is not None else self.row(w) for w in words), np.int64, len(words))
+            scores = self.field.scores(new)
+            self.table[first : first + len(new)] = np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0))
+        self.rows.update(zip(words, map(self.by_form.__getitem__, forms), strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.split() for t in texts]
+        every = set().union(*split)
+        new = every - self.rows.keys()
+        if len(self.rows) + len(new) > self.limit:
+            self.clear()
+            new = every
+        if new:
+            self.learn(new)
+        return [np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)) for words in split]
 
     def chains(self, texts: list[np.ndarray]) -> np.ndarray:
         """The sum of each text's word marginals."""
@@ -213,17 +232,14 @@ class Predictor:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores, group, held, waiting = [], [], [], 0, []
-        for text in texts:
-            ids = self.ids(text or "")
-            group.append(ids)
-            held += len(ids)
-            if held >= BATCH_WORDS:
-                waiting.append(self.chains(group))
-                group, held = [], 0
-                if len(self.rows) > self.limit:
-                    self.clear()
-        waiting.append(self.chains(group))
+        langs, scores, waiting, low, size = [], [], [], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= BATCH_CHARS or k == len(texts) - 1:
+                waiting.append(self.chains(self.ids([x or "" for x in texts[low : k + 1]])))
+                low, size = k + 1, 0
+        if not waiting:
+            return [], []
         sums = np.concatenate(waiting)
         totals = sums.sum(1)
         best = sums.argmax(1)
