@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Lower-casing of A-Z alone, as the contracts ask for it.
+#: Lower-casing of A-Z alone, as the contracts ask for it: of text, and of UTF-8 bytes.
 LOWER = {c: c + 32 for c in range(65, 91)}
+LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -55,22 +56,23 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths) + 1}"
+        path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(kept)] = path
+        self.kept.append((kept, path))
         del df
         release(self.spark)
         return kept
 
     def drop(self, *kept: DataFrame) -> None:
         jvm = self.spark._jvm
-        for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+        for name in (path for df, path in self.kept if any(df is x for x in kept)):
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.kept = [x for x in self.kept if not any(x[0] is y for y in kept)]
 
 
 def release(spark: SparkSession) -> None:
@@ -83,6 +85,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words of a text as UTF-8. bytes.split parts at the contracts' six white-space characters, no others."""
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    return (raw.translate(LOWER_BYTES) if lower else raw).split()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, filled as words come; emptied when it holds `limit` words, so that memory is bounded."""
 
@@ -90,14 +100,14 @@ class WordHashes(dict):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
-        got = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        got = xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.limit:
             self.clear()
         self[word] = got
         return got
 
-    def array(self, words: list[str]) -> np.ndarray:
+    def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

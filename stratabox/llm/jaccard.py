@@ -5,13 +5,14 @@ sets can't share more than the sum of their points' coordinate minima, nor a set
 node than with the node's coordinate maxima; what passes that bound is verified on the sets themselves.
 
 How the trees are spread. Sets that are equal are one node of the graph. The rest meet by prefix: in one order of all
-shingles, linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each. The order puts shingles that a sample of
+shingles, linked sets of n and m have at least l shingles in common among the first n - ceil(0.8 n) + l and m - ceil(0.8 m) + l
+of each. Nodes with fewer shared prefix shingles than that link to nothing and go. The order puts shingles that a sample of
 documents has often at the end; any order is right, this one keeps shared passages out of the prefixes.
 
-1. Each node is put with the smallest node of the prefix shingle bucket that it shares most with; such groups are cut into chunks,
-   each gets a tree, and links found there are joined into components.
-2. Buckets that still hold more than one component are searched again by trees, for pairs between components only, in
-   bands of set size and in chunks, so no bucket, however large, meets in one task.
+1. Each node is put with the smallest node of the prefix shingle bucket that it shares most with; those that pass the bound with it
+   are cut into chunks, each gets a tree, and links found there are joined into components.
+2. Buckets that still hold more than one component are searched again by trees, for pairs between components only. Large buckets
+   are cut into bands of set size and chunks, so no bucket, however large, meets in one task.
 
 Since a component is what is asked for, links inside a component need not be listed; every pair between components is bounded or
 verified, so none is lost.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, Scratch, WordHashes, as_long, parts, per_worker, table, windows
+from .common import Scratch, WordHashes, as_long, parts, per_worker, table, windows, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -45,7 +46,7 @@ LEAF = 16
 
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """The set of a text, as ascending hashes."""
-    words = WORD.findall((text or "").translate(LOWER))
+    words = words_of(text, lower=True)
     return np.unique(windows(hashes.array(words), min(SHINGLE, len(words)))) if words else np.empty(0, np.uint64)
 
 
@@ -61,6 +62,23 @@ def point(found: np.ndarray) -> np.ndarray:
     return np.bincount((found % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def packed_point(found: np.ndarray) -> bytes:
+    """A byte for each group; 255 stands for any larger count."""
+    return np.minimum(point(found), 255).astype(np.uint8).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """Upper bounds of the counts."""
+    out = np.frombuffer(raw, np.uint8).astype(np.int32)
+    out[out == 255] = 1 << 24
+    return out
+
+
+def prefix_extra(n: int) -> int:
+    """How many shared prefix shingles linked sets have at least, if both are of size n or more."""
+    return 1 + n // 14
+
+
 def least_shared(n: np.ndarray | int, m: np.ndarray | int):
     """The fewest common shingles of linked sets of n and m: ceil(0.8 / 1.8 (n + m))."""
     return -(-4 * (n + m) // 9)
@@ -94,12 +112,12 @@ class CountTree:
 
 
 def survey(hot: np.ndarray):
-    """Per row: its set's size, digest, prefix (n_index of it for the smaller of a pair) and point."""
+    """Per row: its set's size, digest, prefix and point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = per_worker("words", "", WordHashes)
         for batch in batches:
-            sizes, prints, keys, index, points = [], [], [], [], []
+            sizes, prints, keys, points = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), hashes)
                 n = len(found)
@@ -110,14 +128,13 @@ def survey(hot: np.ndarray):
                     ordered = np.concatenate([found[~often], found[often]])
                 else:
                     ordered = found
-                keys.append(as_long(ordered[: n + (4 * n) // -5 + 1 if n else 0]))
-                index.append(n + (8 * n) // -9 + 1 if n else 0)
-                points.append(point(found).tobytes())
+                keys.append(as_long(ordered[: n + (4 * n) // -5 + prefix_extra(n) if n else 0]))
+                points.append(packed_point(found))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(index, pa.int32()), pa.array(points, pa.binary())],
-                ["doc_id", "n", "print", "keys", "n_index", "point"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(points, pa.binary())],
+                ["doc_id", "n", "print", "keys", "point"],
             )
 
     return run
@@ -207,69 +224,96 @@ def chunked(members: DataFrame) -> DataFrame:
     return dealt.unionByName(sizes.select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("head").alias("node")))
 
 
+def near_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows: head, node, n, head_n, point, head_point. Those that pass the bound."""
+    for batch in batches:
+        sizes = [batch.column(i).to_pylist() for i in (2, 3)]
+        points = [batch.column(i).to_pylist() for i in (4, 5)]
+        kept = [int(np.minimum(unpacked(a), unpacked(b)).sum()) >= least_shared(n, m) and 5 * n >= 4 * m and 5 * m >= 4 * n for n, m, a, b in zip(*sizes, *points, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], ["head", "node", "n"]).filter(pa.array(kept, pa.bool_()))
+
+
 def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: key, band, chunk, home, node, component, n, indexed, point. Pairs of a home and a smaller node, of different
-    components, that pass the tree's bound."""
-    found: list[tuple[int, int]] = []
+    """Rows: key, band, chunk, home, node, component, n, point. Pairs of a home and a smaller node (all are both where home is null), of
+    different components, that pass the tree's bound."""
+    found: set[tuple[int, int]] = set()
     for rows in sorted_groups(batches, 3):
-        homes = [r for r in rows if r[3]]
-        others = [r for r in rows if not r[3] and r[7]]
+        homes = [r for r in rows if r[3] is not False]
+        others = [r for r in rows if not r[3]]
         if not homes or not others:
             continue
-        sizes = np.array([r[6] for r in others])
-        tree = CountTree(np.stack([np.frombuffer(r[8], np.int32) for r in others]), sizes)
+        tree = CountTree(np.stack([unpacked(r[7]) for r in others]), np.array([r[6] for r in others]))
         for home in homes:
-            for j in tree.search(np.frombuffer(home[8], np.int32), home[6]).tolist():
+            for j in tree.search(unpacked(home[7]), home[6]).tolist():
                 other = others[j]
                 if other[5] != home[5] and (other[6], other[4]) < (home[6], home[4]):
-                    found.append((home[4], other[4]))
+                    found.add((home[4], other[4]))
         if len(found) > 50_000:
-            yield links(sorted(set(found)))
-            found = []
-    yield links(sorted(set(found)))
+            yield links(sorted(found))
+            found = set()
+    yield links(sorted(found))
 
 
 def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
-    """buckets: key, node, n, indexed. Candidate pairs (a, b) between components, from buckets that hold several."""
+    """buckets: key, node, n. Candidate pairs (a, b) between components, from buckets that hold several."""
     spark = buckets.sparkSession
     rows = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = scratch.keep(rows)
-    mixed_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rows = rows.join(mixed_keys, "key", "left_semi").join(points, "node").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).filter("x < y").select("key", "rows")
+    rows = scratch.keep(rows.join(keys, "key").join(points, ["node", "n"]))
+    columns = ["key", "band", "chunk", "home", "node", "component", "n", "point"]
+    zero = F.lit(0)
+    small = rows.filter(F.col("rows") <= CHUNK_ROWS).withColumns({"band": zero, "chunk": zero, "home": F.lit(None).cast("boolean")}).select(*columns)
+    large = rows.filter(F.col("rows") > CHUNK_ROWS).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
     # a set's partners among the smaller ones are in its own band or the next two below (rounding included)
-    guests = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2))).filter("indexed").withColumn("home", F.lit(False))
+    guests = large.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
     counts = guests.groupBy("key", "band").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    homes = rows.withColumn("home", F.lit(True)).join(counts, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    guests = guests.join(counts, ["key", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    columns = ["key", "band", "chunk", "home", "node", "component", "n", "indexed", "point"]
-    both = homes.select(*columns).unionByName(guests.select(*columns))
+    homes = large.join(counts, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("home", F.lit(True)).select(*columns)
+    guests = guests.join(counts, ["key", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(False)).select(*columns)
+    both = small.unionByName(homes).unionByName(guests)
     both = both.repartition(parts(spark), "key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
     return both.mapInArrow(between, "a long, b long").distinct()
 
 
+def shared_prefixes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, node, n: prefix shingles that several nodes have, of nodes with enough of them to link to anything."""
+    spark = nodes.sparkSession
+    # one shuffle serves the count and the join; a shingle is in at most one row of each node, so no key is hot among all
+    spread = nodes.select("node", "n", F.explode("keys").alias("key")).repartition(parts(spark), "key")
+    several = spread.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
+    shared = spread.join(several.hint("shuffle_hash"), "key", "left_semi")
+    least = 1 + F.floor(F.ceil(F.col("n") * 4 / 5) / 14)
+    lists = scratch.keep(shared.groupBy("node", "n").agg(F.collect_list("key").alias("keys")).filter(F.size("keys") >= least))
+    return lists.select("node", "n", F.explode("keys").alias("key"))
+
+
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = scratch.keep(own.mapInArrow(survey(frequent(own, sample_docs)), "doc_id long, n long, print binary, keys array<long>, n_index int, point binary"))
+    known = scratch.keep(own.mapInArrow(survey(frequent(own, sample_docs)), "doc_id long, n long, print binary, keys array<long>, point binary"))
     sets = known.filter("n > 0 and doc_id is not null")
     nodes_of = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("node")))
-    nodes = sets.join(nodes_of.withColumnRenamed("node", "doc_id"), ["print", "doc_id"], "left_semi").withColumnRenamed("doc_id", "node")
-    nodes = scratch.keep(nodes.dropDuplicates(["print"]))
+    copies = sets.select("doc_id", "print").join(nodes_of, "print").filter("doc_id <> node").select("doc_id", "node", "print")
+    copies = scratch.keep(copies)
+    nodes = sets.join(copies.select("doc_id", "print").distinct(), ["doc_id", "print"], "left_anti").withColumnRenamed("doc_id", "node")
+    nodes = nodes.select("node", "n", "point", "keys")
     # ids that stand for several sets tie them
-    twice = sets.select("doc_id", "print").join(nodes_of, "print").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    twice = twice.join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-    spread = nodes.select("node", "n", "n_index", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", (F.col("pos") < F.col("n_index")).alias("indexed"))
-    heads = spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
-    buckets = scratch.keep(spread.join(heads, "key"))
-    shared = buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.count("*").alias("c"))
-    members = shared.groupBy("node", "n").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("head"), "node", "n")
-    groups = scratch.keep(chunked(members))
+    twice = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
+    buckets = scratch.keep(shared_prefixes(nodes, scratch))
+    heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
+    buckets = scratch.keep(buckets.join(heads, "key"))
+    counted = buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.count("*").alias("c"))
+    members = counted.groupBy("node", "n").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("head"), "node", "n")
+    points = scratch.keep(nodes.select("node", "n", "point").join(buckets.select("node").distinct(), "node", "left_semi").distinct())
+    close = members.join(points, ["node", "n"]).join(points.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
+    close = close.select("head", "node", "n", "head_n", "point", "head_point").mapInArrow(near_heads, "head long, node long, n long").groupBy("head", "node").agg(F.max("n").alias("n"))
+    groups = scratch.keep(chunked(scratch.keep(close)))
     found = scratch.keep(verify(groups, own).unionByName(twice))
     labels = scratch.keep(components(found, scratch))
-    pairs = cross_pairs(buckets.drop("head"), labels, nodes.select("node", "point").dropDuplicates(["node"]), scratch)
-    pairs = scratch.keep(pairs.join(nodes.select(F.col("node").alias("b"), "n").groupBy("b").agg(F.max("n").alias("n")), "b"))
+    pairs = cross_pairs(buckets.drop("head"), labels, points, scratch)
+    pairs = scratch.keep(pairs.join(points.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n")), "b"))
     if not pairs.isEmpty():
         more = verify(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")), own)
         labels = scratch.keep(components(found.unionByName(scratch.keep(more)), scratch))

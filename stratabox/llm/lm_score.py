@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .attention import Attention
 from .byte_bpe import load_ranks
 from .common import Scratch, new_token, per_worker, table
@@ -38,13 +39,11 @@ CLASSES, OWN_CLASSES = 64, 40
 SPELL_CLASSES = 256
 DISCOUNT, STRENGTH = 0.75, 1.0
 END = b"\n"  # no word: words hold no white space
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words; bytes.split parts at the same six characters as the contract."""
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+    return common.words_of(text, lower=True)
 
 
 class Subwords:
@@ -100,7 +99,7 @@ class Model:
         # the text model
         slots, targets, lengths = self.sequences([np.array([lead_of[w] for w in d], np.int64) for d in docs])
         self.text = Attention(SLOTS, CLASSES, 32, 8, self._prior(slots, targets, CLASSES))
-        self._fit(self.text, slots, targets, lengths, 700)
+        self._fit(self.text, slots, targets, lengths, 1000)
 
     def _classes(self, docs, lead_of, leads, vocabulary, seed) -> None:
         """The class of each leading subword: frequent ones have their own, others are grouped by the company they keep."""
@@ -137,7 +136,7 @@ class Model:
         self.log_within = np.log(within / np.bincount(self.spell_class, within, SPELL_CLASSES)[self.spell_class]).astype(np.float32)
         slots, targets, lengths, _ = self.spellings(spelled)
         self.spell = Attention(SLOTS, SPELL_CLASSES, 8, 4, self._prior(slots, targets, SPELL_CLASSES), seed=4)
-        self._fit(self.spell, slots, targets, lengths, 500)
+        self._fit(self.spell, slots, targets, lengths, 600)
 
     @staticmethod
     def _prior(slots, targets, classes) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, WordHashes, as_long, mixed, new_token, per_worker, table, windows
+from .common import Scratch, WordHashes, as_long, mixed, new_token, per_worker, table, windows, words_of
 
 SAMPLE_ROWS = 30_000
 FEATURES = 5_000
@@ -247,7 +247,7 @@ class Scorer:
 
 def min_hashes(text: str, hashes: WordHashes, n: int = 3) -> list[int]:
     """The least of n hashes over the text's five-word shingles."""
-    words = hashes.array(WORD.findall(text))
+    words = hashes.array(words_of(text))
     shingles = windows(words, min(5, len(words))) if len(words) else np.zeros(1, np.uint64)
     return [int(as_long(mixed(shingles + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))).min()) for k in range(n)]
 
