@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, WordHashes, as_long, mixed, per_worker, table, windows
+from .common import WORD, Scratch, WordHashes, as_long, mixed, per_worker, table, windows, words_of
 
 WINDOW = 50
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -54,8 +54,8 @@ def survey(window: int):
         for batch in batches:
             n_words, prints, sha, anchors = [], [], [], []
             for text in batch.column(2):
-                words = WORD.findall(text.as_py() or "")
-                joined = " ".join(words).encode("utf-8", "surrogatepass")
+                words = words_of(text.as_py())
+                joined = b" ".join(words)
                 n_words.append(len(words))
                 prints.append(hashlib.blake2b(joined, digest_size=16).digest())
                 sha.append(hashlib.sha256(joined).digest())
@@ -84,7 +84,7 @@ def extend(window: int):
                 part = batch.slice(piece, 500)
                 docs, keys, codes, checks, places = [], [], [], [], []
                 for doc, key, text, known in zip(*(part.column(i) for i in range(4)), strict=True):
-                    own = hashes.array(WORD.findall(text.as_py() or ""))
+                    own = hashes.array(words_of(text.as_py()))
                     least = as_long(least_halves(windows(own, half), window - half + 1))
                     at = np.flatnonzero(np.isin(least, known.values.to_numpy(zero_copy_only=False)))
                     docs.append(np.full(len(at), doc.as_py(), np.int64))
@@ -117,7 +117,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     full = own.join(candidates, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "anchors").mapInArrow(extend(window), "doc_id long, row_key long, code long, check int, at int")
     full = scratch.keep(full)
     scratch.drop(candidates)
-    lowest = full.groupBy("code", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high")
+    # written, so that both sides of the join are plain shuffles, which Spark can split where a window is common
+    lowest = scratch.keep(full.groupBy("code", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high"))
     later = full.join(lowest, ["code", "check"]).filter("doc_id > low").select("doc_id", "row_key", "at")
     covered = scratch.keep(later.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("starts")))
     scratch.drop(full)
@@ -142,10 +143,10 @@ def removal_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         for batch in batches:
             removed, sha = [], []
             for text, starts in zip(batch.column(2), batch.column(3), strict=True):
-                words = WORD.findall(text.as_py())
+                words = words_of(text.as_py())
                 gone = covered_words(starts.values.to_numpy(zero_copy_only=False), len(words), window)
                 removed.append(int(gone.sum()))
-                sha.append(hashlib.sha256(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).encode("utf-8", "surrogatepass")).hexdigest())
+                sha.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "row_key", "removed", "kept"])
 
     parted = own.join(covered, ["doc_id", "row_key"])
