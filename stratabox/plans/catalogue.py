@@ -1,11 +1,560 @@
-"""All queries over archives, by name, and their SQL."""
+"""All queries over archives, by name, and their SQL.
+
+Each query builds archives from the driver's tables (sources.ingest), reads them back through the views and applies one operator;
+its SQL says what must come out, from the tables alone.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stratabox.functions import hashing
+from stratabox.operators import decode, dedup, integrity, layout, signatures, tree
+from stratabox.sources import format as fmt
+from stratabox.sources import ingest
+from stratabox.sources.archive import view
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    import os
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- shared pieces of the SQL
+
+#: The document partitions: path, doc_id, kind, uid (hex), label, text bytes, algorithm, slack.
+DOCS = f"""docs AS (
+  SELECT 'docs-' || CAST(doc_id // {ingest.DOCS_PER_ARCHIVE} AS VARCHAR) AS path, doc_id,
+    CAST(CASE lang WHEN 'en' THEN 16 WHEN 'fr' THEN 17 WHEN 'de' THEN 18 WHEN 'es' THEN 19 ELSE 31 END AS BIGINT) AS kind,
+    md5('doc:' || CAST(doc_id AS VARCHAR)) AS uid, 'doc-' || CAST(doc_id AS VARCHAR) AS label, coalesce(text, '') AS t,
+    CAST(strlen(coalesce(text, '')) AS BIGINT) AS used, doc_id % 9 AS turn, CAST((doc_id % 7) * 16 AS BIGINT) AS slack
+  FROM documents
+)"""
+#: The history of `events`: each user's last event of each day.
+LAST = f"""last AS (
+  SELECT 'log-' || CAST(user_id // {ingest.USERS_PER_LOG} AS VARCHAR) AS path, user_id, day, arg_max(struct_pack(k := event_type, p := coalesce(props, '')), struct_pack(a := ts, b := event_id)) AS r
+  FROM (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day FROM events) GROUP BY ALL
+), recs AS (
+  SELECT path, user_id, CAST(day + 2 AS BIGINT) AS seq, r.k AS k, r.k = 'error' AS gone,
+    CAST(user_id AS VARCHAR) || '|' || CAST(day AS VARCHAR) || '|' || r.k || '|' || repeat('profile of user ' || CAST(user_id AS VARCHAR) || '; ', 12) || '|' || r.p AS t
+  FROM last
+), spans AS (
+  SELECT path, max(seq) AS top FROM recs GROUP BY path
+)"""
+#: Fixed-size chunks of the documents. DuckDB cuts blobs by hex digits.
+CHUNKS = f"""pieces AS (
+  SELECT path, doc_id, i AS seq, substr(h, 2 * {ingest.CHUNK} * i + 1, 2 * {ingest.CHUNK}) AS piece
+  FROM (SELECT path, doc_id, hex(encode(t)) AS h, unnest(range(0, CAST(ceil(used / {ingest.CHUNK}.0) AS BIGINT))) AS i FROM docs WHERE used > 0)
+)"""
+
+
+def hexed(column: str) -> Column:
+    return F.lower(F.hex(column))
+
+
+# --- containers of partitions
+
+
+@query(f"WITH {DOCS} SELECT path, CAST(1 AS BIGINT) AS blocks, count(*) AS entries, CAST(0 AS BIGINT) AS bad_blocks, CAST(0 AS BIGINT) AS bad_entries, CAST(NULL AS VARCHAR) AS first_error FROM docs GROUP BY path")
+def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.verify(ingest.documents(spark, sf_dir))
+
+
+@query(f"WITH {DOCS} SELECT path, doc_id % {ingest.DOCS_PER_ARCHIVE} AS ord, kind AS partition_type, uid, label, used AS used_bytes FROM docs")
+def scan_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(ingest.documents(spark, sf_dir), "partitions").select("path", F.col("ord").cast("long").alias("ord"), "partition_type", hexed("uid").alias("uid"), "label", "used_bytes")
+
+
+@query(f"WITH {DOCS} SELECT path, CAST(20 + 74 + 141 * count(*) + sum(used + slack) AS BIGINT) AS file_len, 1 AS version_major, 0 AS version_minor, 'header' AS head_source, CAST(20 AS BIGINT) AS table_head FROM docs GROUP BY path")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(ingest.documents(spark, sf_dir), "files").select("path", "file_len", "version_major", "version_minor", "head_source", "table_head")
+
+
+@query(f"WITH {DOCS} SELECT path, CAST(0 AS BIGINT) AS block_index, CAST(20 AS BIGINT) AS block_offset, count(*) AS partition_count, true AS table_ok FROM docs GROUP BY path")
+def table_hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = integrity.block_verdicts(view(ingest.documents(spark, sf_dir), "blocks"))
+    return found.select("path", F.col("block_index").cast("long").alias("block_index"), "block_offset", F.col("partition_count").cast("long").alias("partition_count"), "table_ok")
+
+
+@query(f"WITH {DOCS} SELECT kind AS partition_type, count(*) AS n, CAST(sum(used) AS BIGINT) AS used_bytes FROM docs GROUP BY kind")
+def partitions_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(ingest.documents(spark, sf_dir), "partitions").groupBy("partition_type").agg(F.count("*").alias("n"), F.sum("used_bytes").alias("used_bytes"))
+
+
+@query(f"WITH {DOCS} SELECT path, label, used AS used_bytes FROM docs WHERE uid = md5('doc:7')")
+def uid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = hashing.digest_many(4, [b"doc:7"])[0]
+    return integrity.lookup(view(ingest.documents(spark, sf_dir), "partitions"), wanted).select("path", "label", "used_bytes")
+
+
+@query(f"WITH {DOCS} SELECT path, label, used AS used_bytes FROM docs WHERE kind = 16 AND label LIKE '%oc-1%' AND substr(uid, 1, 1) = 'a'")
+def partition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.filter_parts(view(ingest.documents(spark, sf_dir), "partitions"), 16, "a", "oc-1").select("path", "label", "used_bytes")
+
+
+@query(f"WITH {DOCS} SELECT label, used AS used_bytes FROM docs ORDER BY used DESC, label LIMIT 20")
+def used_bytes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(ingest.documents(spark, sf_dir), "partitions").orderBy(F.desc("used_bytes"), "label").limit(20).select("label", "used_bytes")
+
+
+@query(f"WITH {DOCS} SELECT path, CAST(sum(slack) AS BIGINT) AS free_bytes, count(CASE WHEN slack > 0 THEN 1 END) AS with_slack FROM docs GROUP BY path")
+def free_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(ingest.documents(spark, sf_dir), "partitions").groupBy("path").agg(F.sum("free_bytes").alias("free_bytes"), F.count_if(F.col("free_bytes") > 0).alias("with_slack"))
+
+
+@query(f"WITH {DOCS} SELECT label, md5(t) AS md5, sha1(t) AS sha1, sha256(t) AS sha256 FROM docs")
+def data_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("data")
+    return view(ingest.documents(spark, sf_dir), "data").select("label", F.md5(d).alias("md5"), F.sha1(d).alias("sha1"), F.sha2(d, 256).alias("sha256"))
+
+
+@query(f"WITH {DOCS} SELECT turn, count(*) AS n, count(*) AS ok FROM docs GROUP BY turn")
+def digests_by_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = integrity.entry_verdicts(view(ingest.documents(spark, sf_dir), "data"))
+    turn = F.array_position(F.array(*(F.lit(i).cast("short") for i, _, _, _ in hashing.ALGORITHMS)), F.col("data_hash_algo")) - 1
+    return found.groupBy(turn.alias("turn")).agg(F.count("*").alias("n"), F.count_if("data_ok").alias("ok"))
+
+
+@query(f"WITH {DOCS} SELECT label, CASE turn WHEN 4 THEN md5(t) WHEN 5 THEN sha1(t) ELSE sha256(t) END AS digest FROM docs WHERE turn IN (4, 5, 6)")
+def stored_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = view(ingest.documents(spark, sf_dir), "partitions").filter(F.col("data_hash_algo").isin(4, 5, 16))
+    return kept.select("label", F.lower(F.hex(F.substring("data_hash", F.lit(1), hashing.digest_length(F.col("data_hash_algo"))))).alias("digest"))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS uid, CAST(0 AS BIGINT) AS n WHERE false")
+def duplicate_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.duplicate_uids(ingest.containers(spark, sf_dir)).select("path", hexed("uid").alias("uid"), "n")
+
+
+@query(f"WITH {DOCS} SELECT label, CASE WHEN used < 1024 THEN CAST(used AS VARCHAR) || ' B' WHEN used % 1024 = 0 THEN CAST(used // 1024 AS VARCHAR) || ' KiB' ELSE printf('%.1f KiB', used / 1024.0) END AS size FROM docs WHERE used < 1048576")
+def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(ingest.documents(spark, sf_dir), "partitions").filter("used_bytes < 1048576").select("label", integrity.human_size(F.col("used_bytes")).alias("size"))
+
+
+# --- layout
+
+
+@query(
+    f"""WITH {DOCS} SELECT path, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(len) AS BIGINT) AS len FROM (
+      SELECT path, 'header' AS kind, 1 AS n, 20 AS len FROM docs GROUP BY path UNION ALL SELECT path, 'tableheader', 1, 74 FROM docs GROUP BY path
+      UNION ALL SELECT path, 'entries', 1, 141 * count(*) FROM docs GROUP BY path UNION ALL SELECT path, 'data', 1, used FROM docs WHERE used > 0
+      UNION ALL SELECT path, 'slack', 1, slack FROM docs WHERE slack > 0) GROUP BY path, kind"""
+)
+def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout(ingest.documents(spark, sf_dir)).groupBy("path", "kind").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
+
+
+_PLACED = """placed AS (
+  SELECT path, doc_id, kind, label, used, slack, 94 + 141 * count(*) OVER (PARTITION BY path)
+    + coalesce(sum(used + slack) OVER (PARTITION BY path ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM docs
+)"""
+
+
+@query(f"WITH {DOCS}, {_PLACED} SELECT path, CAST(start AS BIGINT) AS start, used + slack AS len FROM placed WHERE doc_id % 5 = 0 AND (doc_id % 64 = 0 OR (doc_id - 1) % 5 <> 0) AND used + slack > 0")
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = ingest.documents(spark, sf_dir)
+    number = F.regexp_extract("label", r"doc-(\d+)", 1).try_cast("long")
+    found = layout.regions(a).filter(F.col("label").isNull() | (F.pmod(number, F.lit(5)) != 0))
+    return layout.gaps(found, view(a, "files"))
+
+
+@query(f"WITH {DOCS}, {_PLACED} SELECT path, CAST(start AS BIGINT) AS start, CAST(least(8, used) AS BIGINT) AS len FROM placed WHERE used > 0 AND doc_id % 64 <> 0")
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region is stretched by eight bytes, so that the next one's data begins inside it."""
+    found = layout.regions(ingest.documents(spark, sf_dir)).filter(F.col("kind").isin("data", "slack"))
+    data = F.when(F.col("kind") == "data", F.col("len")).otherwise(0)
+    spans = found.groupBy("path", "label").agg(F.min("start").alias("start"), (F.max("end") + 8).alias("end"), F.sum(data).alias("len"))
+    return layout.overlaps(spans)
+
+
+@query(f"WITH {DOCS} SELECT path, label, CAST(0 AS BIGINT) AS block, CAST(94 + 141 * count(*) OVER (PARTITION BY path) + coalesce(sum(used) OVER (PARTITION BY path ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM docs")
+def compaction_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = view(ingest.documents(spark, sf_dir), "partitions")
+    return layout.compaction_offsets(parts).join(parts.select("path", "uid", "label"), ["path", "uid"]).select("path", "label", F.col("block").cast("long").alias("block"), "start")
+
+
+@query(f"WITH {DOCS} SELECT path, count(*) AS entries, CAST(94 + 141 * count(*) + sum(used) AS BIGINT) AS file_len FROM docs GROUP BY path")
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratabox.operators.rewrite import compacted
+
+    done = compacted(ingest.documents(spark, sf_dir))
+    return view(done, "partitions").groupBy("path").agg(F.count("*").alias("entries")).join(view(done, "files").select("path", "file_len"), "path")
+
+
+@query(f"WITH {DOCS} SELECT path, label, sha256(CASE WHEN doc_id % 10 = 3 THEN 'new ' || label ELSE t END) AS sha256 FROM docs WHERE doc_id % 10 <> 4 AND (doc_id % 10 <> 3 OR used + slack >= 4 + length(label))")
+def update_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in ten partitions gets new bytes where its space holds them, one in ten goes, as does one whose space does not."""
+    from stratabox.operators.rewrite import edited
+
+    d, rows = F.col("ord"), ingest.document_rows(spark, sf_dir)
+    new = F.encode(F.concat(F.lit("new "), F.col("label")), "UTF-8")
+    fits = F.octet_length("data") + F.col("reserve") >= F.octet_length(new)
+    edits = rows.filter(F.pmod(d, F.lit(10)).isin(3, 4)).select("path", "uid", F.when((F.pmod(d, F.lit(10)) == 3) & fits, new).alias("data"))
+    return view(edited(ingest.documents(spark, sf_dir), edits), "data").select("path", "label", F.sha2("data", 256).alias("sha256"))
+
+
+@query(f"WITH {DOCS} SELECT path, 'header' AS kind, CAST(0 AS BIGINT) AS start, '         0          20  header       ' AS line FROM docs GROUP BY path")
+def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.regions(ingest.documents(spark, sf_dir)).filter("kind = 'header'")
+    return layout.layout_text(found).select("path", F.lit("header").alias("kind"), "start", "line")
+
+
+@query()
+def layout_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = ingest.documents(spark, sf_dir)
+    return layout.strips(layout.regions(a), view(a, "files"))
+
+
+@query(f"WITH {DOCS} SELECT label, CAST(ceil(least(used, 4096) / 16.0) AS BIGINT) AS lines FROM docs WHERE used > 0")
+def hexdump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = view(ingest.documents(spark, sf_dir), "data")
+    dumped = layout.hexdump(data).groupBy("path", "uid").agg(F.count("*").alias("lines"))
+    return dumped.join(data.select("path", "uid", "label"), ["path", "uid"]).select("label", "lines")
+
+
+@query()
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives cut short by a byte: what a defensive reader says."""
+    a = ingest.documents(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, octet_length(content) - 1)"))
+    return layout.layout_diagnostics(a).groupBy("severity", "kind").agg(F.count("*").alias("n"))
+
+
+# --- decoders
+
+
+@query(f"WITH {DOCS} SELECT label, used AS size, CAST(CASE WHEN used = 0 THEN 0 ELSE (length(regexp_replace(t, '[^\\x20-\\x7e\\t\\n\\r]', '', 'g')) * 100) // used END AS BIGINT) AS printable FROM docs")
+def decode_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.raw(view(ingest.documents(spark, sf_dir), "data")).select("label", "size", "printable")
+
+
+@query()
+def decode_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.field_nodes(view(ingest.histories(spark, sf_dir), "data")).select("path", hexed("uid").alias("uid"), "decoder", F.array_join("node_path", "/").alias("field"), "depth", "value_kind", "text")
+
+
+@query(f"WITH {DOCS}, n AS (SELECT path, count(*) AS n FROM docs GROUP BY path) SELECT 'container' AS decoder, count(*) AS n FROM n UNION ALL SELECT 'raw', CAST(sum(n) AS BIGINT) FROM n")
+def decode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode.field_nodes(view(ingest.containers(spark, sf_dir), "data")).filter(F.element_at("node_path", -1) == "decoder")
+    return found.groupBy(F.col("text").alias("decoder")).agg(F.count("*").alias("n"))
+
+
+# --- versioned trees
+
+_CURRENT = "cur AS (SELECT path, user_id, max(seq) AS seq, arg_max(k, seq) AS k, arg_max(gone, seq) AS gone, arg_max(t, seq) AS t FROM recs {where} GROUP BY path, user_id)"
+
+
+def _newest_users(current: DataFrame) -> DataFrame:
+    return current.filter(F.col("name").startswith("u")).select("path", "name", "session_seq", "tombstone")
+
+
+@query(f"WITH {LAST}, {_CURRENT.format(where='')} SELECT path, 'u' || CAST(user_id AS VARCHAR) AS name, seq AS session_seq, gone AS tombstone FROM cur")
+def newest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _newest_users(tree.newest(view(ingest.histories(spark, sf_dir), "nodes")))
+
+
+@query(f"WITH {LAST}, {_CURRENT.format(where='WHERE seq <= 12')} SELECT path, 'u' || CAST(user_id AS VARCHAR) AS name, seq AS session_seq, gone AS tombstone FROM cur")
+def as_of_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _newest_users(tree.newest(view(ingest.histories(spark, sf_dir), "nodes"), 12))
+
+
+@query(f"WITH {LAST} SELECT path, least(CAST(11 AS BIGINT), top) AS session_seq FROM spans")
+def as_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.session_at(view(ingest.histories(spark, sf_dir), "sessions"), 10 * ingest.DAY_MS + 5)
+
+
+@query(
+    f"""WITH {LAST}, points AS (SELECT CAST(p AS BIGINT) AS point FROM (VALUES (5), (15), (25)) v(p))
+    SELECT path, point, 'u' || CAST(user_id AS VARCHAR) AS name, max(seq) AS session_seq FROM recs JOIN points ON seq <= point GROUP BY path, point, user_id"""
+)
+def as_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = ingest.histories(spark, sf_dir)
+    points = view(h, "files").select("path", F.explode(F.array(*(F.lit(x).cast("long") for x in (5, 15, 25)))).alias("point"))
+    return tree.newest_at(view(h, "nodes"), points).filter(F.col("name").startswith("u")).select("path", "point", "name", "session_seq")
+
+
+@query(
+    f"""WITH {LAST}, seqs AS (SELECT path, CAST(unnest(range(1, top + 1)) AS BIGINT) AS s FROM spans), dirs AS (SELECT count(DISTINCT event_type) AS n FROM events)
+    SELECT path, s AS session_seq, CAST(CASE WHEN s = 1 THEN 1 + dirs.n ELSE count(user_id) + (CASE WHEN s = 22 THEN 1 ELSE 0 END) END AS BIGINT) AS change_count, CAST((s - 1) * 86400000 AS BIGINT) AS ts_ms, 'ingest' AS writer
+    FROM seqs LEFT JOIN recs ON recs.path = seqs.path AND seq = s, dirs GROUP BY seqs.path, s, dirs.n""".replace("SELECT path, s AS", "SELECT seqs.path AS path, s AS")
+)
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tree.session_log(view(ingest.histories(spark, sf_dir), "sessions"))
+    return log.select("path", "session_seq", F.col("change_count").cast("long").alias("change_count"), "ts_ms", "writer")
+
+
+@query(f"WITH {LAST} SELECT path, CAST(unnest(range(1, top + 1)) AS BIGINT) AS session_seq, true AS linked, true AS members_ok FROM spans")
+def hash_chain_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.chain_verdicts(view(ingest.histories(spark, sf_dir), "sessions"))
+
+
+_LIVE = f"""WITH RECURSIVE {LAST}, {_CURRENT.format(where='')}, entries AS (
+  SELECT path, '' AS parent, event_type AS name, true AS dir FROM spans, (SELECT DISTINCT event_type FROM events) WHERE NOT (event_type = 'view' AND top >= 22)
+  UNION ALL SELECT path, k, 'u' || CAST(user_id AS VARCHAR), false FROM cur WHERE NOT gone
+), walk AS (
+  SELECT path, '' AS tree_path, '' AS name, 0 AS depth FROM spans
+  UNION ALL SELECT w.path, CASE WHEN w.depth = 0 THEN e.name ELSE w.tree_path || '/' || e.name END, e.name, w.depth + 1 FROM walk w JOIN entries e ON e.path = w.path AND e.parent = w.name AND e.dir = (w.depth = 0)
+)"""
+
+
+@query(f"{_LIVE} SELECT path, tree_path, depth FROM walk")
+def live_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.live(tree.newest(view(ingest.histories(spark, sf_dir), "nodes"))).select("path", "tree_path", "depth")
+
+
+@query(f"{_LIVE} SELECT path, tree_path FROM walk WHERE tree_path = 'click'")
+def resolve_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = tree.live(tree.newest(view(ingest.histories(spark, sf_dir), "nodes")))
+    return tree.resolve(live, "/./click//").select("path", "tree_path")
+
+
+@query(f"WITH {LAST}, {_CURRENT.format(where='')} SELECT path, count(*) AS tombstones FROM cur WHERE gone GROUP BY path")
+def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = tree.newest(view(ingest.histories(spark, sf_dir), "nodes"))
+    return current.filter(F.col("tombstone") & (F.col("kind") == 1)).groupBy("path").agg(F.count("*").alias("tombstones"))
+
+
+@query(f"WITH {LAST}, w AS (SELECT path, arg_min(user_id, struct_pack(a := -seq, b := md5('user:' || CAST(user_id AS VARCHAR)))) AS u, substr(CAST(user_id AS VARCHAR), -1) AS digit FROM recs WHERE NOT gone GROUP BY path, digit) SELECT path, digit, 'u' || CAST(u AS VARCHAR) AS winner FROM w")
+def sibling_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of users whose names end in one digit stand for siblings of one name: the later session wins, then the smaller id."""
+    nodes = view(ingest.histories(spark, sf_dir), "nodes").filter("kind = 1 and not tombstone")
+    named = nodes.withColumn("digit", F.expr("substring(name, -1)"))
+    best = F.row_number().over(Window.partitionBy("path", "digit").orderBy(F.desc("session_seq"), "node_id"))
+    return named.withColumn("r", best).filter("r = 1").select("path", "digit", F.col("name").alias("winner"))
+
+
+@query(f"WITH {LAST}, v AS (SELECT path, user_id, arg_max(t, seq) AS t FROM recs WHERE NOT gone GROUP BY path, user_id) SELECT path, 'u' || CAST(user_id AS VARCHAR) AS name, sha256(t) AS sha256, CAST(NULL AS VARCHAR) AS error FROM v")
+def replay_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = ingest.histories(spark, sf_dir)
+    nodes = view(h, "nodes")
+    names = nodes.filter("content is not null").select("path", "node_id", "name").distinct()
+    return tree.contents(nodes, view(h, "data")).join(names, ["path", "node_id"]).select("path", "name", F.sha2("content", 256).alias("sha256"), "error")
+
+
+@query(f"WITH {LAST}, v AS (SELECT path, user_id, arg_max(t, seq) AS t FROM recs WHERE NOT gone AND seq <= 12 GROUP BY path, user_id) SELECT path, 'u' || CAST(user_id AS VARCHAR) AS name, sha256(t) AS sha256 FROM v")
+def replay_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = ingest.histories(spark, sf_dir)
+    nodes = view(h, "nodes")
+    names = nodes.filter("content is not null").select("path", "node_id", "name").distinct()
+    return tree.contents(nodes, view(h, "data"), 12).join(names, ["path", "node_id"]).select("path", "name", F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"WITH {LAST}, n AS (SELECT path, user_id, count(*) AS v FROM recs WHERE NOT gone GROUP BY path, user_id) SELECT path, 'u' || CAST(user_id AS VARCHAR) AS name, (v - 1) % 17 AS depth FROM n")
+def delta_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = view(ingest.histories(spark, sf_dir), "nodes")
+    names = nodes.filter("content is not null").select("path", "node_id", "name").distinct()
+    return tree.delta_depth(nodes).join(names, ["path", "node_id"]).select("path", "name", "depth")
+
+
+@query()
+def parent_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.parent_cycles(tree.newest(view(ingest.histories(spark, sf_dir), "nodes"))).select("path", hexed("node_id").alias("node_id"))
+
+
+_MIRROR = f"""{_LIVE}, files AS (
+  SELECT w.path, w.tree_path, c.t FROM walk w JOIN cur c ON c.path = w.path AND w.name = 'u' || CAST(c.user_id AS VARCHAR) WHERE w.depth = 2
+), source AS (
+  SELECT path, tree_path, CASE WHEN length(t) % 2 = 0 THEN t ELSE t || '!' END AS t FROM files WHERE length(t) % 3 <> 0
+  UNION ALL SELECT path, 'click/fresh', 'fresh' FROM spans
+), changes AS (
+  SELECT coalesce(s.path, f.path) AS path, coalesce(s.tree_path, f.tree_path) AS tree_path,
+    CASE WHEN s.path IS NOT NULL AND (f.path IS NULL OR s.t <> f.t) THEN 'put' WHEN s.path IS NULL THEN 'rm' END AS op
+  FROM source s FULL JOIN files f ON s.path = f.path AND s.tree_path = f.tree_path
+)"""
+
+
+def _mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = ingest.histories(spark, sf_dir)
+    nodes = view(h, "nodes")
+    live, content = tree.live(tree.newest(nodes)), tree.contents(nodes, view(h, "data"))
+    files = live.filter("kind = 1").drop("content").join(content, ["path", "node_id"]).select("path", "tree_path", F.decode("content", "UTF-8").alias("t"))
+    source = files.filter(F.length("t") % 3 != 0).select("path", "tree_path", F.encode(F.when(F.length("t") % 2 == 0, F.col("t")).otherwise(F.concat("t", F.lit("!"))), "UTF-8").alias("data"))
+    source = source.unionByName(view(h, "files").select("path", F.lit("click/fresh").alias("tree_path"), F.encode(F.lit("fresh"), "UTF-8").alias("data")))
+    return tree.plan_changes(source, live, content, delete=True)
+
+
+@query(f"{_MIRROR} SELECT path, tree_path FROM changes WHERE op = 'put'")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mirror(spark, sf_dir).filter("op = 'put'").select("path", "tree_path")
+
+
+@query(f"{_MIRROR} SELECT path, tree_path FROM changes WHERE op = 'rm'")
+def mirror_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mirror(spark, sf_dir).filter("op = 'rm'").select("path", "tree_path")
+
+
+@query(f"{_MIRROR} SELECT path, op, tree_path, CAST(row_number() OVER (PARTITION BY path ORDER BY op, tree_path) AS BIGINT) AS in_order FROM changes WHERE op IS NOT NULL")
+def change_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mirror(spark, sf_dir).select("path", "op", "tree_path", F.col("in_order").cast("long").alias("in_order"))
+
+
+@query(f"{_LIVE} SELECT path, count(*) - 1 AS nodes FROM walk GROUP BY path")
+def compact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live tree in one session: what is left after history and dead nodes are dropped."""
+    from stratabox.operators.rewrite import compacted_trees
+
+    nodes = view(compacted_trees(ingest.histories(spark, sf_dir)), "nodes")
+    every = view(ingest.histories(spark, sf_dir), "files").select("path")
+    return every.join(nodes.groupBy("path").agg(F.count("*").alias("nodes")), "path", "left").select("path", F.coalesce("nodes", F.lit(0)).alias("nodes"))
+
+
+@query("SELECT DISTINCT CAST((i + 1) // 255 AS BIGINT) AS block, CAST(count(*) OVER (PARTITION BY (i + 1) // 255) AS BIGINT) AS n FROM range(1000) r(i)")
+def block_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1000).groupBy(tree.session_block(F.col("id")).cast("long").alias("block")).agg(F.count("*").alias("n"))
+
+
+# --- dynamic containers
+
+
+@query(f"WITH {DOCS}, {CHUNKS} SELECT path, doc_id, CAST(seq AS BIGINT) AS seq, CAST(length(piece) // 2 AS BIGINT) AS length, md5(piece) AS digest FROM pieces")
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ingest.document_rows(spark, sf_dir).withColumnRenamed("ord", "doc_id")
+    chunks = dedup.chunked(rows, ingest.CHUNK, "path", "doc_id")
+    return chunks.select("path", "doc_id", F.col("seq").cast("long").alias("seq"), F.octet_length("chunk").cast("long").alias("length"), F.md5(F.hex("chunk")).alias("digest"))
+
+
+_REFS = "refs AS (SELECT path, piece, count(*) AS refs, length(piece) // 2 AS length FROM pieces GROUP BY path, piece)"
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {_REFS} SELECT path, CAST(sum(refs) AS BIGINT) AS chunks, count(*) AS distinct_chunks, CAST(sum(refs * length) AS BIGINT) AS bytes, CAST(sum(length) AS BIGINT) AS distinct_bytes, CAST(sum((refs - 1) * length) AS BIGINT) AS saved FROM refs GROUP BY path")
+def dedup_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.savings(dedup.chunked(ingest.document_rows(spark, sf_dir), ingest.CHUNK, "path"), "path")
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {_REFS} SELECT replace(path, 'docs', 'dyn') AS path, refs, count(*) AS extents, bool_and(true) AS flag_ok FROM refs GROUP BY path, refs")
+def extent_refcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = dedup.extent_refs(view(ingest.containers(spark, sf_dir), "extents"))
+    return refs.groupBy("path", "refs").agg(F.count("*").alias("extents"), F.bool_and("flag_ok").alias("flag_ok"))
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {_REFS} SELECT replace(path, 'docs', 'dyn') AS path, count(CASE WHEN refs > 1 THEN 1 END) AS shared, CAST(sum(CASE WHEN refs > 1 THEN refs ELSE 0 END) AS BIGINT) AS flagged FROM refs GROUP BY path")
+def shared_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extents = view(ingest.containers(spark, sf_dir), "extents")
+    return extents.groupBy("path").agg(F.count_distinct(F.when(F.col("shared"), F.col("extent_offset"))).alias("shared"), F.count_if("shared").alias("flagged"))
+
+
+@query(f"WITH {DOCS} SELECT label, used AS used_bytes, sha256(t) AS sha256, 'ok' AS verdict FROM docs")
+def reconstruct_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.inner_verdicts(view(ingest.containers(spark, sf_dir), "inners")).select("label", "used_bytes", F.sha2("content", 256).alias("sha256"), "verdict")
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {_REFS} SELECT replace(path, 'docs', 'dyn') AS path, CAST(24 + sum(length) AS BIGINT) AS pool_end, count(*) AS extents FROM refs GROUP BY path")
+def defrag_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = dedup.defrag_offsets(view(ingest.containers(spark, sf_dir), "extents"))
+    return placed.groupBy("path").agg(F.max(F.col("new_offset") + F.col("extent_length")).alias("pool_end"), F.count("*").alias("extents"))
+
+
+@query(f"WITH {DOCS} SELECT label, used - greatest(0, least(used, 150) - 40) AS length FROM docs WHERE used > 0")
+def extent_edit_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete bytes 40 to 150 of each content by clipping extents."""
+    c = ingest.containers(spark, sf_dir)
+    clipped = dedup.clip(view(c, "extents"), 40, 110, "path", "inner_uid")
+    lengths = clipped.groupBy("path", "inner_uid").agg(F.sum("extent_length").alias("length"))
+    return lengths.join(view(c, "inners").select("path", "inner_uid", "label"), ["path", "inner_uid"]).select("label", "length")
+
+
+@query(f"WITH {DOCS} SELECT replace(path, 'docs', 'dyn') AS path, 'inner' AS place, count(*) AS n FROM docs GROUP BY path UNION ALL SELECT DISTINCT replace(path, 'docs', 'dyn'), 'top', CAST(1 AS BIGINT) FROM docs")
+def resolve_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ingest.containers(spark, sf_dir)
+    return dedup.resolve(view(c, "partitions"), view(c, "inners")).groupBy("path", "place").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {DOCS} SELECT label, kind AS type, used AS used_bytes, sha256(t) AS sha256 FROM docs WHERE doc_id % {ingest.DOCS_PER_ARCHIVE} = 0")
+def promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each container's first inner partition becomes a top-level one, with its identity and hash."""
+    from stratabox.operators.rewrite import promoted
+
+    c = ingest.containers(spark, sf_dir)
+    first = view(c, "inners").filter("inner_ord = 0").select("path", F.col("inner_uid").alias("uid"))
+    top = view(promoted(c, first), "data").filter(F.col("partition_type") != fmt.CONTAINER_TYPE)
+    return top.select("label", F.col("partition_type").alias("type"), "used_bytes", F.lower(F.hex(F.substring("data_hash", 1, 32))).alias("sha256"))
+
+
+# --- signatures
+
+_NAMED = "named AS (SELECT DISTINCT doc_id FROM labels)"
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    a = ingest.signed(spark, sf_dir)
+    entries = view(a, "signed_entries")
+    return a, signatures.manifest_verdicts(view(a, "signatures"), view(a, "keys"), entries), entries
+
+
+@query(f"WITH {DOCS}, {_NAMED} SELECT DISTINCT replace(path, 'docs', 'signed') AS path, 'Valid' AS verdict, CAST(NULL AS VARCHAR) AS reason FROM docs JOIN named USING (doc_id)")
+def signature_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signed(spark, sf_dir)[1].select("path", "verdict", "reason")
+
+
+@query(f"WITH {DOCS}, {_NAMED} SELECT replace(path, 'docs', 'signed') AS path, uid, CASE WHEN doc_id % 3 = 0 THEN 'Missing' ELSE 'Valid' END AS verdict FROM docs JOIN named USING (doc_id)")
+def entry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage once a third of the partitions is gone."""
+    a, manifests, entries = _signed(spark, sf_dir)
+    number = F.regexp_extract("label", r"doc-(\d+)", 1).try_cast("long")
+    left = view(a, "partitions").filter(~F.coalesce(F.pmod(number, F.lit(3)) == 0, F.lit(False)))
+    return signatures.entry_verdicts(entries, manifests, left).select("path", hexed("uid").alias("uid"), "verdict")
+
+
+@query(f"WITH {DOCS}, {_NAMED} SELECT replace(path, 'docs', 'signed') AS path, label FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM named WHERE doc_id IS NOT NULL)")
+def incremental_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the signer would still sign."""
+    a, manifests, entries = _signed(spark, sf_dir)
+    parts = view(a, "partitions")
+    verdicts = signatures.entry_verdicts(entries, manifests, parts)
+    return signatures.to_sign(parts, entries, manifests, verdicts, _fingerprint()).select("path", "label")
+
+
+@query(f"WITH {DOCS}, {_NAMED} SELECT DISTINCT replace(path, 'docs', 'signed') AS path, true AS ok, true AS trusted FROM docs JOIN named USING (doc_id)")
+def all_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, manifests, entries = _signed(spark, sf_dir)
+    verdicts = signatures.entry_verdicts(entries, manifests, view(a, "partitions"), view(a, "data"))
+    return signatures.all_valid(manifests, verdicts).join(signatures.trusted(manifests, _fingerprint()), "path")
+
+
+@query(f"WITH {DOCS}, {_NAMED} SELECT DISTINCT replace(path, 'docs', 'signed') AS path, 1 AS key_format, '{'{fingerprint}'}' AS fingerprint FROM docs JOIN named USING (doc_id)")
+def list_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = view(ingest.signed(spark, sf_dir), "keys").filter("error is null")
+    return keys.select("path", F.col("key_format").cast("int").alias("key_format"), hexed("fingerprint").alias("fingerprint"))
+
+
+def _fingerprint() -> bytes:
+    from stratabox.functions import codecs
 
-def queries() -> dict:
-    return {}
+    return hashing.digest_many(16, [codecs.public_key(ingest.SEED)])[0]
 
 
-def oracle_sql() -> dict:
-    return {}
+_SQL["list_keys"] = _SQL["list_keys"].replace("{fingerprint}", _fingerprint().hex())
