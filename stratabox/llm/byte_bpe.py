@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,34 +84,57 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+#: Before a space that a visible character follows, every match of the pattern ends, and the next begins with that space: what
+#: lies between two such places is split and encoded by itself.
+UNIT = re.compile(r"(?= \S)")
+
+
 class Codec:
-    """Encodes and decodes texts. Ids of pieces met before are kept, up to `limit` pieces."""
+    """Encodes and decodes texts. Ids of units and pieces met before are kept, in two generations of about
+    `limit` of each."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 500_000):
         self.ranks = load_ranks(path)
         self.pieces = regex.compile(pattern)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # units
+        self.parts: dict[str, bytes] = {}  # pieces
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # both, of the generation before
         self.limit = limit
 
+    def encode_unit(self, unit: str) -> bytes:
+        out, parts, before = [], self.parts, self.before[1]
+        for piece in self.pieces.findall(unit):
+            ids = parts.get(piece)
+            if ids is None:
+                ids = before.get(piece)
+                if ids is None:
+                    ids = np.array(encode_piece(piece.encode(), self.ranks), "<u4").tobytes()
+                if len(piece) <= 64:
+                    parts[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        found, known = self.pieces.findall(text), self.known
+        if len(self.known) >= self.limit or len(self.parts) >= self.limit:
+            self.before, self.known, self.parts = (self.known, self.parts), {}, {}
+        units, known = UNIT.split(text), self.known
         try:
-            return b"".join(map(known.__getitem__, found))
+            return b"".join(map(known.__getitem__, units))
         except KeyError:
             pass
-        out = []
-        for piece in found:
-            ids = known.get(piece)
+        out, before = [], self.before[0]
+        for unit in units:
+            ids = known.get(unit)
             if ids is None:
-                ids = np.array(encode_piece(piece.encode(), self.ranks), "<u4").tobytes()
-                if len(known) >= self.limit:
-                    known.clear()
-                if len(piece) <= 64:
-                    known[piece] = ids
+                ids = before.get(unit)
+                if ids is None:
+                    ids = self.encode_unit(unit)
+                if len(unit) <= 64:
+                    known[unit] = ids
             out.append(ids)
         return b"".join(out)
 
