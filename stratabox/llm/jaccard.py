@@ -9,10 +9,11 @@ shingles, linked sets of n and m have at least l shingles in common among the fi
 of each. Nodes with fewer shared prefix shingles than that link to nothing and go. The order puts shingles that a sample of
 documents has often at the end; any order is right, this one keeps shared passages out of the prefixes.
 
-1. Each node is put with the smallest node of the prefix shingle bucket that it shares most with; those that pass the bound with it
-   are cut into chunks, each gets a tree, and links found there are joined into components.
-2. Buckets that still hold more than one component are searched again by trees, for pairs between components only. Large buckets
-   are cut into bands of set size and chunks, so no bucket, however large, meets in one task.
+1. Nodes that share buckets, by whatever chain, are a family. A family of bounded size is one tree in one task.
+2. In larger families each node is put with the smallest node of the bucket that it shares most with; such groups are cut into
+   chunks, each gets a tree, and links found there are joined into components. Buckets that still hold more than one component are
+   searched again by trees, for pairs that leave the bucket's largest component. Large buckets are cut into bands of set size and
+   chunks, so no bucket, however large, meets in one task.
 
 Since a component is what is asked for, links inside a component need not be listed; every pair between components is bounded or
 verified, so none is lost.
@@ -41,6 +42,8 @@ SAMPLE_DOCS = 4_000  # whose frequent shingles go to the end of the order
 FREQUENT = 4  # sampled documents that have a frequent shingle
 CHUNK_DOCS, CHUNK_SHINGLES = 200, 1_000_000
 CHUNK_ROWS = 4_000
+FAMILY_DOCS, FAMILY_SHINGLES = 20_000, 4_000_000
+FINE = 512  # groups of the second bound, next to the sets themselves
 LEAF = 16
 
 
@@ -182,12 +185,15 @@ def unite(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
         return x
 
     points = np.stack([point(s) for s in sets])
+    fine = np.stack([np.bincount((s >> np.uint64(32)).astype(np.int64) % FINE, minlength=FINE) for s in sets]).astype(np.int32)
     sizes = np.array([len(s) for s in sets])
     tree, out = CountTree(points, sizes), []
     for i in range(len(ids)):
-        for j in np.sort(tree.search(points[i], int(sizes[i]))).tolist():
-            if j >= i:
-                break
+        near = np.sort(tree.search(points[i], int(sizes[i])))
+        near = near[near < i]
+        apart = near[np.fromiter((root(j) for j in near.tolist()), np.int64, len(near)) != root(i)]
+        apart = apart[np.minimum(fine[apart], fine[i]).sum(1) >= least_shared(int(sizes[i]), sizes[apart])]
+        for j in apart.tolist():
             a, b = root(i), root(j)
             if a != b and (ids[i] == ids[j] or linked(sets[i], sets[j])):
                 up[max(a, b)] = min(a, b)
@@ -234,11 +240,11 @@ def near_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: key, band, chunk, home, node, component, n, point. Pairs of a home and a smaller node (all are both where home is null), of
-    different components, that pass the tree's bound."""
+    """Rows: key, band, chunk, home, node, component, n, point. Pairs of a home and another row, of different components, that pass
+    the tree's bound."""
     found: set[tuple[int, int]] = set()
     for rows in sorted_groups(batches, 3):
-        homes = [r for r in rows if r[3] is not False]
+        homes = [r for r in rows if r[3]]
         others = [r for r in rows if not r[3]]
         if not homes or not others:
             continue
@@ -246,8 +252,8 @@ def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for home in homes:
             for j in tree.search(unpacked(home[7]), home[6]).tolist():
                 other = others[j]
-                if other[5] != home[5] and (other[6], other[4]) < (home[6], home[4]):
-                    found.add((home[4], other[4]))
+                if other[5] != home[5]:
+                    found.add((max(home[4], other[4]), min(home[4], other[4])))
         if len(found) > 50_000:
             yield links(sorted(found))
             found = set()
@@ -257,20 +263,17 @@ def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
     """buckets: key, node, n. Candidate pairs (a, b) between components, from buckets that hold several."""
     spark = buckets.sparkSession
-    rows = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = scratch.keep(rows)
-    keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).filter("x < y").select("key", "rows")
-    rows = scratch.keep(rows.join(keys, "key").join(points, ["node", "n"]))
+    rows = scratch.keep(buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    keys = counts.groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("several")).filter("several > 1").select("key", "main")
+    rows = scratch.keep(rows.join(keys, "key").join(points, ["node", "n"]).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")))
     columns = ["key", "band", "chunk", "home", "node", "component", "n", "point"]
-    zero = F.lit(0)
-    small = rows.filter(F.col("rows") <= CHUNK_ROWS).withColumns({"band": zero, "chunk": zero, "home": F.lit(None).cast("boolean")}).select(*columns)
-    large = rows.filter(F.col("rows") > CHUNK_ROWS).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    # a set's partners among the smaller ones are in its own band or the next two below (rounding included)
-    guests = large.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
-    counts = guests.groupBy("key", "band").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    homes = large.join(counts, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("home", F.lit(True)).select(*columns)
-    guests = guests.join(counts, ["key", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(False)).select(*columns)
-    both = small.unionByName(homes).unionByName(guests)
+    # linked sets are at most one band apart, two with rounding; pairs inside the main component need no look
+    homes = rows.filter("component <> main").withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-2, -1, 0, 1, 2)))))
+    chunks = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
+    guests = rows.join(chunks, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("home", F.lit(False))
+    homes = homes.join(chunks, ["key", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(True))
+    both = guests.select(*columns).unionByName(homes.select(*columns))
     both = both.repartition(parts(spark), "key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
     return both.mapInArrow(between, "a long, b long").distinct()
 
@@ -304,19 +307,25 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = scratch.keep(shared_prefixes(nodes, scratch))
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
     buckets = scratch.keep(buckets.join(heads, "key"))
-    counted = buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.count("*").alias("c"))
-    members = counted.groupBy("node", "n").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("head"), "node", "n")
-    points = scratch.keep(nodes.select("node", "n", "point").join(buckets.select("node").distinct(), "node", "left_semi").distinct())
-    close = members.join(points, ["node", "n"]).join(points.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
+    counted = scratch.keep(buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.count("*").alias("c")))
+    family = components(counted.select(F.col("node").alias("a"), F.col("head").alias("b")), scratch).withColumnRenamed("component", "family")
+    points = scratch.keep(nodes.select("node", "n", "point").join(family, "node"))
+    sizes = points.groupBy("family").agg((F.count("*") <= FAMILY_DOCS).alias("few"), (F.sum("n") <= FAMILY_SHINGLES).alias("short"))
+    points = scratch.keep(points.join(sizes, "family").withColumn("small", F.col("few") & F.col("short")).drop("few", "short"))
+    small = points.filter("small").select(F.col("family").alias("head"), F.lit(0).alias("chunk"), "node").distinct()
+    large = points.filter("not small").select("node", "n", "point")
+    best = F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")
+    members = counted.join(large, ["node", "n"]).groupBy("node", "n", "point").agg(best).select((-F.col("m.h")).alias("head"), "node", "n", "point")
+    close = members.join(large.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
     close = close.select("head", "node", "n", "head_n", "point", "head_point").mapInArrow(near_heads, "head long, node long, n long").groupBy("head", "node").agg(F.max("n").alias("n"))
-    groups = scratch.keep(chunked(scratch.keep(close)))
+    groups = scratch.keep(chunked(scratch.keep(close)).unionByName(small))
     found = scratch.keep(verify(groups, own).unionByName(twice))
     labels = scratch.keep(components(found, scratch))
-    pairs = cross_pairs(buckets.drop("head"), labels, points, scratch)
-    pairs = scratch.keep(pairs.join(points.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n")), "b"))
-    if not pairs.isEmpty():
-        more = verify(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")), own)
-        labels = scratch.keep(components(found.unionByName(scratch.keep(more)), scratch))
+    if not large.isEmpty():
+        pairs = cross_pairs(buckets.drop("head").join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch)
+        pairs = scratch.keep(pairs.join(large.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n")), "b"))
+        more = scratch.keep(verify(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")), own))
+        labels = scratch.keep(components(found.unionByName(more), scratch))
     named = nodes_of.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     joined = known.select("doc_id", "n", "print").join(named, "print", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
