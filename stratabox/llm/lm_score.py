@@ -32,7 +32,7 @@ from .attention import Attention
 from .byte_bpe import load_ranks
 from .common import Scratch, new_token, per_worker, table
 
-HOT = 100_000
+HOT = 500_000
 SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 50_000
 SLOTS, OWN_SLOTS = 4096, 3500
 CLASSES, OWN_CLASSES = 64, 40
@@ -186,23 +186,22 @@ class Model:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, n (all texts), c (training texts), in each task."""
-    seen, learned = Counter(), Counter()
+    learned, others = Counter(), Counter()
 
     def out() -> pa.RecordBatch:
-        words = list(seen)
-        made = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(seen.__getitem__, words), pa.int64()), pa.array(map(learned.__getitem__, words), pa.int64())], ["word", "n", "c"])
-        seen.clear()
+        words = [*learned, *(w for w in others if w not in learned)]
+        c = np.fromiter((learned[w] for w in words), np.int64, len(words))
+        n = c + np.fromiter((others[w] for w in words), np.int64, len(words))
         learned.clear()
-        return made
+        others.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(c)], ["word", "n", "c"])
 
     for batch in batches:
         for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = words_of(text.as_py())
             words.append(END)
-            seen.update(words)
-            if not held:
-                learned.update(words)
-            if len(seen) > 1_000_000:
+            (others if held else learned).update(words)
+            if len(learned) + len(others) > 1_000_000:
                 yield out()
     yield out()
 
