@@ -6,8 +6,9 @@ perturbed hashes in the order of their estimated chance to hold a near vector, u
 of all tables are merged and ranked by the exact inner product of the original vectors in double precision.
 
 Each table's buckets are dealt by their first hashes into cells of some CELL_ROWS rows, and a cell with more rows (copies of one vector
-share all hashes) is cut further by id, so no bucket is capped and none meets in one task. A query goes to the cells that it
-visits, with its bucket list, and comes back with its TOP best of each.
+share all hashes) is cut further by id, so no bucket is capped and none meets in one task. A query first goes
+to its likeliest cell of each table; its TOP-th best score there is a floor for all others, from which only candidates that reach
+it come back.
 
 The number of hashes follows the logarithm of the row count. How alike near vectors are is estimated on a bounded sample
 (SAMPLE_ROWS); it steers how many buckets are visited. Every row is indexed.
@@ -110,7 +111,7 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], q: np.ndarray, floors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec, score): each query's best among the vectors of the buckets that it visits."""
     order = np.argsort(codes, kind="stable")
     ids, codes, x = ids[order], codes[order], x[order]
@@ -136,6 +137,7 @@ def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.
         scores[ids[None, :] == queries[low : low + 512, None]] = -np.inf
         k = min(top, len(ids))
         least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        least = np.maximum(least, floors[low : low + 512].astype(np.float32))
         rows, cols = np.nonzero((scores >= (least - SLACK * np.maximum(1, np.abs(least)))[:, None]) & np.isfinite(scores))
         for a in range(0, len(rows), 1 << 18):
             r, c = rows[a : a + (1 << 18)], cols[a : a + (1 << 18)]
@@ -149,7 +151,9 @@ def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.
     found_q, found_v, found_s = found_q[order], found_v[order], found_s[order]
     first = np.concatenate(([True], found_q[1:] != found_q[:-1]))
     place = np.arange(len(found_q)) - np.maximum.accumulate(np.where(first, np.arange(len(found_q)), 0))
-    return found_q[place < top], found_v[place < top], found_s[place < top]
+    floor_of = dict(zip(queries.tolist(), floors.tolist(), strict=True))
+    kept = (place < top) & (found_s >= np.array([floor_of[i] for i in found_q.tolist()]))
+    return found_q[kept], found_v[kept], found_s[kept]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -190,15 +194,16 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
                 batch = whole.slice(low, 256)
                 lifted = held.value.lifted(matrix(batch.column(1), dims), True)
                 for t in range(held.value.tables):
-                    cells, at, lists = [], [], []
+                    cells, at, lists, likeliest = [], [], [], []
                     for k, codes in enumerate(held.value.probes(lifted, t)):
                         cell = held.value.cell_of(codes)
                         for c in np.unique(cell).tolist():
                             cells.append(c)
                             at.append(k)
                             lists.append(codes[cell == c])
+                            likeliest.append(c == cell[0])
                     take = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(cells, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.list_(pa.int64()))], ["t", "cell", "id", "v", "probes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(cells, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.list_(pa.int64())), pa.array(likeliest, pa.bool_())], ["t", "cell", "id", "v", "probes", "likeliest"])
 
     def rank_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 3):
@@ -207,18 +212,29 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
             if data and asks:
                 found = best_of_cell(
                     np.array([r[3] for r in data]), np.array([r[5] for r in data]), np.array([r[4] for r in data]),
-                    np.array([r[3] for r in asks]), [np.array(r[6]) for r in asks], np.array([r[4] for r in asks]), top,
+                    np.array([r[3] for r in asks]), [np.array(r[6]) for r in asks], np.array([r[4] for r in asks]), np.array([r[7] for r in asks]), top,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     data = own.mapInArrow(index, "t int, cell long, id long, v array<double>, code long")
-    asks = own.filter(is_query(F.col("vec_id"))).mapInArrow(probe, "t int, cell long, id long, v array<double>, probes array<long>")
+    asks = own.filter(is_query(F.col("vec_id"))).mapInArrow(probe, "t int, cell long, id long, v array<double>, probes array<long>, likeliest boolean")
     cells = data.groupBy("t", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cuts"))
     # a table of cells has about one row for CELL_ROWS vectors
-    data = data.join(cells, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), "id", "v", "code", F.lit(None).cast("array<long>").alias("probes"))
-    asks = asks.join(cells, ["t", "cell"]).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "id", "v", F.lit(0).cast("long").alias("code"), "probes")
-    both = data.unionByName(asks).repartition(parts(spark), "t", "cell", "cut").sortWithinPartitions("t", "cell", "cut")
-    found = both.mapInArrow(rank_cells, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    data = data.join(cells, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), "id", "v", "code", F.lit(None).cast("array<long>").alias("probes"), F.lit(None).cast("double").alias("floor"))
+    data = scratch.keep(data)
+    asks = scratch.keep(asks.join(cells, ["t", "cell"]).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "id", "v", F.lit(0).cast("long").alias("code"), "probes", "likeliest"))
+
+    def ranked(asked: DataFrame) -> DataFrame:
+        """asked: asks with floor."""
+        used = data.join(asked.select("t", "cell").distinct(), ["t", "cell"], "left_semi")
+        both = used.unionByName(asked.select(*data.columns)).repartition(parts(spark), "t", "cell", "cut").sortWithinPartitions("t", "cell", "cut")
+        return both.mapInArrow(rank_cells, "query_id long, vec_id long, score double")
+
+    near = scratch.keep(ranked(asks.filter("likeliest").withColumn("floor", F.lit(float("-inf")))).dropDuplicates(["query_id", "vec_id"]))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    floors = near.withColumn("place", place).filter(F.col("place") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    rest = asks.filter("not likeliest").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = near.unionByName(ranked(rest)).dropDuplicates(["query_id", "vec_id"])
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
