@@ -9,11 +9,13 @@ shingles, linked sets of n and m have at least l shingles in common among the fi
 of each. Nodes with fewer shared prefix shingles than that link to nothing and go. The order puts shingles that a sample of
 documents has often at the end; any order is right, this one keeps shared passages out of the prefixes.
 
-1. Nodes that share buckets, by whatever chain, are a family. A family of bounded size is one tree in one task.
-2. In larger families each node is put with the smallest node of the bucket that it shares most with; such groups are cut into
-   chunks, each gets a tree, and links found there are joined into components. Buckets that still hold more than one component are
-   searched again by trees, for pairs that leave the bucket's largest component. Large buckets are cut into bands of set size and
-   chunks, so no bucket, however large, meets in one task.
+1. Nodes whose points pass the bound are tied: each with the smallest nodes of its buckets, then, where a bucket still holds several
+   such families, by trees over the bucket's points. What is linked is in one family.
+2. A family of bounded size is one tree over its sets in one task. In larger families each node is put with the smallest node of the
+   bucket that it shares most with; such groups are cut into chunks, each gets a tree, and pairs between the components found are
+   searched bucket by bucket again.
+
+Large buckets are cut into bands of set size and chunks, so no bucket, however large, meets in one task.
 
 Since a component is what is asked for, links inside a component need not be listed; every pair between components is bounded or
 verified, so none is lost.
@@ -231,36 +233,60 @@ def chunked(members: DataFrame) -> DataFrame:
 
 
 def near_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: head, node, n, head_n, point, head_point. Those that pass the bound."""
+    """Rows: head, node, n, c, head_n, point, head_point. Those that pass the bound."""
     for batch in batches:
-        sizes = [batch.column(i).to_pylist() for i in (2, 3)]
-        points = [batch.column(i).to_pylist() for i in (4, 5)]
-        kept = [int(np.minimum(unpacked(a), unpacked(b)).sum()) >= least_shared(n, m) and 5 * n >= 4 * m and 5 * m >= 4 * n for n, m, a, b in zip(*sizes, *points, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], ["head", "node", "n"]).filter(pa.array(kept, pa.bool_()))
+        n, m = (batch.column(i).to_numpy() for i in (2, 4))
+        if batch.num_rows:
+            a, b = (np.stack([unpacked(x) for x in batch.column(i).to_pylist()]) for i in (5, 6))
+            kept = (np.minimum(a, b).sum(1) >= least_shared(n, m)) & (5 * n >= 4 * m) & (5 * m >= 4 * n)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], ["head", "node", "n", "c"]).filter(pa.array(kept))
 
 
-def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def between(spanning: bool):
     """Rows: key, band, chunk, home, node, component, n, point. Pairs of a home and another row, of different components, that pass
-    the tree's bound."""
-    found: set[tuple[int, int]] = set()
-    for rows in sorted_groups(batches, 3):
-        homes = [r for r in rows if r[3]]
-        others = [r for r in rows if not r[3]]
-        if not homes or not others:
-            continue
-        tree = CountTree(np.stack([unpacked(r[7]) for r in others]), np.array([r[6] for r in others]))
-        for home in homes:
-            for j in tree.search(unpacked(home[7]), home[6]).tolist():
-                other = others[j]
-                if other[5] != home[5]:
+    the tree's bound; spanning: only as many as join what they would join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for rows in sorted_groups(batches, 3):
+            homes = [r for r in rows if r[3]]
+            others = [r for r in rows if not r[3]]
+            if not homes or not others:
+                continue
+            up = {r[5]: r[5] for r in rows}
+
+            def root(x: int, up: dict[int, int] = up) -> int:
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            points, sizes = np.stack([unpacked(r[7]) for r in others]), np.array([r[6] for r in others])
+            tree = CountTree(points, sizes) if len(others) > 4 * LEAF else None
+            for home in homes:
+                own, n = unpacked(home[7]), home[6]
+                if tree is None:
+                    at = np.flatnonzero((np.minimum(points, own).sum(1) >= least_shared(n, sizes)) & (5 * sizes >= 4 * n) & (4 * sizes <= 5 * n))
+                else:
+                    at = tree.search(own, n)
+                for j in at.tolist():
+                    other = others[j]
+                    if other[5] == home[5]:
+                        continue
+                    if spanning:
+                        a, b = root(home[5]), root(other[5])
+                        if a == b:
+                            continue
+                        up[max(a, b)] = min(a, b)
                     found.add((max(home[4], other[4]), min(home[4], other[4])))
-        if len(found) > 50_000:
-            yield links(sorted(found))
-            found = set()
-    yield links(sorted(found))
+            if len(found) > 50_000:
+                yield links(sorted(found))
+                found = set()
+        yield links(sorted(found))
+
+    return run
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratch: Scratch, spanning: bool) -> DataFrame:
     """buckets: key, node, n. Candidate pairs (a, b) between components, from buckets that hold several."""
     spark = buckets.sparkSession
     rows = scratch.keep(buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -275,7 +301,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratc
     homes = homes.join(chunks, ["key", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(True))
     both = guests.select(*columns).unionByName(homes.select(*columns))
     both = both.repartition(parts(spark), "key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
-    return both.mapInArrow(between, "a long, b long").distinct()
+    return both.mapInArrow(between(spanning), "a long, b long").distinct()
 
 
 def shared_prefixes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -308,21 +334,26 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
     buckets = scratch.keep(buckets.join(heads, "key"))
     counted = scratch.keep(buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.count("*").alias("c")))
-    family = components(counted.select(F.col("node").alias("a"), F.col("head").alias("b")), scratch).withColumnRenamed("component", "family")
-    points = scratch.keep(nodes.select("node", "n", "point").join(family, "node"))
+    points = scratch.keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "point"))
+    headed = counted.join(points, ["node", "n"]).join(points.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
+    headed = headed.select("head", "node", "n", "c", "head_n", "point", "head_point").mapInArrow(near_heads, "head long, node long, n long, c long")
+    close = scratch.keep(headed.groupBy("head", "node").agg(F.max("n").alias("n"), F.max("c").alias("c")))
+    ties = close.select(F.col("node").alias("a"), F.col("head").alias("b"))
+    buckets = buckets.drop("head")
+    more = scratch.keep(cross_pairs(buckets, components(ties, scratch), points, scratch, spanning=True))
+    family = components(ties.unionByName(more), scratch).withColumnRenamed("component", "family")
+    points = points.join(family, "node")
     sizes = points.groupBy("family").agg((F.count("*") <= FAMILY_DOCS).alias("few"), (F.sum("n") <= FAMILY_SHINGLES).alias("short"))
     points = scratch.keep(points.join(sizes, "family").withColumn("small", F.col("few") & F.col("short")).drop("few", "short"))
     small = points.filter("small").select(F.col("family").alias("head"), F.lit(0).alias("chunk"), "node").distinct()
     large = points.filter("not small").select("node", "n", "point")
     best = F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")
-    members = counted.join(large, ["node", "n"]).groupBy("node", "n", "point").agg(best).select((-F.col("m.h")).alias("head"), "node", "n", "point")
-    close = members.join(large.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
-    close = close.select("head", "node", "n", "head_n", "point", "head_point").mapInArrow(near_heads, "head long, node long, n long").groupBy("head", "node").agg(F.max("n").alias("n"))
-    groups = scratch.keep(chunked(scratch.keep(close)).unionByName(small))
+    members = close.join(large.select("node").distinct(), "node", "left_semi").groupBy("node", "n").agg(best).select((-F.col("m.h")).alias("head"), "node", "n")
+    groups = scratch.keep(chunked(members).unionByName(small))
     found = scratch.keep(verify(groups, own).unionByName(twice))
     labels = scratch.keep(components(found, scratch))
     if not large.isEmpty():
-        pairs = cross_pairs(buckets.drop("head").join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch)
+        pairs = cross_pairs(buckets.join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch, spanning=False)
         pairs = scratch.keep(pairs.join(large.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n")), "b"))
         more = scratch.keep(verify(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")), own))
         labels = scratch.keep(components(found.unionByName(more), scratch))
