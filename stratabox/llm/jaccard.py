@@ -39,7 +39,7 @@ from .common import Scratch, WordHashes, as_long, parts, per_worker, table, wind
 from .graph import components
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS = 256
 SAMPLE_DOCS = 4_000  # whose frequent shingles go to the end of the order
 FREQUENT = 4  # sampled documents that have a frequent shingle
 CHUNK_DOCS, CHUNK_SHINGLES = 200, 1_000_000
@@ -243,14 +243,14 @@ def near_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def between(spanning: bool):
-    """Rows: key, band, chunk, home, node, component, n, point. Pairs of a home and another row, of different components, that pass
-    the tree's bound; spanning: only as many as join what they would join."""
+    """Rows: key, band, chunk, home, node, component, n, point. Pairs of a home and another row (where home is null, a row is both), of
+    different components, that pass the tree's bound; spanning: only as many as join what they would join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         for rows in sorted_groups(batches, 3):
-            homes = [r for r in rows if r[3]]
-            others = [r for r in rows if not r[3]]
+            homes = [r for r in rows if r[3] is not False]
+            others = [r for r in rows if r[3] is not True]
             if not homes or not others:
                 continue
             up = {r[5]: r[5] for r in rows}
@@ -291,15 +291,19 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratc
     spark = buckets.sparkSession
     rows = scratch.keep(buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    keys = counts.groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("several")).filter("several > 1").select("key", "main")
-    rows = scratch.keep(rows.join(keys, "key").join(points, ["node", "n"]).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")))
+    keys = counts.groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("several"), F.sum("c").alias("rows")).filter("several > 1").drop("several")
+    rows = scratch.keep(rows.join(keys, "key").join(points, ["node", "n"]))
     columns = ["key", "band", "chunk", "home", "node", "component", "n", "point"]
-    # linked sets are at most one band apart, two with rounding; pairs inside the main component need no look
-    homes = rows.filter("component <> main").withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-2, -1, 0, 1, 2)))))
-    chunks = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-    guests = rows.join(chunks, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("home", F.lit(False))
+    # pairs inside a bucket's main component need no look
+    both_kinds = F.when(F.col("component") == F.col("main"), F.lit(False))
+    few = rows.filter(F.col("rows") <= CHUNK_ROWS).withColumns({"band": F.lit(0), "chunk": F.lit(0), "home": both_kinds}).select(*columns)
+    many = rows.filter(F.col("rows") > CHUNK_ROWS).withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    # linked sets are at most one band apart, two with rounding
+    homes = many.filter("component <> main").withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-2, -1, 0, 1, 2)))))
+    chunks = many.groupBy("key", "band").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
+    guests = many.join(chunks, ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("home", F.lit(False))
     homes = homes.join(chunks, ["key", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(True))
-    both = guests.select(*columns).unionByName(homes.select(*columns))
+    both = few.unionByName(guests.select(*columns)).unionByName(homes.select(*columns))
     both = both.repartition(parts(spark), "key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
     return both.mapInArrow(between(spanning), "a long, b long").distinct()
 
