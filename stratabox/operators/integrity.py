@@ -61,10 +61,10 @@ def filter_parts(partitions: DataFrame, type_: int | None = None, uid_prefix: st
 
 
 def human_size(n: Column) -> Column:
-    """Binary units, one decimal unless whole."""
+    """Binary units, one decimal (halves to the even digit) unless whole."""
     column = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
         scaled = n / F.lit(1024**k)
-        text = F.when(scaled == F.floor(scaled), F.format_string(f"%d {unit}", F.floor(scaled))).otherwise(F.format_string(f"%.1f {unit}", scaled))
+        text = F.when(scaled == F.floor(scaled), F.format_string(f"%d {unit}", F.floor(scaled))).otherwise(F.format_string(f"%.1f {unit}", F.bround(scaled, 1)))
         column = F.when(n >= 1024**k, text).otherwise(column)
     return column
