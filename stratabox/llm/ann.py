@@ -2,8 +2,9 @@
 
 Largest inner product becomes nearest point once each vector gets one more component that brings it to the largest norm
 (and queries a zero). A table hashes by FUNCTIONS-many floor((a.x + b) / w) with Gaussian a; a query visits the buckets of
-perturbed hashes in the order of their estimated chance to hold a near vector, until the chances add up to TARGET. Candidates
-of all tables are merged and ranked by the exact inner product of the original vectors in double precision.
+perturbed hashes in the order of their estimated chance to hold a near vector, until the chances add up to TARGET. Where the
+MOST_PROBES likeliest do not add up to it, the query goes by fewer hashes, whose buckets are wider, so TARGET is reached at any row count.
+Candidates of all tables are merged and ranked by the exact inner product of the original vectors in double precision.
 
 Each table's buckets are dealt by their first hashes into cells of some CELL_ROWS rows, and a cell with more rows (copies of one vector
 share all hashes) is cut further by id, so no bucket is capped and none meets in one task. A query first goes
@@ -39,7 +40,7 @@ BITS = 1.6  # that one hash tells, about
 BUCKET_ROWS = 64
 CELL_ROWS = 8192
 TARGET = 0.52  # estimated success of the visited buckets of one table
-MOST_PROBES = 4096
+MOST_PROBES = 4096  # buckets of one query and table; wider ones where these do not reach TARGET
 SAMPLE_ROWS = 4096
 SLACK = 1e-5  # of single-precision scores against exact ones
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -74,22 +75,45 @@ class Tables:
     def cell_of(self, codes: np.ndarray) -> np.ndarray:
         return codes // SLOTS ** (self.k - self.cell)
 
-    def probes(self, lifted: np.ndarray, t: int) -> list[np.ndarray]:
-        """For each query the buckets to visit, likeliest first."""
+    def probes(self, lifted: np.ndarray, t: int) -> list[tuple[np.ndarray, int]]:
+        """For each query the buckets to visit, likeliest first: their first codes, and how many codes each of them spans."""
         at = lifted @ self.a[t].T  # (queries, k)
         edges = (np.arange(1, SLOTS) - SLOTS // 2) * WIDTH
         # a near vector's projection: normal about alike * at
         lows = (edges - self.b[t][:, None])[None] - (self.alike * at)[:, :, None]
         below = normal(lows / math.sqrt(max(1e-6, 1 - self.alike**2)))
         chance = np.diff(np.concatenate([np.zeros_like(below[:, :, :1]), below, np.ones_like(below[:, :, :1])], 2), axis=2)
-        weight, code = np.ones((len(at), 1)), np.zeros((len(at), 1), np.int64)
+        out: list = [None] * len(at)
+
+        def settle(who: np.ndarray, weight: np.ndarray, code: np.ndarray, span: int) -> None:
+            count = np.minimum((np.cumsum(weight, 1) < self.target).sum(1) + 1, code.shape[1])
+            for q, row, n in zip(who.tolist(), code, count.tolist(), strict=True):
+                out[q] = (row[:n] * span, span)
+
+        who, weight, code = np.arange(len(at)), np.ones((len(at), 1)), np.zeros((len(at), 1), np.int64)
         for i in range(self.k):
-            weight = (weight[:, :, None] * chance[:, i, None, :]).reshape(len(at), -1)
-            code = (code[:, :, None] * SLOTS + np.arange(SLOTS)).reshape(len(at), -1)
-            keep = np.argsort(-weight, axis=1, kind="stable")[:, :MOST_PROBES]
-            weight, code = np.take_along_axis(weight, keep, 1), np.take_along_axis(code, keep, 1)
-        count = np.minimum((np.cumsum(weight, 1) < self.target).sum(1) + 1, code.shape[1])
-        return [row[:n] for row, n in zip(code, count.tolist(), strict=True)]
+            if not len(who):
+                break
+            finer = (weight[:, :, None] * chance[who, i, None, :]).reshape(len(who), -1)
+            codes = (code[:, :, None] * SLOTS + np.arange(SLOTS)).reshape(len(who), -1)
+            keep = np.argsort(-finer, axis=1, kind="stable")[:, :MOST_PROBES]
+            finer, codes = np.take_along_axis(finer, keep, 1), np.take_along_axis(codes, keep, 1)
+            short = finer.sum(1) < self.target
+            settle(who[short], weight[short], code[short], SLOTS ** (self.k - i))
+            who, weight, code = who[~short], finer[~short], codes[~short]
+        if len(who):
+            settle(who, weight, code, 1)
+        return out
+
+    def asks(self, codes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """A query's buckets by cell: cells, first codes in order of cells, where each cell's begin (and the end), and their span."""
+        whole = SLOTS ** (self.k - self.cell)
+        if span > whole:  # a bucket of many cells
+            codes, span = (codes[:, None] + np.arange(0, span, whole)).ravel(), whole
+        cell = self.cell_of(codes)
+        order = np.argsort(cell, kind="stable")
+        cells, begins = np.unique(cell[order], return_index=True)
+        return cells, codes[order], np.append(begins, len(codes)), span
 
 
 def normal(x: np.ndarray) -> np.ndarray:
@@ -111,29 +135,27 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], q: np.ndarray, floors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], spans: np.ndarray, q: np.ndarray, floors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec, score): each query's best among the vectors of the buckets that it visits."""
     order = np.argsort(codes, kind="stable")
     ids, codes, x = ids[order], codes[order], x[order]
     small = x.astype(np.float32)
-    buckets, starts = np.unique(codes, return_index=True)
-    ends = np.append(starts[1:], len(codes))
     out_q, out_v, out_s = [], [], []
     for low in range(0, len(queries), 512):
         own = q[low : low + 512]
         scores = np.full((len(own), len(ids)), -np.inf, np.float32)
         asked = np.concatenate(lists[low : low + 512])
         who = np.repeat(np.arange(len(own)), [len(v) for v in lists[low : low + 512]])
-        at = np.searchsorted(buckets, asked)
-        real = (at < len(buckets)) & (buckets[np.minimum(at, len(buckets) - 1)] == asked)
-        at, who = at[real], who[real]
-        by = np.argsort(at, kind="stable")
-        at, who = at[by], who[by]
+        starts, ends = np.searchsorted(codes, asked), np.searchsorted(codes, asked + spans[low : low + 512][who])
+        real = starts < ends
+        starts, ends, who = starts[real], ends[real], who[real]
+        by = np.lexsort((ends, starts))
+        starts, ends, who = starts[by], ends[by], who[by]
         own_small = own.astype(np.float32)
-        visited, begins = np.unique(at, return_index=True)
-        for b, s, e in zip(visited, begins, np.append(begins, len(at))[1:], strict=True):
+        begins = np.flatnonzero(np.concatenate(([True], (starts[1:] != starts[:-1]) | (ends[1:] != ends[:-1])))) if len(who) else np.empty(0, np.int64)
+        for s, e in zip(begins, np.append(begins, len(who))[1:], strict=True):
             rows = who[s:e]
-            scores[rows, starts[b] : ends[b]] = own_small[rows] @ small[starts[b] : ends[b]].T
+            scores[rows, starts[s] : ends[s]] = own_small[rows] @ small[starts[s] : ends[s]].T
         scores[ids[None, :] == queries[low : low + 512, None]] = -np.inf
         k = min(top, len(ids))
         least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -194,16 +216,12 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
                 batch = whole.slice(low, 256)
                 lifted = held.value.lifted(matrix(batch.column(1), dims), True)
                 for t in range(held.value.tables):
-                    cells, at, lists, likeliest = [], [], [], []
-                    for k, codes in enumerate(held.value.probes(lifted, t)):
-                        cell = held.value.cell_of(codes)
-                        for c in np.unique(cell).tolist():
-                            cells.append(c)
-                            at.append(k)
-                            lists.append(codes[cell == c])
-                            likeliest.append(c == cell[0])
-                    take = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(cells, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, pa.list_(pa.int64())), pa.array(likeliest, pa.bool_())], ["t", "cell", "id", "v", "probes", "likeliest"])
+                    for k, found in enumerate(held.value.probes(lifted, t)):
+                        cells, codes, begins, span = held.value.asks(*found)
+                        take = pa.array(np.full(len(cells), k))
+                        lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(codes))
+                        likeliest = cells == held.value.cell_of(found[0][0])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), t, np.int32)), pa.array(cells), batch.column(0).take(take), batch.column(1).take(take), lists, pa.array(np.full(len(cells), span)), pa.array(likeliest)], ["t", "cell", "id", "v", "probes", "span", "likeliest"])
 
     def rank_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 3):
@@ -212,17 +230,17 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
             if data and asks:
                 found = best_of_cell(
                     np.array([r[3] for r in data]), np.array([r[5] for r in data]), np.array([r[4] for r in data]),
-                    np.array([r[3] for r in asks]), [np.array(r[6]) for r in asks], np.array([r[4] for r in asks]), np.array([r[7] for r in asks]), top,
+                    np.array([r[3] for r in asks]), [np.array(r[6]) for r in asks], np.array([r[8] for r in asks]), np.array([r[4] for r in asks]), np.array([r[7] for r in asks]), top,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     data = own.mapInArrow(index, "t int, cell long, id long, v array<double>, code long")
-    asks = own.filter(is_query(F.col("vec_id"))).mapInArrow(probe, "t int, cell long, id long, v array<double>, probes array<long>, likeliest boolean")
+    asks = own.filter(is_query(F.col("vec_id"))).mapInArrow(probe, "t int, cell long, id long, v array<double>, probes array<long>, span long, likeliest boolean")
     cells = data.groupBy("t", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cuts"))
     # a table of cells has about one row for CELL_ROWS vectors
-    data = data.join(cells, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), "id", "v", "code", F.lit(None).cast("array<long>").alias("probes"), F.lit(None).cast("double").alias("floor"))
+    data = data.join(cells, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), "id", "v", "code", F.lit(None).cast("array<long>").alias("probes"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("span"))
     data = scratch.keep(data)
-    asks = scratch.keep(asks.join(cells, ["t", "cell"]).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "id", "v", F.lit(0).cast("long").alias("code"), "probes", "likeliest"))
+    asks = scratch.keep(asks.join(cells, ["t", "cell"]).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "id", "v", F.lit(0).cast("long").alias("code"), "probes", "span", "likeliest"))
 
     def ranked(asked: DataFrame) -> DataFrame:
         """asked: asks with floor."""

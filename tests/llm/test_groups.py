@@ -224,6 +224,23 @@ def test_nearest(spark):
     assert ann.nearest(vectors.limit(0), lambda i: i >= 0).count() == 0
 
 
+def test_nearest_reaches_target_at_millions_of_rows():
+    """The visited buckets hold the promised share of near vectors, however many hashes the row count calls for."""
+    rng = np.random.default_rng(5)
+    for rows, alike in ((1_400_000, 0.29), (4_000_000, 0.35), (117_000_000, 0.3)):
+        made = ann.Tables(64, rows, 1.0, alike)
+        q = rng.standard_normal((12, 64))
+        lifted = made.lifted(q, True)
+        hits = 0
+        for (codes, span), own in zip(made.probes(lifted, 0), lifted, strict=True):
+            aside = rng.standard_normal((300, 65))
+            aside -= (aside @ own)[:, None] * own
+            near = alike * own + math.sqrt(1 - alike**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+            first = made.codes(near, 0) // span * span
+            hits += np.isin(first, codes).sum()
+        assert hits >= 0.48 * 12 * 300, (rows, hits / 3600)
+
+
 # --- sharding
 
 
