@@ -1,7 +1,8 @@
 """Nearest vectors by multiprobe p-stable hashing.
 
 Largest inner product becomes nearest point once each vector gets one more component that brings it to the largest norm
-(and queries a zero). A table hashes by FUNCTIONS-many floor((a.x + b) / w) with Gaussian a; a query visits the buckets of
+(and queries a zero). Vectors are parted by norm, BANDS ranges to a doubling, each with tables and a largest norm of its own, so that
+a few long vectors do not blur the rest. A table hashes by FUNCTIONS-many floor((a.x + b) / w) with Gaussian a; a query visits the buckets of
 perturbed hashes in the order of their estimated chance to hold a near vector, until the chances add up to TARGET. Where the
 MOST_PROBES likeliest do not add up to it, the query goes by fewer hashes, whose buckets are wider, so TARGET is reached at any row count.
 Candidates of all tables are merged and ranked by the exact inner product of the original vectors in double precision.
@@ -11,8 +12,9 @@ share all hashes) is cut further by id, so no bucket is capped and none meets in
 to its likeliest cell of each table; its TOP-th best score there is a floor for all others, from which only candidates that reach
 it come back.
 
-The number of hashes follows the logarithm of the row count. How alike near vectors are is estimated on a bounded sample
-(SAMPLE_ROWS); it steers how many buckets are visited. Every row is indexed.
+The number of hashes follows the logarithm of a range's row count. How alike a query's near vectors are is estimated for each query and
+range by its scores on a bounded sample (SAMPLE_ROWS); it steers how many buckets are visited. A range is left out only where its
+largest norm can't reach TOP scores of the sample. Queries that found fewer than TOP visit all cells. Every row is indexed.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
 length than most; rows that repeat an id count once (the least vector); a null id takes no part; ties go to the smaller id; with
@@ -34,6 +36,7 @@ from .jaccard import sorted_groups
 
 TOP = 20
 TABLES = 4
+BANDS = 4  # norm ranges to a doubling
 WIDTH = 1.35
 SLOTS = 8  # values of one hash; projections beyond them fall into the outer ones
 BITS = 1.6  # that one hash tells, about
@@ -46,19 +49,25 @@ SLACK = 1e-5  # of single-precision scores against exact ones
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(1)
+    most[most == 0] = 1
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
 class Tables:
-    """The hash functions of all tables. Small: TABLES x functions x dimensions numbers."""
+    """The hash functions of all tables of a norm range. Small: TABLES x functions x dimensions numbers."""
 
-    def __init__(self, dims: int, rows: int, norm: float, alike: float, tables: int = TABLES, target: float = TARGET, seed: int = 11):
+    def __init__(self, dims: int, rows: int, norm: float, tables: int = TABLES, target: float = TARGET, seed: int = 11):
         self.k = max(1, round(math.log2(max(2.0, rows / BUCKET_ROWS)) / BITS))
         self.cell = min(self.k, max(0, round(math.log2(max(1.0, rows / CELL_ROWS)) / BITS)))
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((tables, self.k, dims + 1))
         self.b = rng.uniform(0, WIDTH, (tables, self.k))
-        self.norm, self.alike, self.tables, self.target = norm, alike, tables, target
+        self.norm, self.tables, self.target = norm, tables, target
 
     def lifted(self, x: np.ndarray, queries: bool) -> np.ndarray:
-        own = np.sqrt((x * x).sum(1))
+        own = norms(x)
         if queries:
             return np.concatenate([x / own[:, None], np.zeros((len(x), 1))], 1)
         return np.concatenate([x / self.norm, np.sqrt(np.maximum(0, 1 - (own / self.norm) ** 2))[:, None]], 1)
@@ -75,13 +84,14 @@ class Tables:
     def cell_of(self, codes: np.ndarray) -> np.ndarray:
         return codes // SLOTS ** (self.k - self.cell)
 
-    def probes(self, lifted: np.ndarray, t: int) -> list[tuple[np.ndarray, int]]:
-        """For each query the buckets to visit, likeliest first: their first codes, and how many codes each of them spans."""
+    def probes(self, lifted: np.ndarray, t: int, alike: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """For each query the buckets to visit, likeliest first: their first codes, and how many codes each of them spans.
+        alike: the cosine of each query and its near vectors, as lifted."""
         at = lifted @ self.a[t].T  # (queries, k)
         edges = (np.arange(1, SLOTS) - SLOTS // 2) * WIDTH
         # a near vector's projection: normal about alike * at
-        lows = (edges - self.b[t][:, None])[None] - (self.alike * at)[:, :, None]
-        below = normal(lows / math.sqrt(max(1e-6, 1 - self.alike**2)))
+        lows = (edges - self.b[t][:, None])[None] - (alike[:, None] * at)[:, :, None]
+        below = normal(lows / np.sqrt(np.maximum(1e-6, 1 - alike**2))[:, None, None])
         chance = np.diff(np.concatenate([np.zeros_like(below[:, :, :1]), below, np.ones_like(below[:, :, :1])], 2), axis=2)
         out: list = [None] * len(at)
 
@@ -116,6 +126,22 @@ class Tables:
         return cells, codes[order], np.append(begins, len(codes)), span
 
 
+class Sample:
+    """Some vectors, on which each query's scores are foretold."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rows: int, top: int):
+        self.ids, self.x, self.top = ids, x, top
+        self.rank = max(1, round(top * len(x) / max(rows, 1)))
+
+    def foretold(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query, about the score of its last near vector, and a score that `top` others reach."""
+        scores = q @ self.x.T
+        scores[ids[:, None] == self.ids[None, :]] = -np.inf
+        scores = -np.sort(-scores, axis=1)
+        last = scores[:, min(self.rank, scores.shape[1]) - 1]
+        return last, scores[:, self.top - 1] if scores.shape[1] >= self.top else np.full(len(q), -np.inf)
+
+
 def normal(x: np.ndarray) -> np.ndarray:
     """The normal distribution function, to about 1e-7 (a rational fit would do; chances only order buckets)."""
     t = 1 / (1 + 0.2316419 * np.abs(x))
@@ -140,6 +166,7 @@ def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.
     order = np.argsort(codes, kind="stable")
     ids, codes, x = ids[order], codes[order], x[order]
     small = x.astype(np.float32)
+    longest = norms(x).max()
     out_q, out_v, out_s = [], [], []
     for low in range(0, len(queries), 512):
         own = q[low : low + 512]
@@ -160,7 +187,8 @@ def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.
         k = min(top, len(ids))
         least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
         least = np.maximum(least, floors[low : low + 512].astype(np.float32))
-        rows, cols = np.nonzero((scores >= (least - SLACK * np.maximum(1, np.abs(least)))[:, None]) & np.isfinite(scores))
+        slack = SLACK * np.maximum(norms(own) * longest, np.where(np.isfinite(least), np.abs(least), 0))
+        rows, cols = np.nonzero((scores >= (least - slack)[:, None]) & np.isfinite(scores))
         for a in range(0, len(rows), 1 << 18):
             r, c = rows[a : a + (1 << 18)], cols[a : a + (1 << 18)]
             out_q.append(queries[low + r])
@@ -190,38 +218,53 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
     own = scratch.keep(usable(vectors, id_col, vec_col))
-    sizes = own.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "dims").limit(1).collect()
+    sizes = own.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], SCHEMA)
-    dims, n, norm = sizes[0]["dims"], sizes[0]["n"], math.sqrt(sizes[0]["m"])
-    own = own.filter(F.size("v") == dims)
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
-    made = Tables(dims, n, norm, 0.5, tables, target)
-    x = np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((0, dims))
-    rank = max(1, round(top * len(x) / max(n, 1)))
-    near = np.sort(made.lifted(x[:256], True) @ made.lifted(x, False).T, axis=1)[:, ::-1]
-    made.alike = float(np.clip(np.median(near[:, min(rank, len(x) - 1)]), 0.05, 0.98))
-    held = spark.sparkContext.broadcast(made)
+    dims, n = sizes[0]["dims"], sizes[0]["n"]
+    most = F.array_max(F.transform("v", F.abs))
+    own = own.filter(F.size("v") == dims).withColumn("most", most)
+    own = own.withColumn("norm", F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))))
+    # shifted, so that no range ends at a norm of 1
+    own = scratch.keep(own.withColumn("band", F.floor(F.log2("norm") * BANDS + 0.37)).select("vec_id", "v", "norm", "band"))
+    bands = own.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("band").collect()
+    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v").toPandas()
+    made = {r["band"]: (i * tables, Tables(dims, r["n"], r["norm"], tables, target)) for i, r in enumerate(bands)}
+    held = spark.sparkContext.broadcast((made, Sample(sample["vec_id"].to_numpy(), np.stack(sample["v"].to_numpy()), n, top)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lifted = held.value.lifted(matrix(batch.column(1), dims), False) if batch.num_rows else None
-            for t in range(held.value.tables if batch.num_rows else 0):
-                codes = held.value.codes(lifted, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t, np.int32)), pa.array(held.value.cell_of(codes)), batch.column(0), batch.column(1), pa.array(codes)], ["t", "cell", "id", "v", "code"])
+        for whole in batches:
+            of_row = whole.column(2).to_numpy()
+            for band in np.unique(of_row).tolist():
+                batch = whole.take(pa.array(np.flatnonzero(of_row == band)))
+                first, own = held.value[0][band]
+                lifted = own.lifted(matrix(batch.column(1), dims), False)
+                for t in range(own.tables):
+                    codes = own.codes(lifted, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), first + t, np.int32)), pa.array(own.cell_of(codes)), batch.column(0), batch.column(1), pa.array(codes)], ["t", "cell", "id", "v", "code"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, sample = held.value
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                lifted = held.value.lifted(matrix(batch.column(1), dims), True)
-                for t in range(held.value.tables):
-                    for k, found in enumerate(held.value.probes(lifted, t)):
-                        cells, codes, begins, span = held.value.asks(*found)
-                        take = pa.array(np.full(len(cells), k))
-                        lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(codes))
-                        likeliest = cells == held.value.cell_of(found[0][0])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), t, np.int32)), pa.array(cells), batch.column(0).take(take), batch.column(1).take(take), lists, pa.array(np.full(len(cells), span)), pa.array(likeliest)], ["t", "cell", "id", "v", "probes", "span", "likeliest"])
+                q = matrix(batch.column(1), dims)
+                last, reached = sample.foretold(batch.column(0).to_numpy(), q)
+                lengths = norms(q)
+                for first, own in made.values():
+                    most = lengths * own.norm
+                    asked = np.flatnonzero(most * (1 + 1e-9) >= reached)
+                    if not len(asked):
+                        continue
+                    lifted = own.lifted(q[asked], True)
+                    alike = np.clip(last[asked] / most[asked], 0.05, 0.98)
+                    for t in range(own.tables):
+                        for k, found in zip(asked.tolist(), own.probes(lifted, t, alike), strict=True):
+                            cells, codes, begins, span = own.asks(*found)
+                            take = pa.array(np.full(len(cells), k))
+                            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(codes))
+                            likeliest = cells == own.cell_of(found[0][0])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), first + t, np.int32)), pa.array(cells), batch.column(0).take(take), batch.column(1).take(take), lists, pa.array(np.full(len(cells), span)), pa.array(likeliest)], ["t", "cell", "id", "v", "probes", "span", "likeliest"])
 
     def rank_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 3):
@@ -234,8 +277,9 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    data = own.mapInArrow(index, "t int, cell long, id long, v array<double>, code long")
-    asks = own.filter(is_query(F.col("vec_id"))).mapInArrow(probe, "t int, cell long, id long, v array<double>, probes array<long>, span long, likeliest boolean")
+    data = own.select("vec_id", "v", "band").mapInArrow(index, "t int, cell long, id long, v array<double>, code long")
+    queries = own.filter(is_query(F.col("vec_id"))).select("vec_id", "v")
+    asks = queries.mapInArrow(probe, "t int, cell long, id long, v array<double>, probes array<long>, span long, likeliest boolean")
     cells = data.groupBy("t", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cuts"))
     # a table of cells has about one row for CELL_ROWS vectors
     data = data.join(cells, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), "id", "v", "code", F.lit(None).cast("array<long>").alias("probes"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("span"))
@@ -252,7 +296,14 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     floors = near.withColumn("place", place).filter(F.col("place") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     rest = asks.filter("not likeliest").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = near.unionByName(ranked(rest)).dropDuplicates(["query_id", "vec_id"])
+    found = scratch.keep(near.unionByName(ranked(rest)).dropDuplicates(["query_id", "vec_id"]))
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(top, n - 1))
+    short = queries.join(full, queries["vec_id"] == full["query_id"], "left_anti")
+    if not short.isEmpty():
+        # each vector is in the first table of its range
+        every = cells.filter(F.col("t") % tables == 0).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+        wide = short.select(F.col("vec_id").alias("id"), "v", F.lit(0).cast("long").alias("code"), F.array(F.lit(0).cast("long")).alias("probes"), F.lit(float("-inf")).alias("floor"), F.lit(1 << 62).cast("long").alias("span"))
+        found = found.unionByName(ranked(wide.crossJoin(every))).dropDuplicates(["query_id", "vec_id"])
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

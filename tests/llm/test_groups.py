@@ -228,11 +228,11 @@ def test_nearest_reaches_target_at_millions_of_rows():
     """The visited buckets hold the promised share of near vectors, however many hashes the row count calls for."""
     rng = np.random.default_rng(5)
     for rows, alike in ((1_400_000, 0.29), (4_000_000, 0.35), (117_000_000, 0.3)):
-        made = ann.Tables(64, rows, 1.0, alike)
+        made = ann.Tables(64, rows, 1.0)
         q = rng.standard_normal((12, 64))
         lifted = made.lifted(q, True)
         hits = 0
-        for (codes, span), own in zip(made.probes(lifted, 0), lifted, strict=True):
+        for (codes, span), own in zip(made.probes(lifted, 0, np.full(12, alike)), lifted, strict=True):
             aside = rng.standard_normal((300, 65))
             aside -= (aside @ own)[:, None] * own
             near = alike * own + math.sqrt(1 - alike**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
@@ -241,6 +241,31 @@ def test_nearest_reaches_target_at_millions_of_rows():
         assert hits >= 0.48 * 12 * 300, (rows, hits / 3600)
 
 
+@pytest.mark.parametrize("kind", ["one long vector", "lognormal"])
+def test_nearest_uneven_norms(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 24)) + 1.2 * rng.standard_normal((20, 24))[rng.integers(0, 20, 1500)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 0.5, (1500, 1))
+    else:
+        x[7] *= 3
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(vectors, lambda i: i % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got[q] & set([k for k in np.argsort(-(x @ x[q]), kind="stable") if k != q][:20])) for q in range(0, 1500, 20))
+    assert all(len(v) == 20 for v in got.values()) and hits >= 0.93 * 20 * 75, hits / 1500
+
+
+def test_nearest_returns_all_of_few(spark):
+    """With fewer candidates than TOP all come back, by the default target."""
+    x = np.random.default_rng(9).standard_normal((15, 16))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(vectors, lambda i: i >= 0).collect()}
+    assert got == {(a, b) for a in range(15) for b in range(15) if a != b}
+
+
 # --- sharding
 
 
