@@ -5,7 +5,7 @@ the first pass counts on how many pages it stands, how its children vary (presen
 texts stands (content). Importance is the node's entropy against the logarithm of its page count: a node that shows the same few
 texts on all pages of a host carries little, one whose texts are new on each page carries much. The second pass removes
 branches of low importance from each page, besides elements whose meaning HTML or their names give away (menus, forms, ...),
-and writes what is left. Where a page marks its article, only the article counts.
+and writes what is left. What a page marks as its article gets ARTICLE added to its importance and is judged like all else.
 
 Counts are summed by key before they are shuffled, so a host with a third of all pages is no hot key. The nodes to
 remove are broadcast while there are at most BROADCAST_NODES; beyond that they are joined by salted host.
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 THRESHOLD = 0.35  # importance below which a branch goes
+ARTICLE = 0.2  # added to the importance of what is marked as the article
 PRESENTATION = 0.1  # weight of a node's presentation against its content
 BROADCAST_NODES = 200_000
 SALTS = 32
@@ -223,9 +224,9 @@ def count_styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             blocks, nodes = parse(html)
             own = set()
-            for path, parent, text, _, _ in blocks:
+            for path, parent, text, article, _ in blocks:
                 key = hashed(host, path)
-                own.add((host, key, hashed(host, parent), 0, 0))
+                own.add((host, key, hashed(host, parent), 0, int(article)))
                 own.add((host, key, 0, 2, hashed(text)))
             for path, children in nodes:
                 key = hashed(host, path)
@@ -244,16 +245,16 @@ def unimportant(pages: DataFrame) -> DataFrame:
     n, log = F.col("pages"), lambda x: F.log(F.greatest(x, F.lit(1)).cast("double"))
     pick = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     nodes = counts.groupBy("host", "node").agg(
-        F.max("parent").alias("parent"),
+        F.max("parent").alias("parent"), F.max(F.when(F.col("kind") == 0, F.col("feature"))).alias("article"),
         pick(0, n).alias("m"), pick(2, n).alias("texts"), pick(2, n * log(n)).alias("text_sum"),
         pick(3, n).alias("m_inner"), pick(1, -n * log(n)).alias("shape_sum"), pick(1, n).alias("shapes"),
     )
     content = F.when(F.col("m") > 1, 1 - F.col("text_sum") / F.col("texts") / log(F.col("m"))).otherwise(1.0)
     # of p = n / m: -sum p log_m p
     shape = F.when(F.col("m_inner") > 1, (log(F.col("m_inner")) + F.col("shape_sum") / F.col("shapes")) / log(F.col("m_inner"))).otherwise(1.0)
-    leaves = nodes.filter("m is not null").select("host", "node", "parent", content.alias("content"))
+    leaves = nodes.filter("m is not null").select("host", "node", "parent", "article", content.alias("content"))
     shapes = nodes.filter("m_inner is not null").select(F.col("node").alias("parent"), shape.alias("shape"))
-    importance = PRESENTATION * F.coalesce("shape", F.lit(1.0)) + (1 - PRESENTATION) * F.col("content")
+    importance = PRESENTATION * F.coalesce("shape", F.lit(1.0)) + (1 - PRESENTATION) * F.col("content") + ARTICLE * F.col("article")
     return leaves.join(shapes, "parent", "left").filter(importance < THRESHOLD).select("host", "node")
 
 
@@ -262,11 +263,8 @@ def main_text(url: str | None, html: str | None, low) -> str:
         return ""
     host = host_of(url)
     blocks, _ = parse(html)
-    # headings and paragraphs of a marked article are its text, however often a host repeats it
-    if any(b[3] for b in blocks):
-        kept = [text for path, _, text, article, _ in blocks if article and (re.search(r"/(?:article|main)[^/]*/(?:p|h[1-6])$", path) or hashed(host, path) not in low)]
-    else:
-        kept = [text for path, _, text, _, links in blocks if not links and hashed(host, path) not in low]
+    # links alone are a list of other pages, but for those inside an article
+    kept = [text for path, _, text, article, links in blocks if (article or not links) and hashed(host, path) not in low]
     return " ".join(kept)
 
 

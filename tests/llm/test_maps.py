@@ -107,6 +107,14 @@ def test_html_site_style(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_article_is_only_evidence(spark):
+    """Text beside a marked article stays where its node says much; a marked paragraph that says the same on all pages goes."""
+    page = "<body><article><p>Read our best stories</p></article><div class=story>Main text {n} of this page</div><div class=strip>All rights kept</div></body>"
+    rows = [(k, f"http://teaser.example/{k}", page.format(n=k)) for k in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Main text {k} of this page" for k in range(10)}
+
+
 # --- language
 
 WORDS = {"aa": "kalu mira tosa belo nari".split(), "bb": "schtrump gewitz kroft blenz harg".split()}
