@@ -2,7 +2,7 @@
 
 Pages of one host are merged into a tree of styles: a node is a path of elements with their classes and ids. Of each node
 the first pass counts on how many pages it stands, how its children vary (presentation) and on how many pages each of its
-texts stands (content). Importance is the node's entropy against the logarithm of its page count: a node that shows the same few
+texts stands (content). Pages of one host with equal blocks count as one, so that copies do not look like a template. Importance is the node's entropy against the logarithm of its page count: a node that shows the same few
 texts on all pages of a host carries little, one whose texts are new on each page carries much. The second pass removes
 branches of low importance from each page, besides elements whose meaning HTML or their names give away (menus, forms, ...),
 and writes what is left. What a page marks as its article gets ARTICLE added to its importance and is judged like all else.
@@ -17,7 +17,6 @@ broken markup is read as far as it goes; repeated rows are extracted each; an em
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -214,34 +213,38 @@ def hashed(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
 
 
-def count_styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: style node, kind (0 pages, 1 presentation, 2 content), feature, pages."""
+def page_styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: host, a digest of its blocks, and of each of its features style node, parent, kind (0 page, 1 presentation, 2 content, 3 inner page), feature."""
+    kinds = pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())]))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
     for batch in batches:
-        seen: Counter = Counter()
+        seen: dict = {}
         for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if not html:
                 continue
             host = host_of(url)
             blocks, nodes = parse(html)
+            digest = xxhash.xxh3_128_digest(repr((blocks, nodes)).encode("utf-8", "surrogatepass"))
+            if (host, digest) in seen:
+                continue
             own = set()
             for path, parent, text, article, _ in blocks:
-                key = hashed(host, path)
-                own.add((host, key, hashed(host, parent), 0, int(article)))
-                own.add((host, key, 0, 2, hashed(text)))
+                key = signed(hashed(host, path))
+                own.add((key, signed(hashed(host, parent)), 0, int(article)))
+                own.add((key, 0, 2, signed(hashed(text))))
             for path, children in nodes:
-                key = hashed(host, path)
-                own.add((host, key, 0, 3, 0))
-                own.add((host, key, 0, 1, hashed(children)))
-            seen.update(own)
-        hosts, keys, parents, kinds, features = ([*x] for x in zip(*seen, strict=True)) if seen else ([], [], [], [], [])
-        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), signed(keys), signed(parents), pa.array(kinds, pa.int32()), signed(features), pa.array(list(seen.values()), pa.int64())], ["host", "node", "parent", "kind", "feature", "pages"])
+                key = signed(hashed(host, path))
+                own.add((key, 0, 3, 0))
+                own.add((key, 0, 1, signed(hashed(children))))
+            seen[host, digest] = [dict(zip(("node", "parent", "kind", "feature"), x, strict=True)) for x in own]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([d for _, d in seen], pa.binary()), pa.array(list(seen.values()), kinds)], ["host", "digest", "styles"])
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
     """host, node: the style nodes whose importance is below the threshold."""
-    counts = pages.mapInArrow(count_styles, "host string, node long, parent long, kind int, feature long, pages long")
-    counts = counts.groupBy("host", "node", "parent", "kind", "feature").agg(F.sum("pages").alias("pages"))
+    styles = pages.mapInArrow(page_styles, "host string, digest binary, styles array<struct<node: long, parent: long, kind: int, feature: long>>")
+    distinct = styles.groupBy("host", "digest").agg(F.first("styles").alias("styles"))
+    counts = distinct.select("host", F.inline("styles")).groupBy("host", "node", "parent", "kind", "feature").agg(F.count("*").alias("pages"))
     n, log = F.col("pages"), lambda x: F.log(F.greatest(x, F.lit(1)).cast("double"))
     pick = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     nodes = counts.groupBy("host", "node").agg(

@@ -115,6 +115,15 @@ def test_html_article_is_only_evidence(spark):
     assert got == {k: f"Main text {k} of this page" for k in range(10)}
 
 
+def test_html_copies_are_one_page(spark):
+    """Equal pages of a host are each extracted as one alone would be."""
+    page = "<body><div class=main>The only text</div><ul><li>with items</ul></body>"
+    rows = [(k, f"http://copy.example/{k}", page) for k in range(5)] + [(9, "http://copy.example/9", page.replace("only", "other"))] + [(10 + k, "http://twice.example/", page) for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert {got[k] for k in (10, 11)} == {"The only text with items"}
+    assert all("The only text" in got[k] for k in range(5)) and "The other text" in got[9]
+
+
 # --- language
 
 WORDS = {"aa": "kalu mira tosa belo nari".split(), "bb": "schtrump gewitz kroft blenz harg".split()}
