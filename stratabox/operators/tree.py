@@ -61,17 +61,19 @@ def live(current: DataFrame) -> DataFrame:
     return walk.join(current, ["path", "node_id"], "left")
 
 
-def parent_cycles(current: DataFrame, most: int = 64) -> DataFrame:
-    """path, node_id of nodes that are their own ancestor. Ancestors are followed by doubling, 2^rounds levels deep."""
+def parent_cycles(current: DataFrame) -> DataFrame:
+    """path, node_id of nodes that are their own ancestor. Ancestors are followed by doubling; a node has one parent, so after as many levels
+    as a tree has nodes only those on cycles are reached."""
     up = current.filter((~F.col("tombstone")) & (F.col("node_id") != F.col("parent_id"))).select("path", "node_id", F.col("parent_id").alias("up"))
-    found, step = None, up
-    seen = up.select("path", "node_id", F.array("node_id").alias("trail"), "up")
-    for _ in range(most.bit_length()):
-        hit = seen.filter(F.array_contains("trail", F.col("up"))).select("path", "node_id")
-        found = hit if found is None else found.unionByName(hit)
-        nxt = step.select("path", F.col("node_id").alias("up"), F.col("up").alias("next"))
-        seen = seen.join(nxt, ["path", "up"]).select("path", "node_id", F.concat("trail", F.array("up")).alias("trail"), F.col("next").alias("up"))
-    return found.distinct()
+    cut = (lambda df: df.checkpoint()) if current.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
+    step, levels = cut(up), 1
+    most = step.groupBy("path").count().agg(F.max("count")).first()[0] or 0
+    while levels < most and not step.isEmpty():
+        further = step.select("path", F.col("node_id").alias("up"), F.col("up").alias("next"))
+        step = cut(step.join(further, ["path", "up"]).select("path", "node_id", F.col("next").alias("up")))
+        levels *= 2
+    # the parent of the last node of a chain need not be a node here
+    return step.select("path", F.col("up").alias("node_id")).join(up.select("path", "node_id"), ["path", "node_id"], "left_semi").distinct()
 
 
 def resolve(tree: DataFrame, path: str) -> DataFrame:

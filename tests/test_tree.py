@@ -133,3 +133,18 @@ def test_tampering_breaks_the_chain():
 def test_compacting_a_tree_as_a_plain_archive_is_refused():
     with pytest.raises(ArchiveError, match="VersionedTree"):
         fmt.compacted(made().data)
+
+
+def test_long_parent_cycles(spark):
+    from stratabox.operators import tree
+
+    name = lambda k: k.to_bytes(16, "big")
+    rows = []
+    for path, size in (("a", 2), ("b", 8), ("c", 100)):
+        rows += [(path, name(k), name((k + 1) % size), False) for k in range(size)]
+        rows += [(path, name(1000 + k), name(1001 + k if k < 20 else 0), False) for k in range(21)]  # a tail that leads into the cycle
+    rows += [("d", name(k), name(k + 1), False) for k in range(150)]  # a chain to a root that is no node
+    rows += [("e", name(1), name(99), False), ("f", name(1), name(2), True), ("f", name(2), name(1), False)]
+    nodes = spark.createDataFrame(rows, "path string, node_id binary, parent_id binary, tombstone boolean")
+    got = sorted((r["path"], int.from_bytes(r["node_id"], "big")) for r in tree.parent_cycles(nodes).collect())
+    assert got == [(p, k) for p, size in (("a", 2), ("b", 8), ("c", 100)) for k in range(size)]
