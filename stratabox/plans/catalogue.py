@@ -163,7 +163,7 @@ def duplicate_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCS} SELECT label, CASE WHEN used < 1024 THEN CAST(used AS VARCHAR) || ' B' WHEN used % 1024 = 0 THEN CAST(used // 1024 AS VARCHAR) || ' KiB' ELSE printf('%.1f KiB', used / 1024.0) END AS size FROM docs WHERE used < 1048576")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(ingest.documents(spark, sf_dir), "partitions").filter("used_bytes < 1048576").select("label", integrity.human_size(F.col("used_bytes")).alias("size"))
+    return view(ingest.documents(spark, sf_dir), "partitions").select("label", integrity.human_size(F.col("used_bytes")).alias("size"))
 
 
 # --- layout

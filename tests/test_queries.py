@@ -94,3 +94,12 @@ def test_command_line(tmp_path, capsys):
     capsys.readouterr()
     assert main(["sign", g, "--key", str(tmp_path / "k")]) == 0 and "nothing to sign" in capsys.readouterr().out
     assert main(["inspect", g]) == 0 and main(["decode", g]) == 0 and main(["keys", g]) == 0
+
+
+def test_human_sizes_of_long_documents(spark, tmp_path):
+    """Documents of 1 MiB and more are in the result; the SQL speaks only of shorter ones."""
+    sizes = {0: 5, 1: 1536, 2: 1048575, 3: 1048576, 4: 1572864, 5: 2202010}
+    rows = [(k, "x" * n, "en", "s", n) for k, n in sizes.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["label"]: r["size"] for r in catalogue.queries()["human_sizes"](spark, str(tmp_path)).collect()}
+    assert got == {"doc-0": "5 B", "doc-1": "1.5 KiB", "doc-2": "1024.0 KiB", "doc-3": "1 MiB", "doc-4": "1.5 MiB", "doc-5": "2.1 MiB"}
