@@ -14,8 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NONE = 1 << 40
+from .common import Bounded, per_worker
+
+NONE = 1 << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -33,50 +35,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one match of the pattern."""
+    """The ids of one match of the pattern. Nodes hold rank * n + position, so the least is the leftmost of the least rank."""
     if piece in ranks:
         return [ranks[piece]]
-    n = len(piece)
-    leaves = 1
-    while leaves < n:
-        leaves *= 2
+    n, get = len(piece), ranks.get
+    leaves = 1 << max(0, n - 1).bit_length()
     tree = [NONE] * (2 * leaves)
     for i in range(n - 1):
-        tree[leaves + i] = ranks.get(piece[i : i + 2], NONE)
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            tree[leaves + i] = rank * n + i
     for node in range(leaves - 1, 0, -1):
         left, right = tree[2 * node], tree[2 * node + 1]
-        tree[node] = left if left <= right else right
+        tree[node] = left if left < right else right
     end = list(range(1, n + 1))  # where the token that starts here ends
     start = [i - 1 for i in range(n + 1)]  # where the token that ends before i starts
-
-    def put(leaf: int, rank: int) -> None:
-        node = leaves + leaf
-        tree[node] = rank
-        node >>= 1
-        while node:
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left <= right else right
-            if tree[node] == least:
-                break
-            tree[node] = least
-            node >>= 1
-
     while tree[1] != NONE:
-        least, node = tree[1], 1
-        while node < leaves:  # the leftmost leaf that holds the least rank
-            node *= 2
-            if tree[node] != least:
-                node += 1
-        i = node - leaves
+        i = tree[1] % n
         j = end[i]
         k = end[j]
-        end[i] = k
-        start[k] = i
-        put(j, NONE)
-        put(i, ranks.get(piece[i : end[k]], NONE) if k < n else NONE)
+        end[i], start[k] = k, i
+        news = [(j, NONE)]
+        rank = get(piece[i : end[k]]) if k < n else None
+        news.append((i, NONE if rank is None else rank * n + i))
         if i:
             h = start[i]
-            put(h, ranks.get(piece[h:k], NONE))
+            rank = get(piece[h:k])
+            news.append((h, NONE if rank is None else rank * n + h))
+        for leaf, least in news:
+            node = leaves + leaf
+            while tree[node] != least:
+                tree[node] = least
+                if node == 1:
+                    break
+                if tree[node ^ 1] < least:
+                    least = tree[node ^ 1]
+                node >>= 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -89,54 +83,31 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 UNIT = re.compile(r"(?= \S)")
 
 
-class Codec:
-    """Encodes and decodes texts. Ids of units and pieces met before are kept, in two generations of about
-    `limit` of each."""
+class Codec(Bounded):
+    """Encodes and decodes texts. Keeps the ids of units and matches met before, as little-endian unsigned 32-bit integers, within
+    `limit` bytes."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 500_000):
+    def __init__(self, path: str, pattern: str, limit: int = 128 << 20):
+        super().__init__(limit)
         self.ranks = load_ranks(path)
-        self.pieces = regex.compile(pattern)
+        self.pieces = regex.compile(pattern).findall
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, bytes] = {}  # units
-        self.parts: dict[str, bytes] = {}  # pieces
-        self.before: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # both, of the generation before
-        self.limit = limit
-
-    def encode_unit(self, unit: str) -> bytes:
-        out, parts, before = [], self.parts, self.before[1]
-        for piece in self.pieces.findall(unit):
-            ids = parts.get(piece)
-            if ids is None:
-                ids = before.get(piece)
-                if ids is None:
-                    ids = np.array(encode_piece(piece.encode(), self.ranks), "<u4").tobytes()
-                if len(piece) <= 64:
-                    parts[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+
+    def made(self, unit: str) -> bytes:
+        found = self.pieces(unit)
+        if len(found) == 1:
+            ids = encode_piece(unit.encode(), self.ranks)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.__getitem__, found))
+
+    def size(self, value: bytes) -> int:
+        return 80 + len(value)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) >= self.limit or len(self.parts) >= self.limit:
-            self.before, self.known, self.parts = (self.known, self.parts), {}, {}
-        units, known = UNIT.split(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
-        out, before = [], self.before[0]
-        for unit in units:
-            ids = known.get(unit)
-            if ids is None:
-                ids = before.get(unit)
-                if ids is None:
-                    ids = self.encode_unit(unit)
-                if len(unit) <= 64:
-                    known[unit] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, UNIT.split(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text or ""), "<u4").tolist()
@@ -145,9 +116,8 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return per_worker("codec", f"{path} {pattern}", lambda: Codec(path, pattern))
 
 
 def encoder(path: str, pattern: str):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import os
 import re
@@ -10,6 +12,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +26,22 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: Of the batches that go to Python workers: whole texts are held a few times over while a batch is worked on.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the place the driver has it (a cluster ships it with --py-files)."""
+    """Let Python workers import this package from the place the driver has it (a cluster ships it with --py-files), and bound the
+    batches that they get, where the session allows larger ones."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?\d+", spark.conf.get(name) or "")
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, str(most))
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -51,12 +63,23 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; drop() removes those that are no longer read.
 
-    What is read back does not depend on the executors that wrote it, and the shuffle files behind it can go.
+    What is read back does not depend on the executors that wrote it, and the shuffle files behind it can go. What a result still reads
+    stays until clear(), at the latest to the end of the driver's Python.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.kept: list[tuple[DataFrame, str]] = []
+        atexit.register(self.clear)
+
+    def clear(self) -> None:
+        """Remove the whole folder. Nothing may read its tables any more."""
+        atexit.unregister(self.clear)
+        self.kept = []
+        try:
+            remove(self.spark, self.root)
+        except Exception:  # noqa: BLE001  the session may have ended before the driver's Python
+            return
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
@@ -68,13 +91,16 @@ class Scratch:
         return kept
 
     def drop(self, *kept: DataFrame) -> None:
-        jvm = self.spark._jvm
         for name in (path for df, path in self.kept if any(df is x for x in kept)):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, name)
         self.kept = [x for x in self.kept if not any(x[0] is y for y in kept)]
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffles and broadcasts that nothing refers to any more, and delete their files."""
     gc.collect()
@@ -93,20 +119,48 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(LOWER_BYTES) if lower else raw).split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled as words come; emptied when it holds `limit` words, so that memory is bounded."""
+class Bounded(dict):
+    """What was made for keys met before, within `limit` bytes (as sized below): in two generations, so that what is met often stays.
+    A subclass has made(key)."""
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
+    #: Of an entry besides its key and value: its place in the dictionary, with the room that a growing dictionary leaves.
+    PLACE = 120
 
-    def __missing__(self, word: bytes) -> int:
-        got = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.limit:
+    def __init__(self, limit: int):
+        super().__init__()
+        self.before: dict = {}
+        self.room = self.half = limit // 2
+
+    def __missing__(self, key):
+        got = self.before.get(key)
+        if got is None:
+            got = self.made(key)
+        cost = self.PLACE + len(key) + self.size(got)
+        if cost > self.half // 8:  # too long to be kept
+            return got
+        if cost > self.room:
+            self.before, self.room = dict(self), self.half
             self.clear()
-        self[word] = got
+        self.room -= cost
+        self[key] = got
         return got
 
+    def made(self, key):
+        raise NotImplementedError
+
+    def size(self, value) -> int:
+        return 48
+
+
+class WordHashes(Bounded):
+    """word -> 64-bit hash."""
+
+    def __init__(self, limit: int = 48 << 20):
+        super().__init__(limit)
+
+    def made(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -141,17 +195,33 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_OWN: dict[str, tuple[str, object]] = {}
+_OWN: list[tuple[str, str, object]] = []
 
 
 def per_worker(name: str, token: str, make):
-    """make(), once for each Python worker and token (one drawn by the driver for each model); what an earlier token left
-    under the name goes."""
-    known, made = _OWN.get(name, (None, None))
-    if known != token:
-        made = make()
-        _OWN[name] = (token, made)
-    return made
+    """make(), once for each Python worker, name and token (one drawn by the driver for each model). A worker keeps one such thing
+    at a time: workers outlive operators, and what an earlier one left goes, with the memory that it had."""
+    if not _OWN or _OWN[0][:2] != (name, token):
+        if _OWN:
+            _OWN.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+        _OWN.append((name, token, make()))
+    return _OWN[0][2]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (Spark compares names without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def new_token() -> str:

@@ -6,8 +6,9 @@ node than with the node's coordinate maxima; what passes that bound is verified
 
 How the trees are spread. Sets that are equal are one node of the graph. The rest meet by prefix: in one order of all
 shingles, linked sets of n and m have at least l shingles in common among the first n - ceil(0.8 n) + l and m - ceil(0.8 m) + l
-of each. Nodes with fewer shared prefix shingles than that link to nothing and go. The order puts shingles that a sample of
-documents has often at the end; any order is right, this one keeps shared passages out of the prefixes.
+of each. Nodes with fewer shared prefix shingles than that link to nothing and go. The order puts shingles of shared passages at the
+end: those that several different sets among each WINDOW_SHINGLES shingles have, looked for in all documents. Any order is right; this
+one keeps passages out of the prefixes, those in d documents nearly surely once d exceeds twice the square root of the number of windows.
 
 1. Nodes whose points pass the bound are tied: each with the smallest nodes of its buckets, then, where a bucket still holds several
    such families, by trees over the bucket's points. What is linked is in one family.
@@ -35,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, as_long, parts, per_worker, table, windows, words_of
+from .common import Scratch, WordHashes, as_long, parts, per_worker, table, unused, windows, words_of
 from .graph import components
 
 SHINGLE = 5
 GROUPS = 256
-SAMPLE_DOCS = 4_000  # whose frequent shingles go to the end of the order
-FREQUENT = 4  # sampled documents that have a frequent shingle
+WINDOW_SHINGLES = 4_000_000  # among which a task looks for repeated ones at a time
+MOST_SHARED = 1_000_000  # repeated shingles that go to the end of the order: the most frequent ones (8 bytes of broadcast each)
 CHUNK_DOCS, CHUNK_SHINGLES = 200, 1_000_000
-CHUNK_ROWS = 4_000
+CHUNK_ROWS = 1_000
 FAMILY_DOCS, FAMILY_SHINGLES = 20_000, 4_000_000
 FINE = 512  # groups of the second bound, next to the sets themselves
 LEAF = 16
@@ -116,11 +117,11 @@ class CountTree:
         return self.order[at]
 
 
-def survey(hot: np.ndarray):
-    """Per row: its set's size, digest, prefix and point."""
+def survey(shared):
+    """Per row: its set's size, digest, prefix and point. shared: broadcast, the shingles at the end of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = per_worker("words", "", WordHashes)
+        hashes, hot = per_worker("words", "", WordHashes), shared.value
         for batch in batches:
             sizes, prints, keys, points = [], [], [], []
             for text in batch.column(1):
@@ -145,21 +146,40 @@ def survey(hot: np.ndarray):
     return run
 
 
-def frequent(own: DataFrame, sample_docs: int) -> np.ndarray:
-    """Shingles that several documents of a bounded sample have; they steer the order only."""
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows: text. Shingles that several different sets of one window have, and how many do."""
+    hashes = per_worker("words", "", WordHashes)
+    held: list[np.ndarray] = []
+    known: set[bytes] = set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = per_worker("words", "", WordHashes)
-        for batch in batches:
-            found = np.concatenate([np.empty(0, np.uint64), *(shingles(x.as_py(), hashes) for x in batch.column(0))])
-            values, counts = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(values)), pa.array(counts.astype(np.int32))], ["key", "n"])
+    def found() -> pa.RecordBatch:
+        flat = np.sort(np.concatenate([np.empty(0, np.uint64), *held]))
+        held.clear()
+        known.clear()
+        starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))[: len(flat)]
+        counts = np.diff(np.append(starts, len(flat)))
+        return pa.RecordBatch.from_arrays([pa.array(as_long(flat[starts[counts > 1]])), pa.array(counts[counts > 1])], ["key", "n"])
 
-    n = own.count()
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, sample_docs / max(n, 1)) * 1_000_000)
-    often = drawn.select("text").mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    keys = [r["key"] for r in often.orderBy(F.desc("n"), "key").limit(500_000).select("key").collect()]
-    return np.sort(np.array(keys, np.int64).view(np.uint64))
+    size = 0
+    for batch in batches:
+        for text in batch.column(0):
+            own = shingles(text.as_py(), hashes)
+            digest = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
+            if digest not in known:  # copies say nothing about passages
+                known.add(digest)
+                held.append(own)
+                size += len(own)
+                if size >= WINDOW_SHINGLES:
+                    yield found()
+                    size = 0
+    yield found()
+
+
+def shared_shingles(own: DataFrame, most: int = MOST_SHARED) -> np.ndarray:
+    """The most frequent repeated shingles of all documents, at most `most`, ascending. They steer the order only."""
+    often = own.select("text").mapInArrow(repeated, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    keys = often.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow().column(0).to_numpy()
+    return np.sort(keys.view(np.uint64))
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
@@ -177,29 +197,41 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[t
 
 
 def unite(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join what is linked among these sets: not all of them, but enough for the same components."""
-    up = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    """Links that join what is linked among these sets: not all of them, but enough for the same components.
 
+    Components are grown one by one, and what has joined one leaves the tree: a set is looked for among those alone that nothing has
+    reached yet, so a group of near copies costs one search over all of it, not one for each copy.
+    """
     points = np.stack([point(s) for s in sets])
     fine = np.stack([np.bincount((s >> np.uint64(32)).astype(np.int64) % FINE, minlength=FINE) for s in sets]).astype(np.int32)
     sizes = np.array([len(s) for s in sets])
-    tree, out = CountTree(points, sizes), []
-    for i in range(len(ids)):
-        near = np.sort(tree.search(points[i], int(sizes[i])))
-        near = near[near < i]
-        apart = near[np.fromiter((root(j) for j in near.tolist()), np.int64, len(near)) != root(i)]
-        apart = apart[np.minimum(fine[apart], fine[i]).sum(1) >= least_shared(int(sizes[i]), sizes[apart])]
-        for j in apart.tolist():
-            a, b = root(i), root(j)
-            if a != b and (ids[i] == ids[j] or linked(sets[i], sets[j])):
-                up[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[j]))
+    left = np.ones(len(ids), bool)
+    of_id: dict[int, list[int]] = {}
+    for k, i in enumerate(ids):
+        of_id.setdefault(i, []).append(k)
+    in_tree, out = np.arange(len(ids)), []
+    tree, gone = CountTree(points, sizes), 0
+    for first in range(len(ids)):
+        if not left[first]:
+            continue
+        left[first] = False
+        gone += 1
+        grown = [first]
+        while grown:
+            i = grown.pop()
+            if 2 * gone > len(in_tree):
+                in_tree, gone = in_tree[left[in_tree]], 0
+                tree = CountTree(points[in_tree], sizes[in_tree]) if len(in_tree) else None
+            near = in_tree[tree.search(points[i], int(sizes[i]))] if tree else in_tree
+            near = near[left[near]]
+            near = near[np.minimum(fine[near], fine[i]).sum(1) >= least_shared(int(sizes[i]), sizes[near])]
+            joins = [j for j in near.tolist() if linked(sets[i], sets[j])]
+            for j in joins + [j for j in of_id[ids[i]] if left[j]]:  # an id may stand for several sets
+                if left[j]:
+                    left[j] = False
+                    gone += 1
+                    grown.append(j)
+                    out.append((ids[i], ids[j]))
     return out
 
 
@@ -292,7 +324,8 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratc
     rows = scratch.keep(buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     keys = counts.groupBy("key").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("several"), F.sum("c").alias("rows")).filter("several > 1").drop("several")
-    rows = scratch.keep(rows.join(keys, "key").join(points, ["node", "n"]))
+    every, rows = rows, scratch.keep(rows.join(keys, "key").join(points, ["node", "n"]))
+    scratch.drop(every)
     columns = ["key", "band", "chunk", "home", "node", "component", "n", "point"]
     # pairs inside a bucket's main component need no look
     both_kinds = F.when(F.col("component") == F.col("main"), F.lit(False))
@@ -305,7 +338,9 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, points: DataFrame, scratc
     homes = homes.join(chunks, ["key", "band"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("home", F.lit(True))
     both = few.unionByName(guests.select(*columns)).unionByName(homes.select(*columns))
     both = both.repartition(parts(spark), "key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
-    return both.mapInArrow(between(spanning), "a long, b long").distinct()
+    pairs = scratch.keep(both.mapInArrow(between(spanning), "a long, b long").distinct())
+    scratch.drop(rows)
+    return pairs
 
 
 def shared_prefixes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -320,12 +355,13 @@ def shared_prefixes(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return lists.select("node", "n", F.explode("keys").alias("key"))
 
 
-def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_shared: int = MOST_SHARED) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = scratch.keep(own.mapInArrow(survey(frequent(own, sample_docs)), "doc_id long, n long, print binary, keys array<long>, point binary"))
+    shared = spark.sparkContext.broadcast(shared_shingles(own, most_shared))
+    known = scratch.keep(own.mapInArrow(survey(shared), "doc_id long, n long, print binary, keys array<long>, point binary"))
     sets = known.filter("n > 0 and doc_id is not null")
     nodes_of = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("node")))
     copies = sets.select("doc_id", "print").join(nodes_of, "print").filter("doc_id <> node").select("doc_id", "node", "print")
@@ -334,17 +370,18 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = nodes.select("node", "n", "point", "keys")
     # ids that stand for several sets tie them
     twice = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
-    buckets = scratch.keep(shared_prefixes(nodes, scratch))
-    heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
-    buckets = scratch.keep(buckets.join(heads, "key"))
+    spread = scratch.keep(shared_prefixes(nodes, scratch))
+    heads = spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
+    buckets = scratch.keep(spread.join(heads, "key"))
+    scratch.drop(spread)
     counted = scratch.keep(buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.count("*").alias("c")))
     points = scratch.keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "point"))
     headed = counted.join(points, ["node", "n"]).join(points.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
     headed = headed.select("head", "node", "n", "c", "head_n", "point", "head_point").mapInArrow(near_heads, "head long, node long, n long, c long")
     close = scratch.keep(headed.groupBy("head", "node").agg(F.max("n").alias("n"), F.max("c").alias("c")))
+    scratch.drop(counted)
     ties = close.select(F.col("node").alias("a"), F.col("head").alias("b"))
-    buckets = buckets.drop("head")
-    more = scratch.keep(cross_pairs(buckets, components(ties, scratch), points, scratch, spanning=True))
+    more = cross_pairs(buckets.drop("head"), components(ties, scratch), points, scratch, spanning=True)
     family = components(ties.unionByName(more), scratch).withColumnRenamed("component", "family")
     points = points.join(family, "node")
     sizes = points.groupBy("family").agg((F.count("*") <= FAMILY_DOCS).alias("few"), (F.sum("n") <= FAMILY_SHINGLES).alias("short"))
@@ -357,10 +394,11 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = scratch.keep(verify(groups, own).unionByName(twice))
     labels = scratch.keep(components(found, scratch))
     if not large.isEmpty():
-        pairs = cross_pairs(buckets.join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch, spanning=False)
+        pairs = cross_pairs(buckets.drop("head").join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch, spanning=False)
         pairs = scratch.keep(pairs.join(large.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n")), "b"))
         more = scratch.keep(verify(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")), own))
         labels = scratch.keep(components(found.unionByName(more), scratch))
+    scratch.drop(buckets, close, groups, found)
     named = nodes_of.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     joined = known.select("doc_id", "n", "print").join(named, "print", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -368,8 +406,9 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose id is their component's; rows with a null id stay."""
-    gone = join_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    (name,) = unused(docs.columns, "gone")
+    gone = join_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, as_long, mixed, new_token, per_worker, table, windows, words_of
+from .common import Bounded, Scratch, WordHashes, as_long, mixed, new_token, per_worker, table, windows, words_of
 
 SAMPLE_ROWS = 30_000
 FEATURES = 5_000
@@ -203,44 +203,38 @@ def tokens(text: str) -> set[str]:
     return found
 
 
-class Restorer:
-    """Keeps what tokens were restored to, up to `limit` tokens."""
+class Restorer(Bounded):
+    """Keeps what tokens were restored to."""
 
-    def __init__(self, decoder: Decoder, limit: int = 300_000):
-        self.decoder, self.limit, self.known = decoder, limit, {}
+    def __init__(self, decoder: Decoder, limit: int = 48 << 20):
+        super().__init__(limit)
+        self.decoder = decoder
+
+    def made(self, token: str) -> tuple[str, ...]:
+        return tuple(self.decoder.restore(token))
+
+    def size(self, value: tuple[str, ...]) -> int:
+        return 56 + sum(64 + len(w) for w in value)
 
     def words(self, text: str) -> set[str]:
-        known, out = self.known, set()
-        for token in tokens(text):
-            got = known.get(token)
-            if got is None:
-                got = self.decoder.restore(token)
-                if len(known) >= self.limit:
-                    known.clear()
-                known[token] = got
-            out.update(got)
-        return out
+        return set().union(*map(self.__getitem__, tokens(text)))
+
 
+class Scorer(Bounded):
+    """Texts to scores. Keeps the telling words that tokens were restored to."""
 
-class Scorer:
-    """Texts to scores. Tokens without a telling word are kept as None."""
+    def __init__(self, decoder: Decoder, weights: dict[str, float], bias: float, limit: int = 64 << 20):
+        super().__init__(limit)
+        self.decoder, self.weights, self.bias = decoder, weights, bias
 
-    def __init__(self, decoder: Decoder, weights: dict[str, float], bias: float, limit: int = 600_000):
-        self.decoder, self.weights, self.bias, self.limit, self.known = decoder, weights, bias, limit, {}
+    def made(self, token: str) -> tuple[str, ...]:
+        return tuple(w for w in self.decoder.restore(token) if w in self.weights)
 
-    def look_up(self, token: str):
-        got = tuple(w for w in self.decoder.restore(token) if w in self.weights) or None
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        self.known[token] = got
-        return got
+    def size(self, value: tuple[str, ...]) -> int:
+        return 56 + 8 * len(value) if value else 0
 
     def score(self, text: str | None) -> float:
-        known, found = self.known, set()
-        for token in tokens(text or ""):
-            got = known[token] if token in known else self.look_up(token)
-            if got:
-                found.update(got)
+        found = set().union(*map(self.__getitem__, tokens(text or "")))
         z = self.bias + sum(self.weights[w] for w in sorted(found))
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 

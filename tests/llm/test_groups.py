@@ -80,7 +80,7 @@ def test_jaccard_join_in_small_chunks(spark, monkeypatch):
     for name, value in (("CHUNK_DOCS", 3), ("CHUNK_ROWS", 4), ("FAMILY_DOCS", 2)):
         monkeypatch.setattr(jaccard, name, value)
     rows = near_rows(3)
-    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_groups(docs_of(spark, rows), sample_docs=0).collect())))
+    got = sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_groups(docs_of(spark, rows), most_shared=0).collect())))
     assert got == sorted(map(str, brute_components(rows)))
 
 
