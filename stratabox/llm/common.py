@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -224,5 +225,15 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Rows of two or three numbers that are broadcast at most (some 16 MB).
+FEW_ROWS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, match) -> DataFrame:
+    """The rows of docs that no row of `gone` (a kept table of a few numbers a row) matches. It is broadcast while it has at most FEW_ROWS
+    rows, so that whole texts need no shuffle; beyond that the two are joined by their keys."""
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, match, "left_anti")
+
+
 def new_token() -> str:
     return uuid.uuid4().hex

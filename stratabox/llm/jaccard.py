@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, as_long, parts, per_worker, table, unused, windows, words_of
+from .common import Scratch, WordHashes, as_long, parts, per_worker, table, unused, windows, without, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -408,7 +408,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose id is their component's; rows with a null id stay."""
     (name,) = unused(docs.columns, "gone")
     gone = join_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+    gone = Scratch(docs.sparkSession, "copies").keep(gone)
+    return without(docs, gone, docs["doc_id"].cast("long") == gone[name])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
