@@ -7,7 +7,7 @@ channel cost and character-trigram cost. The trigram counts are of all training
 
 Classifier. Logistic regression on the presence of restored words, fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by hash
 of the id). Rows that share a min-hash of their five-word shingles count once, lest a large group of copies makes its own words look
-telling; words enter by their likelihood ratio (at most FEATURES of them).
+telling; all words of the sample whose likelihood ratio reaches LEAST_RATIO enter.
 
 Defined results: a null text is an empty one; a text without telling words gets the base score; with no labels to learn from
 every score is 0; a null id is not held out; of rows that repeat a labelled id each is scored; an empty table gives an empty
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import Bounded, Scratch, WordHashes, as_long, mixed, new_token, per_worker, table, windows, words_of
 
 SAMPLE_ROWS = 30_000
-FEATURES = 5_000
 LEAST_RATIO = 22.0  # of a word's likelihood-ratio statistic
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -37,6 +36,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 # Channel costs in nats.
 SWAP, DROP_MARK, DROP_OTHER, REPEAT, DOUBLE, KEEP_MARK, GAP, SPACE = 1.2, 1.0, 14.0, 0.4, 2.5, 5.0, 0.3, 3.0
 
+PIECE = 1 << 19  # characters that are counted together
 LETTERS = 60  # classes of characters: 0 boundary, 1-26 a-z, 27-58 Latin-1 letters, 59 other letters
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 PLAIN = re.compile(r"[^\W\d_]+")
@@ -72,21 +72,25 @@ def trigrams(texts: list[str]) -> np.ndarray:
     out = np.zeros(LETTERS**3, np.int64)
     held, size = [], 0
 
-    def add() -> None:
-        codes = np.frombuffer(("\n\n" + "\n\n".join(held) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    def add(text: str) -> None:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = np.where(codes < 0x250, CLASSES[np.minimum(codes, 0x24F)], 59)
         key = (kind[:-2] * LETTERS + kind[1:-1]) * LETTERS + kind[2:]
         out.__iadd__(np.bincount(key[(kind[1:-1] > 0) | (kind[2:] > 0)], minlength=LETTERS**3))
 
     for text in texts:
-        for at in range(0, len(text), 1 << 19):  # long texts in pieces; a piece's edge counts as a boundary
-            held.append(text[at : at + (1 << 19)].lower())
-            size += len(held[-1])
-            if size >= 1 << 19:
-                add()
-                held, size = [], 0
+        low = f"\n\n{text.lower()}\n"
+        if len(low) > PIECE:
+            for at in range(0, len(low) - 2, PIECE):  # pieces share two characters, so each trigram is in one of them
+                add(low[at : at + PIECE + 2])
+            continue
+        held.append(low)
+        size += len(low)
+        if size >= PIECE:
+            add("".join(held))
+            held, size = [], 0
     if held:
-        add()
+        add("".join(held))
     return out
 
 
@@ -98,6 +102,32 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(total[key], pa.int64())], ["key", "n"])
 
 
+SETTLE = 1024
+
+
+def spelled(chain: list | None) -> str:
+    """What a chain reads, from its beginning."""
+    made = []
+    while chain is not None:
+        made.append(chain[1])
+        chain = chain[0]
+    return "".join(reversed(made))
+
+
+def settle(chains: list[list], written: list[str]) -> None:
+    """Write out what all chains begin with, and cut it off them."""
+    live = {id(x): x for x in chains}
+    while len(live) > 1:
+        longest = max(live.values(), key=lambda x: x[2])
+        del live[id(longest)]
+        if longest[0] is None:
+            return
+        live[id(longest[0])] = longest[0]
+    for shared in live.values():
+        written.append(spelled(shared))
+        shared[0], shared[1] = None, ""
+
+
 class Decoder:
     """Restores words. costs[a, b, c]: -log P(c | a, b) from smoothed counts."""
 
@@ -110,40 +140,44 @@ class Decoder:
         p3 = (c3 + 5 * p2[None]) / (c3.sum(2, keepdims=True) + 5)
         self.costs = (-np.log(p3)).tolist()
 
-    def arcs(self, token: str, double: float = DOUBLE) -> list[list[tuple[int, str, float]]]:
+    def arcs(self, token: str, double: float = DOUBLE) -> Iterator[list[tuple[int, str, float]]]:
         """For each position: (next position, output, channel cost)."""
-        out, n, i = [[] for _ in token], len(token), 0
+        n, i = len(token), 0
         while i < n:
             c = token[i]
             j = i + 1
             while j < n and token[j] == c:
                 j += 1
+            letter = c.isalpha()
             for k in range(i, j):  # from inside a run to its end: the rest was repetition
-                own = out[k]
                 if c == " ":
-                    own.append((k + 1, " ", SPACE))
-                    own.append((k + 1, "", GAP))
+                    yield [(k + 1, " ", SPACE), (k + 1, "", GAP)]
                     continue
-                letter = c.isalpha()
-                if letter:
-                    own.append((k + 1, c, 0.0))
-                for x in LEET.get(c, ""):
-                    own.append((k + 1, x, SWAP))
+                own = [(k + 1, c, 0.0)] if letter else []
+                own += [(k + 1, x, SWAP) for x in LEET.get(c, "")]
                 if k > i:
                     own.append((j, "", DROP_MARK if not letter and c not in LEET else REPEAT if j - i > 2 else double))
                 if not letter:
                     own.append((k + 1, "", DROP_OTHER if c.isalnum() else DROP_MARK))
                     own.append((k + 1, " ", DROP_OTHER if c.isalnum() else KEEP_MARK))
+                yield own
             i = j
-        return out
 
     def decode(self, token: str, double: float = DOUBLE) -> str:
-        """The likeliest reading, words parted by single spaces. double: the cost of reading a doubled letter as one."""
+        """The likeliest reading, words parted by single spaces. double: the cost of reading a doubled letter as one.
+
+        Readings are chains of (reading before, text, length); every SETTLE positions what all live ones share is written out and let go, so
+        memory does not grow with a token's length beyond its reading.
+        """
+        return " ".join(self.read(token, double)[0].split())
+
+    def read(self, token: str, double: float = DOUBLE) -> tuple[str, float]:
+        """The likeliest reading as it stands, and its cost."""
         costs, n = self.costs, len(token)
-        best: list[dict] = [{} for _ in range(n + 1)]
-        best[0] = {(0, 0): (0.0, None, "")}
+        states: dict[int, dict] = {0: {(0, 0): (0.0, [None, "", 0])}}
+        written: list[str] = []
         for i, arcs in enumerate(self.arcs(token, double)):
-            for (a, b), (cost, _, _) in best[i].items():
+            for (a, b), (cost, chain) in states.pop(i, {}).items():
                 row = costs[a][b]
                 for j, text, channel in arcs:
                     if not text:
@@ -156,18 +190,17 @@ class Decoder:
                     else:
                         c = class_of(text)
                         state, total = (b, c), cost + channel + row[c]
-                    old = best[j].get(state)
+                    own = states.setdefault(j, {})
+                    old = own.get(state)
                     if old is None or total < old[0]:
-                        best[j][state] = (total, (i, (a, b)), text)
-        if not best[n]:
-            return ""
-        state = min(best[n], key=lambda s: best[n][s][0] + (costs[s[0]][s[1]][0] if s[1] else 0.0))
-        at, made = n, []
-        while at:
-            _, back, text = best[at][state]
-            made.append(text)
-            at, state = back
-        return " ".join("".join(reversed(made)).split())
+                        own[state] = (total, [chain, text, chain[2] + 1])
+            if i % SETTLE == SETTLE - 1:
+                settle([x[1] for own in states.values() for x in own.values()], written)
+        if not states.get(n):
+            return "", math.inf
+        total, _, chain = min(((x[0] + (costs[s[0]][s[1]][0] if s[1] else 0.0), k, x[1]) for k, (s, x) in enumerate(states[n].items())), key=lambda x: x[:2])
+        written.append(spelled(chain))
+        return "".join(written), total
 
     def restore(self, token: str) -> list[str]:
         """The words that a lower-cased token, or run of single characters, stands for."""
@@ -307,7 +340,8 @@ def train(own: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
     ratio = 2 * (part(a, df * pos / n) + part(df - a, df * (n - pos) / n) + part(pos - a, (n - df) * pos / n) + part(n - df - pos + a, (n - df) * (n - pos) / n))
     telling = words.filter((F.col("df") > 2) & (a / df > 2 * pos / n)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    chosen_words = [r["word"] for r in telling.orderBy(F.desc("ratio"), "word").limit(FEATURES).collect()]
+    # words of at most sample_rows texts
+    chosen_words = [r["word"] for r in telling.orderBy("word").collect()]
     place = {w: k for k, w in enumerate(chosen_words)}
     if not place:
         return decoder.value, {}, math.log(pos / (n - pos))
