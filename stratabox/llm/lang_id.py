@@ -5,32 +5,32 @@ the languages of neighbouring words are learned with them, on sequences spliced
 that a switch inside a text is something the model has seen. Forward-backward gives each word's probabilities; a
 document's language is the one with the largest sum over its words, and its score that sum's share.
 
-The field is fitted on a bounded sample of labelled documents (SAMPLE_ROWS for each language, by hash of the id; documents over
-SAMPLE_CHARS code points are left out of the sample). Prediction covers every word of every text.
+The field is fitted on a bounded sample of labelled rows: SAMPLE_ROWS documents of each language, by hash of the id, and of each
+PIECES pieces of PIECE words, spread evenly over its whole length (all of it where it has no more). Prediction covers every word of every text.
 
-Defined results: `und` and score 0 if a text is null or has no letter, or if no document has a label to learn from; words
+Defined results: `und` and score 0 if a text is null or has no letter (of Unicode's category L), or if no document has a label to learn from; words
 without a letter take part in the chain without evidence and don't count for the document; repeated rows are predicted each;
 ties go to the language that comes first in the alphabet; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed, new_token, per_worker, table
 
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 50_000
+PIECES, PIECE = 40, 80
 BITS = 16  # of a feature's slot
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 BATCH_CHARS = 2_500_000  # of the texts whose chains are run together
 STEPS, RATE, DECAY = 60, 0.08, 1e-4  # of the fit
 LEXICON = 1  # a word is in a lexicon from so many occurrences per language in the sample, if over half are in it
@@ -249,17 +249,30 @@ class Predictor:
         return langs, scores
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """Labelled documents to fit on: about `rows` of each language, chosen by hash."""
+def pieces_of(text: str, pieces: int = PIECES, size: int = PIECE) -> str:
+    """Some words of a text, evenly over its length; all of them where it has at most pieces * size."""
+    words = text.split()
+    if len(words) <= pieces * size:
+        return text
+    starts = [k * (len(words) - size) // (pieces - 1) for k in range(pieces)]
+    return " ".join(w for at in starts for w in words[at : at + size])
+
+
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """Labelled rows to fit on: about `rows` documents of each language, chosen by hash, each as its pieces."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {x["lang"]: x["n"] for x in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*(F.lit(y) for lang, n in counts.items() for y in (lang, min(1.0, 1.25 * rows / n))))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    chosen = labelled.filter(drawn & (F.char_length("text") <= chars)).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    chosen = chosen.orderBy("h").limit(2 * rows * len(counts))
-    return [(x["text"], x["lang"]) for x in chosen.orderBy("h").collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pieces_of(x.as_py()) for x in batch.column(0)], pa.string()), batch.column(1), batch.column(2)], ["text", "lang", "h"])
+
+    chosen = labelled.filter(drawn).select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(run, "text string, lang string, h long")
+    return [(x["text"], x["lang"]) for x in chosen.orderBy("h", "text").limit(2 * rows * len(counts)).collect()]
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
