@@ -17,8 +17,9 @@ range by its scores on a bounded sample (SAMPLE_ROWS); it steers how many bucket
 largest norm can't reach TOP scores of the sample. Queries that found fewer than TOP visit all cells. Every row is indexed.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
-length than most; rows that repeat an id count once (the least vector); a null id takes no part; ties go to the smaller id; with
-fewer candidates than TOP all are returned; an empty table gives an empty result; other columns are not read.
+length than most; rows that repeat an id are candidates, and queries, each; a null id takes no part; ties go to the smaller id; with
+fewer candidates than TOP all are returned; products beyond the doubles are infinite; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -135,7 +136,8 @@ class Sample:
 
     def foretold(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each query, about the score of its last near vector, and a score that `top` others reach."""
-        scores = q @ self.x.T
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = np.nan_to_num(q @ self.x.T, nan=0.0, posinf=np.inf, neginf=-np.inf)
         scores[ids[:, None] == self.ids[None, :]] = -np.inf
         scores = -np.sort(-scores, axis=1)
         last = scores[:, min(self.rank, scores.shape[1]) - 1]
@@ -156,21 +158,28 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products by rows, added in the order of components, so that equal vectors get equal scores."""
     out = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        out += q[:, d] * x[:, d]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(x.shape[1]):
+            out += q[:, d] * x[:, d]
     return out
 
 
-def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], spans: np.ndarray, q: np.ndarray, floors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec, score): each query's best among the vectors of the buckets that it visits."""
+def best_of_cell(rows: np.ndarray, names: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.ndarray, lists: list[np.ndarray], spans: np.ndarray, q: np.ndarray, floors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): each query's best among the vectors (rows, with their ids as names) of the buckets that it visits.
+
+    What can't be among them is told by single-precision cosines against the cell's longest vector, whose error does not depend on
+    lengths; what is left is scored exactly.
+    """
     order = np.argsort(codes, kind="stable")
-    ids, codes, x = ids[order], codes[order], x[order]
-    small = x.astype(np.float32)
-    longest = norms(x).max()
-    out_q, out_v, out_s = [], [], []
+    rows, names, codes, x = rows[order], names[order], codes[order], x[order]
+    longest, lengths = norms(x).max(), norms(q)
+    small = (x / longest).astype(np.float32)
+    # below a floor's cosine nothing counts; divided step by step, for the product of two lengths may be too large for a double
+    lowest = np.where(np.isfinite(floors), floors / lengths / longest, -np.inf)
+    out_q, out_r, out_n, out_s = [], [], [], []
     for low in range(0, len(queries), 512):
         own = q[low : low + 512]
-        scores = np.full((len(own), len(ids)), -np.inf, np.float32)
+        scores = np.full((len(own), len(rows)), -np.inf, np.float32)
         asked = np.concatenate(lists[low : low + 512])
         who = np.repeat(np.arange(len(own)), [len(v) for v in lists[low : low + 512]])
         starts, ends = np.searchsorted(codes, asked), np.searchsorted(codes, asked + spans[low : low + 512][who])
@@ -178,39 +187,39 @@ def best_of_cell(ids: np.ndarray, codes: np.ndarray, x: np.ndarray, queries: np.
         starts, ends, who = starts[real], ends[real], who[real]
         by = np.lexsort((ends, starts))
         starts, ends, who = starts[by], ends[by], who[by]
-        own_small = own.astype(np.float32)
+        own_small = (own / lengths[low : low + 512, None]).astype(np.float32)
         begins = np.flatnonzero(np.concatenate(([True], (starts[1:] != starts[:-1]) | (ends[1:] != ends[:-1])))) if len(who) else np.empty(0, np.int64)
         for s, e in zip(begins, np.append(begins, len(who))[1:], strict=True):
-            rows = who[s:e]
-            scores[rows, starts[s] : ends[s]] = own_small[rows] @ small[starts[s] : ends[s]].T
-        scores[ids[None, :] == queries[low : low + 512, None]] = -np.inf
-        k = min(top, len(ids))
-        least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-        least = np.maximum(least, floors[low : low + 512].astype(np.float32))
-        slack = SLACK * np.maximum(norms(own) * longest, np.where(np.isfinite(least), np.abs(least), 0))
-        rows, cols = np.nonzero((scores >= (least - slack)[:, None]) & np.isfinite(scores))
-        for a in range(0, len(rows), 1 << 18):
-            r, c = rows[a : a + (1 << 18)], cols[a : a + (1 << 18)]
+            asking = who[s:e]
+            scores[asking, starts[s] : ends[s]] = own_small[asking] @ small[starts[s] : ends[s]].T
+        scores[rows[None, :] == queries[low : low + 512, None]] = -np.inf
+        k = min(top, len(rows))
+        least = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
+        least = np.maximum(least, lowest[low : low + 512])
+        found, cols = np.nonzero((scores >= (least - SLACK)[:, None]) & np.isfinite(scores))
+        for a in range(0, len(found), 1 << 18):
+            r, c = found[a : a + (1 << 18)], cols[a : a + (1 << 18)]
             out_q.append(queries[low + r])
-            out_v.append(ids[c])
+            out_r.append(rows[c])
+            out_n.append(names[c])
             out_s.append(exact(own[r], x[c]))
     if not out_q:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    found_q, found_v, found_s = map(np.concatenate, (out_q, out_v, out_s))
-    order = np.lexsort((found_v, -found_s, found_q))
-    found_q, found_v, found_s = found_q[order], found_v[order], found_s[order]
+    found_q, found_r, found_n, found_s = map(np.concatenate, (out_q, out_r, out_n, out_s))
+    order = np.lexsort((found_r, found_n, -found_s, found_q))
+    found_q, found_r, found_s = found_q[order], found_r[order], found_s[order]
     first = np.concatenate(([True], found_q[1:] != found_q[:-1]))
     place = np.arange(len(found_q)) - np.maximum.accumulate(np.where(first, np.arange(len(found_q)), 0))
     floor_of = dict(zip(queries.tolist(), floors.tolist(), strict=True))
     kept = (place < top) & (found_s >= np.array([floor_of[i] for i in found_q.tolist()]))
-    return found_q[kept], found_v[kept], found_s[kept]
+    return found_q[kept], found_r[kept], found_s[kept]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    """row (a number for each row), vec_id, v."""
+    own = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    own = own.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    return own.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return own.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
 def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, target: float = TARGET) -> DataFrame:
@@ -226,22 +235,22 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
     own = own.filter(F.size("v") == dims).withColumn("most", most)
     own = own.withColumn("norm", F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))))
     # shifted, so that no range ends at a norm of 1
-    own = scratch.keep(own.withColumn("band", F.floor(F.log2("norm") * BANDS + 0.37)).select("vec_id", "v", "norm", "band"))
+    own = scratch.keep(own.withColumn("band", F.floor(F.log2("norm") * BANDS + 0.37)).select("row", "vec_id", "v", "norm", "band"))
     bands = own.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).orderBy("band").collect()
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "v").toPandas()
+    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE_ROWS).select("row", "v").toPandas()
     made = {r["band"]: (i * tables, Tables(dims, r["n"], r["norm"], tables, target)) for i, r in enumerate(bands)}
-    held = spark.sparkContext.broadcast((made, Sample(sample["vec_id"].to_numpy(), np.stack(sample["v"].to_numpy()), n, top)))
+    held = spark.sparkContext.broadcast((made, Sample(sample["row"].to_numpy(), np.stack(sample["v"].to_numpy()), n, top)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            of_row = whole.column(2).to_numpy()
+            of_row = whole.column(3).to_numpy()
             for band in np.unique(of_row).tolist():
                 batch = whole.take(pa.array(np.flatnonzero(of_row == band)))
                 first, own = held.value[0][band]
-                lifted = own.lifted(matrix(batch.column(1), dims), False)
+                lifted = own.lifted(matrix(batch.column(2), dims), False)
                 for t in range(own.tables):
                     codes = own.codes(lifted, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), first + t, np.int32)), pa.array(own.cell_of(codes)), batch.column(0), batch.column(1), pa.array(codes)], ["t", "cell", "id", "v", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), first + t, np.int32)), pa.array(own.cell_of(codes)), *(batch.column(i) for i in range(3)), pa.array(codes)], ["t", "cell", "id", "name", "v", "code"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, sample = held.value
@@ -272,40 +281,44 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, id_col: str = "vec_id"
             asks = [r for r in rows if r[6] is not None]
             if data and asks:
                 found = best_of_cell(
-                    np.array([r[3] for r in data]), np.array([r[5] for r in data]), np.array([r[4] for r in data]),
+                    np.array([r[3] for r in data]), np.array([r[9] for r in data]), np.array([r[5] for r in data]), np.array([r[4] for r in data]),
                     np.array([r[3] for r in asks]), [np.array(r[6]) for r in asks], np.array([r[8] for r in asks]), np.array([r[4] for r in asks]), np.array([r[7] for r in asks]), top,
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["asked", "found", "score"])
 
-    data = own.select("vec_id", "v", "band").mapInArrow(index, "t int, cell long, id long, v array<double>, code long")
-    queries = own.filter(is_query(F.col("vec_id"))).select("vec_id", "v")
+    data = own.select("row", "vec_id", "v", "band").mapInArrow(index, "t int, cell long, id long, name long, v array<double>, code long")
+    queries = own.filter(is_query(F.col("vec_id"))).select("row", "v")
     asks = queries.mapInArrow(probe, "t int, cell long, id long, v array<double>, probes array<long>, span long, likeliest boolean")
     cells = data.groupBy("t", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cuts"))
     # a table of cells has about one row for CELL_ROWS vectors
-    data = data.join(cells, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), "id", "v", "code", F.lit(None).cast("array<long>").alias("probes"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("span"))
+    data = data.join(cells, ["t", "cell"]).select("t", "cell", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int").alias("cut"), "id", "v", "code", F.lit(None).cast("array<long>").alias("probes"), F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("span"), "name")
     data = scratch.keep(data)
-    asks = scratch.keep(asks.join(cells, ["t", "cell"]).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "id", "v", F.lit(0).cast("long").alias("code"), "probes", "span", "likeliest"))
+    asks = scratch.keep(asks.join(cells, ["t", "cell"]).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "id", "v", F.lit(0).cast("long").alias("code"), "probes", "span", F.lit(None).cast("long").alias("name"), "likeliest"))
 
     def ranked(asked: DataFrame) -> DataFrame:
         """asked: asks with floor."""
         used = data.join(asked.select("t", "cell").distinct(), ["t", "cell"], "left_semi")
         both = used.unionByName(asked.select(*data.columns)).repartition(parts(spark), "t", "cell", "cut").sortWithinPartitions("t", "cell", "cut")
-        return both.mapInArrow(rank_cells, "query_id long, vec_id long, score double")
+        return both.mapInArrow(rank_cells, "asked long, found long, score double")
 
-    near = scratch.keep(ranked(asks.filter("likeliest").withColumn("floor", F.lit(float("-inf")))).dropDuplicates(["query_id", "vec_id"]))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    floors = near.withColumn("place", place).filter(F.col("place") == top).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    near = scratch.keep(ranked(asks.filter("likeliest").withColumn("floor", F.lit(float("-inf")))).dropDuplicates(["asked", "found"]))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score")))
+    floors = near.withColumn("place", place).filter(F.col("place") == top).select(F.col("asked").alias("id"), F.col("score").alias("floor"))
     rest = asks.filter("not likeliest").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    found = scratch.keep(near.unionByName(ranked(rest)).dropDuplicates(["query_id", "vec_id"]))
-    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(top, n - 1))
-    short = queries.join(full, queries["vec_id"] == full["query_id"], "left_anti")
+    found = scratch.keep(near.unionByName(ranked(rest)).dropDuplicates(["asked", "found"]))
+    full = found.groupBy("asked").agg(F.count("*").alias("n")).filter(F.col("n") >= min(top, n - 1))
+    short = queries.join(full, queries["row"] == full["asked"], "left_anti")
     if not short.isEmpty():
         # each vector is in the first table of its range
         every = cells.filter(F.col("t") % tables == 0).select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
-        wide = short.select(F.col("vec_id").alias("id"), "v", F.lit(0).cast("long").alias("code"), F.array(F.lit(0).cast("long")).alias("probes"), F.lit(float("-inf")).alias("floor"), F.lit(1 << 62).cast("long").alias("span"))
-        found = found.unionByName(ranked(wide.crossJoin(every))).dropDuplicates(["query_id", "vec_id"])
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", order).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        # queries without TOP scores so far go through every cell: a stated set of queries against all rows
+        wide = short.select(F.col("row").alias("id"), "v").crossJoin(every)
+        wide = wide.select("t", "cell", "cut", "id", "v", F.lit(0).cast("long").alias("code"), F.array(F.lit(0).cast("long")).alias("probes"), F.lit(float("-inf")).alias("floor"), F.lit(1 << 62).cast("long").alias("span"), F.lit(None).cast("long").alias("name"))
+        found = found.unionByName(ranked(wide)).dropDuplicates(["asked", "found"])
+    ids = own.select("row", "vec_id")
+    named = found.join(ids.select(F.col("row").alias("found"), "vec_id"), "found").join(ids.select(F.col("row").alias("asked"), F.col("vec_id").alias("query_id")), "asked")
+    order = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "found"))
+    return named.withColumn("rank", order).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
