@@ -8,10 +8,11 @@ BLOCKED = np.float32(-1e9)
 
 
 class Attention:
-    """Predicts a class from the slots so far. tables: `slots` x `width` embeddings; a fixed table of log odds by last slot is
-    added to what attention gives."""
+    """Predicts a class from the slots so far, and within a class with `members` which of these slots it is. tables: `slots` x `width`
+    embeddings; a fixed table of log odds by last slot is added to what attention gives for classes, a learned bias for members."""
 
-    def __init__(self, slots: int, classes: int, window: int, overlap: int, prior: np.ndarray, width: int = 16, seed: int = 3):
+    def __init__(self, slots: int, classes: int, window: int, overlap: int, prior: np.ndarray, width: int = 16, seed: int = 3, members: dict[int, np.ndarray] | None = None, weight: np.ndarray | None = None):
+        """members: of a class its slots; weight: how often each slot is met."""
         rng = np.random.default_rng(seed)
         draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
         self.window, self.overlap, self.width, self.prior = window, overlap, width, prior.astype(np.float32)
@@ -19,30 +20,42 @@ class Attention:
             "e": draw(slots, width, by=0.3), "q": draw(width, width, by=0.25), "k": draw(width, width, by=0.25), "v": draw(width, width, by=0.25),
             "o": draw(width, classes, by=0.05), "b": np.zeros(classes, np.float32), "r": np.zeros(window, np.float32),
         }
+        self.members = members or {}
+        if self.members:
+            self.p["m"], self.p["mb"] = draw(slots, width, by=0.05), np.log(weight + 0.1).astype(np.float32)
+            self.place = np.zeros(slots, np.int64)  # of a slot among its class's members
+            for own in self.members.values():
+                self.place[own] = np.arange(len(own))
         self.ahead = np.triu(np.ones((window, window), bool), 1)
         self.gap = np.clip(np.arange(window)[:, None] - np.arange(window)[None, :], 0, window - 1)
 
     def bias(self) -> np.ndarray:
         return np.where(self.ahead, BLOCKED, self.p["r"][self.gap]).astype(np.float32)
 
-    def fit(self, slots: np.ndarray, targets: np.ndarray, steps: int, rate: float = 0.02, batch: int = 192, seed: int = 5) -> None:
-        """slots, targets: (windows, window); a target of -1 is not scored. Adam on minibatches."""
-        if not len(slots):
-            return
-        rng = np.random.default_rng(seed)
+    def fit(self, batches, rate: float = 0.02) -> None:
+        """batches: (slots, classes, members) of windows; a class of -1 is not scored, a member of -1 not looked for. Adam, a step for each."""
         m = {k: np.zeros_like(x) for k, x in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for step in range(1, steps + 1):
-            pick = rng.integers(0, len(slots), batch)
-            grads = self.slopes(slots[pick], targets[pick])
-            now = rate * (1 - 0.9 * step / steps)
-            for k, g in grads.items():
+        for step, (s, y, z) in enumerate(batches, 1):
+            for k, g in self.slopes(s, y, z).items():
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
-                self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         self.__dict__.pop("held", None)
 
-    def slopes(self, s: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def flat(self) -> np.ndarray:
+        """All parameters in a row."""
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def moved(self, by: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            n = self.p[k].size
+            self.p[k] = (self.p[k] + by[at : at + n].reshape(self.p[k].shape)).astype(np.float32)
+            at += n
+        self.__dict__.pop("held", None)
+
+    def slopes(self, s: np.ndarray, y: np.ndarray, z: np.ndarray | None = None) -> dict[str, np.ndarray]:
         p, d = self.p, self.width
         x = p["e"][s]
         q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
@@ -56,9 +69,20 @@ class Attention:
         real = y >= 0
         rows = np.nonzero(real)
         prob[rows[0], rows[1], y[real]] -= 1
-        g = prob * (real / max(1, real.sum())).astype(np.float32)[:, :, None]
+        share = 1 / max(1, real.sum())
+        g = prob * (real * share).astype(np.float32)[:, :, None]
         out = {"o": h.reshape(-1, d).T @ g.reshape(-1, g.shape[2]), "b": g.sum((0, 1))}
         gh = g @ p["o"].T
+        if self.members:
+            out["m"], out["mb"] = np.zeros_like(p["m"]), np.zeros_like(p["mb"])
+            flat_h, flat_gh = h.reshape(-1, d), gh.reshape(-1, d)
+            for own, at, spread in self.within(flat_h, y.ravel(), z.ravel()):
+                spread[np.arange(len(at)), self.place[z.ravel()[at]]] -= 1
+                spread *= np.float32(share)
+                out["m"][own] += spread.T @ flat_h[at]
+                out["mb"][own] += spread.sum(0)
+                flat_gh[at] += spread @ p["m"][own]
+            gh = flat_gh.reshape(gh.shape)
         ga = gh @ v.transpose(0, 2, 1)
         gv = a.transpose(0, 2, 1) @ gh
         gs = a * (ga - (ga * a).sum(2, keepdims=True))
@@ -72,14 +96,28 @@ class Attention:
         out["e"] = np.stack([np.bincount(ids, gx[:, i], len(p["e"])) for i in range(d)], 1).astype(np.float32)
         return out
 
+    def within(self, h: np.ndarray, y: np.ndarray, z: np.ndarray):
+        """Of each class with members that is met: its members, the places where one is looked for, and the members' chances there."""
+        wanted = np.flatnonzero((z >= 0) & (y >= 0))
+        order = wanted[np.argsort(y[wanted], kind="stable")]
+        cuts = np.flatnonzero(np.diff(y[order], prepend=-2)) if len(order) else []
+        for low, high in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            at, own = order[low:high], self.members[int(y[order[low]])]
+            chance = h[at] @ self.p["m"][own].T
+            chance += self.p["mb"][own]
+            chance -= chance.max(1, keepdims=True)
+            np.exp(chance, out=chance)
+            chance /= chance.sum(1, keepdims=True)
+            yield own, at, chance
+
     def prepare(self) -> tuple:
         p = self.p
         scale = np.float32(1 / np.sqrt(self.width))
         tables = np.concatenate([p["e"] @ p["q"] * scale, p["e"] @ p["k"], p["e"] @ p["v"]], 1)
         return np.ascontiguousarray(tables), np.ascontiguousarray(p["e"] @ p["o"] + p["b"] + self.prior), self.bias()
 
-    def log_probs(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each target (0 where it is -1), windows in batches."""
+    def log_probs(self, s: np.ndarray, y: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the probability of each target (0 where its class is -1), windows in batches."""
         if "held" not in self.__dict__:
             self.held = self.prepare()
         tables, direct, bias = self.held
@@ -93,13 +131,19 @@ class Attention:
             np.exp(score, out=score)
             mixed = score @ x[:, :, 2 * d :]
             mixed /= score.sum(2, keepdims=True)
-            logits = mixed.reshape(-1, d) @ self.p["o"]
+            mixed = mixed.reshape(-1, d)
+            logits = mixed @ self.p["o"]
             logits += direct[own.ravel()]
             target = y[at : at + 512].ravel()
             chosen = np.take_along_axis(logits, np.maximum(target, 0)[:, None], 1)[:, 0]
             np.exp(logits, out=logits)
             lp = chosen - np.log(logits.sum(1))
             lp[target < 0] = 0
+            if self.members:
+                wanted = z[at : at + 512].ravel()
+                mixed += self.p["e"][own.ravel()]
+                for _, rows, chance in self.within(mixed, target, wanted):
+                    lp[rows] += np.log(np.maximum(chance[np.arange(len(rows)), self.place[wanted[rows]]], 1e-30))
             out[at : at + 512] = lp.reshape(own.shape)
         return out
 
@@ -117,12 +161,12 @@ class Attention:
         scored = real & ((number == 0)[:, None] | (np.arange(self.window) >= self.overlap))
         return starts[owner][:, None] + np.where(real, inside, 0), scored, owner
 
-    def sums(self, slots: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def sums(self, slots: np.ndarray, targets: np.ndarray, lengths: np.ndarray, members: np.ndarray | None = None) -> np.ndarray:
         """The log probability of each sequence."""
         at, scored, owner = self.windows(lengths)
         out = np.zeros(len(lengths))
         for low in range(0, len(at), 8192):
             a, k = at[low : low + 8192], scored[low : low + 8192]
-            lp = self.log_probs(slots[a], np.where(k, targets[a], -1))
+            lp = self.log_probs(slots[a], np.where(k, targets[a], -1), None if members is None else np.where(k, members[a], -1))
             out += np.bincount(owner[low : low + 8192], lp.sum(1, dtype=np.float64), len(lengths))
         return out

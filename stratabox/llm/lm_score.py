@@ -1,16 +1,21 @@
 """Language-model scores of texts by causal self-attention over subword ids.
 
 P(text) is the product over its words, and its end, of
-    P(class of the word | words before) x P(word | class).
-The class is that of the word's leading subword. Its probability is an attention model's over the leading subwords of the words
-before it, in overlapping windows, each token scored once. P(word | class) takes the corpus's own counts, over all training
-documents, discounted, and gives what the discount frees to the spelling: a second attention model over the word's subword ids,
-trained on distinct words, which covers words that training has not. All of it adds up to at most 1 over texts.
-
-Counts are of the whole corpus: words are summed in each task, then by word. Words with more than a HOT-th of all tokens, at most HOT many, are
-broadcast; the rest meets the counts in one join, a row for each document and distinct word, so no word's rows pile up. The two
-models are fitted on a bounded sample (SAMPLE_ROWS training documents of at most SAMPLE_CHARS code points). Subwords are those of a
-public vocabulary; none is trained.
+    P(leading subword of the word | words before) x P(word | leading subword).
+The first is an attention model's over the leading subwords of the words before, in overlapping windows, each token scored once: it
+tells a class, and within the class the subword itself, both from the same context (the rarest subwords, of one class, by their counts).
+P(word | leading subword) takes the corpus's own counts, over all training documents, discounted, and gives what the discount frees to the
+spelling: a second attention model over the word's subword ids, which covers words that training has not. All of it adds up to at most 1
+over texts.
+
+What is learned comes from all training documents, whole texts of any length. Words are counted in each task, then by word. Of all
+windows of all documents every SHARE-th one (all, while they are at most FEW_WINDOWS) is written to a table of training windows; subword
+classes and the table of log odds are sums over it, and the attention models are trained on it in ROUNDS rounds: each task takes its
+windows in steps of Adam, and the tasks' steps are averaged by how many windows they saw. Both grow with the input, and no more than the
+models' parameters meets on the driver. Subwords are those of a public vocabulary; none is trained.
+
+Words with more than a HOT-th of all tokens, at most HOT many, are broadcast; the rest meets the counts in one join, a row for each
+document and distinct word, so no word's rows pile up.
 
 Defined results: a null or empty text is one end token; a null id is not held out; without training tokens N, V and all counts
 are 0; repeated rows are scored each; an empty table gives an empty result; other columns are not read.
@@ -18,7 +23,9 @@ are 0; repeated rows are scored each; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import copy
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,15 +37,18 @@ from pyspark.sql import functions as F
 from . import common
 from .attention import Attention
 from .byte_bpe import load_ranks
-from .common import Scratch, new_token, per_worker, table
+from .common import Bounded, Scratch, new_token, per_worker, table
 
 HOT = 500_000
-SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 50_000
 SLOTS, OWN_SLOTS = 4096, 3500
-CLASSES, OWN_CLASSES = 64, 40
+CLASSES, OWN_CLASSES, GROUPED = 96, 40, 4000  # classes; those of one subword; subwords that have a class of their own or in a group
 SPELL_CLASSES = 256
+BESIDE = 300  # subwords whose company tells classes
+SHARE, FEW_WINDOWS, ROUNDS, BATCH = 16, 200_000, 3, 128
+RATES = (0.02, 0.012, 0.006)
 DISCOUNT, STRENGTH = 0.75, 1.0
 END = b"\n"  # no word: words hold no white space
+NONE = -2  # no input or target
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -82,106 +92,122 @@ def clusters(rows: np.ndarray, weight: np.ndarray, k: int, seed: int = 1) -> np.
 class Model:
     """Both attention models and the tables that map subwords to slots and classes. Picklable and of bounded size."""
 
-    def __init__(self, subwords: Subwords, texts: list[str], vocabulary: int, seed: int = 2):
-        self.subwords = subwords
-        docs = [words_of(t) for t in texts]
-        types = list({w for d in docs for w in d})
-        spelled = subwords.ids(types)
-        lead_of = {w: s[0] if s else 0 for w, s in zip(types, spelled, strict=True)}
-        leads = np.bincount([lead_of[w] for d in docs for w in d] or [0], minlength=vocabulary)
-        every = np.bincount([i for s in spelled for i in s] or [0], minlength=vocabulary)
+    def __init__(self, subwords: Subwords, vocabulary: int, leads: np.ndarray, first: np.ndarray, later: np.ndarray):
+        """leads: how many training tokens begin with each subword; first, later: how many distinct training words have it first, or later."""
+        self.subwords, self.leads = subwords, leads
         # slots: 0 begins a text, the most frequent subwords have their own, others share
         self.slot = (1 + OWN_SLOTS + np.arange(vocabulary) % (SLOTS - 1 - OWN_SLOTS)).astype(np.int32)
-        often = np.argsort(-(leads + every), kind="stable")[:OWN_SLOTS]
+        often = np.argsort(-(leads + first + later), kind="stable")[:OWN_SLOTS]
         self.slot[often] = 1 + np.arange(len(often))
-        self._classes(docs, lead_of, leads, vocabulary, seed)
-        self._spelling(spelled, every, vocabulary)
-        # the text model
-        slots, targets, lengths = self.sequences([np.array([lead_of[w] for w in d], np.int64) for d in docs])
-        self.text = Attention(SLOTS, CLASSES, 32, 8, self._prior(slots, targets, CLASSES))
-        self._fit(self.text, slots, targets, lengths, 1000)
-
-    def _classes(self, docs, lead_of, leads, vocabulary, seed) -> None:
-        """The class of each leading subword: frequent ones have their own, others are grouped by the company they keep."""
-        self.cls = np.full(vocabulary, CLASSES - 1, np.int32)
         order = np.argsort(-leads, kind="stable")
-        order = order[leads[order] > 2]
-        self.cls[order[:OWN_CLASSES]] = 1 + np.arange(len(order[:OWN_CLASSES]))
-        rest = order[OWN_CLASSES:4000]
-        if len(rest):
-            place = np.full(vocabulary, -1)
-            place[rest] = np.arange(len(rest))
-            beside = np.full(vocabulary, -1)
-            beside[order[:300]] = np.arange(len(order[:300]))
-            seen = np.zeros((len(rest), len(order[:300])))
-            for d in docs:
-                ids = np.array([lead_of[w] for w in d], np.int64)
-                for gap in (1, 2, 3, 4):
-                    for a, b in ((ids[:-gap], ids[gap:]), (ids[gap:], ids[:-gap])):
-                        ok = (place[a] >= 0) & (beside[b] >= 0)
-                        np.add.at(seen, (place[a[ok]], beside[b[ok]]), 1)
-            rows = np.log1p(seen)
-            rows /= np.maximum(1e-9, np.linalg.norm(rows, axis=1, keepdims=True))
-            u, s, _ = np.linalg.svd(rows - rows.mean(0), full_matrices=False)
-            self.cls[rest] = 1 + OWN_CLASSES + clusters((u * s)[:, :10], leads[rest].astype(float), CLASSES - 2 - OWN_CLASSES, seed)
-
-    def _spelling(self, spelled, every, vocabulary) -> None:
-        first = np.bincount([s[0] for s in spelled if s] or [0], minlength=vocabulary) + 0.02
-        self.log_first = np.log(first / np.bincount(self.cls, first, CLASSES)[self.cls]).astype(np.float32)
-        later = np.bincount([i for s in spelled for i in s[1:]] or [0], minlength=vocabulary)
+        order = order[(leads[order] > 2) & (self.slot[order] <= OWN_SLOTS)]
+        self.single, self.grouped, self.beside = order[:OWN_CLASSES], order[OWN_CLASSES:GROUPED], order[:BESIDE]
         often = np.argsort(-later, kind="stable")[: SPELL_CLASSES - 2]
         self.spell_class = np.full(vocabulary, SPELL_CLASSES - 1, np.int32)
         self.spell_class[often] = 1 + np.arange(len(often))
         within = later + 0.02
         self.log_within = np.log(within / np.bincount(self.spell_class, within, SPELL_CLASSES)[self.spell_class]).astype(np.float32)
-        slots, targets, lengths, _ = self.spellings(spelled)
-        self.spell = Attention(SLOTS, SPELL_CLASSES, 8, 4, self._prior(slots, targets, SPELL_CLASSES), seed=4)
-        self._fit(self.spell, slots, targets, lengths, 600)
-
-    @staticmethod
-    def _prior(slots, targets, classes) -> np.ndarray:
-        seen = np.bincount(slots.astype(np.int64) * classes + targets, minlength=SLOTS * classes).reshape(SLOTS, classes)
-        base = (seen.sum(0) + 0.5) / (seen.sum() + 0.5 * classes)
-        return np.log((seen + 8 * base) / (seen.sum(1, keepdims=True) + 8))
-
-    @staticmethod
-    def _fit(model: Attention, slots, targets, lengths, steps) -> None:
-        at, scored, _ = model.windows(lengths)
-        model.fit(slots[at], np.where(scored, targets[at], -1), steps if len(slots) > 100 else 0)
-
-    def sequences(self, leads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Texts as leading subwords to inputs and targets: a beginning before, an end (class 0) after."""
-        lengths = np.array([len(x) + 1 for x in leads], np.int64)
-        flat = np.concatenate([np.empty(0, np.int64), *leads]).astype(np.int64)
-        ends = np.cumsum(lengths) - 1
-        slots, targets = np.zeros(int(lengths.sum()), np.int32), np.zeros(int(lengths.sum()), np.int32)
-        word = np.ones(len(slots), bool)
-        word[ends] = False
-        targets[word] = self.cls[flat]
-        begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-        after = np.ones(len(slots), bool)
-        after[begins] = False
-        slots[after] = self.slot[flat]
-        return slots, targets, lengths
-
-    def spellings(self, spelled: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words as subwords to inputs and targets: each but the first, then the end (class 0). Also ids of the targets, -1 at ends."""
-        lengths = np.array([len(s) for s in spelled], np.int64)
-        flat = np.fromiter((i for s in spelled for i in s), np.int64, int(lengths.sum()))
-        following = np.append(flat[1:], 0)
-        following[np.cumsum(lengths)[lengths > 0] - 1] = -1
-        targets = np.where(following < 0, 0, self.spell_class[following]).astype(np.int32)
-        return self.slot[flat], targets, lengths, following
-
-    def spell_log10(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word: its class and log10 P(spelling | class)."""
-        spelled = self.subwords.ids(words)
-        slots, targets, lengths, following = self.spellings(spelled)
-        total = self.spell.sums(slots, targets, lengths)
-        owner = np.repeat(np.arange(len(words)), lengths)
-        total += np.bincount(owner, np.where(following < 0, 0, self.log_within[following]), len(words))
-        lead = np.array([s[0] for s in spelled], np.int64)
-        return self.cls[lead], (total + self.log_first[lead]) / math.log(10)
+
+    def company(self, inputs: np.ndarray) -> np.ndarray:
+        """Of windows of leading subwords (rows): how often each grouped subword stands up to four words from each of `beside`, by
+        place * BESIDE + place."""
+        place, beside = np.full(len(self.slot) + 2, -1), np.full(len(self.slot) + 2, -1)
+        place[self.grouped], beside[self.beside] = np.arange(len(self.grouped)), np.arange(len(self.beside))
+        out = np.zeros(max(1, len(self.grouped)) * BESIDE, np.int64)
+        for gap in (1, 2, 3, 4):
+            for x, y in ((inputs[:, :-gap], inputs[:, gap:]), (inputs[:, gap:], inputs[:, :-gap])):
+                x, y = place[x], beside[y]
+                ok = (x >= 0) & (y >= 0)
+                out += np.bincount(x[ok] * BESIDE + y[ok], minlength=len(out))
+        return out
+
+    def group(self, seen: np.ndarray) -> None:
+        """Classes from the company that subwords keep: single ones, groups, and the rest. 0 is the end of a text."""
+        self.cls = np.full(len(self.slot), CLASSES - 1, np.int32)
+        self.cls[self.single] = 1 + np.arange(len(self.single))
+        if len(self.grouped):
+            rows = np.log1p(seen.reshape(-1, BESIDE)[: len(self.grouped)].astype(np.float64))
+            rows /= np.maximum(1e-9, np.linalg.norm(rows, axis=1, keepdims=True))
+            u, s, _ = np.linalg.svd(rows - rows.mean(0), full_matrices=False)
+            self.cls[self.grouped] = 1 + OWN_CLASSES + clusters((u * s)[:, :10], self.leads[self.grouped].astype(float), CLASSES - 2 - OWN_CLASSES)
+        self.members = {int(c): np.sort(self.slot[self.grouped[self.cls[self.grouped] == c]]) for c in np.unique(self.cls[self.grouped])}
+        # subwords of the last class by their counts alone
+        self.log_lead = np.zeros(len(self.slot), np.float32)
+        rest = self.cls == CLASSES - 1
+        weight = self.leads[rest] + 0.02
+        self.log_lead[rest] = np.log(weight / weight.sum())
+
+    def begin(self, text_seen: np.ndarray, spell_seen: np.ndarray) -> None:
+        """The models before training, from counts of (last slot, class)."""
+        weight = np.zeros(SLOTS)
+        weight[self.slot[self.grouped]] = self.leads[self.grouped]
+        self.text = Attention(SLOTS, CLASSES, 32, 8, prior_of(text_seen, CLASSES), members=self.members, weight=weight)
+        self.spell = Attention(SLOTS, SPELL_CLASSES, 8, 4, prior_of(spell_seen, SPELL_CLASSES), seed=4)
+
+    def text_targets(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leading subwords (-1: a beginning, an end; NONE) to slots, classes and members."""
+        slots = np.where(inputs >= 0, self.slot[np.maximum(inputs, 0)], 0)
+        classes = np.where(targets >= 0, self.cls[np.maximum(targets, 0)], np.where(targets == -1, 0, -1))
+        grouped = (classes > OWN_CLASSES) & (classes < CLASSES - 1)
+        return slots, classes, np.where(grouped, self.slot[np.maximum(targets, 0)], -1)
+
+    def spell_targets(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Subwords of words likewise: a target of -1 is the word's end."""
+        slots = np.where(inputs >= 0, self.slot[np.maximum(inputs, 0)], 0)
+        return slots, np.where(targets >= 0, self.spell_class[np.maximum(targets, 0)], np.where(targets == -1, 0, -1)), np.full(targets.shape, -1)
+
+    def spell_log10(self, spelled: list[list[int]]) -> np.ndarray:
+        """Of words as subwords: log10 P(what follows the leading one, to the end)."""
+        inputs, targets, lengths = spellings(spelled)
+        slots, classes, _ = self.spell_targets(inputs, targets)
+        total = self.spell.sums(slots, classes, lengths)
+        owner = np.repeat(np.arange(len(spelled)), lengths)
+        total += np.bincount(owner, np.where(targets < 0, 0, self.log_within[np.maximum(targets, 0)]), len(spelled))
+        return total / math.log(10)
+
+    def text_log10(self, leads: list[np.ndarray]) -> np.ndarray:
+        """Of texts as leading subwords: log10 of the product over their words, and the end, of P(leading subword | words before)."""
+        inputs, targets, lengths = sequences(leads)
+        slots, classes, members = self.text_targets(inputs, targets)
+        total = self.text.sums(slots, classes, lengths, members)
+        owner = np.repeat(np.arange(len(leads)), lengths)
+        total += np.bincount(owner, np.where(targets < 0, 0, self.log_lead[np.maximum(targets, 0)]), len(leads))
+        return total / math.log(10)
+
+
+def prior_of(seen: np.ndarray, classes: int) -> np.ndarray:
+    seen = seen.reshape(SLOTS, classes).astype(np.float64)
+    base = (seen.sum(0) + 0.5) / (seen.sum() + 0.5 * classes)
+    return np.log((seen + 8 * base) / (seen.sum(1, keepdims=True) + 8))
+
+
+def sequences(leads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as leading subwords to inputs (-1: the beginning) and targets (-1: the end), laid end to end, and their lengths."""
+    lengths = np.array([len(x) + 1 for x in leads], np.int64)
+    flat = np.concatenate([np.empty(0, np.int64), *leads]).astype(np.int64)
+    ends = np.cumsum(lengths) - 1
+    inputs, targets = np.full(int(lengths.sum()), -1), np.full(int(lengths.sum()), -1)
+    word = np.ones(len(targets), bool)
+    word[ends] = False
+    targets[word] = flat
+    after = np.ones(len(inputs), bool)
+    after[ends - lengths + 1] = False
+    inputs[after] = flat
+    return inputs, targets, lengths
+
+
+def spellings(spelled: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as subwords to inputs and targets: each but the first, then the end (-1)."""
+    lengths = np.array([len(s) for s in spelled], np.int64)
+    inputs = np.fromiter((i for s in spelled for i in s), np.int64, int(lengths.sum()))
+    targets = np.append(inputs[1:], 0)[: len(inputs)]
+    targets[np.cumsum(lengths)[lengths > 0] - 1] = -1
+    return inputs, targets, lengths
+
+
+def window_rows(inputs: np.ndarray, targets: np.ndarray, at: np.ndarray, scored: np.ndarray) -> np.ndarray:
+    """Windows as rows of inputs and then targets, which are NONE where another window scores them or nothing is there."""
+    return np.concatenate([inputs[at], np.where(scored, targets[at], NONE)], 1).astype("<i4")
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,18 +232,25 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-class Reader:
-    """What a worker keeps: the leading subword of words met, up to `limit`, and the broadcast words' sums."""
+class Leads(Bounded):
+    """word -> its leading subword."""
+
+    def __init__(self, subwords: Subwords, limit: int = 96 << 20):
+        super().__init__(limit)
+        self.subwords = subwords
+
+    def made(self, word: bytes) -> int:
+        return self.subwords.ids([word])[0][0]
 
-    def __init__(self, model: Model, hot: dict[bytes, tuple[int, float, float]], limit: int = 500_000):
-        self.model, self.hot, self.limit = model, hot, limit
-        self.lead: dict[bytes, int] = {}
+    def array(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.lead) > self.limit:
-            self.lead.clear()
-        for w, s in zip(words, self.model.subwords.ids(words), strict=True):
-            self.lead[w] = s[0]
+
+class Reader:
+    """What a worker keeps: the leading subwords of words met, and the broadcast words' sums."""
+
+    def __init__(self, model: Model, hot: dict[bytes, tuple[int, float, float]]):
+        self.model, self.hot, self.leads = model, hot, Leads(model.subwords)
 
     def read(self, texts: list[str | None]) -> tuple[list[tuple[int, int, float, float]], np.ndarray, list[list[bytes]], list[list[int]]]:
         """Per text: (tokens, known, base, static) over broadcast words; the attention model's log10; the other words and their counts."""
@@ -225,13 +258,7 @@ class Reader:
         hot = self.hot
         for text in texts:
             words = words_of(text)
-            new = [w for w in set(words) if w not in self.lead]
-            if new:
-                if len(self.lead) + len(new) > self.limit:
-                    self.lead.clear()
-                    new = list(set(words))
-                self.learn(new)
-            leads.append(np.fromiter(map(self.lead.__getitem__, words), np.int64, len(words)))
+            leads.append(self.leads.array(words))
             own = Counter(words)
             own[END] += 1
             known, base, static, rest, times = 0, 0.0, 0.0, [], []
@@ -247,8 +274,181 @@ class Reader:
             sums.append((len(words) + 1, known, base, static))
             others.append(rest)
             counts.append(times)
-        slots, targets, lengths = self.model.sequences(leads)
-        return sums, self.model.text.sums(slots, targets, lengths) / math.log(10), others, counts
+        return sums, self.model.text_log10(leads), others, counts
+
+
+def text_windows(docs: DataFrame, subwords: Subwords, share: int, token: str) -> DataFrame:
+    """docs: text. win (inputs and targets of a window, as leading subwords), of every share-th window of each text; where a text begins to
+    count is told by its first words, so short texts come in as often as long ones."""
+    shape = Attention(1, 1, 32, 8, np.zeros((1, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads = per_worker("leads", token, lambda: Leads(subwords))
+        for batch in batches:
+            out = []
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                at, scored, _ = shape.windows(np.array([len(words) + 1]))
+                chosen = np.arange(zlib.crc32(b" ".join(words[:8])) % share, len(at), share)
+                if len(chosen):
+                    at, scored = at[chosen], scored[chosen]
+                    ids, held = np.full(len(words) + 1, -1), np.unique(np.concatenate([at.ravel(), np.maximum(at - 1, 0).ravel()]))
+                    held = held[held < len(words)]
+                    ids[held] = leads.array([words[k] for k in held.tolist()])
+                    inputs = np.concatenate(([-1], ids[:-1]))
+                    out += [x.tobytes() for x in window_rows(inputs, ids, at, scored)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["win"])
+
+    return docs.select("text").mapInArrow(run, "win binary")
+
+
+def word_windows(words: DataFrame) -> DataFrame:
+    """words: subs. win, likewise, of words as subwords."""
+    shape = Attention(1, 1, 8, 4, np.zeros((1, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inputs, targets, lengths = spellings(batch.column(0).to_pylist())
+            at, scored, _ = shape.windows(lengths)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in window_rows(inputs, targets, at, scored)], pa.binary())], ["win"])
+
+    return words.select("subs").mapInArrow(run, "win binary")
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of windows to inputs and targets."""
+    both = np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), -1).astype(np.int64)
+    half = both.shape[1] // 2
+    return both[:, :half], both[:, half:]
+
+
+def summed(wins: DataFrame, count, size: int) -> np.ndarray:
+    """The sum over all windows of count(inputs, targets), an array of `size` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += count(*unpacked(batch.column(0)))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    rows = wins.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def trained(attention: Attention, wins: DataFrame, prepare) -> None:
+    """Rounds over the windows, each over those that a hash gives it; few windows are gone through several times."""
+    spark = wins.sparkSession
+    n = wins.count()
+    if n < 8:
+        return
+    epochs = max(1, min(20, FEW_WINDOWS // n))
+    for number in range(ROUNDS):
+        held = spark.sparkContext.broadcast(attention)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
+            own, seen, kept = copy.deepcopy(held.value), 0, []
+            before = own.flat()
+
+            def steps():
+                nonlocal seen
+                waiting: list[tuple] = []
+                for batch in batches:
+                    for low in range(0, batch.num_rows, BATCH):
+                        waiting.append(prepare(*unpacked(batch.column(0).slice(low, BATCH))))
+                        seen += len(waiting[-1][0])
+                        if sum(len(x[0]) for x in waiting) >= BATCH:
+                            made = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                            waiting.clear()
+                            if epochs > 1:
+                                kept.append(made)
+                            yield made
+                if waiting:
+                    made = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                    if epochs > 1:
+                        kept.append(made)
+                    yield made
+                rng = np.random.default_rng(number)
+                for _ in range(epochs - 1):
+                    for k in rng.permutation(len(kept)):
+                        yield kept[k]
+
+            own.fit(steps(), RATES[number])
+            by = (own.flat() - before).astype(np.float64) * seen
+            at = np.flatnonzero(by)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(by[at], float(seen)))], ["at", "by"])
+
+        part = wins.filter(F.pmod(F.xxhash64("win"), F.lit(ROUNDS)) == number)
+        rows = part.mapInArrow(run, "at long, by double").groupBy("at").agg(F.sum("by").alias("by")).toArrow()
+        at, by = rows["at"].to_numpy(), rows["by"].to_numpy()
+        seen = by[at < 0].sum()
+        if seen:
+            move = np.zeros(len(attention.flat()))
+            move[at[at >= 0]] = by[at >= 0] / seen
+            attention.moved(move)
+
+
+def learn(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """own: doc_id, held_out, text. The trained model, and the written table of all words: word, n (tokens), c (of them in training), lead,
+    spelled (log10 of the spelling given the leading subword)."""
+    token = new_token()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(subwords.ids(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "n", "c", "subs"])
+
+    counted = own.select("held_out", "text").mapInArrow(count_words, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    words = scratch.keep(counted.mapInArrow(split, "word binary, n long, c long, subs array<int>"))
+    seen = words.filter((F.col("c") > 0) & (F.col("word") != F.lit(END)))
+    leads, first, later = (np.zeros(vocabulary, np.int64) for _ in range(3))
+    # at most a row for each subword of the vocabulary
+    rows = seen.groupBy(F.element_at("subs", 1).alias("lead")).agg(F.sum("c").alias("c"), F.count("*").alias("types")).toArrow()
+    leads[rows["lead"].to_numpy()], first[rows["lead"].to_numpy()] = rows["c"].to_numpy(), rows["types"].to_numpy()
+    rows = seen.select(F.explode(F.slice("subs", 2, 1 << 30)).alias("sub")).groupBy("sub").agg(F.count("*").alias("n")).toArrow()
+    later[rows["sub"].to_numpy()] = rows["n"].to_numpy()
+    model = Model(subwords, vocabulary, leads, first, later)
+    whole = int(leads.sum()) // 24 + 1  # windows, about
+    wins = scratch.keep(text_windows(own.filter(~F.col("held_out")), subwords, max(1, min(SHARE, -(-whole // FEW_WINDOWS))), token))
+    types = int(first.sum())
+    part = max(1, min(SHARE, -(-types // FEW_WINDOWS)))
+    spells = scratch.keep(word_windows(seen.filter(F.pmod(F.xxhash64("word"), F.lit(part)) == 0)))
+    model.group(summed(wins, lambda inputs, targets: model.company(inputs), max(1, len(model.grouped)) * BESIDE))
+
+    def by_last(prepare, classes: int):
+        def count(inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+            slots, target, _ = prepare(inputs, targets)
+            real = target >= 0
+            return np.bincount(slots[real].astype(np.int64) * classes + target[real], minlength=SLOTS * classes)
+
+        return count
+
+    model.begin(summed(wins, by_last(model.text_targets, CLASSES), SLOTS * CLASSES), summed(spells, by_last(model.spell_targets, SPELL_CLASSES), SLOTS * SPELL_CLASSES))
+    bare = Bare(model)
+    trained(model.text, wins, bare.text_targets)
+    trained(model.spell, spells, bare.spell_targets)
+    scratch.drop(wins, spells)
+    held = own.sparkSession.sparkContext.broadcast(model)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            subs = batch.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([x[0] for x in subs], pa.int32()), pa.array(held.value.spell_log10(subs))], ["word", "n", "c", "lead", "spelled"])
+
+    priced = scratch.keep(words.mapInArrow(spell, "word binary, n long, c long, lead int, spelled double"))
+    scratch.drop(words)
+    return model, priced
+
+
+class Bare:
+    """The tables of a model without its networks, for tasks that train them."""
+
+    text_targets, spell_targets = Model.text_targets, Model.spell_targets
+
+    def __init__(self, model: Model):
+        self.slot, self.cls, self.spell_class = model.slot, model.cls, model.spell_class
 
 
 def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50_257) -> DataFrame:
@@ -257,35 +457,19 @@ def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     scratch = Scratch(spark, "lm")
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 1, F.lit(False))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    # models, on a bounded sample
-    training = own.filter(~F.col("held_out"))
-    n = training.count()
-    drawn = training.filter(F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, SAMPLE_ROWS / max(n, 1)) * 1_000_000))
-    texts = [r["text"] for r in drawn.select("text").orderBy(F.xxhash64("text"), "text").limit(2 * SAMPLE_ROWS).collect()]
-    model = spark.sparkContext.broadcast(Model(Subwords(path, pattern), texts, vocabulary))
-    token = new_token()
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 20_000):
-                part = batch.slice(low, 20_000)
-                cls, log = model.value.spell_log10(part.column(0).to_pylist())
-                end = np.array([w == END for w in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.where(end, 0, cls).astype(np.int32)), pa.array(np.where(end, 0.0, log))], ["word", "n", "c", "class", "spelled"])
-
-    counted = own.select("held_out", "text").mapInArrow(count_words, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    words = scratch.keep(counted.mapInArrow(spell, "word binary, n long, c long, class int, spelled double"))
+    made, words = learn(own, Subwords(path, pattern), vocabulary, scratch)
+    model, token = spark.sparkContext.broadcast(made), new_token()
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
     N, V = total["N"], total["V"]
-    # at most CLASSES rows
-    classes = words.groupBy("class").agg(F.sum("c").cast("double").alias("tokens"), F.count_if(F.col("c") > 0).cast("double").alias("types"))
-    c = F.col("c").cast("double")
-    free = DISCOUNT * F.col("types") + STRENGTH
-    static = F.log10((F.greatest(c - DISCOUNT, F.lit(0.0)) + free * F.pow(F.lit(10.0), F.col("spelled"))) / (F.col("tokens") + STRENGTH))
+    # of each leading subword of the vocabulary the training words that begin with it
+    leads = words.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).groupBy("lead").agg(F.sum("c").cast("double").alias("tokens"), F.count("*").cast("double").alias("types"))
+    c, tokens = F.col("c").cast("double"), F.coalesce("tokens", F.lit(0.0))
+    free = DISCOUNT * F.coalesce("types", F.lit(0.0)) + STRENGTH
+    static = F.log10((F.greatest(c - DISCOUNT, F.lit(0.0)) + free * F.pow(F.lit(10.0), F.col("spelled"))) / (tokens + STRENGTH))
     # where the spelling is too unlikely for a double, its logarithm goes in alone
-    static = F.when(c > 0, static).otherwise(F.log10(free / (F.col("tokens") + STRENGTH)) + F.col("spelled"))
+    static = F.when(c > 0, static).otherwise(F.log10(free / (tokens + STRENGTH)) + F.col("spelled"))
     base = F.log10((c + 0.5) / F.lit(N + 0.5 * (V + 1)))
-    priced = words.join(F.broadcast(classes), "class").select("word", "n", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), F.when(F.col("word") == F.lit(END), 0.0).otherwise(static).alias("static"))
+    priced = words.join(F.broadcast(leads), "lead", "left").select("word", "n", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), F.when(F.col("word") == F.lit(END), 0.0).otherwise(static).alias("static"))
     # words over a HOT-th of all tokens: fewer than HOT of them
     often = {bytes(r["word"]): (r["known"], r["base"], r["static"]) for r in priced.filter(F.col("n") * HOT > total["all"]).drop("n").collect()}
     hot = spark.sparkContext.broadcast(often)
