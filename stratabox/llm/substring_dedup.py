@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, WordHashes, as_long, mixed, per_worker, table, windows, words_of
+from .common import WORD, Scratch, WordHashes, as_long, mixed, per_worker, table, unused, windows, words_of
 
 WINDOW = 50
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -174,29 +174,35 @@ def cut_text(text: str, starts: np.ndarray, window: int) -> str:
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all rows and columns, with covered words cut from `text` (and `n_chars` set where a text changed)."""
     documents, covered = repeats(docs, window)
+    columns, schema = docs.columns, docs.schema
+    doc, row, starts_name, whole_name = unused(columns, "cut_doc", "cut_row", "cut_starts", "cut_whole")
     whole = documents.filter("whole").select("doc_id", "row_key").withColumn("starts", F.lit(None).cast("array<int>")).withColumn("whole", F.lit(True))
-    changes = covered.withColumn("whole", F.lit(False)).unionByName(whole).withColumnsRenamed({"doc_id": "__doc", "row_key": "__row", "starts": "__starts", "whole": "__whole"})
-    at = docs.columns.index("text")
-    columns = docs.columns
-    schema = docs.schema
+    changes = covered.withColumn("whole", F.lit(False)).unionByName(whole).withColumnsRenamed({"doc_id": doc, "row_key": row, "starts": starts_name, "whole": whole_name})
+    at = columns.index("text")
     count = columns.index("n_chars") if "n_chars" in columns else None
 
+    def cut(text: str | None, starts: pa.Scalar, whole: bool | None) -> str | None:
+        return "" if whole else text if not starts.is_valid else cut_text(text, starts.values.to_numpy(zero_copy_only=False), window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                text if starts is None and not whole else "" if whole else cut_text(text, np.array(starts), window)
-                for text, starts, whole in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)
-            ]
+            changed = np.flatnonzero(batch.column(len(columns) + 1).is_valid().to_numpy(zero_copy_only=False))
             out = [batch.column(i) for i in range(len(columns))]
-            if count is not None:
-                same = [a == b for a, b in zip(texts, out[at].to_pylist(), strict=True)]
-                out[count] = pa.array([n if s else len(t) for n, s, t in zip(out[count].to_pylist(), same, texts, strict=True)], out[count].type)
-            out[at] = pa.array(texts, out[at].type)
+            if len(changed):
+                texts, counts = out[at].to_pylist(), out[count].to_pylist() if count is not None else None
+                for k in changed.tolist():
+                    new = cut(texts[k], batch.column(len(columns))[k], batch.column(len(columns) + 1)[k].as_py())
+                    if counts is not None and new != texts[k]:
+                        counts[k] = len(new)
+                    texts[k] = new
+                out[at] = pa.array(texts, out[at].type)
+                if counts is not None:
+                    out[count] = pa.array(counts, out[count].type)
             yield pa.RecordBatch.from_arrays(out, columns)
 
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(changes, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__key") == F.col("__row")), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in columns), "__starts", "__whole").mapInArrow(run, schema)
+    on = (docs["doc_id"].cast("long") == changes[doc]) & (F.xxhash64(docs["doc_id"], docs["text"]) == changes[row])
+    joined = docs.join(changes, on, "left").select(*(docs[f"`{c}`"] for c in columns), starts_name, whole_name)
+    return joined.mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
