@@ -203,7 +203,7 @@ def test_nearest(spark):
     x = rng.standard_normal((1500, 12)).astype(np.float32) + 2 * rng.standard_normal((6, 12)).astype(np.float32)[rng.integers(0, 6, 1500)]
     x[40:340] = x[40]  # one vector in a fifth of all rows
     rows = [(k, [float(v) for v in x[k]], k % 3, "v") for k in range(1500)]
-    odd = [(2000, None, 0, "v"), (2020, [0.0] * 12, 0, "v"), (2040, [None] + [1.0] * 11, 0, "v"), (2060, [float("nan")] * 12, 0, "v"), (2080, [float("inf")] + [0.0] * 11, 0, "v"), (2100, [1.0], 0, "v"), (None, [1.0] * 12, 0, "v"), (0, rows[0][1], 0, "v"), (2120, [], 0, "v")]
+    odd = [(2000, None, 0, "v"), (2020, [0.0] * 12, 0, "v"), (2040, [None] + [1.0] * 11, 0, "v"), (2060, [float("nan")] * 12, 0, "v"), (2080, [float("inf")] + [0.0] * 11, 0, "v"), (2100, [1.0], 0, "v"), (None, [1.0] * 12, 0, "v"), (2120, [], 0, "v")]
     vectors = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int, code string")
     got = {}
     for r in ann.nearest(vectors, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
@@ -266,6 +266,36 @@ def test_nearest_returns_all_of_few(spark):
     assert got == {(a, b) for a in range(15) for b in range(15) if a != b}
 
 
+def test_nearest_of_huge_and_repeated(spark):
+    """Components near the ends of the doubles lose nobody; rows that repeat an id are candidates each."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, 8))
+    for scale in (1e22, 1e-22, 1e120):
+        rows = [(k, (v * scale).tolist()) for k, v in enumerate(x)]
+        got = {}
+        for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 40 == 0, target=0.9999).collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in (0, 40, 80):
+            want = [k for k in np.argsort(-(x @ x[q]), kind="stable").tolist() if k != q][:20]
+            assert len(got[q]) == 20 and len(set(got[q]) & set(want)) >= 18, scale
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.8, 0.2]), (1, [0.8, 0.2]), (0, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.nearest(twice, lambda i: i == 0).collect())
+    assert got == sorted([(0, 1, 1, 0.9), (0, 2, 1, 0.8), (0, 3, 1, 0.8), (0, 4, 0, 0.5), (0, 1, 0, 0.5), (0, 2, 1, 0.45), (0, 3, 1, 0.4), (0, 4, 1, 0.4)])
+
+
+def test_best_of_cell_loses_nobody():
+    """Long vectors whose products with the queries are small, held against scoring all in double precision."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 16)) * 1e5
+    q = rng.standard_normal((6, 16))
+    q -= ((q @ x[:3].T) @ np.linalg.pinv(x[:3].T))
+    codes = np.zeros(400, np.int64)
+    found_q, found_r, found_s = ann.best_of_cell(np.arange(400), np.arange(400), codes, x, np.arange(1000, 1006), [np.zeros(1, np.int64)] * 6, np.ones(6, np.int64), q, np.full(6, -np.inf), 20)
+    for k in range(6):
+        want = np.argsort(-(x @ q[k]), kind="stable")[:20]
+        assert set(found_r[found_q == 1000 + k].tolist()) == set(want.tolist())
+
+
 # --- sharding
 
 
@@ -358,18 +388,84 @@ def test_lm_scores(spark):
     assert lm_score.score_texts(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """Over all words of one or two subwords the chances add up to at most 1."""
+def learned(spark, texts):
+    import public_tokenizers
+
+    subwords = lm_score.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    own = spark.createDataFrame([(k, False, t) for k, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    model, words = lm_score.learn(own, subwords, 50_257, common.Scratch(spark, "t"))
+    return model, {bytes(r["word"]): r for r in words.collect()}, subwords
+
+
+def context_of(model, slots, window, overlap, at):
+    """The slots that a token at a place sees: its window begins with what the one before has scored."""
+    step = window - overlap
+    k = 0 if at < window else (at - overlap) // step
+    return slots[k * step : at + 1]
+
+
+def chances(net, context):
+    """A direct forward pass in double precision: class probabilities, and the state they come from."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = p["e"][context]
+    q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
+    score = q[-1] @ k.T / math.sqrt(net.width) + p["r"][len(context) - 1 - np.arange(len(context))]
+    a = np.exp(score - score.max())
+    h = x[-1] + (a / a.sum()) @ v
+    logits = h @ p["o"] + p["b"] + net.prior[context[-1]]
+    prob = np.exp(logits - logits.max())
+    return prob / prob.sum(), h, p
+
+
+def test_lm_score_by_hand(spark):
+    """The whole score of some texts against the definition, token by token."""
+    rng = random.Random(9)
+    base = [f"{a}{b}" for a in ("tha", "ion", "ent", "her", "schu", "zwo", "gra", "x") for b in ("re", "st", "al", "or", "tz")]
+    texts = [" ".join(rng.choice(base) for _ in range(rng.randint(1, 90))) for _ in range(60)] + ["", None, "one " * 70]
+    model, words, subwords = learned(spark, texts)
+    probe = [texts[0], "thare unheardof zwotz", "", "her " * 75 + "grast"]
+    got = model.text_log10([np.array([i[0] for i in subwords.ids(lm_score.words_of(t))], np.int64) for t in probe])
+    for t, total in zip(probe, got, strict=True):
+        leads = [i[0] for i in subwords.ids(lm_score.words_of(t))]
+        slots, want = np.array([0, *(model.slot[i] for i in leads)]), 0.0
+        for at, lead in enumerate([*leads, None]):
+            prob, h, p = chances(model.text, context_of(model, slots, 32, 8, at))
+            c = 0 if lead is None else int(model.cls[lead])
+            want += math.log10(prob[c])
+            if c in model.members:
+                own = model.members[c]
+                inner = np.exp(p["m"][own] @ h + p["mb"][own])
+                want += math.log10(inner[own == model.slot[lead]].sum() / inner.sum())
+            elif c == lm_score.CLASSES - 1:
+                want += float(model.log_lead[lead]) / math.log(10)
+        assert math.isclose(total, want, rel_tol=2e-3, abs_tol=2e-3), t
+    spelled = model.spell_log10([[5, 9], [5], [300, 301, 302]])
+    for subs, total in zip(([5, 9], [5], [300, 301, 302]), spelled, strict=True):
+        slots, want = model.slot[np.array(subs)], 0.0
+        for at, following in enumerate([*subs[1:], None]):
+            prob, _, _ = chances(model.spell, context_of(model, slots, 8, 4, at))
+            c = 0 if following is None else int(model.spell_class[following])
+            want += math.log10(prob[c]) + (0 if following is None else float(model.log_within[following]) / math.log(10))
+        assert math.isclose(total, want, rel_tol=2e-3, abs_tol=2e-3)
+    # each part is a distribution
+    rest = model.cls == lm_score.CLASSES - 1
+    assert np.isclose(np.exp(model.log_lead[rest].astype(np.float64)).sum(), 1, atol=1e-3)
+    assert np.allclose(np.bincount(model.spell_class, np.exp(model.log_within), lm_score.SPELL_CLASSES)[np.unique(model.spell_class)], 1, atol=1e-3)
+    assert words[lm_score.END]["c"] == len(texts)
+
+
+def test_lm_windows_cover_all_documents(spark):
+    """With a share of one every token of every text is scored in one training window; with more, windows of all lengths of text come in."""
     import public_tokenizers
 
-    model = lm_score.Model(lm_score.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), ["the cat sat", "a cat ran off"] * 30, 50_257)
-    first = np.exp(model.log_first)
-    assert np.allclose(np.bincount(model.cls, first, lm_score.CLASSES)[np.unique(model.cls)], 1, atol=1e-3)
-    within = np.exp(model.log_within)
-    assert np.allclose(np.bincount(model.spell_class, within, lm_score.SPELL_CLASSES)[np.unique(model.spell_class)], 1, atol=1e-3)
-    words = [b"cat", b"sat", b"zebra", b"off", b"x" * 200]
-    _, alone = model.spell_log10(words)
-    assert np.allclose(alone, [model.spell_log10([w])[1][0] for w in words], atol=1e-3)
+    subwords = lm_score.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 31, 32, 33, 500, 4000)] + [None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    wins = lm_score.text_windows(docs, subwords, 1, "a").toArrow().column(0).combine_chunks()
+    _, targets = lm_score.unpacked(wins)
+    assert (targets != lm_score.NONE).sum() == sum(len(common.words_of(t)) + 1 for t in texts)
+    some = lm_score.text_windows(docs, subwords, 16, "b").count()
+    assert abs(some - len(wins) / 16) <= len(texts)
 
 
 # --- pipeline

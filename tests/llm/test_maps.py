@@ -1,8 +1,11 @@
 """Operators that work row by row: byte-level BPE, HTML extraction, language, toxicity, decontamination."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,11 +85,40 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
 <aside>Side</aside><form><input><label>Mail</label></form><footer>&copy; all</footer></body></html>"""
 
 
-def test_html_article():
-    assert html_extract.main_text("http://h/x", PAGE.format(n=1), frozenset()) == "Head 1 First & bold1 Second line 1 Same on every page one 1 two"
+def test_html_article(spark):
+    """Of a host with one page the markup alone tells."""
+    rows = [(1, "http://h/x", PAGE.format(n=1))]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["text"]
+    assert got == "Head 1 First & bold1 Second line 1 Same on every page one 1 two"
     assert html_extract.main_text(None, None, frozenset()) == ""
 
 
+def test_html_tree_alone_decides(spark):
+    """Names say nothing here: what is the same on a host's pages goes, what is new on each stays; without the tree's verdict all stays."""
+    page = "<body><div class=q1>Zum Anfang</div><div class=q2><p>Text {n} of page {n}</p><p>and more {n}</p></div><div class=q3><span>Alle Rechte</span></div></body>"
+    rows = [(k, f"http://names.example/{k}", page.format(n=k)) for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Text {k} of page {k} and more {k}" for k in range(9)}
+    assert html_extract.main_text(rows[0][1], rows[0][2], frozenset()) == "Zum Anfang Text 0 of page 0 and more 0 Alle Rechte"
+
+
+def test_html_importance_by_hand(spark):
+    """Importance against the entropies computed directly."""
+    pages = [("a", "x"), ("a", "y"), ("b", "z"), ("a", "w")]  # a box with a or b, a paragraph that differs
+    rows = [(k, "http://i.example/", f"<body><div class=k>{box}</div><p>{text}</p></body>") for k, (box, text) in enumerate(pages)]
+    got = sorted(r["importance"] for r in html_extract.importance(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    box = -(3 / 4 * math.log(3 / 4, 4) + 1 / 4 * math.log(1 / 4, 4))
+    assert np.allclose(got, [0.9 * box, 0.9])  # the body's children are the same on all pages: presentation adds nothing
+
+
+def test_html_deep_and_repeated(spark):
+    """Nesting costs nothing but its elements; repeated rows are extracted each."""
+    deep = "<div>" * 30_000 + "deep text" + "</div>" * 30_000
+    rows = [(1, "http://deep.example/", deep)] * 3 + [(2, "http://deep.example/", "<b>" * 30_000 + "bold")]
+    got = [(r["page_id"], r["text"]) for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == [(1, "deep text")] * 3 + [(2, "bold")]
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<div class='a>b", "<p>a</b></div>c", "<script>never closed", "<!-- open", "<td>a<td>b", "&#xD800;&#0;x", "<a " * 2000, "<div>" * 3000 + "deep"])
 def test_html_broken(html):
     html_extract.main_text("u", html, frozenset())
@@ -214,9 +246,10 @@ def test_toxicity(spark):
 
 
 def brute_hits(text, items):
-    words, hit, named = decontaminate.terms(text), set(), set()
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    words, hit, named = terms(text), set(), set()
     for name, item in items:
-        own = decontaminate.terms(item)
+        own = terms(item)
         for i in range(max(1, len(own) - 7) if own else 0):
             w = own[i : i + 8]
             for at in range(len(words) - len(w) + 1):
@@ -229,25 +262,126 @@ def brute_hits(text, items):
 def test_decontamination(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["a", "b", "c", "dé", "e1"])
-    items = [(k, " ".join(word() for _ in range(rng.choice([0, 3, 8, 12])))) for k in range(12)] + [(None, "a b c"), (3, "c c c"), (40, None)]
-    texts = ["-".join(word() for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "x " + (items[3][1] or "") + " y"]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
-    docs = docs_of(spark, texts)
-    named = [(n, t) for n, t in items if n is not None]
-    for block in (2_000_000, 10):
-        got = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, benchmark, block_words=block).collect()}
-        for k, t in enumerate(texts):
-            n, hit, names = brute_hits(t, named)
-            r = got[k]
-            assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(names), len(names) >= 2)
-            assert r["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
+    items = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 3, 8, 12])))) for k in range(14)] + [(None, "a b c"), (None, "b b"), (3, "c c c"), (40, None)]
+    texts = ["-".join(word() for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "x " + (items[3][1] or "") + " y", "a " * 3 + "c c c " * 4000]
+    benchmark = spark.createDataFrame([(n, t, "t", 1) for n, t in items], "item_id long, text string, term string, row int")
+    rows = list(enumerate(texts)) + [(5, texts[5]), (5, "a b c dé"), (None, texts[7])]
+    docs = spark.createDataFrame([(i, t, 1, "n", 2) for i, t in rows], "doc_id long, text string, row int, name string, leaked_doc int")
+    got = Counter(map(tuple, decontaminate.find_contamination(docs, benchmark).collect()))
+    want = Counter()
+    for i, t in rows:
+        n, hit, names = brute_hits(t, [(n if n is not None else "", x) for n, x in items])
+        ids = sorted({x for x in names if x})
+        want[i, n, hit, len(names), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(names) >= 2] += 1
+    assert got == want
     kept = decontaminate.drop_contaminated(docs, benchmark)
-    assert {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if not r["contaminated"]} and kept.columns == docs.columns
+    clean = lambda t: len(brute_hits(t, [(n if n is not None else "", x) for n, x in items])[2]) < 2
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((i, t) for i, t in rows if clean(t))
+    assert kept.columns == docs.columns
     assert decontaminate.find_contamination(docs, benchmark.limit(0)).agg(F.max("n_hit")).first()[0] == 0
     assert decontaminate.find_contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_postings_are_complete(spark):
+    """The written index holds every token that a phrase of the benchmark could hold, at its place."""
+    from stratabox.llm.common import Scratch, WordHashes
+
+    texts, items = ["red green blue red", "blue red", "one two", None], ["green blue", "red"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) key", "text")
+    kept = decontaminate.filter_of(spark.createDataFrame([(x,) for x in items], "text string"), False)
+    documents, postings = decontaminate.index(docs, Scratch(spark, "t"), kept)
+    names = {int(np.uint64(h).view(np.int64)): w for w, h in ((w, WordHashes()[w]) for w in b"red green blue one two".split())}
+    ids = {r["row"]: r["doc_id"] for r in documents.collect()}
+    got = {(names[r["term"]], ids[r["row"]]): r["at"] for r in postings.collect()}
+    assert got == {(b"red", 0): [0, 3], (b"green", 0): [1], (b"blue", 0): [2], (b"red", 1): [1]}
+
+
 def test_proximity(spark):
     docs = docs_of(spark, ["red x green y blue", "red x x x x x x x x x green blue", None])
     benchmark = spark.createDataFrame([(1, "blue green red")], "item_id long, text string")
     assert [tuple(r) for r in decontaminate.find_near(docs, benchmark, 4).collect()] == [(0, "1")]
+
+
+def test_proximity_is_exact(spark):
+    rng = random.Random(4)
+    words = "red green blue gray pink".split()
+    texts = [" ".join(rng.choice([*words, "x", "y", "z"]) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    items = [" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(6)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find_near(docs_of(spark, texts), benchmark, 3).collect())
+    for d, t in enumerate(texts):
+        at = {w: [k for k, x in enumerate(t.split()) if x == w] for w in words}
+        for i, item in enumerate(items):
+            own = item.split()
+            least = min(len(at[w]) for w in own)
+            near = {any(all(any(abs(p - q) <= 3 for q in at[o]) for o in own) for p in at[w]) for w in own if len(at[w]) == least}
+            if len(near) == 1:  # where several terms are rarest, either may be started from
+                assert got[d, str(i)] == near.pop()
+
+
+# --- decoding against exhaustive search
+
+
+def test_decoder_finds_the_least_cost():
+    """Viterbi against every reading of short tokens."""
+    counts = toxicity.trigrams(["the cat sat on the mat and an idiot ate it all", "leet style is not nice at all"] * 3)
+    decoder = toxicity.Decoder(counts)
+
+    def cost(text, channel):
+        a = b = 0
+        total = channel
+        for c in text:
+            if c == " ":
+                if b:
+                    total += decoder.costs[a][b][0]
+                    a, b = b, 0
+            else:
+                k = toxicity.class_of(c)
+                total += decoder.costs[a][b][k]
+                a, b = b, k
+        return total + (decoder.costs[a][b][0] if b else 0.0)
+
+    for token in ("1d10t", "id!ot", "c.a.t", "caaat", "l33t", "a t e", "aal!", "$at", "t-h-e", "ooo"):
+        arcs, readings = list(decoder.arcs(token)), []
+
+        def walk(at, text, channel, arcs=arcs, readings=readings, token=token):
+            if at == len(token):
+                readings.append(cost(text, channel))
+                return
+            for j, out, c in arcs[at]:
+                walk(j, text + out, channel + c)
+
+        walk(0, "", 0.0)
+        assert math.isclose(decoder.read(token)[1], min(readings), rel_tol=1e-9), token
+
+
+def test_decoder_writes_out_long_readings(monkeypatch):
+    counts = toxicity.trigrams(["the cat sat on the mat and an idiot ate it all"] * 3)
+    decoder = toxicity.Decoder(counts)
+    rng = random.Random(2)
+    long = "".join(rng.choice("c4t1d0.s-aaa") for _ in range(3000))
+    whole = decoder.read(long)
+    monkeypatch.setattr(toxicity, "SETTLE", 7)
+    assert decoder.read(long) == whole
+    assert decoder.read("a" * 50_000)[0].startswith("a")
+
+
+def test_trigrams_in_pieces(monkeypatch):
+    texts = ["Some words, and more words", "x", "", "the end of it"]
+    whole = toxicity.trigrams(texts)
+    monkeypatch.setattr(toxicity, "PIECE", 5)
+    assert (toxicity.trigrams(texts) == whole).all()
+
+
+# --- language: what counts as a letter, long texts
+
+
+def test_language_letters_and_pieces():
+    field = lang_id.fit([(t, lang) for t, lang in zip(*lang_docs(60), strict=True)])
+    predictor = lang_id.Predictor(field)
+    langs, scores = predictor.predict(["² ½", "①②", "Ⅷ", "12 ... !", None, "kalu mira"] + ["kalu mira", "kalu mira"])
+    assert langs[:5] == ["und"] * 5 and scores[:5] == [0.0] * 5 and langs[5] == langs[6] == langs[7] == "aa"
+    long = " ".join(f"w{k}" for k in range(100_000))
+    got = lang_id.pieces_of(long).split()
+    assert len(got) == lang_id.PIECES * lang_id.PIECE and got[0] == "w0" and got[-1] == "w99999"
+    assert lang_id.pieces_of("one two") == "one two"
