@@ -10,9 +10,11 @@ import tempfile
 from dataclasses import replace
 
 from stratabox.functions import codecs, hashing
-from stratabox.operators import decode
+from stratabox.operators import decode, rewrite
+from stratabox.operators.report import Report
 from stratabox.sources import format as fmt
 from stratabox.sources import records as rec
+from stratabox.sources import signing
 from stratabox.sources.tree_log import Change, TreeLog, normalised
 
 
@@ -90,7 +92,8 @@ def compact(a: argparse.Namespace) -> None:
         raise FileExistsError(a.output)
     out = fmt.compacted(data, not a.no_verify, a.allow_log)
     save(target, out)
-    print(f"{len(data)} -> {len(out)} bytes")
+    if not a.quiet:
+        print(f"{len(data)} -> {len(out)} bytes")
 
 
 def _tree(a: argparse.Namespace, change: list[Change] | None = None) -> TreeLog:
@@ -189,80 +192,25 @@ def keygen(a: argparse.Namespace) -> None:
 
 
 def sign(a: argparse.Namespace) -> None:
-    data, seed = load(a.file), load(a.key)
-    found = fmt.walk(data, strict=True)
-    rec.require(not any(p.type == fmt.SESSION_TYPE for p in found.parts), "VersionedTree")
-    parts = found.parts
-    fingerprint = rec.Key(1, codecs.public_key(seed)).fingerprint
-    covered = set() if a.resign else {uid for verdict, who, uids in check(data) if verdict == "Valid" and who == fingerprint for uid, v in uids if v == "Valid"}
-    wanted = [parse_uid(x) for x in a.uid] or [p.uid for p in parts if p.type not in (fmt.KEY_TYPE, fmt.SIGNATURE_TYPE) and p.algo in hashing.STRONG]
-    wanted = [u for u in wanted if u not in covered]
-    if not wanted:
+    """Plain archives and versioned trees alike."""
+    data, done = signing.signed(load(a.file), load(a.key), [parse_uid(x) for x in a.uid] or None, a.ts, a.resign, a.key_label, a.sig_label)
+    if not done:
         print("nothing to sign")
         return
-    key, payload = rec.sign_parts(parts, seed, wanted, a.ts)
-    out = [replace(p, data=fmt.data_of(data, p), reserve=max(0, p.max - p.used)) for p in parts]
-    if not any(p.type == fmt.KEY_TYPE and rec.read_key(p.data).fingerprint == fingerprint for p in out):
-        out.append(fmt.Part(fmt.KEY_TYPE, os.urandom(16), fmt.encode_label("key"), rec.write_key(key)))
-    out.append(fmt.Part(fmt.SIGNATURE_TYPE, os.urandom(16), fmt.encode_label("signature"), payload))
-    save(a.file, fmt.image(out, found.blocks[0].algo, keep_hashes=True))
-    print(f"signed {len(wanted)}")
-
-
-def check(data: bytes, recheck: bool = False) -> list[tuple[str, bytes, list[tuple[bytes, str]]]]:
-    """(verdict, fingerprint, entries with verdicts) of each signature of one archive."""
-    parts = fmt.walk(data, strict=True).parts
-    first: dict[bytes, fmt.Part] = {}
-    keys: dict[bytes, rec.Key] = {}
-    for p in parts:
-        first.setdefault(p.uid, p)
-        if p.type == fmt.KEY_TYPE:
-            try:
-                k = rec.read_key(fmt.data_of(data, p))
-                keys.setdefault(k.fingerprint, k)
-            except fmt.ArchiveError:
-                continue
-    out = []
-    for p in (p for p in parts if p.type == fmt.SIGNATURE_TYPE):
-        try:
-            s = rec.read_signature(fmt.data_of(data, p))
-        except fmt.ArchiveError:
-            out.append(("Unverifiable", b"", []))
-            continue
-        m, k = s.manifest, keys.get(s.manifest.fingerprint)
-        if any(e.uid == p.uid for e in m.entries):
-            out.append(("Invalid", m.fingerprint, []))
-        elif m.sig_algo != 1 or k is None or k.format != 1 or len(s.signature) != 64 or not codecs.key_usable(k.data):
-            out.append(("Unverifiable", m.fingerprint, []))
-        elif not codecs.verify(k.data, s.manifest_bytes, s.signature):
-            out.append(("Invalid", m.fingerprint, []))
-        else:
-            entries = []
-            for e in m.entries:
-                q = first.get(e.uid)
-                if q is None:
-                    verdict = "Missing"
-                elif (q.type, q.label, q.used, q.algo, q.hash) != (e.type, e.label, e.used, e.algo, e.hash):
-                    verdict = "ProtectedFieldMismatch"
-                elif recheck and not hashing.agrees(e.algo, e.hash, fmt.data_of(data, q)):
-                    verdict = "DataHashMismatch"
-                else:
-                    verdict = "Valid"
-                entries.append((e.uid, verdict))
-            out.append(("Valid", m.fingerprint, entries))
-    return out
+    save(a.file, data)
+    print(f"signed {len(done)}")
 
 
 def verify_signatures(a: argparse.Namespace) -> None:
-    reports = check(load(a.file), not a.no_recheck)
-    for verdict, who, entries in reports:
-        print(verdict, who.hex())
-        for uid, v in entries:
+    reports = signing.reports(load(a.file), not a.no_recheck)
+    for r in reports:
+        print(r.verdict, r.fingerprint.hex(), r.reason or "")
+        for uid, v in r.entries:
             print(f"  {uid.hex()} {v}")
-    good = bool(reports) and all(v == "Valid" and all(e == "Valid" for _, e in entries) for v, _, entries in reports)
+    good = bool(reports) and all(r.verdict == "Valid" and all(e == "Valid" for _, e in r.entries) for r in reports)
     if a.key:
         trusted = rec.Key(1, load(a.key)).fingerprint
-        good = good and any(v == "Valid" and who == trusted for v, who, _ in reports)
+        good = good and any(r.verdict == "Valid" and r.fingerprint == trusted for r in reports)
     if not good:
         raise SystemExit(1)
 
@@ -293,6 +241,58 @@ def dedup(a: argparse.Namespace) -> None:
     print(f"saved {saved} bytes")
 
 
+def container_info(a: argparse.Namespace) -> None:
+    """Of each container its inner partitions: uid, label, bytes, extents; and what sharing saves."""
+    for p in fmt.loaded(load(a.file)):
+        if p.type == fmt.CONTAINER_TYPE:
+            _, arena, _ = rec.read_container(p.data)
+            stored = arena.distinct_bytes()
+            print(f"{p.uid.hex()} {len(arena.inners)} inner, {stored} bytes for {sum(x.length for x in arena.inners)}")
+            for x in arena.inners:
+                print(f"  {x.uid.hex()} {x.used:>10} {len(x.extents):>6} {fmt.decode_label(x.label) or ''}")
+
+
+def promote(a: argparse.Namespace) -> None:
+    save(a.file, rewrite.promoted_image(load(a.file), {parse_uid(x) for x in a.uid}))
+
+
+def demote(a: argparse.Namespace) -> None:
+    save(a.file, rewrite.demoted_image(load(a.file), {parse_uid(x) for x in a.uid}, parse_uid(a.container) if a.container else None, a.fixed))
+
+
+def get(a: argparse.Namespace) -> None:
+    """A file of a tree, to a path."""
+    save(a.output or os.path.basename(a.path), _tree(a).read(a.path, a.at))
+
+
+def create(a: argparse.Namespace) -> None:
+    """A new tree of a folder."""
+    if os.path.exists(a.file):
+        raise FileExistsError(a.file)
+    mkfs(a)
+    a.delete = False
+    update(a)
+
+
+def shown(part: str):
+    def run(a: argparse.Namespace) -> None:
+        report = Report(load(a.file), not getattr(a, "no_verify", False))
+        if part == "hexdump":
+            span = None
+            if a.range:
+                low, _, size = a.range.partition("+")
+                span = (int(low, 0), int(low, 0) + int(size, 0) if size else len(report.data))
+            lines = report.hexdump_lines(a.region, span, a.max)
+        elif part == "html":
+            save(a.output, report.html(a.file).encode())
+            return
+        else:
+            lines = getattr(report, f"{part}_lines")()
+        print("\n".join(lines))
+
+    return run
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="stratabox", description=__doc__)
     sub = top.add_subparsers(required=True)
@@ -310,9 +310,20 @@ def main(argv: list[str] | None = None) -> int:
     at, ts = (("--at",), {"type": int}), (("--ts",), {"type": int, "default": 0})
     command("inspect", inspect, flag("--no-verify"))
     command("decode", decode_command, (("--uid",), {"default": ""}), (("--label",), {"default": ""}), (("--decoder",), {}))
+    command("layout", shown("layout"))
+    command("table", shown("table"), flag("--no-verify"))
+    command("chain", shown("chain"), flag("--no-verify"))
+    command("findings", shown("finding"))
+    command("hexdump", shown("hexdump"), (("--region",), {"default": ""}), (("--range",), {"default": "", "help": "FROM+SIZE"}), (("--max",), {"type": int}))
+    command("html", shown("html"), (("--output",), {"required": True}), flag("--no-verify"))
     command("verify", verify)
-    command("compact", compact, (("--output",), {}), flag("--force"), flag("--no-verify"), flag("--allow-log"))
+    command("compact", compact, (("--output",), {}), flag("--quiet"), flag("--force"), flag("--no-verify"), flag("--allow-log"))
     command("mkfs", mkfs, ts)
+    command("create", create, ts, path=True)
+    command("get", get, at, (("--output",), {}), path=True)
+    command("info", container_info)
+    command("promote", promote, (("--uid",), {"action": "append", "required": True}))
+    command("demote", demote, (("--uid",), {"action": "append", "required": True}), (("--container",), {}), (("--fixed",), {"type": int, "default": 0}))
     command("ls", ls, at)
     command("log", log_command)
     command("cat", cat, at, path=True)
@@ -324,7 +335,7 @@ def main(argv: list[str] | None = None) -> int:
     command("extract", extract, at, (("--time",), {"type": int}), path=True)
     command("compact-tree", tree_compact)
     command("keygen", keygen)
-    command("sign", sign, (("--key",), {"required": True}), (("--uid",), {"action": "append", "default": []}), flag("--resign"), ts)
+    command("sign", sign, (("--key",), {"required": True}), (("--uid",), {"action": "append", "default": []}), flag("--resign"), ts, (("--key-label",), {"default": "key"}), (("--sig-label",), {"default": "signature"}))
     command("verify-sig", verify_signatures, (("--key",), {}), flag("--no-recheck"))
     command("keys", keys_command)
     command("dedup", dedup, (("--fixed",), {"type": int, "default": 0}), flag("--defrag"))

@@ -13,16 +13,8 @@ GLYPHS = {"header": "H", "tableheader": "T", "entries": "E", "data": "D", "slack
 
 
 def regions(archives: DataFrame) -> DataFrame:
-    """path, start, len, end, kind, label, uid: header, block headers, entry arrays, data and slack."""
-    none = F.lit(None)
-    shape = lambda df, start, size, kind, label=none, uid=none: df.select("path", start.cast("long").alias("start"), size.cast("long").alias("len"), F.lit(kind).alias("kind"), label.cast("string").alias("label"), uid.cast("binary").alias("uid"))
-    files, blocks, parts = view(archives, "files"), view(archives, "blocks"), view(archives, "partitions")
-    own = shape(files, F.lit(0), F.lit(fmt.HEADER), "header")
-    own = own.unionByName(shape(blocks, F.col("block_offset"), F.lit(fmt.BLOCK), "tableheader"))
-    own = own.unionByName(shape(blocks.filter("partition_count > 0"), F.col("block_offset") + fmt.BLOCK, F.col("partition_count") * fmt.ENTRY, "entries"))
-    own = own.unionByName(shape(parts.filter("used_bytes > 0"), F.col("start_offset"), F.col("used_bytes"), "data", F.col("label"), F.col("uid")))
-    own = own.unionByName(shape(parts.filter("free_bytes > 0"), F.col("start_offset") + F.col("used_bytes"), F.col("free_bytes"), "slack", F.col("label"), F.col("uid")))
-    return own.withColumn("end", F.col("start") + F.col("len"))
+    """path, start, len, end, kind, label, uid, file_len: header, block headers, entry arrays, data and slack, by one walk of each file."""
+    return view(archives, "regions")
 
 
 def with_cover(found: DataFrame) -> DataFrame:
@@ -45,10 +37,18 @@ def overlaps(found: DataFrame) -> DataFrame:
 
 
 def layout(archives: DataFrame) -> DataFrame:
-    """Regions and gaps together."""
+    """Regions and gaps together: one walk of each file and one window, which tells of each region the gap before it, and of a file's last
+    one the gap behind it."""
+    own = Window.partitionBy("path").orderBy("start", "len")
     found = regions(archives)
-    holes = gaps(found, view(archives, "files")).withColumn("kind", F.lit("gap")).withColumn("label", F.lit(None).cast("string")).withColumn("uid", F.lit(None).cast("binary")).withColumn("end", F.col("start") + F.col("len"))
-    return found.unionByName(holes)
+    covered = F.coalesce(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.lead("start").over(own).isNull()
+    told = found.withColumns({"covered": covered, "reached": reached, "last": last})
+    none, columns = F.lit(None), ["start", "len", "kind", "label", "uid", "end"]
+    hole = lambda low, high: F.struct(low.alias("start"), (high - low).alias("len"), F.lit("gap").alias("kind"), none.cast("string").alias("label"), none.cast("binary").alias("uid"), high.alias("end"))
+    pieces = F.array(F.struct(*columns), F.when(F.col("start") > F.col("covered"), hole(F.col("covered"), F.col("start"))), F.when(F.col("last") & (F.col("file_len") > F.col("reached")), hole(F.col("reached"), F.col("file_len"))))
+    return told.select("path", "file_len", F.inline(F.filter(pieces, lambda x: x.isNotNull()))).select("path", *columns, "file_len")
 
 
 def layout_diagnostics(archives: DataFrame) -> DataFrame:
@@ -86,15 +86,21 @@ def strips(found: DataFrame, files: DataFrame, width: int = 64) -> DataFrame:
 
 
 def layout_text(found: DataFrame) -> DataFrame:
-    """path, start, line: one fixed-width line for each region."""
-    return found.select("path", "start", F.format_string("%10d  %10d  %-12s %s", "start", "end", "kind", F.coalesce("label", F.lit(""))).alias("line"))
+    """path, kind, start, line: one fixed-width line for each region."""
+    return found.select("path", "kind", "start", F.format_string("%10d  %10d  %-12s %s", "start", "end", "kind", F.coalesce("label", F.lit(""))).alias("line"))
 
 
-def hexdump(data: DataFrame, most: int = 4096) -> DataFrame:
-    """path, uid, offset, line: sixteen bytes a line, a gap after eight, printable characters beside them. `most` bytes of a partition."""
-    rows = data.select("path", "uid", F.substring("data", 1, most).alias("d")).filter(F.octet_length("d") > 0)
-    rows = rows.withColumn("offset", F.explode(F.expr("sequence(0, octet_length(d) - 1, 16)"))).withColumn("piece", F.expr("substring(d, offset + 1, 16)"))
+def hexdump(data: DataFrame, most: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, uid, `keep`, offset, line: sixteen bytes a line, a gap after eight, printable characters beside them. With `most`, so many bytes of
+    a partition and a line that tells how many more there are."""
+    shown_bytes = F.col("data") if most is None else F.substring("data", 1, most)
+    rows = data.select("path", "uid", *keep, shown_bytes.alias("d"), F.octet_length("data").alias("size")).filter(F.octet_length("d") > 0)
+    pieces = rows.withColumn("offset", F.explode(F.expr("sequence(0, octet_length(d) - 1, 16)"))).withColumn("piece", F.expr("substring(d, offset + 1, 16)"))
     pairs = lambda x: F.trim(F.regexp_replace(F.lower(F.hex(x)), "(..)", "$1 "))
     text = F.concat(F.rpad(pairs(F.substring("piece", 1, 8)), 23, " "), F.lit("  "), F.rpad(pairs(F.expr("substring(piece, 9)")), 23, " "))
-    shown = F.regexp_replace(F.decode("piece", "ISO-8859-1"), r"[^\x20-\x7e]", ".")
-    return rows.select("path", "uid", "offset", F.format_string("%08x  %s  |%s|", "offset", text, shown).alias("line"))
+    shown = F.regexp_replace(F.decode("piece", "ISO-8859-1"), r"(?s)[^\x20-\x7e]", ".")
+    out = pieces.select("path", "uid", *keep, "offset", F.format_string("%08x  %s  |%s|", "offset", text, shown).alias("line"))
+    if most is None:
+        return out
+    more = rows.filter(F.col("size") > most).select("path", "uid", *keep, F.lit(most).alias("offset"), F.format_string("... %d more bytes", F.col("size") - most).alias("line"))
+    return out.unionByName(more)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratabox.sources import format as fmt
 from stratabox.sources import records as rec
+from stratabox.sources import signing
 from stratabox.sources.tree_log import Change, TreeLog
 
 SCHEMA = "path string, content binary"
@@ -72,50 +73,74 @@ def committed(archives: DataFrame, changes: DataFrame, ts_ms: int = 0) -> DataFr
     return with_rows(archives, changes.select("path", "op", "tree_path", "data", "to"), change)
 
 
+def promoted_image(content: bytes, wanted: set[bytes]) -> bytes:
+    parts = fmt.loaded(content)
+    out, added = [], []
+    for p in parts:
+        if p.type == fmt.CONTAINER_TYPE:
+            _, arena, _ = rec.read_container(p.data)
+            for x in [x for x in arena.inners if x.uid in wanted]:
+                type_, label, algo, data = arena.remove(x.uid)
+                added.append(fmt.Part(type_, x.uid, label, data, algo))
+            p = replace(p, data=arena.to_bytes(), hash=b"")
+        out.append(p)
+    return fmt.image(out + added, keep_hashes=True)
+
+
+def demoted_image(content: bytes, wanted: set[bytes], home: bytes | None = None, size: int = 0) -> bytes:
+    """home: the uid of the container to go to; without one, the archive's first. Contents are cut into chunks of `size` (0: whole), and
+    chunks that the container has are shared."""
+    parts = fmt.loaded(content)
+    at = next((k for k, p in enumerate(parts) if p.type == fmt.CONTAINER_TYPE and home in (None, p.uid)), None)
+    rec.require(at is not None, "NotAContainer")
+    _, arena, _ = rec.read_container(parts[at].data)
+    for p in (p for p in parts if p.uid in wanted):
+        arena.add(p.type, p.uid, p.label, p.data, p.algo, size)
+    parts[at] = replace(parts[at], data=arena.to_bytes(), hash=b"")
+    return fmt.image([p for p in parts if p.uid not in wanted], keep_hashes=True)
+
+
 def promoted(archives: DataFrame, uids: DataFrame) -> DataFrame:
     """uids: path, uid. Inner partitions become top-level ones; uid, type, label, algorithm and hash stay."""
+    return with_rows(archives, uids.select("path", "uid"), lambda content, rows: promoted_image(content, {r["uid"] for r in rows}))
 
-    def change(content: bytes, rows: list[dict]) -> bytes:
-        parts, wanted = fmt.loaded(content), {r["uid"] for r in rows}
-        out, added = [], []
-        for p in parts:
+
+def demoted(archives: DataFrame, uids: DataFrame, size: int = 0) -> DataFrame:
+    """uids: path, uid. Top-level partitions become inner ones of their archive's first container."""
+    return with_rows(archives, uids.select("path", "uid"), lambda content, rows: demoted_image(content, {r["uid"] for r in rows}, size=size))
+
+
+def deduplicated(archives: DataFrame, size: int = 0) -> DataFrame:
+    """Containers cut anew into chunks of `size` bytes (0: whole), equal chunks stored once, dead bytes dropped."""
+
+    def change(content: bytes) -> bytes:
+        parts = []
+        for p in fmt.loaded(content):
             if p.type == fmt.CONTAINER_TYPE:
                 _, arena, _ = rec.read_container(p.data)
-                for x in [x for x in arena.inners if x.uid in wanted]:
-                    type_, label, algo, data = arena.remove(x.uid)
-                    added.append(fmt.Part(type_, x.uid, label, data, algo))
+                arena.dedup(size)
                 p = replace(p, data=arena.to_bytes(), hash=b"")
-            out.append(p)
-        return fmt.image(out + added, keep_hashes=True)
-
-    return with_rows(archives, uids.select("path", "uid"), change)
-
+            parts.append(p)
+        return fmt.image(parts, keep_hashes=True)
 
-def demoted(archives: DataFrame, uids: DataFrame) -> DataFrame:
-    """uids: path, uid. Top-level partitions become inner ones of their archive's first container, in one extent."""
+    return rewritten(archives, change)
 
-    def change(content: bytes, rows: list[dict]) -> bytes:
-        parts, wanted = fmt.loaded(content), {r["uid"] for r in rows}
-        home = next((k for k, p in enumerate(parts) if p.type == fmt.CONTAINER_TYPE), None)
-        rec.require(home is not None, "NotAContainer")
-        _, arena, _ = rec.read_container(parts[home].data)
-        for p in (p for p in parts if p.uid in wanted):
-            arena.add(p.type, p.uid, p.label, p.data, p.algo)
-        parts[home] = replace(parts[home], data=arena.to_bytes(), hash=b"")
-        return fmt.image([p for p in parts if p.uid not in wanted], keep_hashes=True)
 
-    return with_rows(archives, uids.select("path", "uid"), change)
+def signed(archives: DataFrame, seed: bytes, ts: int = 0, resign: bool = False) -> DataFrame:
+    """Each archive with a signature by this key over all that the key does not validly cover yet; versioned trees get it as a session.
+    Archives with nothing to sign stay as they are."""
+    return rewritten(archives, lambda data: signing.signed(data, seed, None, ts, resign)[0])
 
 
-def deduplicated(archives: DataFrame, size: int = 0) -> DataFrame:
-    """Containers cut anew into chunks of `size` bytes (0: whole), equal chunks stored once, dead bytes dropped."""
+def defragmented(archives: DataFrame) -> DataFrame:
+    """Containers without the bytes that no extent refers to; extents keep their cuts."""
 
     def change(content: bytes) -> bytes:
         parts = []
         for p in fmt.loaded(content):
             if p.type == fmt.CONTAINER_TYPE:
                 _, arena, _ = rec.read_container(p.data)
-                arena.dedup(size)
+                arena.defrag()
                 p = replace(p, data=arena.to_bytes(), hash=b"")
             parts.append(p)
         return fmt.image(parts, keep_hashes=True)

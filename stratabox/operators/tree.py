@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from stratabox.functions import hashing
 from stratabox.sources import format as fmt
@@ -12,7 +14,6 @@ from stratabox.sources import records as rec
 from stratabox.sources.tree_log import replay
 
 
-
 def newest(nodes: DataFrame, as_of: Column | int | None = None) -> DataFrame:
     """The record of each node with the largest session, up to `as_of` inclusive. One partial aggregate, one shuffle."""
     kept = nodes.filter("error is null")
@@ -29,51 +30,82 @@ def session_at(sessions: DataFrame, ts_ms: int) -> DataFrame:
 
 
 def newest_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
-    """Time travel to several points at once: points (path, point) against each node's history."""
-    joined = nodes.filter("error is null").join(points, "path").filter(F.col("session_seq") <= F.col("point"))
+    """Time travel to several points at once: points (path, point) against each node's history. Versions are reduced to the newest between
+    two points, once each; what no later point replaces is carried forward."""
+    asked = points.groupBy("path").agg(F.sort_array(F.collect_set("point")).alias("points"))
+    following = F.element_at(F.filter("points", lambda p: p >= F.col("session_seq")), 1)
+    sorted_in = nodes.filter("error is null").join(asked, "path").filter(F.element_at("points", -1) >= F.col("session_seq")).withColumn("first", following)
     columns = [c for c in nodes.columns if c not in ("path", "node_id", "error")]
-    return joined.groupBy("path", "point", "node_id").agg(F.max_by(F.struct(*columns), "session_seq").alias("r")).select("path", "point", "node_id", "r.*")
+    newest = sorted_in.groupBy("path", "node_id", "first").agg(F.max_by(F.struct(*columns), "session_seq").alias("r"), F.first("points").alias("points"))
+    replaced = F.lead("first").over(Window.partitionBy("path", "node_id").orderBy("first"))
+    carried = newest.withColumn("replaced", replaced)
+    held = F.filter("points", lambda p: (p >= F.col("first")) & (F.col("replaced").isNull() | (p < F.col("replaced"))))
+    return carried.select("path", F.explode(held).alias("point"), "node_id", "r.*")
+
+
+def _by_tree(current: DataFrame, run, schema: StructType) -> DataFrame:
+    """run: the records of one tree to rows. A tree is one file, so its records are bounded by what one task reads anyway."""
+    arrow = to_arrow_schema(schema)
+    return current.groupBy("path").applyInArrow(lambda table: run(table, arrow), schema)
 
 
 def live(current: DataFrame) -> DataFrame:
     """Live nodes with their paths: reached from the root over directories, of siblings with one name the one of the later session (then
-    the smaller id). path, node_id, tree_path, depth, and the record's columns."""
-    spark = current.sparkSession
-    root = F.lit(rec.ROOT)
-    archives = current.select("path").distinct()
-    roots = current.filter(F.col("node_id") == root).select("path", F.col("tombstone").alias("gone"))
-    tops = archives.join(roots, "path", "left").filter(~F.coalesce("gone", F.lit(False))).select("path")
-    others = current.filter((F.col("node_id") != root) & ~F.col("tombstone") & (F.col("node_id") != F.col("parent_id")))
-    rank = F.row_number().over(Window.partitionBy("path", "parent_id", "name_raw").orderBy(F.desc("session_seq"), "node_id"))
-    # a name's loser hides with all below it, whether or not it is live: liveness of siblings is that of their parent
-    winners = others.withColumn("rank", rank).filter("rank = 1").drop("rank")
-    winners.createOrReplaceTempView("_tree_winners")
-    tops.createOrReplaceTempView("_tree_tops")
-    walk = spark.sql(
-        f"""
-        WITH RECURSIVE reached (path, node_id, kind, tree_path, depth) MAX RECURSION LEVEL 4096 AS (
-          SELECT path, unhex('{rec.ROOT.hex()}'), CAST({rec.DIRECTORY} AS SMALLINT), '', 0 FROM _tree_tops
-          UNION ALL
-          SELECT w.path, w.node_id, w.kind, CASE WHEN r.depth = 0 THEN w.name ELSE concat(r.tree_path, '/', w.name) END, r.depth + 1
-          FROM reached r JOIN _tree_winners w ON w.path = r.path AND w.parent_id = r.node_id WHERE r.kind = {rec.DIRECTORY}
-        ) SELECT path, node_id, tree_path, depth FROM reached"""
-    )
-    return walk.join(current, ["path", "node_id"], "left")
+    the smaller id). path, node_id, tree_path, depth, and the record's columns (null for a root without a record). One shuffle, one walk of
+    each tree."""
+    others = [f for f in current.schema.fields if f.name not in ("path", "node_id")]
+    schema = StructType([current.schema["path"], current.schema["node_id"], StructField("tree_path", StringType()), StructField("depth", IntegerType()), *others])
+
+    def run(table: pa.Table, arrow: pa.Schema) -> pa.Table:
+        ids, parents, names, shown, kinds, gone, seqs = (table[c].to_pylist() for c in ("node_id", "parent_id", "name_raw", "name", "kind", "tombstone", "session_seq"))
+        children: dict[bytes, dict[bytes, int]] = {}
+        root = None
+        for k, node in enumerate(ids):
+            if node == rec.ROOT:
+                root = k
+            elif not gone[k] and node != parents[k]:
+                # a name's loser hides with all below it, whether or not it is live: liveness of siblings is that of their parent
+                named = children.setdefault(parents[k], {})
+                other = named.get(names[k])
+                if other is None or (-seqs[k], node) < (-seqs[other], ids[other]):
+                    named[names[k]] = k
+        rows: list[tuple[int | None, str, int]] = []
+        if root is None or not gone[root]:
+            rows.append((root, "", 0))
+            at = 0
+            while at < len(rows):
+                k, path, depth = rows[at]
+                at += 1
+                if depth == 0 or kinds[k] == rec.DIRECTORY:
+                    rows += [(c, f"{path}/{shown[c]}" if depth else shown[c], depth + 1) for c in children.get(rec.ROOT if depth == 0 else ids[k], {}).values()]
+        taken = table.take(pa.array([k for k, _, _ in rows], pa.int64()))
+        out = {"path": pa.array([table["path"][0].as_py()] * len(rows), pa.string()), "node_id": pa.array([rec.ROOT if k is None else ids[k] for k, _, _ in rows], pa.binary())}
+        out |= {"tree_path": pa.array([p for _, p, _ in rows], pa.string()), "depth": pa.array([d for _, _, d in rows], pa.int32())}
+        return pa.table({f.name: out[f.name] if f.name in out else taken[f.name].cast(f.type) for f in arrow})
+
+    return _by_tree(current, run, schema)
 
 
 def parent_cycles(current: DataFrame) -> DataFrame:
-    """path, node_id of nodes that are their own ancestor. Ancestors are followed by doubling; a node has one parent, so after as many levels
-    as a tree has nodes only those on cycles are reached."""
-    up = current.filter((~F.col("tombstone")) & (F.col("node_id") != F.col("parent_id"))).select("path", "node_id", F.col("parent_id").alias("up"))
-    cut = (lambda df: df.checkpoint()) if current.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
-    step, levels = cut(up), 1
-    most = step.groupBy("path").count().agg(F.max("count")).first()[0] or 0
-    while levels < most and not step.isEmpty():
-        further = step.select("path", F.col("node_id").alias("up"), F.col("up").alias("next"))
-        step = cut(step.join(further, ["path", "up"]).select("path", "node_id", F.col("next").alias("up")))
-        levels *= 2
-    # the parent of the last node of a chain need not be a node here
-    return step.select("path", F.col("up").alias("node_id")).join(up.select("path", "node_id"), ["path", "node_id"], "left_semi").distinct()
+    """path, node_id of nodes that are their own ancestor, by way of nodes that are not removed. Cycles of any length."""
+
+    def run(table: pa.Table, arrow: pa.Schema) -> pa.Table:
+        up = {i: p for i, p, gone in zip(table["node_id"].to_pylist(), table["parent_id"].to_pylist(), table["tombstone"].to_pylist(), strict=True) if not gone and i != p}
+        done: set[bytes] = set()
+        found: list[bytes] = []
+        for start in up:
+            trail: dict[bytes, int] = {}
+            at = start
+            while at in up and at not in done and at not in trail:
+                trail[at] = len(trail)
+                at = up[at]
+            if at in trail:
+                found += [i for i, n in trail.items() if n >= trail[at]]
+            done.update(trail)
+        return pa.table({"path": pa.array([table["path"][0].as_py()] * len(found), pa.string()), "node_id": pa.array(found, pa.binary())}, schema=arrow)
+
+    own = current.select("path", "node_id", "parent_id", "tombstone")
+    return _by_tree(own, run, StructType([current.schema["path"], current.schema["node_id"]]))
 
 
 def resolve(tree: DataFrame, path: str) -> DataFrame:

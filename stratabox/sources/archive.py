@@ -12,6 +12,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import format as fmt
-from . import records
+from . import records, verdicts
 
 CONTENT = "struct<kind:short,compression:short,patch:short,uid:binary,size:long,algo:short,hash:binary,base_size:long,base_algo:short,base_hash:binary>"
 SCHEMAS = {
@@ -36,6 +37,8 @@ SCHEMAS = {
     "keys": "path string, ord int, uid binary, fingerprint binary, key_format short, key_data binary, metadata array<struct<tag:int,name:string,value:binary>>, error string",
     "signatures": "path string, ord int, uid binary, sig_algo short, hash_algo short, fingerprint binary, signed_at long, manifest binary, signature binary, error string",
     "signed_entries": "path string, ord int, sig_uid binary, pos int, uid binary, type long, label_raw binary, used_bytes long, algo short, data_hash binary",
+    "regions": "path string, start long, len long, kind string, label string, uid binary, end long, file_len long",
+    **verdicts.SCHEMAS,
 }
 
 
@@ -182,9 +185,25 @@ def _signed_entries(path: str, data: bytes, found: fmt.Archive) -> Iterator[tupl
                 yield path, ord_, p.uid, pos, e.uid, e.type, e.label, e.used, e.algo, e.hash
 
 
+def _regions(path: str, data: bytes, found: fmt.Archive) -> Iterator[tuple]:
+    """Header, block headers, entry arrays, data and slack, in the order that the file is read."""
+    placed = [(0, fmt.HEADER, "header", None, None)] if found.version else []
+    for b in found.blocks:
+        placed.append((b.offset, fmt.BLOCK, "tableheader", None, None))
+        if b.count:
+            placed.append((b.offset + fmt.BLOCK, b.count * fmt.ENTRY, "entries", None, None))
+        for p in b.entries:
+            if p.used:
+                placed.append((p.start, p.used, "data", fmt.decode_label(p.label), p.uid))
+            if p.max > p.used:
+                placed.append((p.start + p.used, p.max - p.used, "slack", fmt.decode_label(p.label), p.uid))
+    for start, size, kind, label, uid in placed:
+        yield path, start, size, kind, label, uid, start + size, found.size
+
+
 VIEWS: dict[str, Callable[[str, bytes, fmt.Archive], Iterator[tuple]]] = {
     "files": _files, "blocks": _blocks, "partitions": _partitions, "data": _data, "diagnostics": _diagnostics, "sessions": _sessions, "nodes": _nodes, "containers": _containers,
-    "inners": _inners, "extents": _extents, "keys": _keys, "signatures": _signatures, "signed_entries": _signed_entries,
+    "inners": _inners, "extents": _extents, "keys": _keys, "signatures": _signatures, "signed_entries": _signed_entries, "regions": _regions, **verdicts.VIEWS,
 }
 ROWS_PER_BATCH = 2_000
 
@@ -228,13 +247,26 @@ class _Group(InputPartition):
         self.paths = paths
 
 
-def _listed(pattern: str) -> list[str]:
-    pattern = pattern.removeprefix("file:")
-    pattern = "/" + pattern.lstrip("/") if pattern.startswith("/") else pattern
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path (a URI of any that pyarrow opens, or a local path) and the path in it."""
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("/", "file:")) else path
+
+
+def _listed(pattern: str) -> list[tuple[str, int]]:
+    """Paths and sizes, by metadata alone."""
+    store, path = _store(pattern)
     found = []
-    for path in glob.glob(pattern):
-        found += [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f[0] not in "._"] if os.path.isdir(path) else [path]
-    return sorted(found)
+    for top in glob.glob(path) if isinstance(store, fs.LocalFileSystem) else [path]:
+        info = store.get_file_info(top)
+        found += [info] if info.type == fs.FileType.File else [x for x in store.get_file_info(fs.FileSelector(top, recursive=True)) if x.type == fs.FileType.File]
+    return sorted((x.path, x.size) for x in found if x.base_name[0] not in "._")
+
+
+def _bytes(pattern: str, path: str, size: int | None = None) -> bytes:
+    with _store(pattern)[0].open_input_file(path) as f:
+        return f.read() if size is None else f.read(size)
 
 
 class ArchiveSource(DataSource):
@@ -266,25 +298,25 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Files in groups of about group_bytes."""
         groups: list[list[str]] = [[]]
-        size = 0
-        for path in _listed(self.path):
-            size += os.path.getsize(path)
-            if groups[-1] and size > self.group_bytes:
+        held = 0
+        for path, size in _listed(self.path):
+            if groups[-1] and held + size > self.group_bytes:
                 groups.append([])
-                size = os.path.getsize(path)
+                held = 0
             groups[-1].append(path)
+            held += size
         return [_Group(g) for g in groups]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for path in partition.paths:
-            with open(path, "rb") as f:
-                data = f.read()
+            data = _bytes(self.path, path)
             yield from self.rows_of(path, data, fmt.walk(data, self.strict))
 
 
 class ArchiveStream(DataSourceStreamReader):
-    """New archives, and new sessions of versioned trees. The offset holds each file's published length: the end of its last whole
-    trailer, so a torn tail is never read."""
+    """New archives, and new sessions of versioned trees. The offset holds each file's size, which the driver gets from the listing alone;
+    tasks read up to it, and up to the last whole trailer there, so a torn tail is never read, and what was published by the size before
+    is not returned again."""
 
     def __init__(self, options: dict[str, str]):
         self.view, self.path = options.get("view", "sessions"), options["path"]
@@ -292,28 +324,21 @@ class ArchiveStream(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {}
 
-    def _published(self, path: str) -> int:
-        with open(path, "rb") as f:
-            data = f.read()
-        found = fmt.walk(data)
-        if not found.version:
-            return 0
-        return found.trailer + fmt.TRAILER if found.head_source == "trailer" and found.trailer is not None else 0 if found.head_source == "trailer" else len(data)
-
     def latestOffset(self) -> dict:
-        return {p: n for p in _listed(self.path) if (n := self._published(p))}
+        return dict(_listed(self.path))
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Range(p, start.get(p, 0), n) for p, n in sorted(end.items()) if n != start.get(p, 0)]
+        return [_Range(p, start.get(p, 0), n) for p, n in sorted(end.items()) if n > start.get(p, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read(partition.end)
-        found = fmt.walk(data)
-        rows = VIEWS[self.view](partition.path, data, found)
-        if not partition.start or self.view not in ("sessions", "nodes"):
-            return rows
+        data = _bytes(self.path, partition.path, partition.end)
+        rows = VIEWS[self.view](partition.path, data, fmt.walk(data))
         before = fmt.walk(data[: partition.start])
+        if not partition.start or not before.blocks:
+            return rows
+        if self.view not in ("sessions", "nodes"):
+            # a tree that grew is returned again, other archives are not
+            return rows if before.head_source == "trailer" else iter(())
         known = {r[1] for r in _sessions(partition.path, data[: partition.start], before)}
         return (r for r in rows if r[1] not in known)
 

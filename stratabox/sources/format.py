@@ -23,7 +23,6 @@ BACKWARD = 1
 NODE_TYPE, SESSION_TYPE = 0xAAAA0001, 0xAAAA0002
 KEY_TYPE, SIGNATURE_TYPE = 0xAAAB0001, 0xAAAB0002
 CONTAINER_TYPE = 0xAAAC0001
-MAX_BLOCKS = 4096
 
 _HEADER = struct.Struct("<8sHHQ")
 _TRAILER = struct.Struct("<QB3s8s")
@@ -177,9 +176,6 @@ def walk(data: bytes, strict: bool = False, base: int = 0) -> Archive:
         if at in seen:
             note("ERROR", "ChainCycle", f"block at {at} again", offset=at)
             break
-        if len(seen) >= MAX_BLOCKS and not strict:
-            note("WARN", "ChainTooLong", f"more than {MAX_BLOCKS} blocks")
-            break
         seen.add(at)
         try:
             block = read_block(data, at)
@@ -210,16 +206,16 @@ def sealed(p: Part, start: int, keep_hash: bool = False) -> Part:
     return replace(p, start=start, used=used, max=used + p.reserve, hash=p.hash if keep_hash else hashing.field(p.algo, p.data))
 
 
-def blocks_image(parts: list[Part], at: int, algo: int) -> bytes:
-    """A forward chain of full blocks that begins at `at`."""
-    groups = [parts[i : i + BLOCK_ENTRIES] for i in range(0, len(parts), BLOCK_ENTRIES)] or [[]]
-    out = b""
+def blocks_image(parts: list[Part], at: int, algo: int, capacity: int = BLOCK_ENTRIES) -> bytes:
+    """A forward chain of blocks of `capacity` entries that begins at `at`."""
+    groups = [parts[i : i + capacity] for i in range(0, len(parts), capacity)] or [[]]
+    out = bytearray()
     for k, group in enumerate(groups):
         following = at + len(out) + BLOCK + len(group) * ENTRY if k + 1 < len(groups) else 0
         body = b"".join(p.entry() for p in group)
         head = _BLOCK.pack(len(group), following, algo, bytes(64))
         out += head[:10] + block_hash(algo, head + body) + body
-    return out
+    return bytes(out)
 
 
 def check_new(parts: list[Part]) -> None:
@@ -239,17 +235,17 @@ def check_new(parts: list[Part]) -> None:
         seen.add(p.uid)
 
 
-def image(parts: list[Part], algo: int = 16, trailer: bool = False, keep_hashes: bool = False) -> bytes:
-    """A compact archive: header, blocks, then data in order."""
+def image(parts: list[Part], algo: int = 16, trailer: bool = False, keep_hashes: bool = False, capacity: int = BLOCK_ENTRIES) -> bytes:
+    """A compact archive: header, blocks of `capacity` entries, then data in order."""
     check_new(parts)
-    count = max(1, -(-len(parts) // BLOCK_ENTRIES))
+    count = max(1, -(-len(parts) // capacity))
     start = HEADER + count * BLOCK + len(parts) * ENTRY
     placed = []
     for p in parts:
         q = sealed(p, start, keep_hashes and bool(p.hash))
         placed.append(q)
         start += q.max
-    body = blocks_image(placed, HEADER, algo) + b"".join(q.data + bytes(q.reserve) for q in placed)
+    body = blocks_image(placed, HEADER, algo, capacity) + b"".join(q.data + bytes(q.reserve) for q in placed)
     head = _HEADER.pack(MAGIC, *VERSION, IN_TRAILER if trailer else HEADER)
     return head + body + (_TRAILER.pack(HEADER, 0, bytes(3), TRAILER_MAGIC) if trailer else b"")
 
@@ -315,15 +311,15 @@ def _spaced(data: bytes) -> list[Part]:
     return [replace(p, reserve=max(0, p.max - p.used)) for p in loaded(data)]
 
 
-def append_session(data: bytes, parts: list[Part], session: Part, algo: int) -> bytes:
-    """Append data, member blocks and a head block that link backward, and the trailer that publishes them."""
-    found = walk(data, strict=True)
+def append_session(data: bytes, parts: list[Part], session: Part, algo: int, head: int | None = None) -> bytes:
+    """Append data, member blocks and a head block that link backward, and the trailer that publishes them. `head` is the newest block of
+    a log that has been read."""
+    previous = walk(data, strict=True).head if head is None else head
     out = bytearray(data)
     placed = []
     for p in [session, *parts]:
         placed.append(sealed(p, len(out)))
         out += p.data
-    previous = found.head
     heads = [placed[:BLOCK_ENTRIES]] + [placed[i : i + BLOCK_ENTRIES] for i in range(BLOCK_ENTRIES, len(placed), BLOCK_ENTRIES)]
     for group in reversed(heads):
         head = _BLOCK.pack(len(group), previous, algo, bytes(64))

@@ -514,6 +514,10 @@ def read_container(data: bytes) -> tuple[ContainerHeader, Arena, list[tuple[int,
                 at = following
             arena.inners.append(inner)
         table = block.next
+    for x in arena.inners:  # later additions share what is there
+        for e in x.extents:
+            if e.kind == DATA:
+                arena.by_bytes.setdefault(bytes(arena.pool[e.offset : e.offset + e.length]), e)
     return header, arena, blocks
 
 

@@ -44,7 +44,7 @@ class TreeLog:
 
     def _scan(self) -> _Log:
         found, log, last = fmt.walk(self.data, strict=True), _Log(), None
-        at = 0
+        self.head, at = found.head, 0
         while at < len(found.blocks):
             head = found.blocks[at]
             own = [p for p in head.entries if p.type == fmt.SESSION_TYPE]
@@ -55,19 +55,26 @@ class TreeLog:
             group = found.blocks[at : at + s.block_count]
             rec.require(len(group) == s.block_count, "Truncated", "session blocks")
             rec.require(all(p.type != fmt.SESSION_TYPE for b in group[1:] for p in b.entries), "BadSession", "a session record in a member block")
-            seen = set()
-            for p in (p for b in group for p in b.entries):
-                if p.type == fmt.NODE_TYPE:
-                    n = rec.read_node(fmt.data_of(self.data, p))
-                    rec.require(n.node_id not in seen, "DuplicateNode", n.node_id.hex())
-                    seen.add(n.node_id)
-                    log.history.setdefault(n.node_id, []).insert(0, (s.seq, n))
-                log.raw[p.uid] = p  # newest first, so the oldest stays
-            log.sessions.insert(0, s)
-            log.heads.insert(0, head)
+            for n in self._nodes(self.data, group):
+                log.history.setdefault(n.node_id, []).append((s.seq, n))
+            log.raw.update((p.uid, p) for b in group for p in b.entries)  # newest first, so the oldest stays
+            log.sessions.append(s)
+            log.heads.append(head)
             at += s.block_count
+        for found_newest_first in (log.sessions, log.heads, *log.history.values()):
+            found_newest_first.reverse()
         return log
 
+    @staticmethod
+    def _nodes(data: bytes, group: list[fmt.Block]) -> list[rec.Node]:
+        """The node records of a session's blocks."""
+        nodes = [rec.read_node(fmt.data_of(data, p)) for b in group for p in b.entries if p.type == fmt.NODE_TYPE]
+        seen = set()
+        for n in nodes:
+            rec.require(n.node_id not in seen, "DuplicateNode", n.node_id.hex())
+            seen.add(n.node_id)
+        return nodes
+
     # --- reading
 
     def current(self, as_of: int | None = None) -> dict[bytes, rec.Node]:
@@ -143,7 +150,10 @@ class TreeLog:
     def verify(self) -> None:
         """The container's rules, the session chain, and that the tree builds."""
         fmt.verify(self.data)
-        found = fmt.walk(self.data, strict=True)
+        self.verify_log(fmt.walk(self.data, strict=True))
+
+    def verify_log(self, found: fmt.Archive) -> None:
+        """The session chain over the archive's blocks, and that the tree builds."""
         by_offset = {b.offset: k for k, b in enumerate(found.blocks)}
         older = None
         for s, head in zip(self.log.sessions, self.log.heads, strict=True):
@@ -169,12 +179,30 @@ class TreeLog:
         session = rec.Session(seq, ts_ms, head.algo if head else 0, head.hash if head else bytes(64), count, self.algo if count > 1 else 0, bytes(64), min(changes, 65535), self.writer)
         uid = uid or self._uid(b"session", seq)
         label = fmt.encode_label("session")
+        written = lambda: fmt.append_session(self.data, parts, fmt.Part(fmt.SESSION_TYPE, uid, label, rec.write_session(session)), self.algo, self.head)
+        made = written()
         if count > 1:  # members' hashes don't depend on the session record's bytes, only on its length
-            trial = fmt.append_session(self.data, parts, fmt.Part(fmt.SESSION_TYPE, uid, label, rec.write_session(session)), self.algo)
-            hashes = [b.hash for b in fmt.walk(trial, strict=True).blocks[1:count]]
+            hashes = [b.hash for b in self._appended(made, count)[1:]]
             session = rec.Session(seq, ts_ms, session.prev_algo, session.prev_hash, count, self.algo, rec.member_digest(self.algo, hashes), session.change_count, self.writer)
-        self.data = fmt.append_session(self.data, parts, fmt.Part(fmt.SESSION_TYPE, uid, label, rec.write_session(session)), self.algo)
-        self.log = self._scan()
+            made = written()
+        group = self._appended(made, count)
+        nodes = self._nodes(made, group)
+        self.data, self.head = made, group[0].offset
+        for n in nodes:
+            self.log.history.setdefault(n.node_id, []).append((seq, n))
+        for p in (p for b in group for p in b.entries):
+            self.log.raw.setdefault(p.uid, p)
+        self.log.sessions.append(session)
+        self.log.heads.append(group[0])
+
+    @staticmethod
+    def _appended(data: bytes, count: int) -> list[fmt.Block]:
+        """The blocks of the session that was published last."""
+        group, at = [], fmt.find_trailer(data)[1]
+        for _ in range(count):
+            group.append(fmt.read_block(data, at))
+            at = group[-1].next
+        return group
 
     def _uid(self, *what: object) -> bytes:
         """Ids from what they name and how far the log has come: the same input gives the same archive."""
