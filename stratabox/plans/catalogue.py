@@ -1,7 +1,7 @@
 """All queries over archives, by name, and their SQL.
 
-Each query builds archives from the driver's tables (sources.ingest), reads them back through the views and applies one operator;
-its SQL says what must come out, from the tables alone.
+Each query reads archives built from the driver's tables (sources.ingest, written once in a session) through the views and applies one
+operator; its SQL says what must come out, from the tables alone. Spoilt sets hold archives that are broken in known ways.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from stratabox.functions import hashing
 from stratabox.operators import decode, dedup, integrity, layout, signatures, tree
 from stratabox.sources import format as fmt
 from stratabox.sources import ingest
+from stratabox.sources import records as rec
 from stratabox.sources.archive import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,11 +91,37 @@ def hexed(column: str) -> Column:
 # --- containers of partitions
 
 
-@query(f"WITH {DOCS} SELECT path, CAST(1 AS BIGINT) AS blocks, count(*) AS entries, CAST(0 AS BIGINT) AS bad_blocks, CAST(0 AS BIGINT) AS bad_entries, CAST(NULL AS VARCHAR) AS first_error FROM docs GROUP BY path")
+@query(f"WITH {DOCS} SELECT path, CAST(1 AS BIGINT) AS blocks, count(*) AS entries, CAST(0 AS BIGINT) AS bad_blocks, CAST(0 AS BIGINT) AS bad_entries, CAST(NULL AS VARCHAR) AS first_error, CAST(NULL AS VARCHAR) AS file_error FROM docs GROUP BY path")
 def archive_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.verify(ingest.documents(spark, sf_dir))
 
 
+@query(
+    f"""WITH {DOCS}, a AS (SELECT path, CAST(replace(path, 'docs-', '') AS BIGINT) % 7 AS k, count(*) AS n, bool_or(used > 0 AND turn > 0) AS has FROM docs GROUP BY path)
+    SELECT path, CAST(CASE WHEN k IN (2, 3) THEN 0 WHEN k = 6 THEN 5000 ELSE 1 END AS BIGINT) AS blocks, CAST(CASE WHEN k IN (2, 3) THEN 0 WHEN k = 6 THEN 5000 ELSE n END AS BIGINT) AS entries,
+      CAST(CASE WHEN k = 4 THEN 1 ELSE 0 END AS BIGINT) AS bad_blocks, CAST(CASE WHEN k = 1 AND has THEN 1 ELSE 0 END AS BIGINT) AS bad_entries,
+      CASE WHEN k = 1 AND has THEN 'DataHashMismatch' WHEN k = 2 THEN 'Truncated' WHEN k = 3 THEN 'BadMagic' WHEN k = 4 THEN 'TableHashMismatch' WHEN k = 5 THEN 'ChainCycle' END AS first_error,
+      CASE k WHEN 2 THEN 'Truncated' WHEN 3 THEN 'BadMagic' WHEN 5 THEN 'ChainCycle' END AS file_error FROM a"""
+)
+def spoilt_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flipped byte, a cut file, junk, a wrong block hash, a chain that returns to itself, five thousand blocks: each gets its verdict."""
+    return integrity.verify(ingest.spoilt_documents(spark, sf_dir))
+
+
+@query(f"WITH {LAST}, a AS (SELECT path, top, CAST(replace(path, 'log-', '') AS BIGINT) % 4 AS k FROM spans) SELECT path, CAST(CASE k WHEN 2 THEN top - 1 WHEN 3 THEN top + 1 ELSE top END AS BIGINT) AS sessions, CASE k WHEN 1 THEN 'SessionChain' WHEN 3 THEN 'ParentCycle' END AS error FROM a")
+def spoilt_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A broken session chain, a torn commit (which is as if it had not been), a cycle of parents."""
+    return integrity.verify_trees(ingest.spoilt_histories(spark, sf_dir)).select("path", "sessions", "error")
+
+
+@query(
+    f"""WITH {DOCS}, a AS (SELECT replace(path, 'docs', 'dyn') AS path, CAST(replace(path, 'docs-', '') AS BIGINT) % 4 AS k, count(*) AS n FROM docs GROUP BY path)
+    SELECT path, CAST(1 AS BIGINT) AS containers, CAST(CASE WHEN k = 3 THEN 0 ELSE n END AS BIGINT) AS inners, CASE k WHEN 1 THEN 'DataHashMismatch' WHEN 2 THEN 'DuplicateUid' WHEN 3 THEN 'NotAContainer' END AS error FROM a"""
+)
+def spoilt_container_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.verify_containers(ingest.spoilt_containers(spark, sf_dir))
+
+
 @query(f"WITH {DOCS} SELECT path, doc_id % {ingest.DOCS_PER_ARCHIVE} AS ord, kind AS partition_type, uid, label, used AS used_bytes FROM docs")
 def scan_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(ingest.documents(spark, sf_dir), "partitions").select("path", F.col("ord").cast("long").alias("ord"), "partition_type", hexed("uid").alias("uid"), "label", "used_bytes")
@@ -150,15 +177,17 @@ def digests_by_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(turn.alias("turn")).agg(F.count("*").alias("n"), F.count_if("data_ok").alias("ok"))
 
 
-@query(f"WITH {DOCS} SELECT label, CASE turn WHEN 4 THEN md5(t) WHEN 5 THEN sha1(t) ELSE sha256(t) END AS digest FROM docs WHERE turn IN (4, 5, 6)")
+@query(f"WITH {DOCS} SELECT label, CASE doc_id % 3 WHEN 0 THEN md5(t) WHEN 1 THEN sha1(t) ELSE sha256(t) END AS digest FROM docs")
 def stored_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = view(ingest.documents(spark, sf_dir), "partitions").filter(F.col("data_hash_algo").isin(4, 5, 16))
-    return kept.select("label", F.lower(F.hex(F.substring("data_hash", F.lit(1), hashing.digest_length(F.col("data_hash_algo"))))).alias("digest"))
+    """What archives store as digests, of all documents, by turns under the algorithms that SQL has as well."""
+    parts = view(ingest.documents(spark, sf_dir, 4, 5, 16), "partitions")
+    return parts.select("label", F.lower(F.hex(F.substring("data_hash", F.lit(1), hashing.digest_length(F.col("data_hash_algo"))))).alias("digest"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS uid, CAST(0 AS BIGINT) AS n WHERE false")
+@query(f"WITH {DOCS} SELECT replace(path, 'docs', 'dyn') AS path, md5('doc:' || CAST(min(doc_id) AS VARCHAR)) AS uid, CAST(2 AS BIGINT) AS n FROM docs WHERE CAST(replace(path, 'docs-', '') AS BIGINT) % 4 = 2 GROUP BY path")
 def duplicate_uids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.duplicate_uids(ingest.containers(spark, sf_dir)).select("path", hexed("uid").alias("uid"), "n")
+    """Every fourth container's first inner uid stands outside as well."""
+    return integrity.duplicate_uids(ingest.spoilt_containers(spark, sf_dir)).select("path", hexed("uid").alias("uid"), "n")
 
 
 @query(f"WITH {DOCS} SELECT label, CASE WHEN used < 1024 THEN CAST(used AS VARCHAR) || ' B' WHEN used % 1024 = 0 THEN CAST(used // 1024 AS VARCHAR) || ' KiB' ELSE printf('%.1f KiB', used / 1024.0) END AS size FROM docs WHERE used < 1048576")
@@ -228,26 +257,45 @@ def update_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(edited(ingest.documents(spark, sf_dir), edits), "data").select("path", "label", F.sha2("data", 256).alias("sha256"))
 
 
-@query(f"WITH {DOCS} SELECT path, 'header' AS kind, CAST(0 AS BIGINT) AS start, '         0          20  header       ' AS line FROM docs GROUP BY path")
+_SHOWN = f"""{_PLACED}, shown AS (
+  SELECT path, 'header' AS kind, 0 AS start, 20 AS stop, '' AS label FROM docs GROUP BY path UNION ALL SELECT path, 'tableheader', 20, 94, '' FROM docs GROUP BY path
+  UNION ALL SELECT path, 'entries', 94, 94 + 141 * count(*), '' FROM docs GROUP BY path UNION ALL SELECT path, 'data', start, start + used, label FROM placed WHERE used > 0
+  UNION ALL SELECT path, 'slack', start + used, start + used + slack, label FROM placed WHERE slack > 0
+)"""
+
+
+@query(f"WITH {DOCS}, {_SHOWN} SELECT path, kind, CAST(start AS BIGINT) AS start, lpad(CAST(CAST(start AS BIGINT) AS VARCHAR), 10, ' ') || '  ' || lpad(CAST(CAST(stop AS BIGINT) AS VARCHAR), 10, ' ') || '  ' || rpad(kind, 12, ' ') || ' ' || label AS line FROM shown")
 def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = layout.regions(ingest.documents(spark, sf_dir)).filter("kind = 'header'")
-    return layout.layout_text(found).select("path", F.lit("header").alias("kind"), "start", "line")
+    return layout.layout_text(layout.layout(ingest.documents(spark, sf_dir))).select("path", "kind", "start", "line")
 
 
-@query()
+@query(
+    f"""WITH {DOCS}, {_SHOWN}, cells AS (
+      SELECT path, kind, start, stop, unnest(range(CAST(floor(start * 64 / size) AS BIGINT), CAST(least(63, floor((stop - 1) * 64 / size)) AS BIGINT) + 1)) AS cell
+      FROM (SELECT *, CAST(max(stop) OVER (PARTITION BY path) AS DOUBLE) AS size FROM shown)
+    ), top AS (
+      SELECT path, cell, arg_max(CASE kind WHEN 'header' THEN 'H' WHEN 'tableheader' THEN 'T' WHEN 'entries' THEN 'E' WHEN 'data' THEN 'D' ELSE '_' END, struct_pack(a := start, b := stop - start)) AS letter FROM cells GROUP BY path, cell
+    ) SELECT p.path, string_agg(coalesce(letter, '.'), '' ORDER BY c) AS strip FROM (SELECT DISTINCT path, unnest(range(64)) AS c FROM docs) p LEFT JOIN top ON top.path = p.path AND cell = c GROUP BY p.path"""
+)
 def layout_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ingest.documents(spark, sf_dir)
-    return layout.strips(layout.regions(a), view(a, "files"))
+    return layout.strips(layout.regions(a).drop("file_len"), view(a, "files"))
 
 
-@query(f"WITH {DOCS} SELECT label, CAST(ceil(least(used, 4096) / 16.0) AS BIGINT) AS lines FROM docs WHERE used > 0")
+@query(
+    f"""WITH {DOCS}, pieces AS (
+      SELECT label, i * 16 AS spot, lower(substr(h, i * 32 + 1, 32)) AS p FROM (SELECT label, hex(encode(t)) AS h, unnest(range(0, CAST(ceil(used / 16.0) AS BIGINT))) AS i FROM docs WHERE used > 0)
+    ), pairs AS (SELECT label, spot, [substr(p, 2 * x + 1, 2) for x in range(0, length(p) // 2)] AS l FROM pieces)
+    SELECT label, CAST(spot AS BIGINT) AS spot, printf('%08x', CAST(spot AS BIGINT)) || '  ' || rpad(array_to_string(l[1:8], ' '), 23, ' ') || '  ' || rpad(coalesce(array_to_string(l[9:16], ' '), ''), 23, ' ')
+      || '  |' || array_to_string([CASE WHEN x BETWEEN '20' AND '7e' THEN chr(CAST('0x' || x AS INTEGER)) ELSE '.' END for x in l], '') || '|' AS line FROM pairs"""
+)
 def hexdump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text."""
     data = view(ingest.documents(spark, sf_dir), "data")
-    dumped = layout.hexdump(data).groupBy("path", "uid").agg(F.count("*").alias("lines"))
-    return dumped.join(data.select("path", "uid", "label"), ["path", "uid"]).select("label", "lines")
+    return layout.hexdump(data, keep=("label",)).select("label", F.col("offset").cast("long").alias("spot"), "line")
 
 
-@query()
+@query(f"WITH {DOCS}, {_PLACED}, l AS (SELECT path, 94 + 141 * count(*) + sum(used + slack) - 1 AS size FROM docs GROUP BY path) SELECT 'ERROR' AS severity, 'DataOutOfBounds' AS kind, count(*) AS n FROM placed JOIN l USING (path) WHERE start + used > size HAVING count(*) > 0")
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives cut short by a byte: what a defensive reader says."""
     a = ingest.documents(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, octet_length(content) - 1)"))
@@ -273,6 +321,17 @@ def decode_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("text").alias("decoder")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {LAST}, dirs AS (SELECT count(DISTINCT event_type) AS n FROM events), c AS (SELECT path, count(*) AS recs, count(CASE WHEN NOT gone THEN 1 END) AS puts FROM recs GROUP BY path)
+    SELECT path, 'session' AS decoder, top AS n FROM spans UNION ALL SELECT path, 'raw', puts FROM c
+    UNION ALL SELECT path, 'node', CAST(1 + dirs.n + recs + CASE WHEN top >= 22 THEN 1 ELSE 0 END AS BIGINT) FROM c JOIN spans USING (path), dirs"""
+)
+def decode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which decoder took each record of the trees."""
+    found = decode.field_nodes(view(ingest.histories(spark, sf_dir), "data")).filter((F.element_at("node_path", -1) == "decoder") & (F.col("depth") == 1))
+    return found.groupBy("path", F.col("text").alias("decoder")).agg(F.count("*").alias("n")).filter("n > 0")
+
+
 # --- versioned trees
 
 _CURRENT = "cur AS (SELECT path, user_id, max(seq) AS seq, arg_max(k, seq) AS k, arg_max(gone, seq) AS gone, arg_max(t, seq) AS t FROM recs {where} GROUP BY path, user_id)"
@@ -322,6 +381,23 @@ def hash_chain_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.chain_verdicts(view(ingest.histories(spark, sf_dir), "sessions"))
 
 
+@query(
+    f"""WITH {LAST}, a AS (SELECT path, top, CAST(replace(path, 'log-', '') AS BIGINT) % 4 AS k FROM spans)
+    SELECT path, s AS session_seq, NOT (k = 1 AND s = top) AS linked, true AS members_ok FROM (SELECT path, k, top, CAST(unnest(range(1, CASE k WHEN 2 THEN top WHEN 3 THEN top + 2 ELSE top + 1 END)) AS BIGINT) AS s FROM a)"""
+)
+def hash_chain_spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.chain_verdicts(view(ingest.spoilt_histories(spark, sf_dir), "sessions"))
+
+
+@query(_SQL["session_log"].replace("s AS session_seq, ", "").replace(", 'ingest' AS writer", "").replace("AS change_count", "AS changes").replace("CAST((s - 1) * 86400000 AS BIGINT) AS ts_ms", "CAST((s - 1) * 86400 AS BIGINT) AS window_start"))
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by day of their commit."""
+    from stratabox.streaming.sessions import changes_by_window
+
+    found = changes_by_window(view(ingest.histories(spark, sf_dir), "sessions"))
+    return found.select("path", F.unix_timestamp("window.start").alias("window_start"), "changes")
+
+
 _LIVE = f"""WITH RECURSIVE {LAST}, {_CURRENT.format(where='')}, entries AS (
   SELECT path, '' AS parent, event_type AS name, true AS dir FROM spans, (SELECT DISTINCT event_type FROM events) WHERE NOT (event_type = 'view' AND top >= 22)
   UNION ALL SELECT path, k, 'u' || CAST(user_id AS VARCHAR), false FROM cur WHERE NOT gone
@@ -350,11 +426,11 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LAST}, w AS (SELECT path, arg_min(user_id, struct_pack(a := -seq, b := md5('user:' || CAST(user_id AS VARCHAR)))) AS u, substr(CAST(user_id AS VARCHAR), -1) AS digit FROM recs WHERE NOT gone GROUP BY path, digit) SELECT path, digit, 'u' || CAST(u AS VARCHAR) AS winner FROM w")
 def sibling_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of users whose names end in one digit stand for siblings of one name: the later session wins, then the smaller id."""
+    """Users whose names end in one digit, as siblings of one name below the root: the later session wins, then the smaller id."""
     nodes = view(ingest.histories(spark, sf_dir), "nodes").filter("kind = 1 and not tombstone")
-    named = nodes.withColumn("digit", F.expr("substring(name, -1)"))
-    best = F.row_number().over(Window.partitionBy("path", "digit").orderBy(F.desc("session_seq"), "node_id"))
-    return named.withColumn("r", best).filter("r = 1").select("path", "digit", F.col("name").alias("winner"))
+    digit = F.expr("substring(name, -1)")
+    alike = nodes.withColumn("winner", F.col("name")).withColumn("parent_id", F.lit(rec.ROOT)).withColumn("name_raw", F.encode(digit, "UTF-8")).withColumn("name", digit)
+    return tree.live(tree.newest(alike)).filter("depth = 1").select("path", F.col("tree_path").alias("digit"), "winner")
 
 
 @query(f"WITH {LAST}, v AS (SELECT path, user_id, arg_max(t, seq) AS t FROM recs WHERE NOT gone GROUP BY path, user_id) SELECT path, 'u' || CAST(user_id AS VARCHAR) AS name, sha256(t) AS sha256, CAST(NULL AS VARCHAR) AS error FROM v")
@@ -380,9 +456,10 @@ def delta_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.delta_depth(nodes).join(names, ["path", "node_id"]).select("path", "name", "depth")
 
 
-@query()
+@query(f"WITH {LAST} SELECT path, repeat(x, 16) AS node_id FROM spans, (VALUES ('01'), ('02')) v(x) WHERE CAST(replace(path, 'log-', '') AS BIGINT) % 4 = 3")
 def parent_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.parent_cycles(tree.newest(view(ingest.histories(spark, sf_dir), "nodes"))).select("path", hexed("node_id").alias("node_id"))
+    """Every fourth tree has a session in which two directories are each other's parents."""
+    return tree.parent_cycles(tree.newest(view(ingest.spoilt_histories(spark, sf_dir), "nodes"))).select("path", hexed("node_id").alias("node_id"))
 
 
 _MIRROR = f"""{_LIVE}, files AS (
@@ -432,9 +509,20 @@ def compact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(nodes.groupBy("path").agg(F.count("*").alias("nodes")), "path", "left").select("path", F.coalesce("nodes", F.lit(0)).alias("nodes"))
 
 
-@query("SELECT DISTINCT CAST((i + 1) // 255 AS BIGINT) AS block, CAST(count(*) OVER (PARTITION BY (i + 1) // 255) AS BIGINT) AS n FROM range(1000) r(i)")
+@query(f"{_LIVE} SELECT path, count(*) + 1 AS nodes FROM walk GROUP BY path")
+def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tree with one more file, by a session of its own."""
+    from stratabox.operators import rewrite
+
+    h = ingest.histories(spark, sf_dir)
+    changes = h.select("path", F.lit("put").alias("op"), F.lit("click/added").alias("tree_path"), F.encode(F.lit("added"), "UTF-8").alias("data"), F.lit(None).cast("string").alias("to"))
+    return tree.live(tree.newest(view(rewrite.committed(h, changes), "nodes"))).groupBy("path").agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT CAST((doc_id + 1) // 255 AS BIGINT) AS block, count(*) AS n FROM documents GROUP BY 1")
 def block_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1000).groupBy(tree.session_block(F.col("id")).cast("long").alias("block")).agg(F.count("*").alias("n"))
+    """Which block of one session would hold each document's entry."""
+    return ingest.read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id").groupBy(tree.session_block(F.col("id")).cast("long").alias("block")).agg(F.count("*").alias("n"))
 
 
 # --- dynamic containers
@@ -504,6 +592,30 @@ def promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("label", F.col("partition_type").alias("type"), "used_bytes", F.lower(F.hex(F.substring("data_hash", 1, 32))).alias("sha256"))
 
 
+@query(f"WITH {DOCS} SELECT label, used AS used_bytes, sha256(t) AS sha256, 'ok' AS verdict FROM docs")
+def demote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was promoted goes back into its container: the contents are as they were."""
+    from stratabox.operators import rewrite
+
+    c = ingest.containers(spark, sf_dir)
+    first = view(c, "inners").filter("inner_ord = 0").select("path", F.col("inner_uid").alias("uid"))
+    back = rewrite.demoted(rewrite.promoted(c, first), first, ingest.CHUNK)
+    return dedup.inner_verdicts(view(back, "inners")).select("label", "used_bytes", F.sha2("content", 256).alias("sha256"), "verdict")
+
+
+_HALVES = CHUNKS.replace(str(ingest.CHUNK), str(ingest.CHUNK // 2))
+
+
+@query(f"WITH {DOCS}, {_HALVES}, {_REFS} SELECT replace(path, 'docs', 'dyn') AS path, count(*) AS extents, CAST(sum(length) AS BIGINT) AS bytes, CAST(sum(refs) AS BIGINT) AS refs FROM refs GROUP BY path")
+def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers cut anew into smaller chunks: what each then stores."""
+    from stratabox.operators import rewrite
+
+    extents = view(rewrite.deduplicated(ingest.containers(spark, sf_dir), ingest.CHUNK // 2), "extents")
+    stored = dedup.extent_refs(extents)
+    return stored.groupBy("path").agg(F.count("*").alias("extents"), F.sum("extent_length").alias("bytes"), F.sum("refs").alias("refs"))
+
+
 # --- signatures
 
 _NAMED = "named AS (SELECT DISTINCT doc_id FROM labels)"
@@ -558,3 +670,65 @@ def _fingerprint() -> bytes:
 
 
 _SQL["list_keys"] = _SQL["list_keys"].replace("{fingerprint}", _fingerprint().hex())
+
+
+_SPOILT = f"""spoilt AS (
+  SELECT replace(path, 'docs', 'signed') AS path, uid, used, CAST(replace(path, 'docs-', '') AS BIGINT) % 6 AS k, row_number() OVER (PARTITION BY path ORDER BY doc_id) AS nth,
+    CASE WHEN used > 0 THEN row_number() OVER (PARTITION BY path, used > 0 ORDER BY doc_id) END AS nth_used FROM docs JOIN named USING (doc_id)
+)"""
+
+
+def _spoilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    a = ingest.spoilt_signed(spark, sf_dir)
+    entries = view(a, "signed_entries")
+    return a, signatures.manifest_verdicts(view(a, "signatures"), view(a, "keys"), entries), entries
+
+
+@query(
+    f"""WITH {DOCS}, {_NAMED}, {_SPOILT} SELECT DISTINCT path, CASE k WHEN 1 THEN 'Invalid' WHEN 2 THEN 'Unverifiable' WHEN 3 THEN 'Unverifiable' ELSE 'Valid' END AS verdict,
+      CASE k WHEN 1 THEN 'bad_signature' WHEN 2 THEN 'no_matching_key' WHEN 3 THEN 'malformed' END AS reason FROM spoilt"""
+)
+def signature_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures with a flipped byte, without their key, unreadable; others are valid, whatever became of what they cover."""
+    return _spoilt(spark, sf_dir)[1].select("path", "verdict", "reason")
+
+
+@query(f"WITH {DOCS}, {_NAMED}, {_SPOILT} SELECT path, uid, CASE WHEN k = 4 AND nth_used = 1 THEN 'DataHashMismatch' WHEN k = 5 AND nth = 1 THEN 'ProtectedFieldMismatch' ELSE 'Valid' END AS verdict FROM spoilt WHERE k NOT IN (1, 2, 3)")
+def signed_entry_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covered partitions with other bytes under their old hash, or another label."""
+    a, manifests, entries = _spoilt(spark, sf_dir)
+    return signatures.entry_verdicts(entries, manifests, view(a, "partitions"), view(a, "data")).select("path", hexed("uid").alias("uid"), "verdict")
+
+
+@query(f"WITH {DOCS}, {_NAMED}, {_SPOILT} SELECT path, bool_and(k = 0 OR k = 4 AND NOT coalesce(u, false)) AS ok FROM (SELECT path, k, max(nth_used) OVER (PARTITION BY path) IS NOT NULL AS u FROM spoilt) GROUP BY path")
+def all_valid_spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, manifests, entries = _spoilt(spark, sf_dir)
+    return signatures.all_valid(manifests, signatures.entry_verdicts(entries, manifests, view(a, "partitions"), view(a, "data")))
+
+
+@query(
+    f"""WITH {LAST}, dirs AS (SELECT count(DISTINCT event_type) AS n FROM events), c AS (SELECT path, count(*) AS recs, count(CASE WHEN NOT gone THEN 1 END) AS puts FROM recs GROUP BY path)
+    SELECT path, CAST(1 + dirs.n + recs + puts + CASE WHEN top >= 22 THEN 1 ELSE 0 END AS BIGINT) AS covered, true AS ok, CAST(top + 1 AS BIGINT) AS sessions FROM c JOIN spans USING (path), dirs"""
+)
+def signed_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees signed in bulk, each by a session of its own: contents and node records are covered, and the tree still verifies."""
+    from stratabox.operators import rewrite
+
+    a = rewrite.signed(ingest.histories(spark, sf_dir), ingest.SEED)
+    entries = view(a, "signed_entries")
+    manifests = signatures.manifest_verdicts(view(a, "signatures"), view(a, "keys"), entries)
+    verdicts = signatures.entry_verdicts(entries, manifests, view(a, "partitions"))
+    covered = verdicts.filter("verdict = 'Valid'").groupBy("path").agg(F.count("*").alias("covered"))
+    sound = integrity.verify_trees(a).select("path", "sessions", F.col("error").isNull().alias("ok"))
+    return covered.join(sound, "path")
+
+
+@query(f"WITH {DOCS} SELECT path, count(CASE WHEN turn IN (6, 7, 8) THEN 1 END) AS covered FROM docs GROUP BY path HAVING covered > 0")
+def signed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain archives signed in bulk: partitions under a strong hash are covered."""
+    from stratabox.operators import rewrite
+
+    a = rewrite.signed(ingest.documents(spark, sf_dir), ingest.SEED)
+    entries = view(a, "signed_entries")
+    manifests = signatures.manifest_verdicts(view(a, "signatures"), view(a, "keys"), entries)
+    return signatures.entry_verdicts(entries, manifests, view(a, "partitions")).filter("verdict = 'Valid'").groupBy("path").agg(F.count("*").alias("covered"))
