@@ -93,6 +93,13 @@ def test_command_line(tmp_path, capsys):
     assert main(["verify-sig", g, "--key", str(tmp_path / "k.pub")]) == 0 and main(["compact", g]) == 0 and main(["verify-sig", g]) == 0
     capsys.readouterr()
     assert main(["sign", g, "--key", str(tmp_path / "k")]) == 0 and "nothing to sign" in capsys.readouterr().out
+    for command in (["layout", g], ["table", g], ["chain", g], ["findings", g], ["hexdump", g, "--region", "data"], ["hexdump", g, "--range", "0x0+20"], ["html", g, "--output", str(tmp_path / "g.html")], ["info", g]):
+        assert main(command) == 0
+    assert "Mail" not in (tmp_path / "g.html").read_text() and "partitions" in (tmp_path / "g.html").read_text()
+    t = str(tmp_path / "new.log")
+    assert main(["create", t, str(src)]) == 0 and main(["get", t, "d/a.txt", "--output", str(tmp_path / "a.out")]) == 0
+    assert (tmp_path / "a.out").read_text() == "beta"
+    assert main(["sign", t, "--key", str(tmp_path / "k"), "--sig-label", "mine"]) == 0 and main(["verify-sig", t, "--key", str(tmp_path / "k.pub")]) == 0 and main(["verify", t]) == 0
     assert main(["inspect", g]) == 0 and main(["decode", g]) == 0 and main(["keys", g]) == 0
 
 
