@@ -114,18 +114,20 @@ def spelled(chain: list | None) -> str:
     return "".join(reversed(made))
 
 
-def settle(chains: list[list], written: list[str]) -> None:
-    """Write out what all chains begin with, and cut it off them."""
-    live = {id(x): x for x in chains}
+def settle(chains: list[list], written: list[str]) -> int:
+    """Write out what all chains begin with, and cut it off them. Returns how long the longest still is."""
+    most, live = max(x[2] for x in chains), {id(x): x for x in chains}
     while len(live) > 1:
         longest = max(live.values(), key=lambda x: x[2])
-        del live[id(longest)]
         if longest[0] is None:
-            return
+            return most
+        del live[id(longest)]
         live[id(longest[0])] = longest[0]
     for shared in live.values():
         written.append(spelled(shared))
         shared[0], shared[1] = None, ""
+        return most - shared[2]
+    return 0
 
 
 class Decoder:
@@ -140,8 +142,9 @@ class Decoder:
         p3 = (c3 + 5 * p2[None]) / (c3.sum(2, keepdims=True) + 5)
         self.costs = (-np.log(p3)).tolist()
 
-    def arcs(self, token: str, double: float = DOUBLE) -> Iterator[list[tuple[int, str, float]]]:
-        """For each position: (next position, output, channel cost)."""
+    def arcs(self, token: str, double: float = DOUBLE) -> Iterator[tuple[list[tuple[int, str, float]], float | None]]:
+        """For each position its arcs (next position, output, channel cost), and the cost of leaving the run of equal characters that it is
+        inside of (none at a run's first character)."""
         n, i = len(token), 0
         while i < n:
             c = token[i]
@@ -149,25 +152,27 @@ class Decoder:
             while j < n and token[j] == c:
                 j += 1
             letter = c.isalpha()
+            rest = DROP_MARK if not letter and c not in LEET else REPEAT if j - i > 2 else double
             for k in range(i, j):  # from inside a run to its end: the rest was repetition
                 if c == " ":
-                    yield [(k + 1, " ", SPACE), (k + 1, "", GAP)]
+                    yield [(k + 1, " ", SPACE), (k + 1, "", GAP)], None
                     continue
                 own = [(k + 1, c, 0.0)] if letter else []
                 own += [(k + 1, x, SWAP) for x in LEET.get(c, "")]
                 if k > i:
-                    own.append((j, "", DROP_MARK if not letter and c not in LEET else REPEAT if j - i > 2 else double))
+                    own.append((j, "", rest))
                 if not letter:
                     own.append((k + 1, "", DROP_OTHER if c.isalnum() else DROP_MARK))
                     own.append((k + 1, " ", DROP_OTHER if c.isalnum() else KEEP_MARK))
-                yield own
+                yield own, rest if k > i else None
             i = j
 
     def decode(self, token: str, double: float = DOUBLE) -> str:
         """The likeliest reading, words parted by single spaces. double: the cost of reading a doubled letter as one.
 
-        Readings are chains of (reading before, text, length); every SETTLE positions what all live ones share is written out and let go, so
-        memory does not grow with a token's length beyond its reading.
+        Readings are chains of (reading before, text, length). From time to time what all live ones share is written out and let go, and inside
+        a run a reading goes that one of the same state could have left the run with before, at no more cost; so memory and time for a
+        character do not grow with a token's length.
         """
         return " ".join(self.read(token, double)[0].split())
 
@@ -176,8 +181,16 @@ class Decoder:
         costs, n = self.costs, len(token)
         states: dict[int, dict] = {0: {(0, 0): (0.0, [None, "", 0])}}
         written: list[str] = []
-        for i, arcs in enumerate(self.arcs(token, double)):
+        least: dict = {}
+        due = SETTLE
+        for i, (arcs, leave) in enumerate(self.arcs(token, double)):
+            if leave is None:
+                least = {}
             for (a, b), (cost, chain) in states.pop(i, {}).items():
+                if leave is not None:
+                    if least.get((a, b), math.inf) + leave <= cost:
+                        continue
+                    least[a, b] = min(cost, least.get((a, b), math.inf))
                 row = costs[a][b]
                 for j, text, channel in arcs:
                     if not text:
@@ -194,8 +207,8 @@ class Decoder:
                     old = own.get(state)
                     if old is None or total < old[0]:
                         own[state] = (total, [chain, text, chain[2] + 1])
-            if i % SETTLE == SETTLE - 1:
-                settle([x[1] for own in states.values() for x in own.values()], written)
+            if i >= due:
+                due = i + max(SETTLE, settle([x[1] for own in states.values() for x in own.values()], written))
         if not states.get(n):
             return "", math.inf
         total, _, chain = min(((x[0] + (costs[s[0]][s[1]][0] if s[1] else 0.0), k, x[1]) for k, (s, x) in enumerate(states[n].items())), key=lambda x: x[:2])

@@ -342,7 +342,7 @@ def test_decoder_finds_the_least_cost():
         return total + (decoder.costs[a][b][0] if b else 0.0)
 
     for token in ("1d10t", "id!ot", "c.a.t", "caaat", "l33t", "a t e", "aal!", "$at", "t-h-e", "ooo"):
-        arcs, readings = list(decoder.arcs(token)), []
+        arcs, readings = [x for x, _ in decoder.arcs(token)], []
 
         def walk(at, text, channel, arcs=arcs, readings=readings, token=token):
             if at == len(token):
@@ -363,7 +363,8 @@ def test_decoder_writes_out_long_readings(monkeypatch):
     whole = decoder.read(long)
     monkeypatch.setattr(toxicity, "SETTLE", 7)
     assert decoder.read(long) == whole
-    assert decoder.read("a" * 50_000)[0].startswith("a")
+    for token in ("a" * 50_000, "-" * 50_000, "1" * 50_000, "id" + "." * 50_000 + "iot"):
+        assert len(decoder.read(token)[0]) < 50
 
 
 def test_trigrams_in_pieces(monkeypatch):
