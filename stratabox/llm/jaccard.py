@@ -371,17 +371,20 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # ids that stand for several sets tie them
     twice = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
     spread = scratch.keep(shared_prefixes(nodes, scratch))
-    heads = spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").drop("last")
-    buckets = scratch.keep(spread.join(heads, "key"))
+    # buckets of the same nodes (a passage gives one for each of its shingles) are told by 128 bits and looked into once
+    alike = [F.bit_xor(F.xxhash64("node", "n")).alias("x"), F.bit_xor(F.xxhash64("n", "node", F.lit("y"))).alias("y")]
+    kinds = spread.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("size"), *alike).filter("head < last")
+    kinds = kinds.groupBy("head", "last", "size", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    buckets = scratch.keep(spread.join(kinds.select("key", "head", "times"), "key"))
     scratch.drop(spread)
-    counted = scratch.keep(buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.count("*").alias("c")))
+    counted = scratch.keep(buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.sum("times").alias("c")))
     points = scratch.keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "point"))
     headed = counted.join(points, ["node", "n"]).join(points.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
     headed = headed.select("head", "node", "n", "c", "head_n", "point", "head_point").mapInArrow(near_heads, "head long, node long, n long, c long")
     close = scratch.keep(headed.groupBy("head", "node").agg(F.max("n").alias("n"), F.max("c").alias("c")))
     scratch.drop(counted)
     ties = close.select(F.col("node").alias("a"), F.col("head").alias("b"))
-    more = cross_pairs(buckets.drop("head"), components(ties, scratch), points, scratch, spanning=True)
+    more = cross_pairs(buckets.drop("head", "times"), components(ties, scratch), points, scratch, spanning=True)
     family = components(ties.unionByName(more), scratch).withColumnRenamed("component", "family")
     points = points.join(family, "node")
     sizes = points.groupBy("family").agg((F.count("*") <= FAMILY_DOCS).alias("few"), (F.sum("n") <= FAMILY_SHINGLES).alias("short"))
@@ -394,7 +397,7 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = scratch.keep(verify(groups, own).unionByName(twice))
     labels = scratch.keep(components(found, scratch))
     if not large.isEmpty():
-        pairs = cross_pairs(buckets.drop("head").join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch, spanning=False)
+        pairs = cross_pairs(buckets.drop("head", "times").join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch, spanning=False)
         pairs = scratch.keep(pairs.join(large.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n")), "b"))
         more = scratch.keep(verify(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")), own))
         labels = scratch.keep(components(found.unionByName(more), scratch))
