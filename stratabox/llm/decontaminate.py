@@ -31,6 +31,7 @@ from .common import Scratch, WordHashes, as_long, mixed, parts, per_worker, tabl
 WINDOW = 8
 FILTER_BITS = 1 << 26  # 8 MB of broadcast
 LEAST_ITEMS = 2
+SLICES = 64  # of a term's list in the index
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 NOTHING = hashlib.sha256(b"").hexdigest()
 #: Bytes of UTF-8 as the contract's words have them: A-Z lower-cased, digits, letters and all beyond ASCII as they are, the rest parts words.
@@ -125,7 +126,8 @@ def index(docs: DataFrame, scratch: Scratch, kept_by: Filter, near: bool = False
     documents = scratch.keep(own.mapInArrow(run, "row long, doc_id long, key long, n_words long, terms array<long>, at array<int>"))
     spread = documents.select("row", F.inline(F.arrays_zip("terms", "at"))).withColumnRenamed("terms", "term")
     postings = spread.groupBy("term", "row").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    return documents, scratch.keep(postings.repartition(parts(spark), "term").sortWithinPartitions("term", "row"))
+    # a term that a third of all documents has lies in SLICES partitions
+    return documents, scratch.keep(postings.repartition(parts(spark), "term", F.pmod("row", F.lit(SLICES))).sortWithinPartitions("term", "row"))
 
 
 def anchored(items: DataFrame, postings: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
