@@ -229,10 +229,15 @@ def unused(columns: list[str], *names: str) -> list[str]:
 FEW_ROWS = 500_000
 
 
+def by_few(rows: DataFrame, few: DataFrame, match, how: str = "inner") -> DataFrame:
+    """rows joined with a kept table of a few numbers a row, which is broadcast while it has at most FEW_ROWS rows, so that whole texts or
+    sets need no shuffle; beyond that the two are joined by their keys."""
+    return rows.join(F.broadcast(few) if few.count() <= FEW_ROWS else few, match, how)
+
+
 def without(docs: DataFrame, gone: DataFrame, match) -> DataFrame:
-    """The rows of docs that no row of `gone` (a kept table of a few numbers a row) matches. It is broadcast while it has at most FEW_ROWS
-    rows, so that whole texts need no shuffle; beyond that the two are joined by their keys."""
-    return docs.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, match, "left_anti")
+    """The rows of docs that no row of `gone` matches."""
+    return by_few(docs, gone, match, "left_anti")
 
 
 def new_token() -> str:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, as_long, parts, per_worker, table, unused, windows, without, words_of
+from .common import Scratch, WordHashes, as_long, by_few, parts, per_worker, table, unused, windows, without, words_of
 from .graph import components
 
 SHINGLE = 5
@@ -249,7 +249,7 @@ def verify(groups: DataFrame, docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    rows = groups.join(texts, "node").select("head", "chunk", "node", "text")
+    rows = by_few(texts, groups, "node").select("head", "chunk", "node", "text")
     return rows.repartition(parts(spark), "head", "chunk").sortWithinPartitions("head", "chunk", "node").mapInArrow(run, "a long, b long")
 
 
@@ -366,7 +366,7 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes_of = scratch.keep(sets.groupBy("print").agg(F.min("doc_id").alias("node")))
     copies = sets.select("doc_id", "print").join(nodes_of, "print").filter("doc_id <> node").select("doc_id", "node", "print")
     copies = scratch.keep(copies)
-    nodes = sets.join(copies.select("doc_id", "print").distinct(), ["doc_id", "print"], "left_anti").withColumnRenamed("doc_id", "node")
+    nodes = without(sets, copies.select("doc_id", "print"), ["doc_id", "print"]).withColumnRenamed("doc_id", "node")
     nodes = nodes.select("node", "n", "point", "keys")
     # ids that stand for several sets tie them
     twice = copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi")
@@ -378,7 +378,8 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = scratch.keep(spread.join(kinds.select("key", "head", "times"), "key"))
     scratch.drop(spread)
     counted = scratch.keep(buckets.filter("node <> head").groupBy("node", "n", "head").agg(F.sum("times").alias("c")))
-    points = scratch.keep(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "point"))
+    names = scratch.keep(buckets.select("node").distinct())
+    points = scratch.keep(by_few(nodes, names, "node", "left_semi").select("node", "n", "point"))
     headed = counted.join(points, ["node", "n"]).join(points.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("point").alias("head_point")), "head")
     headed = headed.select("head", "node", "n", "c", "head_n", "point", "head_point").mapInArrow(near_heads, "head long, node long, n long, c long")
     close = scratch.keep(headed.groupBy("head", "node").agg(F.max("n").alias("n"), F.max("c").alias("c")))
@@ -399,7 +400,8 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not large.isEmpty():
         pairs = cross_pairs(buckets.drop("head", "times").join(large.select("node", "n"), ["node", "n"], "left_semi"), labels, large, scratch, spanning=False)
         pairs = scratch.keep(pairs.join(large.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n")), "b"))
-        more = scratch.keep(verify(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")), own))
+        again = scratch.keep(chunked(pairs.select(F.col("a").alias("head"), F.col("b").alias("node"), "n")))
+        more = scratch.keep(verify(again, own))
         labels = scratch.keep(components(found.unionByName(more), scratch))
     scratch.drop(buckets, close, groups, found)
     named = nodes_of.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
