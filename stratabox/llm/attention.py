@@ -100,8 +100,8 @@ class Attention:
         """Of each class with members that is met: its members, the places where one is looked for, and the members' chances there."""
         wanted = np.flatnonzero((z >= 0) & (y >= 0))
         order = wanted[np.argsort(y[wanted], kind="stable")]
-        cuts = np.flatnonzero(np.diff(y[order], prepend=-2)) if len(order) else []
-        for low, high in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        cuts = np.flatnonzero(np.diff(y[order], prepend=-2))
+        for low, high in zip(cuts, np.append(cuts[1:], len(order)), strict=False):  # without any cut there is nothing
             at, own = order[low:high], self.members[int(y[order[low]])]
             chance = h[at] @ self.p["m"][own].T
             chance += self.p["mb"][own]

@@ -452,6 +452,8 @@ def test_lm_score_by_hand(spark):
     assert np.isclose(np.exp(model.log_lead[rest].astype(np.float64)).sum(), 1, atol=1e-3)
     assert np.allclose(np.bincount(model.spell_class, np.exp(model.log_within), lm_score.SPELL_CLASSES)[np.unique(model.spell_class)], 1, atol=1e-3)
     assert words[lm_score.END]["c"] == len(texts)
+    ends = model.text_log10([np.empty(0, np.int64)] * 3)  # no word anywhere, so no class has a member to look for
+    assert np.allclose(ends, ends[0]) and -20 < ends[0] < 0
 
 
 def test_lm_windows_cover_all_documents(spark):
