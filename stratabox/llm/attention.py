@@ -131,20 +131,20 @@ class Attention:
             np.exp(score, out=score)
             mixed = score @ x[:, :, 2 * d :]
             mixed /= score.sum(2, keepdims=True)
-            mixed = mixed.reshape(-1, d)
+            # what another window scores needs no odds here
+            rows = np.flatnonzero(y[at : at + 512] >= 0)
+            mixed, slots, target = mixed.reshape(-1, d)[rows], own.ravel()[rows], y[at : at + 512].ravel()[rows]
             logits = mixed @ self.p["o"]
-            logits += direct[own.ravel()]
-            target = y[at : at + 512].ravel()
-            chosen = np.take_along_axis(logits, np.maximum(target, 0)[:, None], 1)[:, 0]
+            logits += direct[slots]
+            chosen = logits[np.arange(len(rows)), target]
             np.exp(logits, out=logits)
             lp = chosen - np.log(logits.sum(1))
-            lp[target < 0] = 0
             if self.members:
-                wanted = z[at : at + 512].ravel()
-                mixed += self.p["e"][own.ravel()]
-                for _, rows, chance in self.within(mixed, target, wanted):
-                    lp[rows] += np.log(np.maximum(chance[np.arange(len(rows)), self.place[wanted[rows]]], 1e-30))
-            out[at : at + 512] = lp.reshape(own.shape)
+                wanted = z[at : at + 512].ravel()[rows]
+                mixed += self.p["e"][slots]
+                for _, met, chance in self.within(mixed, target, wanted):
+                    lp[met] += np.log(np.maximum(chance[np.arange(len(met)), self.place[wanted[met]]], 1e-30))
+            out.ravel()[at * y.shape[1] + rows] = lp
         return out
 
     def windows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -65,12 +65,15 @@ class Subwords:
     def __getstate__(self):
         return {"path": self.path, "pattern": self.pattern}
 
-    def ids(self, words: list[bytes]) -> list[list[int]]:
+    def encoder(self):
         if "coder" not in self.__dict__:
             import tiktoken
 
             self.coder = tiktoken.Encoding("subwords", pat_str=self.pattern, mergeable_ranks=load_ranks(self.path), special_tokens={})
-        encode = self.coder.encode_ordinary
+        return self.coder.encode_ordinary
+
+    def ids(self, words: list[bytes]) -> list[list[int]]:
+        encode = self.encoder()
         return [encode(" " + w.decode("utf-8", "replace")) for w in words]
 
 
@@ -237,43 +240,54 @@ class Leads(Bounded):
 
     def __init__(self, subwords: Subwords, limit: int = 96 << 20):
         super().__init__(limit)
-        self.subwords = subwords
+        self.encode = subwords.encoder()
 
     def made(self, word: bytes) -> int:
-        return self.subwords.ids([word])[0][0]
+        return self.encode(" " + word.decode("utf-8", "replace"))[0]
 
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+class Places(Leads):
+    """word -> its place among the broadcast words, or, of another word, -1 - its leading subword."""
+
+    def __init__(self, subwords: Subwords, hot: dict[bytes, int]):
+        super().__init__(subwords)
+        self.hot = hot
+
+    def made(self, word: bytes) -> int:
+        at = self.hot.get(word)
+        return -1 - Leads.made(self, word) if at is None else at
+
+
 class Reader:
-    """What a worker keeps: the leading subwords of words met, and the broadcast words' sums."""
+    """What a worker keeps: the places or leading subwords of words met. hot: the broadcast words' places, and by place whether training has
+    the word, its base, its static part and its leading subword."""
 
-    def __init__(self, model: Model, hot: dict[bytes, tuple[int, float, float]]):
-        self.model, self.hot, self.leads = model, hot, Leads(model.subwords)
+    def __init__(self, model: Model, hot: tuple[dict[bytes, int], np.ndarray]):
+        self.model, self.places, self.prices = model, Places(model.subwords, hot[0]), hot[1][:, :3]
+        self.leads, self.end = hot[1][:, 3].astype(np.int64), hot[0].get(END)
 
     def read(self, texts: list[str | None]) -> tuple[list[tuple[int, int, float, float]], np.ndarray, list[list[bytes]], list[list[int]]]:
         """Per text: (tokens, known, base, static) over broadcast words; the attention model's log10; the other words and their counts."""
         sums, leads, others, counts = [], [], [], []
-        hot = self.hot
         for text in texts:
             words = words_of(text)
-            leads.append(self.leads.array(words))
-            own = Counter(words)
-            own[END] += 1
-            known, base, static, rest, times = 0, 0.0, 0.0, [], []
-            for w, n in own.items():
-                got = hot.get(w)
-                if got is None:
-                    rest.append(w)
-                    times.append(n)
-                else:
-                    known += n * got[0]
-                    base += n * got[1]
-                    static += n * got[2]
-            sums.append((len(words) + 1, known, base, static))
-            others.append(rest)
-            counts.append(times)
+            places = self.places.array(words)
+            often = places >= 0
+            rest = Counter([words[k] for k in np.flatnonzero(~often).tolist()])
+            held, lead = places[often], -1 - places
+            lead[often] = self.leads[held]
+            if self.end is None:
+                rest[END] = 1
+            else:
+                held = np.append(held, self.end)
+            known, base, static = self.prices[held].sum(0).tolist()
+            sums.append((len(words) + 1, int(known), base, static))
+            leads.append(lead)
+            others.append(list(rest))
+            counts.append(list(rest.values()))
         return sums, self.model.text_log10(leads), others, counts
 
 
@@ -469,10 +483,11 @@ def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     # where the spelling is too unlikely for a double, its logarithm goes in alone
     static = F.when(c > 0, static).otherwise(F.log10(free / (tokens + STRENGTH)) + F.col("spelled"))
     base = F.log10((c + 0.5) / F.lit(N + 0.5 * (V + 1)))
-    priced = words.join(F.broadcast(leads), "lead", "left").select("word", "n", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), F.when(F.col("word") == F.lit(END), 0.0).otherwise(static).alias("static"))
+    priced = words.join(F.broadcast(leads), "lead", "left").select("word", "n", "lead", (F.col("c") > 0).cast("int").alias("known"), base.alias("base"), F.when(F.col("word") == F.lit(END), 0.0).otherwise(static).alias("static"))
     # words over a HOT-th of all tokens: fewer than HOT of them
-    often = {bytes(r["word"]): (r["known"], r["base"], r["static"]) for r in priced.filter(F.col("n") * HOT > total["all"]).drop("n").collect()}
-    hot = spark.sparkContext.broadcast(often)
+    often = priced.filter(F.col("n") * HOT > total["all"]).select("word", "known", "base", "static", "lead").collect()
+    prices = np.array([tuple(r)[1:] for r in often], np.float64).reshape(-1, 4)
+    hot = spark.sparkContext.broadcast(({bytes(r["word"]): k for k, r in enumerate(often)}, prices))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = per_worker("lm", token, lambda: Reader(model.value, hot.value))
