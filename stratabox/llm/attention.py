@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCKED = np.float32(-1e9)
+ROWS, FEW = 1024, 64  # places, and windows, whose odds are taken at a time: they stay in a core's cache
 
 
 class Attention:
@@ -56,43 +57,71 @@ class Attention:
         self.__dict__.pop("held", None)
 
     def slopes(self, s: np.ndarray, y: np.ndarray, z: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        p, d = self.p, self.width
+        p, d, scale = self.p, self.width, 1 / np.sqrt(self.width, dtype=np.float32)
         x = p["e"][s]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        score = q @ k.transpose(0, 2, 1) / np.sqrt(d, dtype=np.float32) + self.bias()
-        a = np.exp(score - score.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        h = x + a @ v
-        logits = h @ p["o"] + p["b"] + self.prior[s]
-        prob = np.exp(logits - logits.max(2, keepdims=True))
-        prob /= prob.sum(2, keepdims=True)
-        real = y >= 0
-        rows = np.nonzero(real)
-        prob[rows[0], rows[1], y[real]] -= 1
-        share = 1 / max(1, real.sum())
-        g = prob * (real * share).astype(np.float32)[:, :, None]
-        out = {"o": h.reshape(-1, d).T @ g.reshape(-1, g.shape[2]), "b": g.sum((0, 1))}
-        gh = g @ p["o"].T
+        q, k, v = ((x.reshape(-1, d) @ p[n]).reshape(x.shape) for n in "qkv")
+        bias, a, h = self.bias(), np.empty((*s.shape, s.shape[1]), x.dtype), np.empty_like(x)
+        for low in range(0, len(s), FEW):
+            at = slice(low, low + FEW)
+            odds = q[at] @ k[at].transpose(0, 2, 1)
+            odds *= scale
+            odds += bias
+            odds -= odds.max(2, keepdims=True)
+            np.exp(odds, out=odds)
+            odds /= odds.sum(2, keepdims=True)
+            np.matmul(odds, v[at], out=h[at])
+            a[at] = odds
+        h += x
+        h = h.reshape(-1, d)
+        # only what is scored here has odds
+        rows = np.flatnonzero(y.ravel() >= 0)
+        target, slots, share = y.ravel()[rows], s.ravel()[rows], np.float32(1 / max(1, len(rows)))
+        met, met_g = h[rows], np.empty((len(rows), d), h.dtype)
+        out = {"o": np.zeros_like(p["o"]), "b": np.zeros_like(p["b"])}
+        for low in range(0, len(rows), ROWS):
+            own, at = met[low : low + ROWS], slots[low : low + ROWS]
+            prob = own @ p["o"]
+            prob += self.prior[at]
+            prob += p["b"]
+            prob -= prob.max(1, keepdims=True)
+            np.exp(prob, out=prob)
+            prob *= share / prob.sum(1, keepdims=True)
+            prob[np.arange(len(at)), target[low : low + ROWS]] -= share
+            out["o"] += own.T @ prob
+            out["b"] += prob.sum(0)
+            met_g[low : low + ROWS] = prob @ p["o"].T
         if self.members:
             out["m"], out["mb"] = np.zeros_like(p["m"]), np.zeros_like(p["mb"])
-            flat_h, flat_gh = h.reshape(-1, d), gh.reshape(-1, d)
-            for own, at, spread in self.within(flat_h, y.ravel(), z.ravel()):
-                spread[np.arange(len(at)), self.place[z.ravel()[at]]] -= 1
-                spread *= np.float32(share)
-                out["m"][own] += spread.T @ flat_h[at]
+            wanted = z.ravel()[rows]
+            for own, at, spread in self.within(met, target, wanted):
+                spread[np.arange(len(at)), self.place[wanted[at]]] -= 1
+                spread *= share
+                out["m"][own] += spread.T @ met[at]
                 out["mb"][own] += spread.sum(0)
-                flat_gh[at] += spread @ p["m"][own]
-            gh = flat_gh.reshape(gh.shape)
-        ga = gh @ v.transpose(0, 2, 1)
-        gv = a.transpose(0, 2, 1) @ gh
-        gs = a * (ga - (ga * a).sum(2, keepdims=True))
-        out["r"] = np.bincount(self.gap[~self.ahead], gs.sum(0)[~self.ahead], self.window).astype(np.float32)
-        gs /= np.sqrt(d, dtype=np.float32)
-        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-        flat = x.reshape(-1, d)
-        gx = gh + gq @ p["q"].T + gk @ p["k"].T + gv @ p["v"].T
-        out |= {n: flat.T @ t.reshape(-1, d) for n, t in (("q", gq), ("k", gk), ("v", gv))}
-        ids, gx = s.ravel(), gx.reshape(-1, d)
+                met_g[at] += spread @ p["m"][own]
+        gh = np.zeros_like(h)
+        gh[rows] = met_g
+        gh = gh.reshape(x.shape)
+        gq, gk, gv, near = np.empty_like(x), np.empty_like(x), np.empty_like(x), np.zeros_like(bias)
+        for low in range(0, len(s), FEW):
+            at = slice(low, low + FEW)
+            odds, own = a[at], gh[at]
+            np.matmul(odds.transpose(0, 2, 1), own, out=gv[at])
+            gs = own @ v[at].transpose(0, 2, 1)
+            gs *= odds
+            odds *= gs.sum(2, keepdims=True)
+            gs -= odds
+            near += gs.sum(0)
+            gs *= scale
+            np.matmul(gs, k[at], out=gq[at])
+            np.matmul(gs.transpose(0, 2, 1), q[at], out=gk[at])
+        out["r"] = np.bincount(self.gap[~self.ahead], near[~self.ahead], self.window).astype(np.float32)
+        flat, gx = x.reshape(-1, d), gh.reshape(-1, d)
+        for n, t in (("q", gq), ("k", gk), ("v", gv)):
+            t = t.reshape(-1, d)
+            out[n] = flat.T @ t
+            gx += t @ p[n].T
+        ids = s.ravel()
         out["e"] = np.stack([np.bincount(ids, gx[:, i], len(p["e"])) for i in range(d)], 1).astype(np.float32)
         return out
 
@@ -123,22 +152,26 @@ class Attention:
         tables, direct, bias = self.held
         d, out = self.width, np.zeros(y.shape, np.float32)
         for at in range(0, len(s), 512):
-            own = s[at : at + 512]
-            x = tables[own]
-            score = x[:, :, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1)
-            score += bias
-            np.minimum(score, 40, out=score)
-            np.exp(score, out=score)
-            mixed = score @ x[:, :, 2 * d :]
-            mixed /= score.sum(2, keepdims=True)
+            own, held = s[at : at + 512], []
+            for low in range(0, len(own), FEW):
+                x = tables[own[low : low + FEW]]
+                score = x[:, :, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1)
+                score += bias
+                np.minimum(score, 40, out=score)
+                np.exp(score, out=score)
+                held.append(score @ x[:, :, 2 * d :])
+                held[-1] /= score.sum(2, keepdims=True)
+            mixed = np.concatenate(held)
             # what another window scores needs no odds here
             rows = np.flatnonzero(y[at : at + 512] >= 0)
             mixed, slots, target = mixed.reshape(-1, d)[rows], own.ravel()[rows], y[at : at + 512].ravel()[rows]
-            logits = mixed @ self.p["o"]
-            logits += direct[slots]
-            chosen = logits[np.arange(len(rows)), target]
-            np.exp(logits, out=logits)
-            lp = chosen - np.log(logits.sum(1))
+            lp = np.empty(len(rows), np.float32)
+            for low in range(0, len(rows), ROWS):
+                logits = mixed[low : low + ROWS] @ self.p["o"]
+                logits += direct[slots[low : low + ROWS]]
+                chosen = logits[np.arange(len(logits)), target[low : low + ROWS]]
+                np.exp(logits, out=logits)
+                lp[low : low + ROWS] = chosen - np.log(logits.sum(1))
             if self.members:
                 wanted = z[at : at + 512].ravel()[rows]
                 mixed += self.p["e"][slots]

@@ -8,11 +8,12 @@ P(word | leading subword) takes the corpus's own counts, over all training docum
 spelling: a second attention model over the word's subword ids, which covers words that training has not. All of it adds up to at most 1
 over texts.
 
-What is learned comes from all training documents, whole texts of any length. Words are counted in each task, then by word. Of all
-windows of all documents every SHARE-th one (all, while they are at most FEW_WINDOWS) is written to a table of training windows; subword
-classes and the table of log odds are sums over it, and the attention models are trained on it in ROUNDS rounds: each task takes its
-windows in steps of Adam, and the tasks' steps are averaged by how many windows they saw. Both grow with the input, and no more than the
-models' parameters meets on the driver. Subwords are those of a public vocabulary; none is trained.
+What is learned comes from all training documents, whole texts of any length, and from every word of them. Words are counted in each task,
+then by word; the spelling model is trained on all training words. Texts are then read once, to a table of slots of leading subwords:
+subword classes and the table of log odds are sums over all of it, and the attention model is trained on all of its windows, in ROUNDS
+rounds, each over the texts that a hash gives it: each task takes its windows in steps of Adam, and the tasks' steps are averaged by how many
+windows they saw. No more than the models' parameters and sums of bounded size meets on the driver. Subwords are those of a public
+vocabulary; none is trained.
 
 Words with more than a HOT-th of all tokens, at most HOT many, are broadcast; the rest meets the counts in one join, a row for each
 document and distinct word, so no word's rows pile up.
@@ -26,11 +27,11 @@ from __future__ import annotations
 import copy
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ SLOTS, OWN_SLOTS = 4096, 3500
 CLASSES, OWN_CLASSES, GROUPED = 96, 40, 4000  # classes; those of one subword; subwords that have a class of their own or in a group
 SPELL_CLASSES = 256
 BESIDE = 300  # subwords whose company tells classes
-SHARE, FEW_WINDOWS, ROUNDS, BATCH = 16, 200_000, 3, 128
+FEW_WINDOWS, ROUNDS, BATCH = 200_000, 3, 128
 RATES = (0.02, 0.012, 0.006)
 DISCOUNT, STRENGTH = 0.75, 1.0
 END = b"\n"  # no word: words hold no white space
@@ -56,6 +57,15 @@ def words_of(text: str | None) -> list[bytes]:
     return common.words_of(text, lower=True)
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of all texts end to end, as places in an array of distinct words; that array; and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(real).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()), np.bincount(owner.filter(real).to_numpy(), minlength=len(texts))
+
+
 class Subwords:
     """Subword ids of words, by a public byte-level vocabulary."""
 
@@ -105,24 +115,29 @@ class Model:
         order = np.argsort(-leads, kind="stable")
         order = order[(leads[order] > 2) & (self.slot[order] <= OWN_SLOTS)]
         self.single, self.grouped, self.beside = order[:OWN_CLASSES], order[OWN_CLASSES:GROUPED], order[:BESIDE]
+        # subwords of the last class by their counts alone
+        self.log_lead, rest = np.zeros(vocabulary, np.float32), np.ones(vocabulary, bool)
+        rest[order[:GROUPED]] = False
+        weight = leads[rest] + 0.02
+        self.log_lead[rest] = np.log(weight / weight.sum())
         often = np.argsort(-later, kind="stable")[: SPELL_CLASSES - 2]
         self.spell_class = np.full(vocabulary, SPELL_CLASSES - 1, np.int32)
         self.spell_class[often] = 1 + np.arange(len(often))
         within = later + 0.02
         self.log_within = np.log(within / np.bincount(self.spell_class, within, SPELL_CLASSES)[self.spell_class]).astype(np.float32)
 
-    def company(self, inputs: np.ndarray) -> np.ndarray:
-        """Of windows of leading subwords (rows): how often each grouped subword stands up to four words from each of `beside`, by
-        place * BESIDE + place."""
-        place, beside = np.full(len(self.slot) + 2, -1), np.full(len(self.slot) + 2, -1)
-        place[self.grouped], beside[self.beside] = np.arange(len(self.grouped)), np.arange(len(self.beside))
-        out = np.zeros(max(1, len(self.grouped)) * BESIDE, np.int64)
+    def company(self, inputs: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Of texts as slots, end to end, and the text of each: how often each grouped subword stands up to four words from each of `beside`,
+        by place * BESIDE + place."""
+        place, beside = np.full(SLOTS, -1), np.full(SLOTS, -1)
+        place[self.slot[self.grouped]], beside[self.slot[self.beside]] = np.arange(len(self.grouped)), np.arange(len(self.beside))
+        place, beside, met = place[inputs], beside[inputs], []
         for gap in (1, 2, 3, 4):
-            for x, y in ((inputs[:, :-gap], inputs[:, gap:]), (inputs[:, gap:], inputs[:, :-gap])):
-                x, y = place[x], beside[y]
-                ok = (x >= 0) & (y >= 0)
-                out += np.bincount(x[ok] * BESIDE + y[ok], minlength=len(out))
-        return out
+            same = owner[gap:] == owner[:-gap]
+            for x, y in ((place[:-gap], beside[gap:]), (place[gap:], beside[:-gap])):
+                ok = same & (x >= 0) & (y >= 0)
+                met.append(x[ok] * BESIDE + y[ok])
+        return np.bincount(np.concatenate(met), minlength=max(1, len(self.grouped)) * BESIDE)
 
     def group(self, seen: np.ndarray) -> None:
         """Classes from the company that subwords keep: single ones, groups, and the rest. 0 is the end of a text."""
@@ -134,25 +149,24 @@ class Model:
             u, s, _ = np.linalg.svd(rows - rows.mean(0), full_matrices=False)
             self.cls[self.grouped] = 1 + OWN_CLASSES + clusters((u * s)[:, :10], self.leads[self.grouped].astype(float), CLASSES - 2 - OWN_CLASSES)
         self.members = {int(c): np.sort(self.slot[self.grouped[self.cls[self.grouped] == c]]) for c in np.unique(self.cls[self.grouped])}
-        # subwords of the last class by their counts alone
-        self.log_lead = np.zeros(len(self.slot), np.float32)
-        rest = self.cls == CLASSES - 1
-        weight = self.leads[rest] + 0.02
-        self.log_lead[rest] = np.log(weight / weight.sum())
+        # a slot of one subword has its class; those that subwords share are of the last one, and 0, after a text, is its end
+        self.slot_class = np.full(SLOTS, CLASSES - 1, np.int32)
+        own = self.slot <= OWN_SLOTS
+        self.slot_class[self.slot[own]], self.slot_class[0] = self.cls[own], 0
 
-    def begin(self, text_seen: np.ndarray, spell_seen: np.ndarray) -> None:
-        """The models before training, from counts of (last slot, class)."""
+    def begin(self, text_seen: np.ndarray) -> None:
+        """The model of texts before training, from counts of (last slot, class)."""
         weight = np.zeros(SLOTS)
         weight[self.slot[self.grouped]] = self.leads[self.grouped]
         self.text = Attention(SLOTS, CLASSES, 32, 8, prior_of(text_seen, CLASSES), members=self.members, weight=weight)
+
+    def begin_spelling(self, spell_seen: np.ndarray) -> None:
         self.spell = Attention(SLOTS, SPELL_CLASSES, 8, 4, prior_of(spell_seen, SPELL_CLASSES), seed=4)
 
-    def text_targets(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Leading subwords (-1: a beginning, an end; NONE) to slots, classes and members."""
-        slots = np.where(inputs >= 0, self.slot[np.maximum(inputs, 0)], 0)
-        classes = np.where(targets >= 0, self.cls[np.maximum(targets, 0)], np.where(targets == -1, 0, -1))
-        grouped = (classes > OWN_CLASSES) & (classes < CLASSES - 1)
-        return slots, classes, np.where(grouped, self.slot[np.maximum(targets, 0)], -1)
+    def text_targets(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots that follow (0: the end) to classes and members."""
+        classes = self.slot_class[targets]
+        return classes, np.where((classes > OWN_CLASSES) & (classes < CLASSES - 1), targets, -1)
 
     def spell_targets(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Subwords of words likewise: a target of -1 is the word's end."""
@@ -170,12 +184,16 @@ class Model:
 
     def text_log10(self, leads: list[np.ndarray]) -> np.ndarray:
         """Of texts as leading subwords: log10 of the product over their words, and the end, of P(leading subword | words before)."""
-        inputs, targets, lengths = sequences(leads)
-        slots, classes, members = self.text_targets(inputs, targets)
-        total = self.text.sums(slots, classes, lengths, members)
+        lengths = np.array([len(x) for x in leads], np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *leads]).astype(np.int64)
         owner = np.repeat(np.arange(len(leads)), lengths)
-        total += np.bincount(owner, np.where(targets < 0, 0, self.log_lead[np.maximum(targets, 0)]), len(leads))
-        return total / math.log(10)
+        return self.slots_log10(self.slot[flat], lengths) + np.bincount(owner, self.log_lead[flat], len(leads)) / math.log(10)
+
+    def slots_log10(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Likewise of texts as slots, end to end, and how many each has, but for subwords of the last class within it."""
+        inputs, targets = sequences(flat, lengths)
+        classes, members = self.text_targets(targets)
+        return self.text.sums(inputs, classes, lengths + 1, members) / math.log(10)
 
 
 def prior_of(seen: np.ndarray, classes: int) -> np.ndarray:
@@ -184,19 +202,22 @@ def prior_of(seen: np.ndarray, classes: int) -> np.ndarray:
     return np.log((seen + 8 * base) / (seen.sum(1, keepdims=True) + 8))
 
 
-def sequences(leads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts as leading subwords to inputs (-1: the beginning) and targets (-1: the end), laid end to end, and their lengths."""
-    lengths = np.array([len(x) + 1 for x in leads], np.int64)
-    flat = np.concatenate([np.empty(0, np.int64), *leads]).astype(np.int64)
-    ends = np.cumsum(lengths) - 1
-    inputs, targets = np.full(int(lengths.sum()), -1), np.full(int(lengths.sum()), -1)
+def sequences(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as slots, end to end, to inputs (0: the beginning) and targets (0: the end)."""
+    ends = np.cumsum(lengths + 1) - 1
+    inputs, targets = np.zeros(len(flat) + len(lengths), np.int64), np.zeros(len(flat) + len(lengths), np.int64)
     word = np.ones(len(targets), bool)
     word[ends] = False
     targets[word] = flat
-    after = np.ones(len(inputs), bool)
-    after[ends - lengths + 1] = False
-    inputs[after] = flat
-    return inputs, targets, lengths
+    word[ends] = True
+    word[ends - lengths] = False
+    inputs[word] = flat
+    return inputs, targets
+
+
+def slots_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as the table of slots has them: slots end to end, and how many each has."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2"), pc.binary_length(column).to_numpy().astype(np.int64) // 2
 
 
 def spellings(spelled: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,24 +236,28 @@ def window_rows(inputs: np.ndarray, targets: np.ndarray, at: np.ndarray, scored:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, n (all texts), c (training texts), in each task."""
-    learned, others = Counter(), Counter()
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
 
-    def out() -> pa.RecordBatch:
-        words = [*learned, *(w for w in others if w not in learned)]
-        c = np.fromiter((learned[w] for w in words), np.int64, len(words))
-        n = c + np.fromiter((others[w] for w in words), np.int64, len(words))
-        learned.clear()
-        others.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(c)], ["word", "n", "c"])
+    def summed_up() -> pa.Table:
+        return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum"), ("c", "sum")]).rename_columns(["word", "n", "c"])
 
     for batch in batches:
-        for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = words_of(text.as_py())
-            words.append(END)
-            (others if held else learned).update(words)
-            if len(learned) + len(others) > 1_000_000:
-                yield out()
-    yield out()
+        codes, words, lengths = words_in(batch.column(1))
+        learned = ~batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        n, c = np.bincount(codes, minlength=len(words)), np.bincount(codes[np.repeat(learned, lengths)], minlength=len(words))
+        for w, x, y in ((words, n, c), ([END], [batch.num_rows], [int(learned.sum())])):
+            held.append(pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["word", "n", "c"]))
+        rows, size = rows + len(words) + 1, size + words.nbytes
+        if rows > 2_000_000 or size > 64 << 20:
+            table = summed_up().combine_chunks()
+            held = table.to_batches()
+            rows, size = table.num_rows, table.nbytes
+            if rows > 1_000_000 or size > 32 << 20:
+                yield from held
+                held, rows, size = [], 0, 0
+    if held:
+        yield from summed_up().to_batches()
 
 
 class Leads(Bounded):
@@ -266,34 +291,58 @@ class Reader:
     the word, its base, its static part and its leading subword."""
 
     def __init__(self, model: Model, hot: tuple[dict[bytes, int], np.ndarray]):
-        self.model, self.places, self.prices = model, Places(model.subwords, hot[0]), hot[1][:, :3]
-        self.leads, self.end = hot[1][:, 3].astype(np.int64), hot[0].get(END)
-
-    def read(self, texts: list[str | None]) -> tuple[list[tuple[int, int, float, float]], np.ndarray, list[list[bytes]], list[list[int]]]:
-        """Per text: (tokens, known, base, static) over broadcast words; the attention model's log10; the other words and their counts."""
-        sums, leads, others, counts = [], [], [], []
-        for text in texts:
-            words = words_of(text)
-            places = self.places.array(words)
-            often = places >= 0
-            rest = Counter([words[k] for k in np.flatnonzero(~often).tolist()])
-            held, lead = places[often], -1 - places
-            lead[often] = self.leads[held]
-            if self.end is None:
-                rest[END] = 1
-            else:
-                held = np.append(held, self.end)
-            known, base, static = self.prices[held].sum(0).tolist()
-            sums.append((len(words) + 1, int(known), base, static))
-            leads.append(lead)
-            others.append(list(rest))
-            counts.append(list(rest.values()))
-        return sums, self.model.text_log10(leads), others, counts
+        self.model, self.places = model, Places(model.subwords, hot[0])
+        self.prices = np.concatenate([hot[1][:, :3], np.zeros((1, 3))])  # of no broadcast word: 0
+        self.leads, self.end = np.append(hot[1][:, 3], 0).astype(np.int64), hot[0].get(END)
+
+    def read(self, texts: pa.Array) -> list[pa.Array]:
+        """Per text: tokens, known, base and static (with what subwords of the last class have within it) over broadcast words; the slots of
+        its words' leading subwords; the other words, and their counts."""
+        codes, words, lengths = words_in(texts)
+        count, places = len(texts), self.places.array(words.to_pylist())
+        often = places >= 0
+        leads = np.where(often, self.leads[np.where(often, places, -1)], -1 - places)
+        prices = self.prices[np.where(often, places, -1)]
+        prices[:, 2] += self.model.log_lead[leads] / math.log(10)
+        owner = np.repeat(np.arange(count), lengths)
+        known, base, static = (np.bincount(owner, np.ascontiguousarray(prices[:, k])[codes], count) for k in range(3))
+        # distinct words, in order of text and word
+        rare = ~often[codes]
+        keys, times = np.unique(owner[rare] * (len(words) + 1) + codes[rare], return_counts=True)
+        if self.end is None:
+            keys, times = np.append(keys, np.arange(count) * (len(words) + 1) + len(words)), np.append(times, np.ones(count, np.int64))
+            order = np.argsort(keys, kind="stable")
+            keys, times = keys[order], times[order]
+        else:
+            known, base, static = (x + self.prices[self.end, k] for k, x in enumerate((known, base, static)))
+        cuts = pa.array(np.searchsorted(keys, np.arange(count + 1) * (len(words) + 1)), pa.int32())
+        others = pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(keys % (len(words) + 1)))
+        slots = self.model.slot[leads].astype("<u2")[codes]
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        return [
+            pa.array(lengths + 1), pa.array(np.round(known).astype(np.int64)), pa.array(base), pa.array(static),
+            pa.array([slots[low:high].tobytes() for low, high in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+            pa.ListArray.from_arrays(cuts, others), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64())),
+        ]
+
+
+def read_texts(own: DataFrame, model, hot) -> DataFrame:
+    """own: doc_id, held_out, text; model and hot (see Reader) as broadcasts. A row for each text, with what Reader.read gives."""
+    token = new_token()
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "static", "slots", "words", "times"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = per_worker("lm", token, lambda: Reader(model.value, hot.value))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *reader.read(batch.column(3))], names)
+
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, static double, slots binary, words array<binary>, times array<long>"
+    return own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(read, kinds)
 
 
 def text_windows(docs: DataFrame, subwords: Subwords, share: int, token: str) -> DataFrame:
-    """docs: text. win (inputs and targets of a window, as leading subwords), of every share-th window of each text; where a text begins to
-    count is told by its first words, so short texts come in as often as long ones."""
+    """docs: text. win (inputs and targets of a window, as leading subwords; -1: a beginning, an end), of every share-th window of each text:
+    a view of windows by themselves. The models are trained on all windows, from the table of slots."""
     shape = Attention(1, 1, 32, 8, np.zeros((1, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,14 +352,9 @@ def text_windows(docs: DataFrame, subwords: Subwords, share: int, token: str) ->
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 at, scored, _ = shape.windows(np.array([len(words) + 1]))
-                chosen = np.arange(zlib.crc32(b" ".join(words[:8])) % share, len(at), share)
-                if len(chosen):
-                    at, scored = at[chosen], scored[chosen]
-                    ids, held = np.full(len(words) + 1, -1), np.unique(np.concatenate([at.ravel(), np.maximum(at - 1, 0).ravel()]))
-                    held = held[held < len(words)]
-                    ids[held] = leads.array([words[k] for k in held.tolist()])
-                    inputs = np.concatenate(([-1], ids[:-1]))
-                    out += [x.tobytes() for x in window_rows(inputs, ids, at, scored)]
+                chosen = slice(zlib.crc32(b" ".join(words[:8])) % share, None, share)
+                ids = np.append(leads.array(words), -1)
+                out += [x.tobytes() for x in window_rows(np.concatenate(([-1], ids[:-1])), ids, at[chosen], scored[chosen])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["win"])
 
     return docs.select("text").mapInArrow(run, "win binary")
@@ -336,27 +380,42 @@ def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[:, :half], both[:, half:]
 
 
-def summed(wins: DataFrame, count, size: int) -> np.ndarray:
-    """The sum over all windows of count(inputs, targets), an array of `size` numbers."""
+def summed(rows: DataFrame, count, size: int) -> np.ndarray:
+    """The sum over all rows' one column of count(column), an array of `size` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += count(*unpacked(batch.column(0)))
+                total += count(batch.column(0))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    rows = wins.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = rows.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
-def trained(attention: Attention, wins: DataFrame, prepare) -> None:
-    """Rounds over the windows, each over those that a hash gives it; few windows are gone through several times."""
-    spark = wins.sparkSession
-    n = wins.count()
+def dealt(parts: Iterator[tuple], size: int) -> Iterator[tuple]:
+    """Tuples of arrays of any length, as tuples of `size` rows; the last may have fewer."""
+    waiting, many = [], 0
+    for whole in parts:
+        low = 0
+        while low < len(whole[0]):
+            waiting.append(tuple(x[low : low + size - many] for x in whole))
+            low, many = low + len(waiting[-1][0]), many + len(waiting[-1][0])
+            if many == size:
+                yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting, many = [], 0
+    if many:
+        yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+
+
+def trained(attention: Attention, rows: DataFrame, windows_of, n: int) -> None:
+    """Rounds over all n windows, which windows_of(a column) gives in parts (slots, classes, members), each round over the rows that a hash
+    gives it; few windows are gone through several times."""
+    spark = rows.sparkSession
     if n < 8:
         return
     epochs = max(1, min(20, FEW_WINDOWS // n))
@@ -369,19 +428,9 @@ def trained(attention: Attention, wins: DataFrame, prepare) -> None:
 
             def steps():
                 nonlocal seen
-                waiting: list[tuple] = []
-                for batch in batches:
-                    for low in range(0, batch.num_rows, BATCH):
-                        waiting.append(prepare(*unpacked(batch.column(0).slice(low, BATCH))))
-                        seen += len(waiting[-1][0])
-                        if sum(len(x[0]) for x in waiting) >= BATCH:
-                            made = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
-                            waiting.clear()
-                            if epochs > 1:
-                                kept.append(made)
-                            yield made
-                if waiting:
-                    made = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                parts = (part for batch in batches for part in windows_of(batch.column(0)))
+                for made in dealt(parts, BATCH if epochs > 1 else 4 * BATCH):
+                    seen += len(made[0])
                     if epochs > 1:
                         kept.append(made)
                     yield made
@@ -395,9 +444,9 @@ def trained(attention: Attention, wins: DataFrame, prepare) -> None:
             at = np.flatnonzero(by)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(by[at], float(seen)))], ["at", "by"])
 
-        part = wins.filter(F.pmod(F.xxhash64("win"), F.lit(ROUNDS)) == number)
-        rows = part.mapInArrow(run, "at long, by double").groupBy("at").agg(F.sum("by").alias("by")).toArrow()
-        at, by = rows["at"].to_numpy(), rows["by"].to_numpy()
+        part = rows.filter(F.pmod(F.xxhash64(rows.columns[0]), F.lit(ROUNDS)) == number)
+        sums = part.mapInArrow(run, "at long, by double").groupBy("at").agg(F.sum("by").alias("by")).toArrow()
+        at, by = sums["at"].to_numpy(), sums["by"].to_numpy()
         seen = by[at < 0].sum()
         if seen:
             move = np.zeros(len(attention.flat()))
@@ -405,10 +454,9 @@ def trained(attention: Attention, wins: DataFrame, prepare) -> None:
             attention.moved(move)
 
 
-def learn(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """own: doc_id, held_out, text. The trained model, and the written table of all words: word, n (tokens), c (of them in training), lead,
-    spelled (log10 of the spelling given the leading subword)."""
-    token = new_token()
+def learn_words(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """own: held_out, text. The model with its spelling trained, and the written table of all words: word, n (tokens), c (of them in
+    training), lead, spelled (log10 of the spelling given the leading subword)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,26 +472,17 @@ def learn(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Scratch)
     rows = seen.select(F.explode(F.slice("subs", 2, 1 << 30)).alias("sub")).groupBy("sub").agg(F.count("*").alias("n")).toArrow()
     later[rows["sub"].to_numpy()] = rows["n"].to_numpy()
     model = Model(subwords, vocabulary, leads, first, later)
-    whole = int(leads.sum()) // 24 + 1  # windows, about
-    wins = scratch.keep(text_windows(own.filter(~F.col("held_out")), subwords, max(1, min(SHARE, -(-whole // FEW_WINDOWS))), token))
-    types = int(first.sum())
-    part = max(1, min(SHARE, -(-types // FEW_WINDOWS)))
-    spells = scratch.keep(word_windows(seen.filter(F.pmod(F.xxhash64("word"), F.lit(part)) == 0)))
-    model.group(summed(wins, lambda inputs, targets: model.company(inputs), max(1, len(model.grouped)) * BESIDE))
-
-    def by_last(prepare, classes: int):
-        def count(inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-            slots, target, _ = prepare(inputs, targets)
-            real = target >= 0
-            return np.bincount(slots[real].astype(np.int64) * classes + target[real], minlength=SLOTS * classes)
-
-        return count
-
-    model.begin(summed(wins, by_last(model.text_targets, CLASSES), SLOTS * CLASSES), summed(spells, by_last(model.spell_targets, SPELL_CLASSES), SLOTS * SPELL_CLASSES))
     bare = Bare(model)
-    trained(model.text, wins, bare.text_targets)
-    trained(model.spell, spells, bare.spell_targets)
-    scratch.drop(wins, spells)
+    spells = scratch.keep(word_windows(seen))
+
+    def by_last(column: pa.Array) -> np.ndarray:
+        slots, target, _ = bare.spell_targets(*unpacked(column))
+        real = target >= 0
+        return np.bincount(slots[real].astype(np.int64) * SPELL_CLASSES + target[real], minlength=SLOTS * SPELL_CLASSES)
+
+    model.begin_spelling(summed(spells, by_last, SLOTS * SPELL_CLASSES))
+    trained(model.spell, spells, lambda column: [bare.spell_targets(*unpacked(column))], spells.count())
+    scratch.drop(spells)
     held = own.sparkSession.sparkContext.broadcast(model)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,13 +495,57 @@ def learn(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Scratch)
     return model, priced
 
 
+def learn_texts(model: Model, texts: DataFrame) -> None:
+    """texts: slots, of all training texts."""
+
+    def company(column: pa.Array) -> np.ndarray:
+        flat, lengths = slots_in(column)
+        return early.company(flat, np.repeat(np.arange(len(lengths)), lengths))
+
+    early = Bare(model)
+    model.group(summed(texts, company, max(1, len(model.grouped)) * BESIDE))
+    bare = Bare(model)
+
+    def by_last(column: pa.Array) -> np.ndarray:
+        inputs, targets = sequences(*slots_in(column))
+        return np.bincount(inputs * CLASSES + bare.slot_class[targets], minlength=SLOTS * CLASSES)
+
+    model.begin(summed(texts, by_last, SLOTS * CLASSES))
+    shape = Attention(1, 1, 32, 8, np.zeros((1, 1)))
+
+    def windows_of(column: pa.Array) -> Iterator[tuple]:
+        flat, lengths = slots_in(column)
+        inputs, targets = sequences(flat, lengths)
+        at, scored, _ = shape.windows(lengths + 1)
+        for low in range(0, len(at), 4096):
+            a, k = at[low : low + 4096], scored[low : low + 4096]
+            classes, members = bare.text_targets(targets[a])
+            yield inputs[a], np.where(k, classes, -1), np.where(k, members, -1)
+
+    step = shape.window - shape.overlap
+    n = texts.agg(F.sum(F.greatest(F.lit(1), F.ceil((F.octet_length("slots") / 2 + 1 - shape.overlap) / step)))).first()[0] or 0
+    trained(model.text, texts, windows_of, int(n))
+
+
+def learn(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Scratch) -> tuple[Model, DataFrame]:
+    """own: doc_id, held_out, text. The trained model, and the table of all words (see learn_words)."""
+    model, words = learn_words(own, subwords, vocabulary, scratch)
+    share = own.sparkSession.sparkContext.broadcast
+    texts = scratch.keep(read_texts(own.filter(~F.col("held_out")), share(model), share(({}, np.zeros((0, 4))))).select("slots"))
+    learn_texts(model, texts)
+    scratch.drop(texts)
+    return model, words
+
+
 class Bare:
     """The tables of a model without its networks, for tasks that train them."""
 
-    text_targets, spell_targets = Model.text_targets, Model.spell_targets
+    company, text_targets, spell_targets = Model.company, Model.text_targets, Model.spell_targets
 
     def __init__(self, model: Model):
-        self.slot, self.cls, self.spell_class = model.slot, model.cls, model.spell_class
+        for name in ("slot", "spell_class", "grouped", "beside", "slot_class"):
+            if hasattr(model, name):
+                setattr(self, name, getattr(model, name))
 
 
 def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 50_257) -> DataFrame:
@@ -471,8 +554,7 @@ def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     scratch = Scratch(spark, "lm")
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 1, F.lit(False))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    made, words = learn(own, Subwords(path, pattern), vocabulary, scratch)
-    model, token = spark.sparkContext.broadcast(made), new_token()
+    made, words = learn_words(own, Subwords(path, pattern), vocabulary, scratch)
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
     N, V = total["N"], total["V"]
     # of each leading subword of the vocabulary the training words that begin with it
@@ -489,35 +571,27 @@ def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     prices = np.array([tuple(r)[1:] for r in often], np.float64).reshape(-1, 4)
     hot = spark.sparkContext.broadcast(({bytes(r["word"]): k for k, r in enumerate(often)}, prices))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = per_worker("lm", token, lambda: Reader(model.value, hot.value))
-        for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
-                sums, attended, others, counts = reader.read(batch.column(3).to_pylist())
-                sizes = np.array([len(x) for x in others])
-                flat = pa.array([w for x in others for w in x], pa.binary())
-                times = pa.array([n for x in counts for n in x], pa.int64())
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-                none = pa.nulls(len(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), flat, times, none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())], NAMES)
-                # a document's own sums: under a word of its own, which no count has
-                marks = pa.array([END + str(i).encode() for i in batch.column(0).to_pylist()], pa.binary())
-                tokens, known, lows, statics = ([x[i] for x in sums] for i in range(4))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), marks, pa.array(np.ones(batch.num_rows, np.int64)), batch.column(1), batch.column(2), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(lows, pa.float64()), pa.array(np.array(statics) + attended)],
-                    NAMES,
-                )
-
-    NAMES = ["row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "static"]
-    kinds = "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, static double"
-    found = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(read, kinds)
-    rest = priced.filter(F.col("n") * HOT <= total["all"]).select("word", F.col("known").alias("w_known"), F.col("base").alias("w_base"), F.col("static").alias("w_static"))
-    joined = found.join(rest, "word", "left")
-    per = lambda mine, word: F.sum(F.coalesce(mine, F.col("times") * F.col(word)))
-    out = joined.groupBy("row").agg(
+    texts = scratch.keep(read_texts(own, spark.sparkContext.broadcast(made), hot))
+    learn_texts(made, texts.filter(~F.col("held_out")).select("slots"))
+    model = spark.sparkContext.broadcast(made)
+
+    def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pc.add(batch.column(6), pa.array(model.value.slots_log10(*slots_in(batch.column(7)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], score], names)
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = texts.drop("words", "times").mapInArrow(attend, kinds)
+    # the other words: a row for each text and distinct word
+    rest = priced.filter(F.col("n") * HOT <= total["all"]).select("word", "known", "base", "static")
+    found = texts.selectExpr("row", "inline(arrays_zip(words, times))").withColumnRenamed("words", "word").join(rest, "word", "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    by = lambda name: F.col("times") * F.col(name)
+    found = found.select("row", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("long").alias("n_tokens"), by("known").alias("n_known"), by("base").alias("base_score"), by("static").alias("score"))
+    out = scored.unionByName(found).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        per("n_known", "w_known").cast("long").alias("n_known"), per("base", "w_base").alias("base_score"), per("static", "w_static").alias("score"),
+        F.sum("n_known").cast("long").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratabox.llm import ann, attention, common, graph, jaccard, lm_score, sharding, substring_dedup
@@ -470,6 +471,38 @@ def test_lm_windows_cover_all_documents(spark):
     assert abs(some - len(wins) / 16) <= len(texts)
 
 
+def test_lm_counts_every_token(spark, monkeypatch):
+    """The tables of odds are sums over all training tokens and all subwords of training words, however many windows there are."""
+    rng, sums, real = random.Random(6), [], lm_score.prior_of
+    monkeypatch.setattr(lm_score, "FEW_WINDOWS", 4)
+    monkeypatch.setattr(lm_score, "prior_of", lambda seen, classes: sums.append((classes, int(seen.sum()))) or real(seen, classes))
+    base = [f"{a}{b}" for a in ("tha", "ion", "ent", "her", "schu", "zwo") for b in ("re", "st", "al", "or", "tz")]
+    texts = [" ".join(rng.choice(base) for _ in range(rng.randint(1, 400))) for _ in range(40)] + ["", None]
+    _, words, subwords = learned(spark, texts)
+    assert dict(sums) == {
+        lm_score.CLASSES: sum(len(common.words_of(t)) + 1 for t in texts),
+        lm_score.SPELL_CLASSES: sum(len(x) for x in subwords.ids([w for w in words if w != lm_score.END])),
+    }
+
+
+def test_lm_steps_hold_every_window():
+    rng = np.random.default_rng(3)
+    for sizes in ([], [0], [5], [8, 8], [1, 30, 0, 7, 16, 3]):
+        cuts = np.cumsum([0, *sizes])
+        parts = [(np.arange(low, high), rng.random((high - low, 2))) for low, high in zip(cuts[:-1], cuts[1:])]
+        steps = list(lm_score.dealt(iter(parts), 8))
+        assert [k for step in steps for k in step[0].tolist()] == list(range(int(cuts[-1])))
+        assert all(len(step[0]) == 8 == len(step[1]) for step in steps[:-1])
+
+
+def test_lm_words_in_batches():
+    """Words by batches against words by texts, white space of other kinds included."""
+    texts = [None, "", " \t", "One TWO\x0bthree\x0cÄÉ\x85x\xa0y\u2003z\x1c\x1d\x00 ", "\r\nend", "İı ſK"]
+    codes, words, lengths = lm_score.words_in(pa.array(texts, pa.string()))
+    held, at = words.to_pylist(), np.concatenate(([0], np.cumsum(lengths)))
+    assert [[held[c] for c in codes[low:high]] for low, high in zip(at[:-1], at[1:])] == [lm_score.words_of(t) for t in texts]
+
+
 # --- pipeline
 
 
