@@ -5,7 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 BLOCKED = np.float32(-1e9)
-ROWS, FEW = 1024, 64  # places, and windows, whose odds are taken at a time: they stay in a core's cache
+CELLS = 1 << 16  # odds that are taken at a time: they stay in a core's cache
+SAFE = 60.0  # odds up to this size need no largest one taken off before their exponentials are added up
+
+
+def longest(rows: np.ndarray) -> float:
+    """The largest length of a vector in the last dimension."""
+    return float(np.sqrt(np.einsum("...i,...i->...", rows, rows).max(initial=0)))
 
 
 class Attention:
@@ -27,6 +33,8 @@ class Attention:
             self.place = np.zeros(slots, np.int64)  # of a slot among its class's members
             for own in self.members.values():
                 self.place[own] = np.arange(len(own))
+            cuts = np.cumsum([0, *map(len, self.members.values())]).tolist()
+            self.all_members, self.span = np.concatenate([*self.members.values()]), dict(zip(self.members, map(slice, cuts, cuts[1:]), strict=False))
         self.ahead = np.triu(np.ones((window, window), bool), 1)
         self.gap = np.clip(np.arange(window)[:, None] - np.arange(window)[None, :], 0, window - 1)
 
@@ -57,127 +65,182 @@ class Attention:
         self.__dict__.pop("held", None)
 
     def slopes(self, s: np.ndarray, y: np.ndarray, z: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        p, d, scale = self.p, self.width, 1 / np.sqrt(self.width, dtype=np.float32)
-        x = p["e"][s]
-        q, k, v = ((x.reshape(-1, d) @ p[n]).reshape(x.shape) for n in "qkv")
-        bias, a, h = self.bias(), np.empty((*s.shape, s.shape[1]), x.dtype), np.empty_like(x)
-        for low in range(0, len(s), FEW):
-            at = slice(low, low + FEW)
-            odds = q[at] @ k[at].transpose(0, 2, 1)
-            odds *= scale
-            odds += bias
-            odds -= odds.max(2, keepdims=True)
+        s, y, z = (None if x is None else x[self.late_first(y)] for x in (s, y, z))
+        p, d, scale, many = self.p, self.width, 1 / np.sqrt(self.width, dtype=np.float32), self.many()
+        x, bias, kind, cuts = p["e"][s], self.bias(), p["e"].dtype, self.chunks(y)
+        tables = np.concatenate([p["q"] * scale, p["k"], p["v"]], 1)
+        by_slot = np.concatenate([p["e"] @ tables, np.ones((len(p["e"]), 1), kind)], 1)  # queries, keys, values, and ones, which add up a place's chances
+        made, steep = np.empty((*s.shape, 3 * d + 1), kind), longest(by_slot[:, :d]) * longest(by_slot[:, d : 2 * d]) + np.abs(p["r"]).max() > SAFE
+        a, h, total = np.empty((*s.shape, s.shape[1]), kind), np.zeros((*s.shape, d + 1), kind), np.ones((*s.shape, 1), kind)
+        for at, skip in cuts:
+            np.take(by_slot, s[at], 0, out=made[at], mode="clip")
+            q, k = made[at, skip:, :d], made[at, :, d : 2 * d]
+            odds = np.matmul(q, k.transpose(0, 2, 1), out=a[at, skip:])
+            odds += bias[skip:]
+            if steep:
+                odds -= odds.max(2, keepdims=True)
             np.exp(odds, out=odds)
-            odds /= odds.sum(2, keepdims=True)
-            np.matmul(odds, v[at], out=h[at])
-            a[at] = odds
-        h += x
-        h = h.reshape(-1, d)
+            mixed = np.matmul(odds, made[at, :, 2 * d :], out=h[at, skip:])
+            total[at, skip:] = mixed[:, :, d:]
+            mixed /= total[at, skip:]
         # only what is scored here has odds
         rows = np.flatnonzero(y.ravel() >= 0)
         target, slots, share = y.ravel()[rows], s.ravel()[rows], np.float32(1 / max(1, len(rows)))
-        met, met_g = h[rows], np.empty((len(rows), d), h.dtype)
-        out = {"o": np.zeros_like(p["o"]), "b": np.zeros_like(p["b"])}
-        for low in range(0, len(rows), ROWS):
-            own, at = met[low : low + ROWS], slots[low : low + ROWS]
-            prob = own @ p["o"]
-            prob += self.prior[at]
-            prob += p["b"]
-            prob -= prob.max(1, keepdims=True)
-            np.exp(prob, out=prob)
-            prob *= share / prob.sum(1, keepdims=True)
-            prob[np.arange(len(at)), target[low : low + ROWS]] -= share
-            out["o"] += own.T @ prob
-            out["b"] += prob.sum(0)
-            met_g[low : low + ROWS] = prob @ p["o"].T
+        met = h.reshape(-1, d + 1)[rows]
+        met[:, :d] += x.reshape(-1, d)[rows]  # the last column is 1
+        met_g, wide = np.empty((len(rows), d), kind), longest(met)
+        table, o_g = np.concatenate([p["o"], p["b"][None]]), np.zeros((d + 1, len(p["b"])), kind)
+        back = np.concatenate([p["o"], np.ones((1, len(p["b"])), kind)]).T.copy()
+        steep = wide * longest(table.T) + max(0, self.prior.max()) > SAFE
+        for low in range(0, len(rows), many):
+            own, wanted = met[low : low + many], target[low : low + many]
+            prob = own @ table
+            prob += self.prior[slots[low : low + many]]
+            met_g[low : low + many], of = self.chosen(prob, wanted, back, steep)
+            o_g += (own * of).T @ prob
+        out = {"o": o_g[:-1] * share, "b": o_g[-1] * share}
         if self.members:
+            table = np.concatenate([p["m"], p["mb"][:, None]], 1)
+            table, steep = table[self.all_members], wide * longest(p["m"]) + np.abs(p["mb"]).max() > SAFE
+            m_g, wanted, back = np.zeros_like(table), z.ravel()[rows], np.concatenate([table[:, :-1], np.ones((len(table), 1), kind)], 1)
+            order, groups = self.within(target, wanted)
+            own, wanted, by = met[order], self.place[wanted[order]], np.empty((len(order), d), kind)
+            for at, members in groups:
+                prob = own[at] @ table[members].T
+                by[at], of = self.chosen(prob, wanted[at], back[members], steep)
+                m_g[members] = prob.T @ (own[at] * of)
+            met_g[order] += by
+            m_g *= share
             out["m"], out["mb"] = np.zeros_like(p["m"]), np.zeros_like(p["mb"])
-            wanted = z.ravel()[rows]
-            for own, at, spread in self.within(met, target, wanted):
-                spread[np.arange(len(at)), self.place[wanted[at]]] -= 1
-                spread *= share
-                out["m"][own] += spread.T @ met[at]
-                out["mb"][own] += spread.sum(0)
-                met_g[at] += spread @ p["m"][own]
-        gh = np.zeros_like(h)
-        gh[rows] = met_g
-        gh = gh.reshape(x.shape)
-        gq, gk, gv, near = np.empty_like(x), np.empty_like(x), np.empty_like(x), np.zeros_like(bias)
-        for low in range(0, len(s), FEW):
-            at = slice(low, low + FEW)
-            odds, own = a[at], gh[at]
-            np.matmul(odds.transpose(0, 2, 1), own, out=gv[at])
-            gs = own @ v[at].transpose(0, 2, 1)
+            out["m"][self.all_members], out["mb"][self.all_members] = m_g[:, :-1], m_g[:, -1]
+        gx = np.zeros((s.size, d), kind)
+        gx[rows] = met_g * share
+        gx = gx.reshape(x.shape)
+        near, sums, turned = np.zeros_like(bias), np.zeros_like(tables), np.ascontiguousarray(tables.T)
+        for at, skip in cuts:
+            odds, got, mixed = a[at, skip:], gx[at, skip:], h[at, skip:, :d]
+            # slopes of a place's odds: its chances times what each value gives beyond the mean of all
+            left = np.concatenate([got, -np.einsum("ijk,ijk->ij", got, mixed)[:, :, None]], 2)
+            left /= total[at, skip:]
+            gs = left @ made[at, :, 2 * d :].transpose(0, 2, 1)
             gs *= odds
-            odds *= gs.sum(2, keepdims=True)
-            gs -= odds
-            near += gs.sum(0)
-            gs *= scale
-            np.matmul(gs, k[at], out=gq[at])
-            np.matmul(gs.transpose(0, 2, 1), q[at], out=gk[at])
+            near[skip:] += (np.ones(len(gs), kind) @ gs.reshape(len(gs), -1)).reshape(gs.shape[1:])
+            g = np.zeros((*x[at].shape[:2], 3 * d), kind)
+            np.matmul(gs, made[at, :, d : 2 * d], out=g[:, skip:, :d])
+            np.matmul(gs.transpose(0, 2, 1), made[at, skip:, :d], out=g[:, :, d : 2 * d])
+            np.matmul(odds.transpose(0, 2, 1), left[:, :, :d], out=g[:, :, 2 * d :])
+            g = g.reshape(-1, 3 * d)
+            sums += x[at].reshape(-1, d).T @ g
+            gx[at] += (g @ turned).reshape(x[at].shape)
         out["r"] = np.bincount(self.gap[~self.ahead], near[~self.ahead], self.window).astype(np.float32)
-        flat, gx = x.reshape(-1, d), gh.reshape(-1, d)
-        for n, t in (("q", gq), ("k", gk), ("v", gv)):
-            t = t.reshape(-1, d)
-            out[n] = flat.T @ t
-            gx += t @ p[n].T
-        ids = s.ravel()
-        out["e"] = np.stack([np.bincount(ids, gx[:, i], len(p["e"])) for i in range(d)], 1).astype(np.float32)
+        out["q"], out["k"], out["v"] = sums[:, :d] * scale, sums[:, d : 2 * d], sums[:, 2 * d :]
+        ids, columns = s.ravel(), gx.reshape(-1, d).T
+        out["e"] = np.stack([np.bincount(ids, c, len(p["e"])) for c in columns], 1).astype(np.float32)
         return out
 
-    def within(self, h: np.ndarray, y: np.ndarray, z: np.ndarray):
-        """Of each class with members that is met: its members, the places where one is looked for, and the members' chances there."""
+    def late_first(self, y: np.ndarray) -> np.ndarray:
+        """An order of windows that puts those first whose first `overlap` places are not scored."""
+        return np.argsort((y[:, : self.overlap] >= 0).any(1), kind="stable")
+
+    def chunks(self, y: np.ndarray) -> list[tuple[slice, int]]:
+        """Windows that are worked on at a time, and how many of their first places none of them scores: these need no odds."""
+        cuts = [slice(low, low + self.few()) for low in range(0, len(y), self.few())]
+        return [(at, 0 if (y[at, : self.overlap] >= 0).any() else self.overlap) for at in cuts]
+
+    def few(self) -> int:
+        return max(1, CELLS // self.window**2)
+
+    def many(self) -> int:
+        return max(1, CELLS // self.prior.shape[1])
+
+    @staticmethod
+    def chosen(odds: np.ndarray, target: np.ndarray, back: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows of odds, and which is met: the slopes by the rows' states (back: the odds' table and a column of ones), and a factor for
+        each row, by which `odds`, changed in place, are the slopes by the odds."""
+        if steep:
+            odds -= odds.max(1, keepdims=True)
+        np.exp(odds, out=odds)
+        by = odds @ back
+        of = 1 / by[:, -1:]
+        odds[np.arange(len(odds)), target] -= by[:, -1]
+        by *= of
+        by -= back[target]
+        return by[:, :-1], of
+
+    def within(self, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The places where a member is looked for, by class; and of each class that is met its places among these, and its members among
+        all_members."""
         wanted = np.flatnonzero((z >= 0) & (y >= 0))
         order = wanted[np.argsort(y[wanted], kind="stable")]
         cuts = np.flatnonzero(np.diff(y[order], prepend=-2))
-        for low, high in zip(cuts, np.append(cuts[1:], len(order)), strict=False):  # without any cut there is nothing
-            at, own = order[low:high], self.members[int(y[order[low]])]
-            chance = h[at] @ self.p["m"][own].T
-            chance += self.p["mb"][own]
-            chance -= chance.max(1, keepdims=True)
-            np.exp(chance, out=chance)
-            chance /= chance.sum(1, keepdims=True)
-            yield own, at, chance
+        # without any cut there is nothing
+        return order, [(slice(low, high), self.span[int(y[order[low]])]) for low, high in zip(cuts, np.append(cuts[1:], len(order)), strict=False)]
 
     def prepare(self) -> tuple:
-        p = self.p
+        """What scoring looks up: queries, keys, values and ones by slot; of each slot its own odds of classes, the largest 0, and their
+        exponentials; members and their biases; and whether the odds of places, classes and members can grow too large for exponentials."""
+        p, d = self.p, self.width
         scale = np.float32(1 / np.sqrt(self.width))
-        tables = np.concatenate([p["e"] @ p["q"] * scale, p["e"] @ p["k"], p["e"] @ p["v"]], 1)
-        return np.ascontiguousarray(tables), np.ascontiguousarray(p["e"] @ p["o"] + p["b"] + self.prior), self.bias()
+        tables = np.concatenate([p["e"] @ p["q"] * scale, p["e"] @ p["k"], p["e"] @ p["v"], np.ones((len(p["e"]), 1), p["e"].dtype)], 1)
+        direct = p["e"] @ p["o"] + p["b"] + self.prior
+        direct -= direct.max(1, keepdims=True)
+        value = longest(tables[:, 2 * d : 3 * d])
+        steep = [longest(tables[:, :d]) * longest(tables[:, d : 2 * d]) + np.abs(p["r"]).max() > SAFE, value * longest(p["o"].T) > SAFE, False]
+        members = None
+        if self.members:
+            members = np.concatenate([p["m"], p["mb"][:, None]], 1)[self.all_members]
+            steep[2] = (value + longest(p["e"])) * longest(p["m"]) + np.abs(p["mb"]).max() > SAFE
+        return np.ascontiguousarray(tables), np.ascontiguousarray(direct), np.exp(direct), members, self.bias(), steep
 
     def log_probs(self, s: np.ndarray, y: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of each target (0 where its class is -1), windows in batches."""
         if "held" not in self.__dict__:
             self.held = self.prepare()
-        tables, direct, bias = self.held
-        d, out = self.width, np.zeros(y.shape, np.float32)
-        for at in range(0, len(s), 512):
-            own, held = s[at : at + 512], []
-            for low in range(0, len(own), FEW):
-                x = tables[own[low : low + FEW]]
-                score = x[:, :, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1)
-                score += bias
-                np.minimum(score, 40, out=score)
+        tables, direct, weights, members, bias, steep = self.held
+        d, many, out = self.width, self.many(), np.zeros(y.shape, np.float32)
+        order = self.late_first(y)
+        for at in range(0, len(s), 2048):
+            chosen = order[at : at + 2048]
+            own, classes = s[chosen], y[chosen]
+            mixed = np.empty((*own.shape, d + 1), tables.dtype)
+            for few, skip in self.chunks(classes):
+                x = tables[own[few]]
+                score = x[:, skip:, :d] @ x[:, :, d : 2 * d].transpose(0, 2, 1)
+                score += bias[skip:]
+                if steep[0]:
+                    score -= score.max(2, keepdims=True)
                 np.exp(score, out=score)
-                held.append(score @ x[:, :, 2 * d :])
-                held[-1] /= score.sum(2, keepdims=True)
-            mixed = np.concatenate(held)
+                np.matmul(score, x[:, :, 2 * d :], out=mixed[few, skip:])
             # what another window scores needs no odds here
-            rows = np.flatnonzero(y[at : at + 512] >= 0)
-            mixed, slots, target = mixed.reshape(-1, d)[rows], own.ravel()[rows], y[at : at + 512].ravel()[rows]
+            rows = np.flatnonzero(classes >= 0)
+            mixed, slots, target = mixed.reshape(-1, d + 1)[rows], own.ravel()[rows], classes.ravel()[rows]
+            mixed /= mixed[:, d:]  # the last column is 1 now
             lp = np.empty(len(rows), np.float32)
-            for low in range(0, len(rows), ROWS):
-                logits = mixed[low : low + ROWS] @ self.p["o"]
-                logits += direct[slots[low : low + ROWS]]
-                chosen = logits[np.arange(len(logits)), target[low : low + ROWS]]
+            for low in range(0, len(rows), many):
+                by, wanted = slots[low : low + many], target[low : low + many]
+                logits = mixed[low : low + many, :d] @ self.p["o"]
+                if steep[1]:
+                    logits += direct[by]
+                    logits -= logits.max(1, keepdims=True)
+                    lp[low : low + many] = logits[np.arange(len(by)), wanted] - np.log(np.exp(logits).sum(1))
+                    continue
+                picked = logits[np.arange(len(by)), wanted] + direct[by, wanted]
                 np.exp(logits, out=logits)
-                lp[low : low + ROWS] = chosen - np.log(logits.sum(1))
+                lp[low : low + many] = picked - np.log(np.einsum("ij,ij->i", logits, weights[by]))
             if self.members:
-                wanted = z[at : at + 512].ravel()[rows]
-                mixed += self.p["e"][slots]
-                for _, met, chance in self.within(mixed, target, wanted):
-                    lp[met] += np.log(np.maximum(chance[np.arange(len(met)), self.place[wanted[met]]], 1e-30))
-            out.ravel()[at * y.shape[1] + rows] = lp
+                wanted = z[chosen].ravel()[rows]
+                mixed[:, :d] += self.p["e"][slots]
+                met, groups = self.within(target, wanted)
+                mixed, wanted, found = mixed[met], self.place[wanted[met]], np.empty(len(met), np.float32)
+                for few, own in groups:
+                    odds = mixed[few] @ members[own].T
+                    if steep[2]:
+                        odds -= odds.max(1, keepdims=True)
+                    picked = odds[np.arange(len(odds)), wanted[few]]
+                    np.exp(odds, out=odds)
+                    found[few] = picked - np.log(odds.sum(1))
+                lp[met] += found
+            out[chosen[rows // y.shape[1]], rows % y.shape[1]] = lp
         return out
 
     def windows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import copy
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,6 +51,7 @@ RATES = (0.02, 0.012, 0.006)
 DISCOUNT, STRENGTH = 0.75, 1.0
 END = b"\n"  # no word: words hold no white space
 NONE = -2  # no input or target
+OTHER_SPACE = re.compile(r"[^\S ]")  # what the vocabulary's pattern may take for white space inside a word
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -86,6 +88,36 @@ class Subwords:
         encode = self.encoder()
         return [encode(" " + w.decode("utf-8", "replace")) for w in words]
 
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Likewise of an array of words, the ids of all end to end, and the places where words begin and the last one ends. Words are encoded
+        as one text: no piece of the pattern reaches beyond a space before it, unless a word holds white space of its own; such words go by
+        themselves."""
+        encode = self.encoder()
+        if "begins" not in self.__dict__:
+            ranks = load_ranks(self.path)
+            self.begins = np.zeros(max(ranks.values()) + 1, bool)
+            self.begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
+        if not len(words):
+            return np.empty(0, np.int32), np.zeros(1, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py()
+        text, odd = " " + joined.decode("utf-8", "replace"), []
+        if OTHER_SPACE.search(text):
+            parts = text[1:].split(" ")
+            odd = [k for k, w in enumerate(parts) if OTHER_SPACE.search(w)]
+            own = [encode(" " + parts[k]) for k in odd]
+            for k in odd:
+                parts[k] = "x"
+            text = " ".join(["", *parts])
+        ids = np.array(encode(text), np.int32)
+        starts = np.flatnonzero(self.begins[ids])
+        if odd:
+            made = np.split(ids, starts[1:])
+            for k, x in zip(odd, own, strict=True):
+                made[k] = np.array(x, np.int32)
+            ids, starts = np.concatenate(made), np.cumsum([0, *map(len, made)])[:-1]
+        assert len(starts) == len(words)
+        return ids, np.append(starts, len(ids))
+
 
 def clusters(rows: np.ndarray, weight: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Weighted k-means."""
@@ -175,11 +207,16 @@ class Model:
 
     def spell_log10(self, spelled: list[list[int]]) -> np.ndarray:
         """Of words as subwords: log10 P(what follows the leading one, to the end)."""
-        inputs, targets, lengths = spellings(spelled)
-        slots, classes, _ = self.spell_targets(inputs, targets)
+        lengths = np.array([len(s) for s in spelled], np.int64)
+        return self.coded_log10(np.fromiter((i for s in spelled for i in s), np.int64, int(lengths.sum())), lengths)
+
+    def coded_log10(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Likewise of words' subwords end to end, and how many each has."""
+        targets = following(ids, lengths)
+        slots, classes, _ = self.spell_targets(ids, targets)
         total = self.spell.sums(slots, classes, lengths)
-        owner = np.repeat(np.arange(len(spelled)), lengths)
-        total += np.bincount(owner, np.where(targets < 0, 0, self.log_within[np.maximum(targets, 0)]), len(spelled))
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        total += np.bincount(owner, np.where(targets < 0, 0, self.log_within[np.maximum(targets, 0)]), len(lengths))
         return total / math.log(10)
 
     def text_log10(self, leads: list[np.ndarray]) -> np.ndarray:
@@ -215,18 +252,32 @@ def sequences(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return inputs, targets
 
 
+def bytes_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of binaries, none null: the bytes of all end to end, and how many each has."""
+    column = column.cast(pa.binary())
+    _, cuts, held = column.buffers()
+    if not len(column) or held is None:
+        return np.empty(0, np.uint8), np.zeros(len(column), np.int64)
+    cuts = np.frombuffer(cuts, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(held, np.uint8)[cuts[0] : cuts[-1]], np.diff(cuts).astype(np.int64)
+
+
 def slots_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Texts as the table of slots has them: slots end to end, and how many each has."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2"), pc.binary_length(column).to_numpy().astype(np.int64) // 2
+    held, lengths = bytes_in(column)
+    return held.view("<u2"), lengths // 2
+
 
+def subs_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of words as subwords: subwords end to end, and how many each has."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def spellings(spelled: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words as subwords to inputs and targets: each but the first, then the end (-1)."""
-    lengths = np.array([len(s) for s in spelled], np.int64)
-    inputs = np.fromiter((i for s in spelled for i in s), np.int64, int(lengths.sum()))
-    targets = np.append(inputs[1:], 0)[: len(inputs)]
+
+def following(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of words as subwords, end to end, what follows each: the next, or the word's end (-1)."""
+    targets = np.append(ids[1:], 0)[: len(ids)]
     targets[np.cumsum(lengths)[lengths > 0] - 1] = -1
-    return inputs, targets, lengths
+    return targets
 
 
 def window_rows(inputs: np.ndarray, targets: np.ndarray, at: np.ndarray, scored: np.ndarray) -> np.ndarray:
@@ -274,35 +325,24 @@ class Leads(Bounded):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-class Places(Leads):
-    """word -> its place among the broadcast words, or, of another word, -1 - its leading subword."""
-
-    def __init__(self, subwords: Subwords, hot: dict[bytes, int]):
-        super().__init__(subwords)
-        self.hot = hot
-
-    def made(self, word: bytes) -> int:
-        at = self.hot.get(word)
-        return -1 - Leads.made(self, word) if at is None else at
-
-
 class Reader:
-    """What a worker keeps: the places or leading subwords of words met. hot: the broadcast words' places, and by place whether training has
-    the word, its base, its static part and its leading subword."""
+    """What a worker keeps. hot: the broadcast words, and by place whether training has the word, its base, its static part and its leading
+    subword."""
 
-    def __init__(self, model: Model, hot: tuple[dict[bytes, int], np.ndarray]):
-        self.model, self.places = model, Places(model.subwords, hot[0])
+    def __init__(self, model: Model, hot: tuple[list[bytes], np.ndarray]):
+        self.model, self.hot = model, pa.array(hot[0], pa.binary())
         self.prices = np.concatenate([hot[1][:, :3], np.zeros((1, 3))])  # of no broadcast word: 0
-        self.leads, self.end = np.append(hot[1][:, 3], 0).astype(np.int64), hot[0].get(END)
+        self.leads, self.end = np.append(hot[1][:, 3], 0).astype(np.int64), hot[0].index(END) if END in hot[0] else None
 
     def read(self, texts: pa.Array) -> list[pa.Array]:
         """Per text: tokens, known, base and static (with what subwords of the last class have within it) over broadcast words; the slots of
         its words' leading subwords; the other words, and their counts."""
         codes, words, lengths = words_in(texts)
-        count, places = len(texts), self.places.array(words.to_pylist())
+        count, places = len(texts), pc.index_in(words, value_set=self.hot).fill_null(-1).to_numpy()
         often = places >= 0
-        leads = np.where(often, self.leads[np.where(often, places, -1)], -1 - places)
-        prices = self.prices[np.where(often, places, -1)]
+        leads, prices = self.leads[places], self.prices[places]
+        ids, at = self.model.subwords.coded(words.filter(pa.array(~often)))
+        leads[~often] = ids[at[:-1]]
         prices[:, 2] += self.model.log_lead[leads] / math.log(10)
         owner = np.repeat(np.arange(count), lengths)
         known, base, static = (np.bincount(owner, np.ascontiguousarray(prices[:, k])[codes], count) for k in range(3))
@@ -360,22 +400,9 @@ def text_windows(docs: DataFrame, subwords: Subwords, share: int, token: str) ->
     return docs.select("text").mapInArrow(run, "win binary")
 
 
-def word_windows(words: DataFrame) -> DataFrame:
-    """words: subs. win, likewise, of words as subwords."""
-    shape = Attention(1, 1, 8, 4, np.zeros((1, 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inputs, targets, lengths = spellings(batch.column(0).to_pylist())
-            at, scored, _ = shape.windows(lengths)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in window_rows(inputs, targets, at, scored)], pa.binary())], ["win"])
-
-    return words.select("subs").mapInArrow(run, "win binary")
-
-
 def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows of windows to inputs and targets."""
-    both = np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), -1).astype(np.int64)
+    both = bytes_in(column)[0].view("<i4").reshape(len(column), -1).astype(np.int64)
     half = both.shape[1] // 2
     return both[:, :half], both[:, half:]
 
@@ -412,6 +439,11 @@ def dealt(parts: Iterator[tuple], size: int) -> Iterator[tuple]:
         yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
 
 
+def window_count(rows: DataFrame, length, shape: Attention) -> int:
+    """How many windows rows of this length have."""
+    return int(rows.agg(F.sum(F.greatest(F.lit(1), F.ceil((length - shape.overlap) / (shape.window - shape.overlap))))).first()[0] or 0)
+
+
 def trained(attention: Attention, rows: DataFrame, windows_of, n: int) -> None:
     """Rounds over all n windows, which windows_of(a column) gives in parts (slots, classes, members), each round over the rows that a hash
     gives it; few windows are gone through several times."""
@@ -460,7 +492,8 @@ def learn_words(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Sc
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(subwords.ids(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "n", "c", "subs"])
+            ids, cuts = subwords.coded(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))], ["word", "n", "c", "subs"])
 
     counted = own.select("held_out", "text").mapInArrow(count_words, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     words = scratch.keep(counted.mapInArrow(split, "word binary, n long, c long, subs array<int>"))
@@ -473,22 +506,28 @@ def learn_words(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Sc
     later[rows["sub"].to_numpy()] = rows["n"].to_numpy()
     model = Model(subwords, vocabulary, leads, first, later)
     bare = Bare(model)
-    spells = scratch.keep(word_windows(seen))
+    spells, shape = seen.select("subs"), Attention(1, 1, 8, 4, np.zeros((1, 1)))
 
     def by_last(column: pa.Array) -> np.ndarray:
-        slots, target, _ = bare.spell_targets(*unpacked(column))
-        real = target >= 0
-        return np.bincount(slots[real].astype(np.int64) * SPELL_CLASSES + target[real], minlength=SLOTS * SPELL_CLASSES)
+        ids, lengths = subs_in(column)
+        slots, target, _ = bare.spell_targets(ids, following(ids, lengths))
+        return np.bincount(slots.astype(np.int64) * SPELL_CLASSES + target, minlength=SLOTS * SPELL_CLASSES)
+
+    def windows_of(column: pa.Array) -> Iterator[tuple]:
+        ids, lengths = subs_in(column)
+        slots, classes, none = bare.spell_targets(ids, following(ids, lengths))
+        at, scored, _ = shape.windows(lengths)
+        yield slots[at], np.where(scored, classes[at], -1), none[at]
 
     model.begin_spelling(summed(spells, by_last, SLOTS * SPELL_CLASSES))
-    trained(model.spell, spells, lambda column: [bare.spell_targets(*unpacked(column))], spells.count())
-    scratch.drop(spells)
+    trained(model.spell, spells, windows_of, window_count(spells, F.size("subs"), shape))
     held = own.sparkSession.sparkContext.broadcast(model)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            subs = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([x[0] for x in subs], pa.int32()), pa.array(held.value.spell_log10(subs))], ["word", "n", "c", "lead", "spelled"])
+            ids, lengths = subs_in(batch.column(3))
+            leads = ids[np.cumsum(lengths) - lengths]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(leads, pa.int32()), pa.array(held.value.coded_log10(ids, lengths))], ["word", "n", "c", "lead", "spelled"])
 
     priced = scratch.keep(words.mapInArrow(spell, "word binary, n long, c long, lead int, spelled double"))
     scratch.drop(words)
@@ -522,16 +561,14 @@ def learn_texts(model: Model, texts: DataFrame) -> None:
             classes, members = bare.text_targets(targets[a])
             yield inputs[a], np.where(k, classes, -1), np.where(k, members, -1)
 
-    step = shape.window - shape.overlap
-    n = texts.agg(F.sum(F.greatest(F.lit(1), F.ceil((F.octet_length("slots") / 2 + 1 - shape.overlap) / step)))).first()[0] or 0
-    trained(model.text, texts, windows_of, int(n))
+    trained(model.text, texts, windows_of, window_count(texts, F.octet_length("slots") / 2 + 1, shape))
 
 
 def learn(own: DataFrame, subwords: Subwords, vocabulary: int, scratch: Scratch) -> tuple[Model, DataFrame]:
     """own: doc_id, held_out, text. The trained model, and the table of all words (see learn_words)."""
     model, words = learn_words(own, subwords, vocabulary, scratch)
     share = own.sparkSession.sparkContext.broadcast
-    texts = scratch.keep(read_texts(own.filter(~F.col("held_out")), share(model), share(({}, np.zeros((0, 4))))).select("slots"))
+    texts = scratch.keep(read_texts(own.filter(~F.col("held_out")), share(model), share(([], np.zeros((0, 4))))).select("slots"))
     learn_texts(model, texts)
     scratch.drop(texts)
     return model, words
@@ -569,7 +606,7 @@ def score_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     # words over a HOT-th of all tokens: fewer than HOT of them
     often = priced.filter(F.col("n") * HOT > total["all"]).select("word", "known", "base", "static", "lead").collect()
     prices = np.array([tuple(r)[1:] for r in often], np.float64).reshape(-1, 4)
-    hot = spark.sparkContext.broadcast(({bytes(r["word"]): k for k, r in enumerate(often)}, prices))
+    hot = spark.sparkContext.broadcast(([bytes(r["word"]) for r in often], prices))
 
     texts = scratch.keep(read_texts(own, spark.sparkContext.broadcast(made), hot))
     learn_texts(made, texts.filter(~F.col("held_out")).select("slots"))

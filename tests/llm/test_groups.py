@@ -351,6 +351,58 @@ def test_attention_slopes():
             assert math.isclose((high - low) / (2 * eps), slopes[name][at], rel_tol=0.05, abs_tol=2e-4)
 
 
+def test_attention_slopes_of_late_windows(monkeypatch):
+    """Places that another window scores get no odds; slopes stay those of the finite differences, members included."""
+    monkeypatch.setattr(attention, "CELLS", 36)  # a window at a time
+    rng = np.random.default_rng(5)
+    members = {3: np.array([2, 5, 7]), 4: np.array([1, 9])}
+    model = attention.Attention(12, 5, 6, 2, rng.standard_normal((12, 5)) * 0.1, width=4, members=members, weight=np.ones(12))
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    s, y = rng.integers(0, 12, (6, 6)), rng.integers(0, 5, (6, 6))
+    y[[1, 2, 4], :2] = -1
+    z = np.full(y.shape, -1)
+    for c, own in members.items():
+        z[y == c] = rng.choice(own, (y == c).sum())
+    assert sorted(skip for _, skip in model.chunks(y)) == [0, 0, 0, 2, 2, 2]
+
+    def loss():
+        model.__dict__.pop("held", None)
+        return -float(model.log_probs(s, y, z).sum(dtype=np.float64)) / (y >= 0).sum()
+
+    slopes = model.slopes(s, y, z)
+    for name, value in model.p.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in value.shape)
+            old, eps = value[at], 1e-2
+            value[at] = old + eps
+            high = loss()
+            value[at] = old - eps
+            low = loss()
+            value[at] = old
+            assert math.isclose((high - low) / (2 * eps), slopes[name][at], rel_tol=0.05, abs_tol=2e-4), name
+
+
+def test_attention_of_steep_odds():
+    """Odds too large for exponentials of single precision are neither cut nor lost."""
+    rng = np.random.default_rng(7)
+    model = attention.Attention(20, 5, 6, 2, np.zeros((20, 5)), width=4, members={4: np.arange(3, 9)}, weight=np.ones(20))
+    for name, by in (("e", 12), ("q", 4), ("k", 4), ("o", 60), ("m", 60)):
+        model.p[name] *= np.float32(by)
+    slots, classes = rng.integers(0, 20, 15), rng.integers(0, 5, 15)
+    members = np.where(classes == 4, rng.integers(3, 9, 15), -1)
+    want = 0.0
+    for at, (c, member) in enumerate(zip(classes, members, strict=True)):
+        _, h, p = chances(model, context_of(model, slots, 6, 2, at))
+        for odds, place in ((h @ p["o"] + p["b"], c), (p["m"][3:9] @ h + p["mb"][3:9], member - 3)):
+            if place >= 0:
+                want += odds[place] - odds.max() - math.log(np.exp(odds - odds.max()).sum())
+    got = model.sums(slots, classes, np.array([15]), members)
+    assert want < -100 and math.isclose(got[0], want, rel_tol=2e-3), (got, want)
+    at, scored, _ = model.windows(np.array([15]))
+    slopes = model.slopes(slots[at], np.where(scored, classes[at], -1), np.where(scored, members[at], -1))
+    assert all(np.isfinite(x).all() for x in slopes.values())
+
+
 def test_windows_score_each_token_once():
     model = attention.Attention(10, 4, 8, 3, np.zeros((10, 4)))
     lengths = np.array([1, 0, 8, 9, 40, 13])
@@ -495,6 +547,24 @@ def test_lm_steps_hold_every_window():
         assert all(len(step[0]) == 8 == len(step[1]) for step in steps[:-1])
 
 
+def test_lm_words_coded_together():
+    """Subwords of many words by one call of the encoder, but for words that hold white space of their own, are those of each word."""
+    import public_tokenizers
+
+    subwords, rng = lm_score.Subwords(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), random.Random(8)
+    plain = ["it's", "'s", "x" * 500, "a,b...", "1,000.5", "\x00", "日本語", "é", "🙂!", "thare"]
+    odd = ["a\xa0", "\xa0b", "\x85", "\u2003\u2003x", "\u3000", "\x1cy", "a\u2028\u2029"]
+    some = ["".join(rng.choice("ab'1, \xa0\u2003é,日\x1f").replace(" ", "") for _ in range(rng.randint(1, 9))) or "q" for _ in range(400)]
+    for words in ([], plain, odd, plain + odd + plain, some):
+        words = [w.encode() for w in words] + ([b"\xff\xe2\x82"] if words else [])
+        ids, cuts = subwords.coded(pa.array(words, pa.binary()))
+        assert [ids[low:high].tolist() for low, high in zip(cuts[:-1], cuts[1:], strict=True)] == subwords.ids(words)
+    calls, real = [], subwords.encoder()
+    subwords.encoder = lambda: lambda text: calls.append(text) or real(text)
+    subwords.coded(pa.array([w.encode() for w in plain * 50]))
+    assert len(calls) == 1
+
+
 def test_lm_words_in_batches():
     """Words by batches against words by texts, white space of other kinds included."""
     texts = [None, "", " \t", "One TWO\x0bthree\x0cÄÉ\x85x\xa0y\u2003z\x1c\x1d\x00 ", "\r\nend", "İı ſK"]
